@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from casekit.checks import ingest, measures, tabular
+from casekit.checks import charts, ingest, measures, tabular
 
-MODULES = (ingest, tabular, measures)
+MODULES = (ingest, tabular, measures, charts)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -119,8 +119,8 @@ def histogram(df: DataFrame, value: str, bins: int = 20, outliers: str | None =
         .join(counts, "bin", "left")
         .select(
             "bin",
-            F.round(limits["low"] + F.col("bin") * width, 4).alias("lower"),
-            F.round(limits["low"] + (F.col("bin") + 1) * width, 4).alias("upper"),
+            F.round(limits["low"] + F.col("bin") * width, 6).alias("lower"),
+            F.round(limits["low"] + (F.col("bin") + 1) * width, 6).alias("upper"),
             F.coalesce("count", F.lit(0)).alias("count"),
         )
     )

@@ -56,6 +56,16 @@ def scan_csv(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def bad_rows(marked: DataFrame) -> DataFrame:
+    """Number of bad rows in a scan that kept them.
+
+    A row is only parsed as far as columns are asked for, so the test names every column.
+    """
+    cells = F.concat_ws("", *[F.col(c).cast("string") for c in marked.columns if c != CORRUPT_COLUMN])
+    is_bad = F.col(CORRUPT_COLUMN).isNotNull() & (F.length(cells) >= 0)
+    return marked.agg(F.count_if(is_bad).alias("bad_rows"))
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """Zstd Parquet; statistics and dictionaries are the writer's defaults."""
     writer = df.write.mode(mode).option("compression", "zstd")
