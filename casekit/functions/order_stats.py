@@ -4,7 +4,7 @@ A built-in exact percentile keeps every distinct value of a group in one task. H
 rows are first reduced to `(key, value) → count`, so a hot value costs one row. The
 distinct values are then put into order-preserving buckets whose number is bounded by the
 number format, not by the data; only the bucket totals are scanned in order, and only the
-buckets that hold a wanted rank are sorted. The counts feed both steps through one
+buckets that hold a wanted rank are sorted. The counts feed all steps through one
 shuffle, which Spark reuses.
 """
 
@@ -16,10 +16,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import all_of, col
+from casekit.functions.expressions import all_of, any_of, col, one_row
 
-BUCKETS_PER_OCTAVE = 1024
+BUCKETS_PER_OCTAVE = 256
 EXPONENT_SHIFT = 1075
+LINEAR_BUCKETS = 16_384
 
 
 class Quantile(NamedTuple):
@@ -30,11 +31,31 @@ class Quantile(NamedTuple):
     cap: float | None = None
 
 
-def value_bucket(value: Column | str) -> Column:
-    """Bucket number that never decreases as the value grows; about 0.07 % wide."""
+def value_bucket(value: Column | str, low: Column, high: Column) -> Column:
+    """Bucket number that never decreases as the value grows.
+
+    It joins a logarithmic scale, which copes with long tails, and an even split of the range
+    from `low` to `high`, which copes with narrow ranges such as dates. Both only ever step up,
+    so together they make no more buckets than the two added up.
+    """
     v = col(value).cast("double")
     size = F.floor((F.log2(F.abs(v)) + EXPONENT_SHIFT) * BUCKETS_PER_OCTAVE)
-    return F.coalesce(F.signum(v).cast("bigint") * size, F.lit(0).cast("bigint"))
+    by_size = F.coalesce(F.signum(v).cast("bigint") * size, F.lit(0).cast("bigint"))
+    share = F.try_divide(v - low, high - low)
+    by_range = F.coalesce(F.floor(share * LINEAR_BUCKETS), F.lit(0).cast("bigint"))
+    return by_size * (LINEAR_BUCKETS + 1) + by_range
+
+
+def with_buckets(counts: DataFrame) -> DataFrame:
+    # Asking for the rows too keeps the counts' plan the same as elsewhere, so its shuffle is shared.
+    ends = one_row(
+        counts.agg(
+            F.min("__value").cast("double").alias("low"),
+            F.max("__value").cast("double").alias("high"),
+            F.sum("__n").alias("rows"),
+        )
+    )
+    return counts.withColumn("__bucket", value_bucket("__value", ends["low"], ends["high"]))
 
 
 def value_counts(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +86,7 @@ def _start_in_bucket(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ranked_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts with `__before` (rows holding a smaller value) and `__total`."""
-    binned = counts.withColumn("__bucket", value_bucket("__value"))
+    binned = with_buckets(counts)
     joined = binned.join(_bucket_offsets(binned, keys), [*keys, "__bucket"])
     return _start_in_bucket(joined, keys).select(*keys, "__value", "__n", "__before", "__total")
 
@@ -79,37 +100,25 @@ def at_ranks(
 
     One row per group: `keys`, `total`, and per name a struct `(value, before)`.
     """
-    binned = counts.withColumn("__bucket", value_bucket("__value"))
-    offsets = _bucket_offsets(binned, keys)
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("slot"), rank(F.col("__total")).cast("bigint").alias("rank"))
-            for i, rank in enumerate(ranks.values())
-        ]
-    )
-    in_bucket = F.filter(
-        F.col("__wanted"),
-        lambda w: (w["rank"] >= F.col("__below")) & (w["rank"] < F.col("__below") + F.col("__rows")),
-    )
-    targets = (
-        offsets.withColumn("__wanted", wanted)
-        .withColumn("__wanted", in_bucket)
-        .where(F.size("__wanted") > 0)
-        .select(*keys, "__bucket", "__below", "__total", "__wanted")
+    binned = with_buckets(counts)
+    slots = {name: f"__rank_{i}" for i, name in enumerate(ranks)}
+
+    def holds(slot: str, start: Column, rows: Column) -> Column:
+        return (F.col(slot) >= start) & (F.col(slot) < start + rows)
+
+    offsets = _bucket_offsets(binned, keys).withColumns(
+        {slots[name]: rank(F.col("__total")).cast("bigint") for name, rank in ranks.items()}
     )
+    targets = offsets.where(any_of(holds(s, F.col("__below"), F.col("__rows")) for s in slots.values())).drop("__rows")
     if not keys:
         # At most one row per wanted rank.
         targets = F.broadcast(targets)
     near = _start_in_bucket(binned.join(targets, [*keys, "__bucket"]), keys)
-    hit = F.filter(
-        F.col("__wanted"),
-        lambda w: (w["rank"] >= F.col("__before")) & (w["rank"] < F.col("__before") + F.col("__n")),
-    )
-    hits = near.select(*keys, "__value", "__before", "__total", F.explode(hit).alias("__hit"))
     found = F.struct(F.col("__value").alias("value"), F.col("__before").alias("before"))
-    return hits.groupBy(*keys).agg(
+    hits = {name: holds(s, F.col("__before"), F.col("__n")) for name, s in slots.items()}
+    return near.where(any_of(hits.values())).groupBy(*keys).agg(
         F.max("__total").alias("total"),
-        *[F.max(F.when(F.col("__hit.slot") == i, found)).alias(name) for i, name in enumerate(ranks)],
+        *[F.max(F.when(hit, found)).alias(name) for name, hit in hits.items()],
     )
 
 

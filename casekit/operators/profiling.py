@@ -213,7 +213,8 @@ def type_override(df: DataFrame, column: str, target: str) -> DataFrame:
         new = F.when(key_text(c).isin(*TRUE_TOKENS), True).when(key_text(c).isin(*FALSE_TOKENS), False)
     elif target in ("text", "id") and isinstance(dtype, (T.DoubleType, T.FloatType)):
         whole = finite(c) == F.floor(finite(c))
-        ratio = df.agg(F.avg(F.when(F.isnan(c), None).otherwise(F.coalesce(whole, F.lit(False)).cast("double")))).scalar()
+        filled = c.isNotNull() & ~F.isnan(c)
+        ratio = df.agg(F.avg(F.when(filled, F.coalesce(whole, F.lit(False)).cast("double")))).scalar()
         as_int = F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
         new = F.when(ratio >= 0.99, as_int).otherwise(c.cast("string"))
     elif target in ("categorical", "text", "id"):
