@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casekit.checks.tables import ROLES, cases, table, with_cases, with_life
-from casekit.functions.expressions import US_PER_DAY
+from casekit.functions.expressions import US_PER_DAY, attach_row
 from casekit.operators import breakdowns, executive, kpis
 from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
@@ -52,10 +52,10 @@ def pending_age(s, d):
 
 def fenced_age(s, d):
     """Ages stretched by a power so that the fence bites."""
-    aged = L.with_flags(view(s, d), ROLES).withColumn("age_us", L.age_us(L.reference_date(view(s, d))))
+    aged = L.with_age(L.with_flags(view(s, d), ROLES), L.reference_date(view(s, d)))
     aged = aged.where("is_pending").withColumn("age_days", F.pow(F.col("age_us") / US_PER_DAY / 400, 4))
-    q = L.one_row(L.age_quantiles(aged))
-    return aged.select("record_id", F.round(L.fenced_age(F.col("age_days"), q), 4).alias("fenced_days"))
+    fenced = attach_row(aged, L.age_quantiles(aged), "q")
+    return fenced.select("record_id", F.round(L.fenced_age(F.col("age_days"), F.col("q")), 4).alias("fenced_days"))
 
 
 def case_latency(s, d):

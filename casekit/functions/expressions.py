@@ -168,6 +168,14 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct("*")).scalar()
 
 
+def attach_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Adds the single row of `row` to every row of `df` as the struct column `name`.
+
+    As a column the subquery stands in the plan once, however often its fields are used.
+    """
+    return df.withColumn(name, one_row(row))
+
+
 # Bucket letter → (truncation unit, label pattern).
 PERIODS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 

@@ -10,18 +10,29 @@ shuffle, which Spark reuses.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import all_of, any_of, col, one_row
+from casekit.functions.expressions import attach_row, col
 
 BUCKETS_PER_OCTAVE = 256
 EXPONENT_SHIFT = 1075
 LINEAR_BUCKETS = 16_384
 
+# Bucket numbers never decrease as the value grows. They join a logarithmic scale, which copes
+# with long tails, and an even split of the range, which copes with narrow ranges such as
+# dates. Both only ever step up, so together they make no more buckets than the two added up.
+_BY_SIZE = (
+    f"coalesce(cast(signum(__double) AS bigint) * floor((log2(abs(__double)) + {EXPONENT_SHIFT}) * {BUCKETS_PER_OCTAVE}), 0L)"
+)
+_BY_RANGE = (
+    f"coalesce(floor(try_divide(__double - __ends.low, __ends.high - __ends.low) * {LINEAR_BUCKETS}), 0L)"
+)
+VALUE_BUCKET = f"{_BY_SIZE} * {LINEAR_BUCKETS + 1} + {_BY_RANGE}".replace("__double", "cast(__value AS double)")
+
 
 class Quantile(NamedTuple):
     """A wanted quantile; `cap` clips the order statistics before interpolation."""
@@ -31,57 +42,39 @@ class Quantile(NamedTuple):
     cap: float | None = None
 
 
-def value_bucket(value: Column | str, low: Column, high: Column) -> Column:
-    """Bucket number that never decreases as the value grows.
+def _partition(*columns: str) -> str:
+    return "PARTITION BY " + ", ".join(f"`{c}`" for c in columns) if columns else ""
 
-    It joins a logarithmic scale, which copes with long tails, and an even split of the range
-    from `low` to `high`, which copes with narrow ranges such as dates. Both only ever step up,
-    so together they make no more buckets than the two added up.
-    """
-    v = col(value).cast("double")
-    size = F.floor((F.log2(F.abs(v)) + EXPONENT_SHIFT) * BUCKETS_PER_OCTAVE)
-    by_size = F.coalesce(F.signum(v).cast("bigint") * size, F.lit(0).cast("bigint"))
-    share = F.try_divide(v - low, high - low)
-    by_range = F.coalesce(F.floor(share * LINEAR_BUCKETS), F.lit(0).cast("bigint"))
-    return by_size * (LINEAR_BUCKETS + 1) + by_range
+
+def value_counts(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> DataFrame:
+    """`(keys, __value) → __n` over finite values; rows with a missing key are dropped."""
+    present = "__value IS NOT NULL AND NOT isnan(cast(__value AS double)) AND abs(cast(__value AS double)) <> double('inf')"
+    for k in keys:
+        present += f" AND `{k}` IS NOT NULL"
+    kept = df.select(*keys, col(value).alias("__value")).where(present)
+    return kept.groupBy(*keys, "__value").agg(F.expr("count(1) AS __n"))
 
 
 def with_buckets(counts: DataFrame) -> DataFrame:
+    """Adds the order-preserving `__bucket` of each value."""
     # Asking for the rows too keeps the counts' plan the same as elsewhere, so its shuffle is shared.
-    ends = one_row(
-        counts.agg(
-            F.min("__value").cast("double").alias("low"),
-            F.max("__value").cast("double").alias("high"),
-            F.sum("__n").alias("rows"),
-        )
+    ends = counts.selectExpr(
+        "cast(min(__value) AS double) AS low", "cast(max(__value) AS double) AS high", "sum(__n) AS rows"
     )
-    return counts.withColumn("__bucket", value_bucket("__value", ends["low"], ends["high"]))
-
-
-def value_counts(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> DataFrame:
-    """`(keys, __value) → __n` over finite values; rows with a missing key are dropped."""
-    v = col(value)
-    kept = df.select(*keys, v.alias("__value"))
-    as_double = F.col("__value").cast("double")
-    present = [F.col("__value").isNotNull(), ~F.isnan(as_double), F.abs(as_double) != F.lit(float("inf"))]
-    present += [F.col(k).isNotNull() for k in keys]
-    return kept.where(all_of(present)).groupBy(*keys, "__value").agg(F.count(F.lit(1)).alias("__n"))
+    return attach_row(counts, ends, "__ends").withColumn("__bucket", F.expr(VALUE_BUCKET)).drop("__ends")
 
 
 def _bucket_offsets(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per bucket: rows in lower buckets (`__below`), own rows (`__rows`), rows in all (`__total`)."""
-    totals = binned.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__rows"))
-    ordered = Window.partitionBy(*keys).orderBy("__bucket")
-    upto = F.sum("__rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    return totals.withColumn("__below", upto - F.col("__rows")).withColumn(
-        "__total", F.sum("__rows").over(Window.partitionBy(*keys))
-    )
+    totals = binned.groupBy(*keys, "__bucket").agg(F.expr("sum(__n) AS __rows"))
+    upto = f"sum(__rows) OVER ({_partition(*keys)} ORDER BY __bucket ROWS UNBOUNDED PRECEDING)"
+    return totals.selectExpr("*", f"{upto} - __rows AS __below", f"sum(__rows) OVER ({_partition(*keys)}) AS __total")
 
 
 def _start_in_bucket(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
-    within = Window.partitionBy(*keys, "__bucket").orderBy("__value")
-    upto = F.sum("__n").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("__before", F.col("__below") + upto - F.col("__n"))
+    """Adds `__before`, the rows of the group with a smaller value."""
+    upto = f"sum(__n) OVER ({_partition(*keys, '__bucket')} ORDER BY __value ROWS UNBOUNDED PRECEDING)"
+    return joined.withColumn("__before", F.expr(f"__below + {upto} - __n"))
 
 
 def ranked_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -91,59 +84,54 @@ def ranked_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return _start_in_bucket(joined, keys).select(*keys, "__value", "__n", "__before", "__total")
 
 
-def at_ranks(
-    counts: DataFrame,
-    ranks: Mapping[str, Callable[[Column], Column]],
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """Value and rows before it at zero-based ranks, each computed from the group's row count.
+def at_ranks(counts: DataFrame, ranks: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """Value and rows before it at zero-based ranks, given as SQL over the row count `__total`.
 
     One row per group: `keys`, `total`, and per name a struct `(value, before)`.
     """
     binned = with_buckets(counts)
     slots = {name: f"__rank_{i}" for i, name in enumerate(ranks)}
 
-    def holds(slot: str, start: Column, rows: Column) -> Column:
-        return (F.col(slot) >= start) & (F.col(slot) < start + rows)
+    def holds(slot: str, start: str, rows: str) -> str:
+        return f"({slot} >= {start} AND {slot} < {start} + {rows})"
 
-    offsets = _bucket_offsets(binned, keys).withColumns(
-        {slots[name]: rank(F.col("__total")).cast("bigint") for name, rank in ranks.items()}
+    offsets = _bucket_offsets(binned, keys).selectExpr(
+        "*", *[f"cast({rank} AS bigint) AS {slots[name]}" for name, rank in ranks.items()]
     )
-    targets = offsets.where(any_of(holds(s, F.col("__below"), F.col("__rows")) for s in slots.values())).drop("__rows")
+    targets = offsets.where(" OR ".join(holds(s, "__below", "__rows") for s in slots.values())).drop("__rows")
     if not keys:
         # At most one row per wanted rank.
         targets = F.broadcast(targets)
     near = _start_in_bucket(binned.join(targets, [*keys, "__bucket"]), keys)
-    found = F.struct(F.col("__value").alias("value"), F.col("__before").alias("before"))
-    hits = {name: holds(s, F.col("__before"), F.col("__n")) for name, s in slots.items()}
-    return near.where(any_of(hits.values())).groupBy(*keys).agg(
-        F.max("__total").alias("total"),
-        *[F.max(F.when(hit, found)).alias(name) for name, hit in hits.items()],
+    hits = {name: holds(s, "__before", "__n") for name, s in slots.items()}
+    found = "struct(__value AS value, __before AS before)"
+    return near.where(" OR ".join(hits.values())).groupBy(*keys).agg(
+        F.expr("max(__total) AS total"),
+        *[F.expr(f"max(CASE WHEN {hit} THEN {found} END) AS `{name}`") for name, hit in hits.items()],
     )
 
 
 def quantiles(counts: DataFrame, wanted: Sequence[Quantile], keys: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles: `keys`, `n`, and one double per wanted name."""
 
-    def position(q: Quantile, total: Column) -> Column:
-        return (total - 1) * F.lit(float(q.prob))
+    def position(q: Quantile, total: str) -> str:
+        return f"(({total} - 1) * {float(q.prob)!r}D)"
 
-    ranks: dict[str, Callable[[Column], Column]] = {}
+    ranks: dict[str, str] = {}
     for i, q in enumerate(wanted):
-        ranks[f"lo_{i}"] = lambda total, q=q: F.floor(position(q, total))
-        ranks[f"hi_{i}"] = lambda total, q=q: F.ceil(position(q, total))
-    found = at_ranks(counts, ranks, keys)
+        ranks[f"lo_{i}"] = f"floor({position(q, '__total')})"
+        ranks[f"hi_{i}"] = f"ceil({position(q, '__total')})"
 
-    def order_stat(slot: str, q: Quantile) -> Column:
-        value = F.col(slot)["value"].cast("double")
-        return F.when(value.isNotNull(), F.least(value, F.lit(float(q.cap)))) if q.cap is not None else value
+    def order_stat(slot: str, q: Quantile) -> str:
+        value = f"cast({slot}.value AS double)"
+        return value if q.cap is None else f"CASE WHEN {slot} IS NOT NULL THEN least({value}, {float(q.cap)!r}D) END"
 
     out = []
     for i, q in enumerate(wanted):
-        pos = position(q, F.col("total"))
+        pos = position(q, "total")
         low, high = order_stat(f"lo_{i}", q), order_stat(f"hi_{i}", q)
-        out.append((low + (high - low) * (pos - F.floor(pos))).alias(q.name))
-    return found.select(*keys, F.col("total").alias("n"), *out)
+        out.append(f"{low} + ({high} - {low}) * ({pos} - floor({pos})) AS `{q.name}`")
+    return at_ranks(counts, ranks, keys).selectExpr(*[f"`{k}`" for k in keys], "total AS n", *out)
 
 
 def quantiles_of(
@@ -154,8 +142,7 @@ def quantiles_of(
 
 def average_rank_share(df: DataFrame, value: str) -> DataFrame:
     """Adds `rank_share`: average rank of the value (ties share it) over the row count."""
-    ranked = ranked_counts(value_counts(df, value)).select(
-        F.col("__value").alias(value),
-        ((F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__total")).alias("rank_share"),
+    ranked = ranked_counts(value_counts(df, value)).selectExpr(
+        f"__value AS `{value}`", "(__before + (__n + 1) / 2) / __total AS rank_share"
     )
     return df.join(ranked, value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.expressions import all_of, numeric, one_row
+from casekit.functions.expressions import all_of, attach_row, numeric
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.plans.roles import groupable
 
@@ -102,12 +102,11 @@ def clip_to_other(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
     top = counts.withColumn("r", rank).where(F.col("r") <= n)
     kept = top.agg(*[F.collect_list(F.when(F.col("i") == i, F.col("v"))).alias(f"c{i}") for i in range(len(columns))])
-    lists = one_row(kept)
     clipped = {
-        c: F.when(F.array_contains(lists[f"c{i}"], _named(c).cast("string")), _named(c).cast("string")).otherwise(OTHER)
+        c: F.when(F.array_contains(f"__kept.c{i}", _named(c).cast("string")), _named(c).cast("string")).otherwise(OTHER)
         for i, c in enumerate(columns)
     }
-    return df.withColumns(clipped)
+    return attach_row(df, kept, "__kept").withColumns(clipped).drop("__kept")
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int = 5000, seed: int = 42) -> DataFrame:
@@ -133,8 +132,7 @@ def describe(df: DataFrame, value: Column | str, keys: Sequence[str] = (), digit
     if keys:
         joined = moments.join(quartiles.drop("n"), list(keys))
     else:
-        q = one_row(quartiles)
-        joined = moments.withColumns({p: q[p] for p in ("p25", "p50", "p75")})
+        joined = attach_row(moments, quartiles, "__q").withColumns({p: F.col("__q")[p] for p in ("p25", "p50", "p75")})
     rounded = [F.col("count"), *[F.round(F.col(s).cast("double"), digits).alias(s) for s in DESCRIBE[1:]]]
     return joined.select(*keys, *rounded)
 

@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import US_PER_DAY, month_label, one_row, rate, text, us_between
+from casekit.functions.expressions import US_PER_DAY, attach_row, month_label, rate, text, us_between
 from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, ineligible, missing_for
@@ -91,7 +91,8 @@ def hierarchy_risk(view: DataFrame, roles: Roles, reference_date: str | None = N
     level = roles.mapped(R.ADMIN_HIERARCHY)[0]
     work = L.with_flags(view, roles).withColumn("unit", text(level)).where("unit IS NOT NULL")
     if roles.has(R.REGISTRATION_DATE):
-        days = L.age_us(L.reference_date(view, reference_date)) / US_PER_DAY
+        work = L.with_age(work, L.reference_date(view, reference_date))
+        days = F.col("age_us") / US_PER_DAY
     else:
         days = F.lit(None).cast("double")
     pending_days = F.when(F.col("is_pending"), days)
@@ -107,12 +108,12 @@ def hierarchy_risk(view: DataFrame, roles: Roles, reference_date: str | None = N
         "risk_score", F.round(F.col("pending") / F.col("total_cases") * (1 + age_factor) * 100, 1)
     )
     # Administrative units are few, so their scores fit one aggregate buffer.
-    cuts = scored.agg(F.percentile("risk_score", F.array(F.lit(0.33), F.lit(0.66)))).scalar()
-    tier = (
-        F.when(F.col("risk_score") <= cuts[0], "Low").when(F.col("risk_score") <= cuts[1], "Medium").otherwise("High")
-    )
+    cuts = scored.agg(F.percentile("risk_score", F.array(F.lit(0.33), F.lit(0.66))).alias("at"))
+    score, at = F.col("risk_score"), F.col("cuts.at")
+    tier = F.when(score <= at[0], "Low").when(score <= at[1], "Medium").otherwise("High")
     return (
-        scored.withColumn("risk_tier", tier)
+        attach_row(scored, cuts, "cuts")
+        .withColumn("risk_tier", tier)
         .withColumn("level", F.lit(level))
         .select("unit", "level", "total_cases", "pending", "avg_pending_age", "max_pending_age", "risk_score", "risk_tier")
         .orderBy(F.desc("risk_score"), "unit")

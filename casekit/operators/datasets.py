@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import PERIODS, US_PER_UNIT, numeric, one_row, text
+from casekit.functions.expressions import PERIODS, attach_row, numeric
 from casekit.operators import lifecycle as L
 from casekit.operators.aggregates import (
     clip_to_other, describe, group_aggregate, measure_column, order_by_value, share_of_group, top_n, top_n_with_groups,
@@ -109,18 +109,20 @@ def histogram(df: DataFrame, value: str, bins: int = 20, outliers: str | None =
     numbers = df.select(numeric(df, value).alias("v"))
     usable = numbers.agg(F.avg(F.col("v").isNotNull().cast("double"))).scalar() >= 0.1
     kept = outlier_filter(numbers.where("v IS NOT NULL"), "v", outliers)
-    limits = one_row(kept.agg(F.min("v").alias("low"), F.max("v").alias("high")))
-    width = (limits["high"] - limits["low"]) / bins
-    index = F.coalesce(F.floor(F.try_divide(F.col("v") - limits["low"], width)), F.lit(0))
-    counts = kept.groupBy(F.least(index, F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    limits = kept.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    low = F.col("l.low")
+    width = (F.col("l.high") - low) / bins
+    index = F.coalesce(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(0))
+    binned = attach_row(kept, limits, "l").withColumn("bin", F.least(index, F.lit(bins - 1)))
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     spine = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     return (
-        spine.where(usable)
+        attach_row(spine.where(usable), limits, "l")
         .join(counts, "bin", "left")
         .select(
             "bin",
-            F.round(limits["low"] + F.col("bin") * width, 6).alias("lower"),
-            F.round(limits["low"] + (F.col("bin") + 1) * width, 6).alias("upper"),
+            F.round(low + F.col("bin") * width, 6).alias("lower"),
+            F.round(low + (F.col("bin") + 1) * width, 6).alias("upper"),
             F.coalesce("count", F.lit(0)).alias("count"),
         )
     )
@@ -129,11 +131,10 @@ def histogram(df: DataFrame, value: str, bins: int = 20, outliers: str | None =
 def sparkline(df: DataFrame, date: str, grain: str = "M", value: str | None = None) -> DataFrame:
     """Count or mean per period with the overall direction, last period against first."""
     points = period_series(df, date, grain, value, "mean" if value else "count").where("value IS NOT NULL")
-    ends = one_row(points.agg(F.max_by("value", "period").alias("last"), F.min_by("value", "period").alias("first")))
-    direction = (
-        F.when(ends["last"] > ends["first"], "up").when(ends["last"] < ends["first"], "down").otherwise("neutral")
-    )
-    return points.withColumn("direction", direction).orderBy("period")
+    ends = points.agg(F.max_by("value", "period").alias("last"), F.min_by("value", "period").alias("first"))
+    last, first = F.col("ends.last"), F.col("ends.first")
+    direction = F.when(last > first, "up").when(last < first, "down").otherwise("neutral")
+    return attach_row(points, ends, "ends").withColumn("direction", direction).drop("ends").orderBy("period")
 
 
 def calendar_heatmap(df: DataFrame, date: str, value: str | None = None, agg: str = "count",
@@ -211,12 +212,14 @@ def rolling_average(df: DataFrame, date: str, grain: str = "M", window: int | No
     keys = ["period", group] if group else ["period"]
     found = group_aggregate(bucketed, keys, value, agg)
     # The span covers all dated rows, also those whose group is missing.
-    ends = one_row(bucketed.agg(F.min("period").alias("a"), F.max("period").alias("b")))
-    periods = F.explode(F.sequence(ends["a"], ends["b"], F.expr(STEPS[grain])))
+    ends = bucketed.agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    periods = F.sequence("a", "b", F.expr(STEPS[grain])).alias("periods")
     if group:
-        spine = found.select(group).distinct().select(group, periods.alias("period"))
+        # One array of calendar periods for all groups.
+        every = ends.select(periods).scalar()
+        spine = found.select(group).distinct().withColumn("period", F.explode(every))
     else:
-        spine = df.sparkSession.range(1).select(periods.alias("period"))
+        spine = ends.select(F.explode(periods).alias("period"))
     full = spine.join(found, keys, "left").withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0)))
     trailing = Window.partitionBy(*([group] if group else [])).orderBy("period").rowsBetween(-(width - 1), 0)
     return full.select(

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.expressions import US_PER_DAY, US_PER_HOUR, capped, one_row, rate, us_between
+from casekit.functions.expressions import US_PER_DAY, US_PER_HOUR, attach_row, capped, rate, us_between
 from casekit.functions.order_stats import (
-    Quantile, at_ranks, average_rank_share, quantiles, quantiles_of, value_counts,
+    Quantile, at_ranks, average_rank_share, quantiles, value_counts,
 )
 from casekit.operators import lifecycle as L
 from casekit.operators.kpis import _ids, count_measures, fenced_age_summary, resolution_measures
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
+from casekit.sources.files import settle
 
 # Robust score factor, Pareto target, and when and how far a hotspot list is cut.
 MODIFIED_Z_FACTOR = 0.6745
@@ -49,9 +50,9 @@ def executive_kpis(view: DataFrame, roles: Roles, reference_date: str | None = N
     """One row of headline numbers. Business risk is pending count times fenced mean age."""
     work, method, quality = L.with_executive_flags(dated(view), roles)
     newest = L.newest_registration(work).scalar()
-    ages = work.where("is_pending").select(L.age_us(newest).alias("age_us"))
+    ages = L.with_age(work.where("is_pending"), newest)
     age = fenced_age_summary(value_counts(ages, "age_us")).select(F.coalesce("avg_age", F.lit(0.0))).scalar()
-    counts = one_row(count_measures(dated(view), roles))
+    counts = count_measures(dated(view), roles)
     base = work.agg(
         F.count_if("is_pending").alias("pending_count"),
         F.date_format(F.min(R.REGISTRATION_DATE), "yyyy-MM-dd").alias("date_from"),
@@ -64,11 +65,11 @@ def executive_kpis(view: DataFrame, roles: Roles, reference_date: str | None = N
         else F.lit(None).cast("double")
     )
     has_sla = not roles.missing([R.CLOSING_DATE, R.SLA_DEADLINE])
-    sla = counts["sla_compliance_rate"] if has_sla else F.lit(None).cast("double")
-    return base.withColumn("__age", age).select(
+    sla = F.col("__c.sla_compliance_rate") if has_sla else F.lit(None).cast("double")
+    return attach_row(base, counts, "__c").withColumn("__age", age).select(
         F.round(F.coalesce(sla, F.lit(0.0)), 4).alias("sla_compliance"),
         F.round(F.coalesce(mttr, F.lit(0.0)), 4).alias("mttr_hours"),
-        counts["total_cases"].alias("total_volume"),
+        F.col("__c.total_cases").alias("total_volume"),
         "pending_count",
         F.round("__age", 4).alias("avg_pending_age_days"),
         F.round(F.col("pending_count") * F.col("__age"), 4).alias("business_risk_score"),
@@ -92,17 +93,21 @@ def split_halves(view: DataFrame, roles: Roles) -> DataFrame:
 
     The boundary is found as an order statistic of the dates, then of the ids on the boundary
     date, so the table is never sorted and no date, however common, is gathered in one task.
+    Both are fetched as one row each: the second search then only scans the boundary date.
     """
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     rows = dated(view).withColumns(
         {"__us": us_between(epoch, F.col(R.REGISTRATION_DATE)), "__id": _id_number(view, roles)}
     )
-    date_cut = one_row(at_ranks(value_counts(rows, "__us"), {"cut": lambda total: F.floor(total / 2)}))
-    ties = rows.where(F.col("__us") == date_cut["cut"]["value"])
-    left = F.floor(date_cut["total"] / 2) - date_cut["cut"]["before"]
-    id_cut = one_row(at_ranks(value_counts(ties, "__id"), {"cut": lambda _: left}))
-    first = (F.col("__us") < date_cut["cut"]["value"]) | (
-        (F.col("__us") == date_cut["cut"]["value"]) & (F.col("__id") < id_cut["cut"]["value"])
+    total, cut = at_ranks(value_counts(rows, "__us"), {"cut": "floor(__total / 2)"}).first()
+    if total is None:
+        return rows.withColumn("half", F.lit(1)).drop("__us", "__id")
+    boundary = F.timestamp_add("MICROSECOND", F.lit(cut["value"]), epoch)
+    ties = rows.where(F.col(R.REGISTRATION_DATE) == boundary)
+    left = total // 2 - cut["before"]
+    id_cut = at_ranks(value_counts(ties, "__id"), {"cut": str(left)}).first()["cut"]["value"]
+    first = (F.col(R.REGISTRATION_DATE) < boundary) | (
+        (F.col(R.REGISTRATION_DATE) == boundary) & (F.col("__id") < id_cut)
     )
     return rows.withColumn("half", F.when(first, 1).otherwise(2)).drop("__us", "__id")
 
@@ -117,7 +122,7 @@ def executive_deltas(view: DataFrame, roles: Roles) -> DataFrame:
     mttr = clipped.groupBy("half").agg(
         F.round(F.sum(F.col("v") * F.col("__n")) / F.sum("__n") / US_PER_HOUR, 2).alias("mttr")
     )
-    mttr_by_half = one_row(mttr.agg(*[F.max(F.when(F.col("half") == h, F.col("mttr"))).alias(f"h{h}") for h in (1, 2)]))
+    mttr_by_half = mttr.agg(*[F.max(F.when(F.col("half") == h, F.col("mttr"))).alias(f"h{h}") for h in (1, 2)])
     both = F.col("is_closed") & F.col(R.CLOSING_DATE).isNotNull() & F.col(R.SLA_DEADLINE).isNotNull()
     met = both & (F.col(R.CLOSING_DATE) <= F.col(R.SLA_DEADLINE))
     record = F.col(R.RECORD_ID) if roles.has(R.RECORD_ID) else F.lit(1)
@@ -128,8 +133,8 @@ def executive_deltas(view: DataFrame, roles: Roles) -> DataFrame:
             F.count(F.when(here, record)).alias(f"volume_{h}"),
             F.coalesce(rate(F.count_if(here & met), F.count_if(here & both)), F.lit(0.0)).alias(f"sla_{h}"),
         ]
-    row = halves.agg(*parts).withColumns(
-        {f"mttr_{h}": F.coalesce(mttr_by_half[f"h{h}"], F.lit(0.0)) for h in (1, 2)}
+    row = attach_row(halves.agg(*parts), mttr_by_half, "__m").withColumns(
+        {f"mttr_{h}": F.coalesce(F.col("__m")[f"h{h}"], F.lit(0.0)) for h in (1, 2)}
     )
     return row.select(
         "volume_1", "volume_2", "mttr_1", "mttr_2", "sla_1", "sla_2",
@@ -138,13 +143,16 @@ def executive_deltas(view: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def modified_z(df: DataFrame, value: str) -> Column:
-    """Robust z-score of a column; 0 for all rows when the median deviation is 0."""
-    middle = quantiles_of(df, value, [Quantile("m", 0.5)]).select("m").scalar()
-    spread = df.select(F.abs(F.col(value) - middle).alias("d"))
-    mad = quantiles_of(spread, "d", [Quantile("m", 0.5)]).select("m").scalar()
-    z = F.try_divide(F.lit(MODIFIED_Z_FACTOR) * (F.col(value) - middle), mad)
-    return F.coalesce(z, F.lit(0.0))
+def with_modified_z(df: DataFrame, value: str, out: str = "z_score") -> DataFrame:
+    """Adds the robust z-score of a column; 0 for all rows when the median deviation is 0."""
+    counts = value_counts(df, value)
+    middle = quantiles(counts, [Quantile("m", 0.5)])
+    off = F.abs(F.col("__value") - F.col("__mid.m"))
+    spread = attach_row(counts, middle, "__mid").groupBy(off.alias("__value")).agg(F.sum("__n").alias("__n"))
+    mad = quantiles(spread, [Quantile("d", 0.5)])
+    z = F.try_divide(F.lit(MODIFIED_Z_FACTOR) * (F.col(value) - F.col("__z.m")), F.col("__z.mad"))
+    both = middle.select("m").withColumn("mad", mad.select("d").scalar())
+    return attach_row(df, both, "__z").withColumn(out, F.round(F.coalesce(z, F.lit(0.0)), 4)).drop("__z")
 
 
 def hierarchy_anomalies(view: DataFrame, roles: Roles, unit: str | None = None) -> DataFrame:
@@ -153,15 +161,16 @@ def hierarchy_anomalies(view: DataFrame, roles: Roles, unit: str | None = None)
     unit = unit or lowest_unit(dated(view), roles)
     newest = L.newest_registration(work).scalar()
     units = (
-        work.where(F.col("is_pending") & F.col(unit).isNotNull())
+        L.with_age(work.where(F.col("is_pending") & F.col(unit).isNotNull()), newest)
         .groupBy(F.col(unit).cast("string").alias("unit_name"))
         .agg(
             F.count(F.lit(1)).alias("pending_count"),
-            F.coalesce(F.avg(L.age_us(newest)) / US_PER_DAY, F.lit(0.0)).alias("avg_pending_age"),
+            F.coalesce(F.avg("age_us") / US_PER_DAY, F.lit(0.0)).alias("avg_pending_age"),
         )
         .withColumn("risk_score", F.round(F.col("pending_count") * F.col("avg_pending_age"), 4))
     )
-    ranked = average_rank_share(units, "risk_score").withColumn("z_score", F.round(modified_z(units, "risk_score"), 4))
+    units = settle(units, "units")
+    ranked = average_rank_share(with_modified_z(units, "risk_score"), "risk_score")
     pct = F.col("rank_share") * 100.0
     severity = (
         F.when(pct >= 90, "CRITICAL").when(pct >= 75, "HIGH").when(pct >= 50, "MEDIUM").otherwise("LOW")
@@ -196,17 +205,18 @@ def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None) -> D
     reached = running.withColumns({"total": total, "vital": F.col("pairs_upto") - F.col("pairs") + missing}).where(
         F.col("mass_upto") * 100 >= F.col("total") * PARETO_TARGET_PCT
     )
-    cut = one_row(reached.agg(F.min_by("vital", "mass_upto").alias("vital"), F.max("total").alias("total")))
+    cut = reached.agg(F.min_by("vital", "mass_upto").alias("vital"), F.max("total").alias("total"))
     head = pairs.orderBy(F.desc("pending_volume"), "category", "administrative_unit").limit(HOTSPOT_LIMIT)
     position = F.row_number().over(Window.orderBy(F.desc("pending_volume"), "category", "administrative_unit"))
-    shown = F.when(cut["vital"] > HOTSPOT_LIMIT, HOTSPOT_KEEP).otherwise(cut["vital"])
+    vital = F.col("cut.vital")
+    shown = F.when(vital > HOTSPOT_LIMIT, HOTSPOT_KEEP).otherwise(vital)
     return (
-        head.withColumn("position", position)
+        attach_row(head.withColumn("position", position), cut, "cut")
         .where(F.col("position") <= shown)
         .select(
             "position", "category", "administrative_unit", "pending_volume",
-            F.round(F.col("pending_volume") / cut["total"] * 100.0, 4).alias("backlog_contribution_pct"),
-            (cut["vital"] - shown).cast("bigint").alias("omitted_count"),
+            F.round(F.col("pending_volume") / F.col("cut.total") * 100.0, 4).alias("backlog_contribution_pct"),
+            (vital - shown).cast("bigint").alias("omitted_count"),
         )
     )
 
@@ -224,6 +234,7 @@ def pareto_hierarchy(view: DataFrame, roles: Roles) -> DataFrame:
     if not path:
         raise ValueError("no filled place, officer or category column")
     counts = pending.groupBy(*[F.col(c).cast("string").alias(c) for c in path]).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(counts, "paths")
     levels: list[DataFrame] = []
     parents: DataFrame | None = None
     for depth, column in enumerate(path):

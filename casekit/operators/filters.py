@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.expressions import all_of, any_of, as_timestamp, key_text, one_row, text
+from casekit.functions.expressions import all_of, any_of, as_timestamp, text
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.operators.aggregates import group_aggregate
 from casekit.plans import roles as R
@@ -202,10 +202,15 @@ def outlier_limits(df: DataFrame, value: str, method: str) -> DataFrame:
 
 
 def outlier_filter(df: DataFrame, value: str, method: str | None) -> DataFrame:
-    """Keeps values inside the limits of the method (iqr, zscore, percentile) and missing values."""
+    """Keeps values inside the limits of the method (iqr, zscore, percentile) and missing values.
+
+    The two limits are fetched first, so that they reach the scan as plain numbers and later
+    steps do not carry the plan that found them.
+    """
     known = ("iqr", "zscore", "z_score", "z", "percentile", "percentile_clip")
     if not method or method.strip().lower() not in known:
         return df
-    limits = one_row(outlier_limits(df, value, method))
-    keep = F.col(value).isNull() | limits["low"].isNull() | F.col(value).between(limits["low"], limits["high"])
-    return df.where(keep)
+    low, high = outlier_limits(df, value, method).first()
+    if low is None or high is None:
+        return df
+    return df.where(F.col(value).isNull() | F.col(value).between(low, high))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import numeric, one_row, text
+from casekit.functions.expressions import attach_row, numeric, text
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
 
@@ -120,13 +120,11 @@ def concentration(view: DataFrame, roles: Roles, boundaries: DataFrame) -> DataF
         F.col("__key").alias("boundary"), F.col("__p.lat").alias("lat"), F.col("__p.lon").alias("lon"), "case_count"
     )
     placed = placed.where(valid_position(F.col("lat"), F.col("lon")))
-    whole = one_row(
-        placed.agg(F.max("case_count").alias("top"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    )
-    return placed.withColumns(
+    whole = placed.agg(F.max("case_count").alias("top"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return attach_row(placed, whole, "whole").withColumns(
         {
-            "radius": F.round(6.0 + 24.0 * F.col("case_count") / whole["top"], 4),
-            "center_lat": F.round(whole["lat"], 4),
-            "center_lon": F.round(whole["lon"], 4),
+            "radius": F.round(6.0 + 24.0 * F.col("case_count") / F.col("whole.top"), 4),
+            "center_lat": F.round("whole.lat", 4),
+            "center_lon": F.round("whole.lon", 4),
         }
-    )
+    ).drop("whole")

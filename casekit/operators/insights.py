@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import finite, one_row
+from casekit.functions.expressions import attach_row, finite
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.operators.geo import DROPPED
 
@@ -51,18 +51,19 @@ def is_anomalous(values: DataFrame) -> Column:
 
     Only the extreme values can be the farthest out, so the rule needs no second pass.
     """
-    stats = one_row(values.agg(
+    stats = values.agg(
         F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"),
         F.min("v").alias("low"), F.max("v").alias("high"),
-    ))
-    q = one_row(quantiles_of(values, "v", [Quantile("a", 0.25), Quantile("b", 0.75)]))
-    far = F.greatest(stats["high"] - stats["m"], stats["m"] - stats["low"])
-    by_z = (stats["s"] > 0) & (F.try_divide(far, stats["s"]) > Z_LIMIT)
-    spread = q["b"] - q["a"]
+    )
+    row = attach_row(stats, quantiles_of(values, "v", [Quantile("a", 0.25), Quantile("b", 0.75)]), "q")
+    c = F.col
+    far = F.greatest(c("high") - c("m"), c("m") - c("low"))
+    by_z = (c("s") > 0) & (F.try_divide(far, c("s")) > Z_LIMIT)
+    spread = c("q.b") - c("q.a")
     by_iqr = (spread > 0) & (
-        (stats["low"] < q["a"] - IQR_FACTOR * spread) | (stats["high"] > q["b"] + IQR_FACTOR * spread)
+        (c("low") < c("q.a") - IQR_FACTOR * spread) | (c("high") > c("q.b") + IQR_FACTOR * spread)
     )
-    return F.coalesce((stats["n"] >= MIN_POINTS) & (by_z | by_iqr), F.lit(False))
+    return row.select(F.coalesce((c("n") >= MIN_POINTS) & (by_z | by_iqr), F.lit(False))).scalar()
 
 
 def anomaly(df: DataFrame, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import (
-    US_PER_DAY, US_PER_HOUR, banded, capped, one_row, pct_change, rate,
+    US_PER_DAY, US_PER_HOUR, attach_row, banded, capped, pct_change, rate,
 )
 from casekit.functions.order_stats import Quantile, quantiles, value_counts
 from casekit.operators import lifecycle as L
@@ -62,12 +62,12 @@ def resolution_measures(view: DataFrame, roles: Roles) -> DataFrame:
     """Clipped mean in hours, median and 95th percentile in days over closed rows, one scan."""
     spans = L.with_flags(view, roles).withColumn("resolution_us", L.resolution_us(roles)).where("is_closed")
     counts = value_counts(spans, "resolution_us")
-    q = one_row(quantiles(counts, [Quantile("p50", 0.5), Quantile("p95", 0.95)]))
-    clipped = counts.select(capped(F.col("__value").cast("double"), q["p95"]).alias("v"), "__n")
+    q = quantiles(counts, [Quantile("p50", 0.5), Quantile("p95", 0.95)])
+    clipped = attach_row(counts, q, "q").withColumn("v", capped(F.col("__value").cast("double"), F.col("q.p95")))
     return clipped.agg(
         F.round(F.try_divide(F.sum(F.col("v") * F.col("__n")), F.sum("__n")) / US_PER_HOUR, 2).alias("avg_resolution_time"),
-        F.round(F.max(q["p50"]) / US_PER_DAY, 2).alias("median_resolution_time"),
-        F.round(F.max(q["p95"]) / US_PER_DAY, 2).alias("p95_resolution_time"),
+        F.round(F.max("q.p50") / US_PER_DAY, 2).alias("median_resolution_time"),
+        F.round(F.max("q.p95") / US_PER_DAY, 2).alias("p95_resolution_time"),
     )
 
 
@@ -75,7 +75,7 @@ def pending_ages(view: DataFrame, roles: Roles, reference_date: str | None = Non
     """Pending rows with their age in microseconds against the reference date."""
     ref = L.reference_date(view, reference_date)
     strict = L.in_tokens(R.STATUS, L.KPI_WORDS.pending) if roles.has(R.STATUS) else F.lit(False)
-    return view.where(strict).withColumn("age_us", L.age_us(ref))
+    return L.with_age(view.where(strict), ref)
 
 
 def age_measures(view: DataFrame, roles: Roles, reference_date: str | None = None) -> DataFrame:
@@ -91,17 +91,15 @@ def age_measures(view: DataFrame, roles: Roles, reference_date: str | None = Non
 def fenced_age_summary(counts: DataFrame) -> DataFrame:
     """One row `(avg_age, p50, p95)` in days from counts of ages in microseconds."""
     ceiling = L.AGE_CEILING_DAYS * US_PER_DAY
-    q = one_row(
-        quantiles(counts, [Quantile("q25", 0.25, ceiling), Quantile("q75", 0.75, ceiling),
+    q = quantiles(counts, [Quantile("q25", 0.25, ceiling), Quantile("q75", 0.75, ceiling),
                            Quantile("p50", 0.5), Quantile("p95", 0.95)])
-    )
-    fence = F.greatest(q["q75"] + L.AGE_FENCE_IQR * (q["q75"] - q["q25"]), F.lit(L.AGE_FENCE_FLOOR_DAYS * US_PER_DAY))
+    q25, q75 = F.col("q.q25"), F.col("q.q75")
+    fence = F.greatest(q75 + L.AGE_FENCE_IQR * (q75 - q25), F.lit(L.AGE_FENCE_FLOOR_DAYS * US_PER_DAY))
     age = capped(F.least(F.col("__value").cast("double"), F.lit(ceiling)), fence)
-    fenced = counts.select(age.alias("v"), "__n")
-    return fenced.agg(
+    return attach_row(counts, q, "q").withColumn("v", age).agg(
         (F.try_divide(F.sum(F.col("v") * F.col("__n")), F.sum("__n")) / US_PER_DAY).alias("avg_age"),
-        (F.max(q["p50"]) / US_PER_DAY).alias("p50"),
-        (F.max(q["p95"]) / US_PER_DAY).alias("p95"),
+        (F.max("q.p50") / US_PER_DAY).alias("p50"),
+        (F.max("q.p95") / US_PER_DAY).alias("p95"),
     )
 
 
@@ -186,11 +184,10 @@ def kpi_table(view: DataFrame, roles: Roles, reference_date: str | None = None)
     """All KPIs in long form. KPIs whose roles are not mapped stay as ineligible rows."""
     eligible = [k for k in UNITS if not missing_for(k, roles)]
     row = count_measures(view, roles)
-    have = set(row.columns)
 
     def attach(row: DataFrame, measures: DataFrame) -> DataFrame:
-        values = one_row(measures)
-        return row.withColumns({c: values[c] for c in measures.columns})
+        joined = attach_row(row, measures, "__m")
+        return joined.withColumns({c: F.col("__m")[c] for c in measures.columns}).drop("__m")
 
     if {"avg_resolution_time", "median_resolution_time"} & set(eligible):
         row = attach(row, resolution_measures(view, roles))
@@ -201,8 +198,8 @@ def kpi_table(view: DataFrame, roles: Roles, reference_date: str | None = None)
     if "mom_growth" in eligible:
         growth = growth_measures(view)
         # Three rows at most: one per grain.
-        by_kpi = growth.agg(F.map_from_entries(F.collect_list(F.struct("kpi", "pct_change")))).scalar()
-        row = row.withColumns({k: by_kpi[F.lit(k)] for k in GROWTH_GRAINS})
+        wide = growth.agg(*[F.max(F.when(F.col("kpi") == k, F.col("pct_change"))).alias(k) for k in GROWTH_GRAINS])
+        row = attach(row, wide)
     rows = []
     for i, (kpi, unit) in enumerate(UNITS.items()):
         missing = missing_for(kpi, roles)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.expressions import US_PER_UNIT, capped, finite, in_tokens, key_text, one_row, us_between
+from casekit.functions.expressions import US_PER_UNIT, capped, finite, in_tokens, key_text, us_between
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
@@ -111,9 +111,10 @@ def reference_date(view: DataFrame, given: str | None = None) -> Column:
     return newest_registration(view).scalar()
 
 
-def age_us(ref: Column) -> Column:
-    span = us_between(F.col(R.REGISTRATION_DATE), ref)
-    return F.when(span >= 0, span)
+def with_age(view: DataFrame, ref: Column) -> DataFrame:
+    """Adds `age_us`, microseconds from registration to the reference date; negative ages are missing."""
+    span = us_between(R.REGISTRATION_DATE, "__ref")
+    return view.withColumn("__ref", ref).withColumn("age_us", F.when(span >= 0, span)).drop("__ref")
 
 
 def age_quantiles(view: DataFrame, extra: Sequence[Quantile] = ()) -> DataFrame:
@@ -161,11 +162,16 @@ def with_latency(
     states: DataFrame, roles: Roles, unit: str = "days", analysis_date: str | None = None
 ) -> DataFrame:
     """Adds `latency`: closed rows to their closing date, active rows to the reference date."""
-    ref = reference_date(states, analysis_date)
+    ref = F.col("__ref")
     closing = F.coalesce(F.col(R.CLOSING_DATE), ref) if roles.has(R.CLOSING_DATE) else ref
     end = F.when(F.col("state") == "Closed", closing).when(F.col("state") == "Active", ref)
-    span = us_between(F.col(R.REGISTRATION_DATE), end)
-    return states.withColumn("latency", F.when(span >= 0, span / F.lit(US_PER_UNIT[unit])))
+    span = F.col("__span")
+    return (
+        states.withColumn("__ref", reference_date(states, analysis_date))
+        .withColumn("__span", us_between(F.col(R.REGISTRATION_DATE), end))
+        .withColumn("latency", F.when(span >= 0, span / F.lit(US_PER_UNIT[unit])))
+        .drop("__ref", "__span")
+    )
 
 
 def weight(df: DataFrame, column: str, default: float = 1.0) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import US_PER_UNIT, in_tokens, one_row, rate, us_between
+from casekit.functions.expressions import US_PER_UNIT, attach_row, in_tokens, rate, us_between
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.operators import lifecycle as L
 from casekit.operators.lifecycle import CHART_WORDS
@@ -79,29 +79,29 @@ def risk_quadrants(view: DataFrame, roles: Roles, group: str, thresholds: str =
     Thresholds: median, mean, percentile, static (the given numbers, else median) or sla (mean allowed span).
     """
     matrix = risk_matrix(view, roles, group, **kwargs)
-
-    def cut(column: str, method: str, fixed: float | None):
-        if fixed is not None:
-            return F.lit(float(fixed))
-        if method == "mean":
-            return matrix.agg(F.avg(column)).scalar()
-        prob = min(max(percentile, 0.0), 100.0) / 100.0 if method == "percentile" else 0.5
-        return quantiles_of(matrix, column, [Quantile("q", prob)]).select("q").scalar()
-
-    if thresholds == "sla" and not roles.missing([R.SLA_DEADLINE, R.REGISTRATION_DATE]):
+    by_sla = thresholds == "sla" and not roles.missing([R.SLA_DEADLINE, R.REGISTRATION_DATE])
+    method = thresholds if thresholds in ("mean", "percentile") else "median"
+    prob = min(max(percentile, 0.0), 100.0) / 100.0 if method == "percentile" else 0.5
+
+    def cut(column: str, fixed: float | None):
+        # One value per group of the chart, so one buffer holds them.
+        found = F.avg(column) if method == "mean" else F.percentile(column, F.lit(prob))
+        return F.lit(float(fixed)) if fixed is not None else found.cast("double")
+
+    cuts = matrix.agg(
+        cut("volume", x_threshold).alias("x_threshold"),
+        cut("median_latency", None if by_sla else y_threshold).alias("y_threshold"),
+    )
+    if by_sla:
         allowed = us_between(R.REGISTRATION_DATE, R.SLA_DEADLINE) / F.lit(US_PER_UNIT[kwargs.get("unit", "days")])
-        kept = L.lifecycle_state(view, roles)
-        x_cut = cut("volume", "median", x_threshold)
-        y_cut = F.coalesce(kept.agg(F.avg(allowed)).scalar(), cut("median_latency", "median", None))
-    else:
-        method = thresholds if thresholds in ("median", "mean", "percentile") else "median"
-        x_cut = cut("volume", method, x_threshold)
-        y_cut = cut("median_latency", method, y_threshold)
+        mean_allowed = L.lifecycle_state(view, roles).agg(F.avg(allowed)).scalar()
+        cuts = cuts.withColumn("y_threshold", F.coalesce(mean_allowed, F.col("y_threshold")))
+    placed = attach_row(matrix, cuts, "__c").withColumns(
+        {"x_threshold": F.col("__c.x_threshold"), "y_threshold": F.col("__c.y_threshold")}
+    ).drop("__c")
     volume = F.when(F.col("volume") > F.col("x_threshold"), "High Volume").otherwise("Low Volume")
     latency = F.when(F.col("median_latency") > F.col("y_threshold"), "High Latency").otherwise("Low Latency")
-    return matrix.withColumns({"x_threshold": x_cut.cast("double"), "y_threshold": y_cut.cast("double")}).withColumn(
-        "quadrant", F.concat_ws(" / ", volume, latency)
-    )
+    return placed.withColumn("quadrant", F.concat_ws(" / ", volume, latency))
 
 
 PERFORMANCE_METRICS = (

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,6 +118,11 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) ->
     return df.orderBy(*order_by).limit(rows)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="casekit-")
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
@@ -126,9 +131,7 @@ def shared_folder(spark: SparkSession) -> str | None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="casekit-")
-    return None
+    return _local_folder() if spark.conf.get("spark.master", "").startswith("local") else None
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -144,3 +147,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(spark, name)
     write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Stages an aggregate that several later steps start from, where there is a shared folder.
+
+    It is then computed once, survives lost executors, and keeps later plans short.
+    """
+    return stage(df, name) if shared_folder(df.sparkSession) else df

@@ -384,7 +384,7 @@ def test_synthetic_cases(spark):
 
 def test_zero_median_deviation_gives_zero_scores(spark):
     df = spark.createDataFrame([(5.0,), (5.0,), (5.0,), (9.0,)], "v double")
-    assert column(df.select(executive.modified_z(df, "v").alias("z")), "z") == [0.0] * 4
+    assert column(executive.with_modified_z(df, "v"), "z_score") == [0.0] * 4
 
 
 def hotspots(spark, volumes):
