@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casekit.functions.expressions import (
-    SERIAL_DATE_MAX, SERIAL_DATE_MIN, collapse_spaces, date_from_serial, date_from_text, null_if_placeholder,
+    SERIAL_DATE_MAX, SERIAL_DATE_MIN, attach_row, collapse_spaces, date_from_serial, date_from_text, null_if_placeholder,
     number_from_text, numeric,
 )
 from casekit.functions.order_stats import Quantile, quantiles, value_counts
@@ -114,6 +114,18 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows with the number of times each occurs (`__copies`)."""
+    return df.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+
+
+def _is_filled(rows: DataFrame) -> Column:
+    filled = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in rows.columns if c != "__copies"]).isNotNull()
+    # Tied to the count so that it is tested on the few distinct rows, not moved down to every
+    # row, where it would repeat the whole cleaning of the cells.
+    return F.when(F.col("__copies") > 0, filled)
+
+
 def canonicalize_status(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, canonical_status(column))
 
@@ -193,23 +205,26 @@ def clean_table(df: DataFrame, roles: Roles, profile: DataFrame | None = None) -
     ]
     outliers = outlier_fences(work, fenced) if fenced else None
 
-    kept = drop_empty_rows(work)
-    cleaned = drop_duplicate_rows(kept)
+    rows = distinct_rows(work)
+    cleaned = rows.where(_is_filled(rows)).drop("__copies")
     status = roles.resolve(R.STATUS)
     analytics = canonicalize_status(cleaned, status) if status in cleaned.columns else cleaned
-    report = cleaning_report(typed, kept, df, chosen, duplicates, outliers)
+    report = cleaning_report(typed, rows, df, chosen, duplicates, outliers)
     return Cleaned(cleaned, analytics, report, duplicates, outliers, chosen)
 
 
 def cleaning_report(
     typed: DataFrame,
-    kept: DataFrame,
+    rows: DataFrame,
     raw: DataFrame,
     chosen: Conversions,
     duplicates: DataFrame | None,
     outliers: DataFrame | None,
 ) -> DataFrame:
-    """One row per cleaning step with what it touched; cell counts come from one scan."""
+    """One row per cleaning step with what it touched.
+
+    Cell counts come from one scan, row counts from the distinct rows the cleaning makes anyway.
+    """
     texts = text_columns(typed)
 
     def cell_sum(condition) -> Column:
@@ -218,15 +233,14 @@ def cleaning_report(
 
     trimmed_cells = cell_sum(lambda c: collapse_spaces(c) != c)
     nulled_cells = cell_sum(lambda c: c.isNotNull() & null_if_placeholder(collapse_spaces(c)).isNull())
-    # Conversions only ever turn filled cells into other filled cells or nulls, so emptiness is
-    # judged on the converted rows that survive.
-    counts = typed.agg(
-        trimmed_cells.alias("trimmed"), nulled_cells.alias("nulled"), F.count(F.lit(1)).alias("rows")
+    counts = typed.agg(trimmed_cells.alias("trimmed"), nulled_cells.alias("nulled"))
+    filled = _is_filled(rows)
+    removed = rows.agg(
+        F.coalesce(F.sum(F.when(~filled, F.col("__copies"))), F.lit(0)).alias("empty"),
+        F.coalesce(F.sum(F.when(filled, F.col("__copies") - 1)), F.lit(0)).alias("repeated"),
     )
-    row = counts.withColumns(
+    row = attach_row(counts, removed, "removed").withColumns(
         {
-            "kept_rows": kept.agg(F.count(F.lit(1))).scalar(),
-            "distinct_rows": drop_duplicate_rows(kept).agg(F.count(F.lit(1))).scalar(),
             "key_groups": duplicates.agg(F.count(F.lit(1))).scalar() if duplicates is not None else F.lit(0),
             "outlier_columns": outliers.agg(F.count(F.lit(1))).scalar() if outliers is not None else F.lit(0),
         }
@@ -244,16 +258,16 @@ def cleaning_report(
         "date_columns_standardized": F.lit(len(chosen.text_dates) + len(chosen.serial_dates)),
         "business_key_duplicate_groups": F.col("key_groups"),
         "outlier_columns_flagged": F.col("outlier_columns"),
-        "rows_removed_fully_empty": F.col("rows") - F.col("kept_rows"),
-        "rows_removed_exact_duplicates": F.col("kept_rows") - F.col("distinct_rows"),
+        "rows_removed_fully_empty": F.col("removed.empty"),
+        "rows_removed_exact_duplicates": F.col("removed.repeated"),
     }
     details = {
         "columns_dtype_converted": ", ".join(sorted(chosen.numbers)),
         "date_columns_standardized": ", ".join(sorted(chosen.text_dates + chosen.serial_dates)),
     }
-    rows = [
+    lines = [
         F.struct(F.lit(i + 1).alias("step_order"), F.lit(name).alias("step"),
                  value.cast("bigint").alias("affected"), F.lit(details.get(name, "")).alias("columns"))
         for i, (name, value) in enumerate(steps.items())
     ]
-    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return row.select(F.explode(F.array(*lines)).alias("r")).select("r.*")

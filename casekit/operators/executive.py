@@ -144,15 +144,16 @@ def executive_deltas(view: DataFrame, roles: Roles) -> DataFrame:
 
 
 def with_modified_z(df: DataFrame, value: str, out: str = "z_score") -> DataFrame:
-    """Adds the robust z-score of a column; 0 for all rows when the median deviation is 0."""
-    counts = value_counts(df, value)
-    middle = quantiles(counts, [Quantile("m", 0.5)])
-    off = F.abs(F.col("__value") - F.col("__mid.m"))
-    spread = attach_row(counts, middle, "__mid").groupBy(off.alias("__value")).agg(F.sum("__n").alias("__n"))
-    mad = quantiles(spread, [Quantile("d", 0.5)])
-    z = F.try_divide(F.lit(MODIFIED_Z_FACTOR) * (F.col(value) - F.col("__z.m")), F.col("__z.mad"))
-    both = middle.select("m").withColumn("mad", mad.select("d").scalar())
-    return attach_row(df, both, "__z").withColumn(out, F.round(F.coalesce(z, F.lit(0.0)), 4)).drop("__z")
+    """Adds the robust z-score of a column; 0 for all rows when the median deviation is 0.
+
+    Meant for one row per unit: both medians keep one number per row in an aggregate buffer.
+    """
+    middle = attach_row(df, df.agg(F.median(value).alias("m")), "__mid").withColumn("__m", F.col("__mid.m"))
+    off = F.col(value) - F.col("__m")
+    mad = middle.agg(F.median(F.abs(off)).alias("d"))
+    z = F.try_divide(F.lit(MODIFIED_Z_FACTOR) * off, F.col("__mad.d"))
+    scored = attach_row(middle, mad, "__mad").withColumn(out, F.round(F.coalesce(z, F.lit(0.0)), 4))
+    return scored.drop("__mid", "__m", "__mad")
 
 
 def hierarchy_anomalies(view: DataFrame, roles: Roles, unit: str | None = None) -> DataFrame:
