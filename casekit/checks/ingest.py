@@ -152,10 +152,15 @@ def _failing(spark, sf_dir):
 FAILING_ROLES = Roles({"amount": "amount_text", "sla_deadline": "due", "registration_date": "opened_text"})
 
 
+ALERT_ROLES = DIRTY_ROLES.without("status")
+
+
 def alerts(spark, sf_dir):
+    """No status is mapped; twins of some tickets differ in their amount."""
     df = dirty_orders(spark, sf_dir)
-    done = cleaning.clean_table(df, DIRTY_ROLES)
-    return profiling.quality_alerts(profiling.infer_types(df), DIRTY_ROLES, done.duplicates, done.outliers)
+    twins = df.where("customer % 9 = 0").withColumn("amount_text", F.lit("1"))
+    done = cleaning.clean_table(df.unionByName(twins), ALERT_ROLES)
+    return profiling.quality_alerts(profiling.infer_types(df), ALERT_ROLES, done.duplicates, done.outliers)
 
 
 VOCABULARY = ("economy", "standard type", "promo", "medium burnished", "large", "small ring", "blue gadget")
@@ -254,6 +259,7 @@ QUERIES = {
         repeated_lines(s, d), profiling.infer_types(repeated_lines(s, d))
     ),
     "readiness_score": lambda s, d: profiling.readiness_score(profiling.infer_types(cases(s, d)), ROLES),
+    "readiness_score_dirty": lambda s, d: profiling.readiness_score(profiling.infer_types(dirty_orders(s, d)), DIRTY_ROLES),
     "quality_alerts": alerts,
     "fuzzy_value_match": lambda s, d: profiling.fuzzy_matches(table(s, d, "part"), "p_name", VOCABULARY),
     "clean_timezone": clean_timezone,
@@ -275,6 +281,64 @@ QUERIES = {
     "cleaning_report": lambda s, d: cleaning.clean_table(dirty_orders(s, d), DIRTY_ROLES).report,
 }
 
+# The dirty table itself, for distinct counts, and what type inference should make of it.
+_DIRTY_SQL = """dirty AS (SELECT o_orderkey AS k, '  ORD  ' || CAST(o_orderkey AS VARCHAR) || ' ' AS ticket_id,
+    CASE WHEN o_orderkey % 5 = 0 THEN '₹' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT))
+      WHEN o_orderkey % 5 = 2 THEN '$ ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.0'
+      WHEN o_orderkey % 5 = 3 THEN '  ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || ' '
+      WHEN o_orderkey % 10 = 4 THEN 'N/A' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS amount_text,
+    CASE WHEN o_orderkey % 17 = 0 THEN '--' WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+      WHEN o_orderkey % 4 = 1 THEN upper(strftime(o_orderdate, '%d_%b_%Y'))
+      WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%-m/%-d/%Y') ELSE strftime(o_orderdate, '%-d-%-m-%Y') END AS opened_text,
+    o_orderkey % 7 AS status_text, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS opened_serial,
+    o_custkey AS customer FROM orders)"""
+
+
+def _dirty_row(column: str, kind: str, confidence: str, hinted: bool = False) -> str:
+    unique = f"count(DISTINCT {column}) / CAST(count({column}) AS DOUBLE)"
+    if hinted:
+        kind, confidence = f"CASE WHEN {unique} > 0.95 THEN 'id' ELSE {kind} END", f"CASE WHEN {unique} > 0.95 THEN 0.95 ELSE {confidence} END"
+    else:
+        kind, confidence = f"CASE WHEN {unique} > 0.99 THEN 'id' ELSE {kind} END", f"CASE WHEN {unique} > 0.99 THEN 0.7 ELSE {confidence} END"
+    return f"""SELECT '{column}' AS "column", {kind} AS inferred_type, CAST({confidence} AS DOUBLE) AS confidence,
+      CAST(0 AS BIGINT) AS null_count, 0.0 AS null_pct, count(DISTINCT {column}) AS distinct_count,
+      {confidence} < 0.75 AS needs_review FROM dirty"""
+
+
+_DIRTY_TYPES = " UNION ALL ".join(
+    [
+        _dirty_row("ticket_id", "'text'", "0.4", hinted=True),
+        _dirty_row("amount_text", "'numeric'", "round(least(0.95, 0.55 + 0.4 * avg(CASE WHEN k % 10 = 4 THEN 0.0 ELSE 1 END)), 3)"),
+        _dirty_row("opened_text", "'datetime'", "round(least(0.95, 0.6 + 0.4 * avg(CASE WHEN k % 17 = 0 THEN 0.0 ELSE 1 END)), 3)"),
+        _dirty_row("status_text", "'categorical'", "0.85"),
+        _dirty_row("opened_serial", "'datetime'", "0.8"),
+        _dirty_row("customer", "CASE WHEN avg(CASE WHEN customer BETWEEN 25569 AND 73050 THEN 1.0 ELSE 0 END) > 0.9 THEN 'datetime' ELSE 'numeric' END",
+                   "CASE WHEN avg(CASE WHEN customer BETWEEN 25569 AND 73050 THEN 1.0 ELSE 0 END) > 0.9 THEN 0.8 ELSE 0.97 END"),
+    ]
+)
+
+
+def _line_row(column: str) -> str:
+    hinted = any(h in column for h in profiling.ID_HINTS)
+    unique = f"count(DISTINCT {column}) / CAST(count({column}) AS DOUBLE)"
+    if column == "l_shipdate":
+        rest = [("true", "datetime", 0.99)]
+    elif column in ("l_returnflag", "l_linestatus"):
+        rest = [("true", "categorical", 0.85)]
+    else:
+        rest = [(f"avg(CASE WHEN {column} BETWEEN 25569 AND 73050 THEN 1.0 ELSE 0 END) > 0.9", "datetime", 0.8), ("true", "numeric", 0.97)]
+    cases = [(f"{unique} > 0.95 AND {str(hinted).lower()}", "id", 0.95), (f"{unique} > 0.99", "id", 0.7), *rest]
+    kind = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, k, _ in cases) + " END"
+    confidence = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, _, v in cases) + " END"
+    return f"""SELECT '{column}' AS "column", {kind} AS inferred_type, CAST({confidence} AS DOUBLE) AS confidence,
+      count(*) - count({column}) AS null_count, 0.0 AS null_pct, count(DISTINCT {column}) AS distinct_count,
+      {confidence} < 0.75 AS needs_review FROM lineitem"""
+
+
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                "l_returnflag", "l_linestatus", "l_shipdate")
+_READY = "WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 55 THEN 'Fair' WHEN score >= 35 THEN 'Poor' ELSE 'Critical'"
+
 _FUZZY_VOCAB_SQL = " UNION ALL ".join(f"SELECT '{v}' AS match" for v in VOCABULARY)
 _SKEWED = "(SELECT *, pow(l_quantity, 6) / 1000000 AS skewed FROM lineitem)"
 _OUTLIER_SQL = " UNION ALL ".join(
@@ -305,6 +369,19 @@ ORACLE = {
         (SELECT DISTINCT {c} AS v FROM part WHERE {c} IS NOT NULL ORDER BY md5({c}), {c} LIMIT 8)"""
         for c in ("p_name", "p_brand", "p_type")
     ),
+    "infer_types": f"WITH {_DIRTY_SQL} {_DIRTY_TYPES}",
+    "infer_types_clean": " UNION ALL ".join(_line_row(c) for c in LINE_COLUMNS),
+    "readiness_score_dirty": f"""WITH {_DIRTY_SQL}, types AS ({_DIRTY_TYPES}),
+      r AS (SELECT avg(CASE WHEN needs_review THEN 0.0 ELSE 1 END) AS reviewed FROM types),
+      s AS (SELECT reviewed, CAST(round_even(reviewed * 20 + 20 + 25 + 20 + 7.5, 0) AS INTEGER) AS score FROM r)
+      SELECT score AS readiness_score, round(reviewed * 100, 4) AS schema_pct, 100.0 AS role_pct, 100.0 AS data_pct,
+        100.0 AS required_pct, CASE {_READY} END AS band FROM s""",
+    "quality_alerts": f"""WITH {_DIRTY_SQL}, types AS ({_DIRTY_TYPES}),
+      r AS (SELECT count(*) FILTER (needs_review) AS review FROM types),
+      d AS (SELECT count(*) AS n FROM dirty WHERE customer % 9 = 0 AND amount_text IS DISTINCT FROM '1')
+      SELECT 'warning' AS severity, 'Type Inference Review' AS category, review AS affected FROM r WHERE review > 0
+      UNION ALL SELECT 'warning', 'Missing Role Mappings', CAST(1 AS BIGINT)
+      UNION ALL SELECT 'warning', 'Business Key Duplicates', n FROM d WHERE n > 0""",
     "type_override_cast": f"""SELECT {TRUE_TICKET} AS ticket_id, {TRUE_AMOUNT} AS amount_text, {TRUE_DATE} AS opened_text,
       CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) AS opened_serial,
       CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_even FROM orders""",

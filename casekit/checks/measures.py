@@ -246,7 +246,47 @@ _PARETO_TREE = ", " + ", ".join(_pareto_level(i, _PATH) for i in range(3)) + " "
     for i, c in enumerate(_PATH)
 )
 
+def _closing_only_rows() -> str:
+    """The KPI table when no status is mapped: only closing-date, consumer and growth KPIs remain."""
+    values = {
+        "total_cases": ("one", "na"), "closed_cases": ("one", "na"),
+        "avg_resolution_time": ("one", _LOW_BAND.format(v="avg_resolution_time", a=72, b=168, c=360)),
+        "median_resolution_time": ("one", "na"), "p95_resolution_time": ("one", "na"),
+        "sla_compliance_rate": ("one", _HIGH_BAND.format(v="sla_compliance_rate", a=90, b=75, c=50)),
+        "sla_breach_rate": ("one", _LOW_BAND.format(v="100.0 - sla_compliance_rate", a=10, b=25, c=50)),
+        "unique_consumers": ("one", "na"),
+        "repeat_consumer_rate": ("one", _LOW_BAND.format(v="repeat_consumer_rate", a=95, b=85, c=70)),
+        "mom_growth": ("growth_row", "na"), "qoq_growth": ("growth_row", "na"), "yoy_growth": ("growth_row", "na"),
+        "first_time_resolution_rate": ("one", _HIGH_BAND.format(v="first_time_resolution_rate", a=90, b=75, c=60)),
+    }
+    rows = []
+    for kpi, unit in kpis.UNITS.items():
+        if kpi not in values:
+            rows.append(f"SELECT '{kpi}' AS kpi, CAST(NULL AS DOUBLE) AS value, '{unit}' AS unit, 'na' AS band, false AS is_eligible, 'status' AS missing_roles")
+            continue
+        source, band = values[kpi]
+        expr = "round(100.0 - sla_compliance_rate, 2)" if kpi == "sla_breach_rate" else kpi
+        rows.append(
+            f"SELECT '{kpi}' AS kpi, CAST({expr} AS DOUBLE) AS value, '{unit}' AS unit, {band if band != 'na' else repr('na')} AS band, "
+            f"true AS is_eligible, '' AS missing_roles FROM {source}"
+        )
+    return " UNION ALL ".join(rows)
+
+
+_CLOSING_ONLY = f""", p95 AS (SELECT quantile_cont(res_days, 0.95) AS cap FROM life WHERE res_days IS NOT NULL), {_GROWTH}, {_CONSUMERS},
+  res AS (SELECT round(avg(least(res_days, cap)) * 24, 2) AS avg_resolution_time, round(median(res_days), 2) AS median_resolution_time,
+    round(max(cap), 2) AS p95_resolution_time FROM life, p95 WHERE res_days IS NOT NULL),
+  base AS (SELECT count(*) AS total_cases, count(closing_date) AS closed_cases,
+    round(count(*) FILTER (closing_date <= sla_deadline) * 100.0 / count(closing_date), 2) AS sla_compliance_rate,
+    round(count(*) FILTER (closing_date IS NOT NULL AND reopen_flag <> 'yes') * 100.0 / count(closing_date), 2) AS first_time_resolution_rate
+    FROM life),
+  one AS (SELECT * FROM base, res, consumers),
+  growth_row AS (SELECT max(pct_change) FILTER (kpi = 'mom_growth') AS mom_growth, max(pct_change) FILTER (kpi = 'qoq_growth')
+    AS qoq_growth, max(pct_change) FILTER (kpi = 'yoy_growth') AS yoy_growth FROM growth)
+  """ + _closing_only_rows()
+
 ORACLE = {
+    "kpi_table_without_status": with_life(_CLOSING_ONLY),
     "lifecycle_flags": with_life("SELECT record_id, is_closed, is_pending, is_reopened FROM life"),
     "lifecycle_closing_only": with_cases("""SELECT record_id, closing_date IS NOT NULL AS is_closed,
       closing_date IS NULL AS is_pending, reopen_flag = 'yes' AS is_reopened FROM cases"""),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from casekit.functions.expressions import all_of, attach_row, numeric
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.plans.roles import groupable
+from casekit.sources.files import settle
 
 AGGREGATIONS = ("count", "sum", "mean", "median", "min", "max", "nunique")
 OTHER = "(Other)"
@@ -20,41 +21,46 @@ def _named(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def group_aggregate(
-    df: DataFrame, keys: Sequence[str], value: str | None = None, agg: str = "count", out: str = "value"
+def _measure(df: DataFrame, value: str | None, agg: str) -> Column:
+    if value is None or agg not in AGGREGATIONS or agg == "count":
+        return F.count(F.lit(1))
+    if agg == "nunique":
+        return F.count_distinct(_named(value))
+    return {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[agg](numeric(df, value))
+
+
+def group_measures(
+    df: DataFrame, keys: Sequence[str], measures: Mapping[str, tuple[str | None, str]]
 ) -> DataFrame:
-    """One aggregate per key combination; rows with a missing key are left out.
+    """Several `name: (value column, aggregation)` measures per key combination from one grouping.
 
-    `count` counts rows whatever the value column holds. Unknown aggregations count.
+    Rows with a missing key are left out. `count` counts rows whatever the value column holds,
+    and unknown aggregations count. Medians are exact and found without gathering a group.
     """
-    bad = groupable(df, *keys, *([value] if value else []))
+    values = [value for value, _ in measures.values() if value]
+    bad = groupable(df, *keys, *values)
     if bad or not keys:
         raise ValueError(f"cannot group by or aggregate: {bad or 'no key given'}")
-    if agg not in AGGREGATIONS or value is None:
-        agg = "count"
+    medians = {name: value for name, (value, agg) in measures.items() if agg == "median" and value}
+    plain = {name: m for name, m in measures.items() if name not in medians}
     kept = df.where(all_of(_named(k).isNotNull() for k in keys))
-    if agg == "median":
-        rows = df.select(*keys, numeric(df, value).alias("__y"))
-        middle = quantiles_of(rows, "__y", [Quantile(out, 0.5)], keys).select(*keys, out)
+    if plain:
+        table = kept.groupBy(*[_named(k) for k in keys]).agg(*[_measure(df, *m).alias(name) for name, m in plain.items()])
+    else:
         # Groups without any number stay, with a missing median.
-        return kept.select(*keys).distinct().join(middle, list(keys), "left")
-    measure = {
-        "count": lambda: F.count(F.lit(1)),
-        "sum": lambda: F.sum(numeric(df, value)),
-        "mean": lambda: F.avg(numeric(df, value)),
-        "min": lambda: F.min(numeric(df, value)),
-        "max": lambda: F.max(numeric(df, value)),
-        "nunique": lambda: F.count_distinct(_named(value)),
-    }[agg]()
-    return kept.groupBy(*[_named(k) for k in keys]).agg(measure.alias(out))
-
-
-def measure_column(df: DataFrame, value: str | None, agg: str) -> Column:
-    """The aggregate expression of a chart measure (all but the median)."""
-    if value is None or agg == "count":
-        return F.count(F.lit(1))
-    by_name = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
-    return F.count_distinct(_named(value)) if agg == "nunique" else by_name[agg](numeric(df, value))
+        table = kept.select(*keys).distinct()
+    for name, value in medians.items():
+        rows = df.select(*keys, numeric(df, value).alias("__y"))
+        middle = quantiles_of(rows, "__y", [Quantile(name, 0.5)], keys).select(*keys, name)
+        table = table.join(middle, list(keys), "left")
+    return table.select(*keys, *measures)
+
+
+def group_aggregate(
+    df: DataFrame, keys: Sequence[str], value: str | None = None, agg: str = "count", out: str = "value"
+) -> DataFrame:
+    """One aggregate per key combination."""
+    return group_measures(df, keys, {out: (value, agg)})
 
 
 def order_by_value(value: str, keys: Sequence[str], order: str = "desc") -> list[Column]:
@@ -166,7 +172,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
 
 def crosstab(df: DataFrame, y: str, x: str, value: str | None = None, agg: str = "count") -> DataFrame:
     """Every `y` × `x` combination with its aggregate, absent ones 0, in long form."""
-    cells = group_aggregate(df, [y, x], value, agg)
+    cells = settle(group_aggregate(df, [y, x], value, agg), "cells")
     across = cells.agg(F.collect_set(x).alias("__x")).scalar()
     spine = cells.select(y).distinct().withColumn(x, F.explode(across))
     return spine.join(cells, [y, x], "left").fillna(0, ["value"])

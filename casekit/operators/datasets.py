@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from casekit.functions.expressions import PERIODS, attach_row, numeric
 from casekit.operators import lifecycle as L
 from casekit.operators.aggregates import (
-    clip_to_other, describe, group_aggregate, measure_column, order_by_value, share_of_group, top_n, top_n_with_groups,
+    clip_to_other, describe, group_aggregate, group_measures, order_by_value, share_of_group, top_n, top_n_with_groups,
 )
 from casekit.operators.filters import outlier_filter
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
+from casekit.sources.files import settle
 
 MAX_BARS = 100
 DAY = "yyyy-MM-dd"
@@ -78,18 +79,14 @@ def area_shares(df: DataFrame, date: str, group: str, grain: str = "M", value: s
 
 def scatter(df: DataFrame, group: str, x: str, y: str, agg: str = "mean") -> DataFrame:
     """One aggregated point per group; points without both coordinates are left out."""
-    points = df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        measure_column(df, x, agg).alias("x"), measure_column(df, y, agg).alias("y")
-    )
+    points = group_measures(df, [group], {"x": (x, agg), "y": (y, agg)})
     return points.where("x IS NOT NULL AND y IS NOT NULL")
 
 
 def bubble(df: DataFrame, group: str, x: str, y: str, size: str | None = None, agg: str = "mean") -> DataFrame:
     """As scatter, with the sum of a size column or the row count as bubble size."""
-    weight = F.sum(numeric(df, size)) if size else F.count(F.lit(1))
-    points = df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        measure_column(df, x, agg).alias("x"), measure_column(df, y, agg).alias("y"), weight.alias("size")
-    )
+    weight = (size, "sum") if size else (None, "count")
+    points = group_measures(df, [group], {"x": (x, agg), "y": (y, agg), "size": weight})
     return points.where("x IS NOT NULL AND y IS NOT NULL")
 
 
@@ -140,7 +137,7 @@ def sparkline(df: DataFrame, date: str, grain: str = "M", value: str | None = No
 def calendar_heatmap(df: DataFrame, date: str, value: str | None = None, agg: str = "count",
                      year: int | None = None) -> DataFrame:
     """Every day of the target year (the newest by default) with its value, weekday and calendar column."""
-    daily = group_aggregate(df.withColumn("day", F.col(date).cast("date")), ["day"], value, agg)
+    daily = settle(group_aggregate(df.withColumn("day", F.col(date).cast("date")), ["day"], value, agg), "daily")
     filled = df.agg(F.count(date)).scalar()
     target = F.lit(year) if year else F.year(F.max("day"))
     days = daily.agg(target.alias("y")).select(
@@ -187,7 +184,7 @@ def peak_hour(df: DataFrame, date: str, group: str | None = None, value: str | N
         kept = outlier_filter(kept, value, outliers)
     hourly = kept.withColumn("hour", F.hour(date))
     keys = ["hour", group] if group else ["hour"]
-    found = group_aggregate(hourly, keys, value, agg)
+    found = settle(group_aggregate(hourly, keys, value, agg), "hourly")
     hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
     spine = found.select(group).distinct().select(group, hours.alias("hour")) if group else (
         df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
@@ -210,9 +207,10 @@ def rolling_average(df: DataFrame, date: str, grain: str = "M", window: int | No
         "period", F.date_trunc(PERIODS[grain], date).cast("date")
     )
     keys = ["period", group] if group else ["period"]
-    found = group_aggregate(bucketed, keys, value, agg)
+    found = settle(group_aggregate(bucketed, keys, value, agg), "periods")
     # The span covers all dated rows, also those whose group is missing.
-    ends = bucketed.agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    spanned = bucketed if group else found
+    ends = spanned.agg(F.min("period").alias("a"), F.max("period").alias("b"))
     periods = F.sequence("a", "b", F.expr(STEPS[grain])).alias("periods")
     if group:
         # One array of calendar periods for all groups.
@@ -239,13 +237,21 @@ def growth(df: DataFrame, date: str, category: str, method: str = "mom", n: int
     if not rolling and method not in GROWTH_GRAINS:
         raise ValueError(f"unknown growth method {method}")
     grain = "M" if rolling else GROWTH_GRAINS[method]
-    counts = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    head = top_n(counts, "n", [category], n).select(category)
-    kept = df.join(F.broadcast(head), category, "left_semi") if n > 0 else df
-    found = group_aggregate(
-        kept.where(F.col(date).isNotNull()).withColumn("period", F.date_trunc(PERIODS[grain], date)),
-        [category, "period"], value, agg,
+    # One aggregate of the table serves the ranking, the observed periods and the values.
+    # Undated rows count for the ranking only; they stand under a day no case can have.
+    undated = F.lit("0001-01-01").cast("timestamp_ntz")
+    start = F.coalesce(F.date_trunc(PERIODS[grain], date).cast("timestamp_ntz"), undated)
+    found = settle(
+        group_measures(
+            df.withColumn("period", start), [category, "period"], {"__rows": (None, "count"), "value": (value, agg)}
+        ),
+        "cells",
     )
+    if n > 0:
+        counts = found.groupBy(category).agg(F.sum("__rows").alias("__rows"))
+        head = top_n(counts, "__rows", [category], n).select(category)
+        found = found.join(F.broadcast(head), category, "left_semi")
+    found = found.where(F.col("period") > undated).drop("__rows")
     observed = found.agg(F.array_sort(F.collect_set("period"))).scalar()
     spine = found.select(category).distinct().withColumn("period", F.explode(observed))
     full = spine.join(found, [category, "period"], "left").withColumn(
