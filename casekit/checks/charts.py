@@ -70,7 +70,7 @@ QUERIES = {
     "chart_pareto": lambda s, d: datasets.pareto(cases(s, d), "circle"),
     "chart_pareto_sum": lambda s, d: rounded(datasets.pareto(cases(s, d), "officer", "amount", "sum", 12, 50.0), "value"),
     "chart_line": lambda s, d: rounded(
-        datasets.period_series(cases(s, d), "registration_date", "M", "amount", "mean", "status"), "value", digits=6
+        datasets.period_series(cases(s, d), "registration_date", "M", "amount", "sum", "status"), "value"
     ),
     "chart_line_weekly": lambda s, d: datasets.period_series(table(s, d, "events"), "ts", "W"),
     "chart_area": lambda s, d: datasets.area_shares(cases(s, d), "registration_date", "status", "Q"),
@@ -279,7 +279,7 @@ ORACLE = {
       SELECT officer, round(v, 2) AS value, cumulative_pct,
         CASE WHEN coalesce(lag(cumulative_pct) OVER (ORDER BY v DESC, officer), 0) < 50 THEN 'Vital Few' ELSE 'Trivial Many' END AS pareto_class FROM c"""),
     "chart_line": with_cases("""SELECT strftime(date_trunc('month', registration_date), '%Y-%m-%d') AS period, status,
-      round(avg(amount), 6) AS value FROM cases GROUP BY 1, 2"""),
+      round(sum(amount), 2) AS value FROM cases GROUP BY 1, 2"""),
     "chart_line_weekly": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, count(*) AS value FROM events GROUP BY 1",
     "chart_area": with_cases(""", a AS (SELECT strftime(date_trunc('quarter', registration_date), '%Y-%m-%d') AS period, status, count(*) AS value
       FROM cases GROUP BY 1, 2) SELECT *, round(value * 100.0 / sum(value) OVER (PARTITION BY period), 2) AS share_pct FROM a"""),

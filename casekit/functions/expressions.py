@@ -102,7 +102,7 @@ def date_from_text(c: Column | str) -> Column:
     t = F.replace(text(c), F.lit("_"), F.lit("-"))
     iso = F.when(t.rlike(ISO_DATE_SHAPE), t.try_cast("timestamp_ntz"))
     others = [
-        F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz"))
+        F.when(t.rlike(shape), F.try_to_date(t, pattern).cast("timestamp_ntz"))
         for shape, pattern in DATE_SHAPES
     ]
     return F.coalesce(iso, *others)
@@ -181,7 +181,9 @@ PERIODS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
 
 def period_start(c: Column | str, grain: str) -> Column:
-    return F.date_trunc(PERIODS[grain], col(c)).cast("date")
+    """First day of the period as a date; no time zone is involved."""
+    day = col(c).cast("date")
+    return day if grain == "D" else F.trunc(day, PERIODS[grain])
 
 
 def month_label(c: Column | str) -> Column:

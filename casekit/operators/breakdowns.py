@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import US_PER_DAY, attach_row, month_label, rate, text, us_between
+from casekit.functions.expressions import US_PER_DAY, attach_row, month_label, period_start, rate, text, us_between
 from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, ineligible, missing_for
@@ -75,7 +75,7 @@ def monthly_trend(view: DataFrame, roles: Roles) -> DataFrame:
     closed, total = F.count_if(closed_words), F.count(F.lit(1))
     months = (
         view.where(F.col(R.REGISTRATION_DATE).isNotNull())
-        .groupBy(F.date_trunc("month", R.REGISTRATION_DATE).alias("m"))
+        .groupBy(period_start(R.REGISTRATION_DATE, "M").alias("m"))
         .agg(total.alias("total"), closed.alias("closed"), (total - closed).alias("pending"),
              rate(closed, total, 1).alias("closure_rate"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import PERIODS, attach_row, numeric
+from casekit.functions.expressions import attach_row, numeric, period_start
 from casekit.operators import lifecycle as L
 from casekit.operators.aggregates import (
     clip_to_other, describe, group_aggregate, group_measures, order_by_value, share_of_group, top_n, top_n_with_groups,
@@ -66,7 +66,7 @@ def period_series(df: DataFrame, date: str, grain: str = "M", value: str | None
                   group: str | None = None) -> DataFrame:
     """Line data: one aggregate per period (its first day) and group."""
     bucketed = df.where(F.col(date).isNotNull()).withColumn(
-        "period", F.date_format(F.date_trunc(PERIODS[grain], date), DAY)
+        "period", F.date_format(period_start(date, grain), DAY)
     )
     return group_aggregate(bucketed, ["period", group] if group else ["period"], value, agg)
 
@@ -204,7 +204,7 @@ def rolling_average(df: DataFrame, date: str, grain: str = "M", window: int | No
     """Every period from first to last, absent ones 0, with a trailing mean over the window."""
     width = max(window or DEFAULT_WINDOWS[grain], 1)
     bucketed = df.where(F.col(date).isNotNull()).withColumn(
-        "period", F.date_trunc(PERIODS[grain], date).cast("date")
+        "period", period_start(date, grain)
     )
     keys = ["period", group] if group else ["period"]
     found = settle(group_aggregate(bucketed, keys, value, agg), "periods")
@@ -239,8 +239,8 @@ def growth(df: DataFrame, date: str, category: str, method: str = "mom", n: int
     grain = "M" if rolling else GROWTH_GRAINS[method]
     # One aggregate of the table serves the ranking, the observed periods and the values.
     # Undated rows count for the ranking only; they stand under a day no case can have.
-    undated = F.lit("0001-01-01").cast("timestamp_ntz")
-    start = F.coalesce(F.date_trunc(PERIODS[grain], date).cast("timestamp_ntz"), undated)
+    undated = F.lit("0001-01-01").cast("date")
+    start = F.coalesce(period_start(date, grain), undated)
     found = settle(
         group_measures(
             df.withColumn("period", start), [category, "period"], {"__rows": (None, "count"), "value": (value, agg)}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import (
-    US_PER_DAY, US_PER_HOUR, attach_row, banded, capped, pct_change, rate,
+    US_PER_DAY, US_PER_HOUR, attach_row, banded, capped, pct_change, period_start, rate,
 )
 from casekit.functions.order_stats import Quantile, quantiles, value_counts
 from casekit.operators import lifecycle as L
@@ -23,7 +23,7 @@ UNITS = {
     "repeat_consumer_rate": "%", "first_time_resolution_rate": "%",
     "mom_growth": "%", "qoq_growth": "%", "yoy_growth": "%",
 }
-GROWTH_GRAINS = {"mom_growth": "month", "qoq_growth": "quarter", "yoy_growth": "year"}
+GROWTH_GRAINS = {"mom_growth": "M", "qoq_growth": "Q", "yoy_growth": "Y"}
 
 
 def _ids(roles: Roles) -> Column:
@@ -121,12 +121,12 @@ def growth_measures(view: DataFrame) -> DataFrame:
     """Last observed month, quarter and year against the one before, each from monthly counts."""
     months = (
         view.where(F.col(R.REGISTRATION_DATE).isNotNull())
-        .groupBy(F.date_trunc("month", R.REGISTRATION_DATE).alias("month"))
+        .groupBy(period_start(R.REGISTRATION_DATE, "M").alias("month"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     grains = F.array(
         *[
-            F.struct(F.lit(name).alias("kpi"), F.date_trunc(grain, "month").alias("period"))
+            F.struct(F.lit(name).alias("kpi"), period_start("month", grain).alias("period"))
             for name, grain in GROWTH_GRAINS.items()
         ]
     )

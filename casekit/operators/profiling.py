@@ -363,22 +363,26 @@ def fuzzy_matches(
 ) -> DataFrame:
     """Best vocabulary entries for each distinct value of a column, with the number of rows it holds.
 
-    The vocabulary is part of the plan; each distinct value is scored in its own row, so nothing is joined.
+    The vocabulary is one array in the plan; each distinct value is scored against it in its own
+    row, so nothing is joined and the plan does not grow with the vocabulary.
     """
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("row_count")
     )
     mine = F.col("norm")
+    entries = F.transform(
+        F.array(*[F.lit(v) for v in vocabulary]),
+        lambda v: F.struct(v.alias("match"), match_text(v).alias("norm")),
+    )
 
-    def scored(entry: str) -> Column:
-        other = match_text(F.lit(entry))
-        longest = F.greatest(F.length(mine), F.length(other))
-        base = (1 - F.levenshtein(mine, other) / longest) * 100.0
+    def scored(entry: Column) -> Column:
+        other = entry["norm"]
+        base = (1 - F.levenshtein(mine, other) / F.greatest(F.length(mine), F.length(other))) * 100.0
         inside = F.contains(mine, other) | F.contains(other, mine)
         score = F.when(mine == other, 100.0).when(inside, F.greatest(base, F.lit(85.0))).otherwise(base)
-        return F.struct((-F.round(score, 1)).alias("order"), F.lit(entry).alias("match"))
+        return F.struct((-F.round(score, 1)).alias("order"), entry["match"].alias("match"))
 
-    candidates = F.filter(F.array(*[scored(v) for v in vocabulary]), lambda s: -s["order"] >= min_score)
+    candidates = F.filter(F.transform(entries, scored), lambda s: -s["order"] >= min_score)
     best = F.slice(F.array_sort(candidates), 1, top)
     return (
         values.withColumn("norm", match_text(F.col("value")))
