@@ -126,7 +126,9 @@ def as_timestamp(c: Column, dtype: T.DataType) -> Column:
 
 
 def us_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", col(start), col(end))
+    """Microseconds between two naive timestamps, whatever the session's time zone."""
+    seconds = (col(end) - col(start)).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def capped(value: Column, cap: Column) -> Column:
