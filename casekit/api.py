@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from casekit.operators import aggregates, breakdowns, datasets, executive, filters, geo, insights, kpis, matrices
-from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, eligibility_report, ineligible
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casekit.checks.tables import ROLES, cases, table, with_cases, with_life
+from casekit.checks.tables import ROLES, cases, with_cases, with_life
 from casekit.functions.expressions import US_PER_DAY, attach_row
 from casekit.operators import breakdowns, executive, kpis
 from casekit.operators import lifecycle as L

@@ -13,7 +13,7 @@ from casekit.functions.order_stats import (
     Quantile, at_ranks, average_rank_share, quantiles, value_counts,
 )
 from casekit.operators import lifecycle as L
-from casekit.operators.kpis import _ids, count_measures, fenced_age_summary, resolution_measures
+from casekit.operators.kpis import count_measures, fenced_age_summary, resolution_measures
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
 from casekit.sources.files import settle

@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from casekit.functions.expressions import all_of, any_of, as_timestamp, text
 from casekit.functions.order_stats import Quantile, quantiles_of

@@ -11,7 +11,7 @@ from casekit.functions.expressions import (
 from casekit.functions.order_stats import Quantile, quantiles, value_counts
 from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
-from casekit.plans.roles import REQUIRED_ROLES, Roles, missing_for
+from casekit.plans.roles import Roles, missing_for
 
 # KPI → unit, in report order.
 UNITS = {

@@ -6,7 +6,7 @@ by partial aggregation, answers null counts, exact distinct counts and every pat
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from casekit.functions.expressions import (
     CURRENCY_MARKS, FALSE_TOKENS, NUMBER_TEXT, SERIAL_DATE_MAX, SERIAL_DATE_MIN, TRUE_TOKENS,
-    as_timestamp, date_from_text, finite, key_text, number_from_text, one_row, text,
+    as_timestamp, date_from_text, finite, key_text,
 )
 from casekit.plans import roles as R
 from casekit.plans.roles import NESTED_TYPES, Roles
