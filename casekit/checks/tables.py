@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.plans.roles import Roles
-from casekit.sources.files import shared_folder, stage
+from casekit.sources.files import stage
 
 CASE_ROLES = (
     "record_id", "consumer_id", "amount", "registration_date", "closing_date", "sla_deadline", "status",
@@ -69,14 +69,10 @@ def build_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view, written once per application so that each query is one pruned scan of it.
-
-    A cluster without a shared folder gets the plain view.
-    """
+    """The view, written once per application so that each query is one pruned scan of it."""
     key = (spark.conf.get("spark.app.id", ""), sf_dir)
     if key not in _staged:
-        view = build_cases(spark, sf_dir)
-        _staged[key] = stage(view, "cases") if shared_folder(spark) else view
+        _staged[key] = stage(build_cases(spark, sf_dir), "cases")
     return _staged[key]
 
 

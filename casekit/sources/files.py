@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Sequence
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,8 @@ from casekit.functions.expressions import sanitized_text
 PREVIEW_ROWS = 200
 CORRUPT_COLUMN = "_corrupt_record"
 
+_marked: set[str] = set()
+
 
 def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -118,27 +119,22 @@ def preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) ->
     return df.orderBy(*order_by).limit(rows)
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="casekit-")
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach: the cluster's checkpoint folder.
-
-    Only a local session, whose executors share this machine, falls back to a temporary folder.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the cluster's checkpoint folder, else the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    return _local_folder() if spark.conf.get("spark.master", "").startswith("local") else None
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{folder}/casekit-{name}-{uuid.uuid4().hex}"
+    """A new place in this application's staging folder, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/casekit-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -150,8 +146,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Stages an aggregate that several later steps start from, where there is a shared folder.
+    """Stages an aggregate that several later steps start from: a job that runs while the plan is built.
 
     It is then computed once, survives lost executors, and keeps later plans short.
     """
-    return stage(df, name) if shared_folder(df.sparkSession) else df
+    return stage(df, name)
