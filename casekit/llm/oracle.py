@@ -2,4 +2,50 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from casekit.llm.repetition import GRAM_LIMITS, LINE_CHARS_LIMIT, LINE_LIMIT
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACE = r"[\x20\x09-\x0D]"
+_GRAM = {n: f"coalesce(max(chars) FILTER (n = {n}), 0)" for n in GRAM_LIMITS}
+
+REPETITION = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+  g AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+      FROM w, (SELECT unnest([3, {', '.join(map(str, GRAM_LIMITS))}]) AS n), unnest(range(1, len(ws) - n + 2)) u(i)),
+  h AS (SELECT r, n, i FROM (SELECT *, count(*) OVER (PARTITION BY r, n, k) AS c FROM g) WHERE c > 1),
+  p AS (SELECT DISTINCT r, n, j FROM h, unnest(range(i, i + n)) v(j)),
+  c AS (SELECT r, n, count(*) AS words, sum(length(ws[j])) AS chars FROM p JOIN w USING (r) GROUP BY r, n),
+  m AS (SELECT r, coalesce(max(words) FILTER (n = 3), 0) AS n_repeat_words,
+      {', '.join(f'{sql} AS g{n}' for n, sql in _GRAM.items())} FROM w LEFT JOIN c USING (r) GROUP BY r),
+  l AS (SELECT r, CAST(sum(c - 1) AS BIGINT) AS dup, sum((c - 1) * length(regexp_replace(x, '{_SPACE}', '', 'g'))) AS dup_chars
+      FROM (SELECT r, x, count(*) AS c FROM w, unnest(ls) q(x) GROUP BY r, x) GROUP BY r),
+  a AS (SELECT *, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(ls) AS n_lines,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines
+      FROM w JOIN m USING (r) LEFT JOIN l USING (r))
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+      AND {' AND '.join(f'g{n} <= {limit}::DOUBLE * word_chars' for n, limit in GRAM_LIMITS.items())}
+      AND n_dup_lines <= {LINE_LIMIT}::DOUBLE * n_lines AND coalesce(dup_chars, 0) <= {LINE_CHARS_LIMIT}::DOUBLE * word_chars AS kept
+  FROM a"""
+
+
+def _words(source: str, key: str) -> str:
+    lowered = f"translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}')"
+    return rf"SELECT {key}, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {source}"
+
+
+CONTAMINATION = f"""WITH d AS ({_words('documents', 'row_number() OVER () AS r, doc_id')}),
+  b AS ({_words('benchmark', 'CAST(item_id AS VARCHAR) AS item')}),
+  bw AS (SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS x
+      FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) u(i) WHERE len(ws) > 0),
+  dw AS (SELECT r, i, k, array_to_string(ws[i:i + k - 1], ' ') AS x FROM d, (SELECT DISTINCT k FROM bw), unnest(range(1, len(ws) - k + 2)) u(i)),
+  h AS (SELECT r, i, k, item FROM dw JOIN bw USING (k, x)),
+  p AS (SELECT r, count(DISTINCT j) AS n FROM h, unnest(range(i, i + k)) v(j) GROUP BY r),
+  s AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+  SELECT doc_id, len(ws) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(s.n, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+  FROM d LEFT JOIN p USING (r) LEFT JOIN s USING (r)"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": CONTAMINATION, "op9_repetition": REPETITION}

@@ -1,0 +1,585 @@
+"""The text operators against brute-force versions, and their edge cases, on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from casekit.llm import (
+    decontamination, html, licenses, packing, pii, quality, registry, repetition, simhash, token_counts, tokens, toxicity,
+)
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+LOWER = {c: c + 32 for c in range(65, 91)}
+ODD_TEXTS = [
+    None, "", " ", "\n\n\t", "a", "one two", "Ünïcödé — 漢字 🙂 ½", "x" * 5000, "<|endoftext|> a<|startoftext|>b",
+    "a\x0bb\x1cc\x85d e", "same words here same words here same words here", "I'LL don't̀ 'S",
+]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, sf_dir):
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark", "labels", "pages")}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, null and repeated ids, and columns whose names clash with ours."""
+    rows = [(i, t, "en", 1.0, "x") for i, t in enumerate(ODD_TEXTS)]
+    rows += [(None, "no id", None, None, None), (3, "\n\n\t", "en", 1.0, "x"), (4, "another a", "en", 1.0, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, print string")
+
+
+@pytest.fixture(scope="module")
+def nothing(odd):
+    return odd.where("false")
+
+
+def texts_of(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+# ---- repetition -----------------------------------------------------------------------
+
+
+def slow_repetition(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+
+    def inside(n):
+        grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        return {j for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}
+
+    counts = [len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines)]
+    seen, again = set(), []
+    for x in lines:
+        again += [x] * (x in seen)
+        seen.add(x)
+    counts += [len(again), sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in again), len(inside(3))]
+    return (*counts, *(sum(len(words[j]) for j in inside(n)) for n in repetition.GRAM_LIMITS))
+
+
+@pytest.mark.parametrize("table", ["documents", "odd"])
+def test_repetition(table, tables, odd):
+    df = tables["documents"] if table == "documents" else odd
+    expected = Counter((i, *slow_repetition(t)) for i, t in texts_of(df))
+    assert rows_of(repetition.repetition_measures(df)) == expected
+
+
+def test_repetition_verdict(spark):
+    clean = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, clean), (2, "short text"), (3, "a b c d e f " * 50), (4, (clean[:300] + "\n") * 3 + clean)]
+    found = repetition.repetition_verdict(repetition.repetition_measures(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in found.collect()} == {
+        1: (False, True), 2: (True, False), 3: (True, False), 4: (True, False)
+    }
+
+
+# ---- decontamination ------------------------------------------------------------------
+
+
+def slow_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def slow_contamination(docs, items, n=10):
+    windows = defaultdict(set)
+    for item, text in items:
+        words = slow_words(text)
+        k = min(n, len(words))
+        for i in range(len(words) - k + 1 if k else 0):
+            windows[tuple(words[i : i + k])].add("" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    out = Counter()
+    for d, text in docs:
+        words = slow_words(text)
+        hit, found = set(), set()
+        for k in sizes:
+            for i in range(len(words) - k + 1):
+                if own := windows.get(tuple(words[i : i + k])):
+                    found |= own
+                    hit |= set(range(i, i + k))
+        out[(d, len(words), len(hit), tuple(sorted(found)))] += 1
+    return out
+
+
+def contamination_rows(docs, items, **kwargs):
+    found = decontamination.contamination(docs, items, **kwargs)
+    return Counter(
+        (r["doc_id"], r["n_words"], sum(x["end"] - x["first"] for x in r["runs"]), tuple(sorted(r["items"]))) for r in found.collect()
+    )
+
+
+def items_of(df):
+    return [(r["item_id"], r["text"]) for r in df.collect()]
+
+
+@pytest.mark.parametrize("block", [200_000, 60])
+def test_contamination(block, spark, tables, odd):
+    passage = " ".join(f"Word{i}," for i in range(30))
+    items = tables["benchmark"].union(
+        spark.createDataFrame([(900, passage), (901, "another A"), (None, "x, y!"), (902, None), (900, "..."), (903, passage)], "item_id long, text string")
+    )
+    extra = spark.createDataFrame([(70, f"So {passage.upper()} end"), (71, "X y" + " w" * 50), (72, passage[:40])], "doc_id long, text string")
+    docs = tables["documents"].select("doc_id", "text").union(odd.select("doc_id", "text")).union(extra)
+    expected = slow_contamination(texts_of(docs), items_of(items))
+    assert contamination_rows(docs, items, block=block) == expected
+    assert any(k[2] for k in expected)
+
+
+def test_contamination_of_empty_tables(odd, nothing, tables):
+    assert contamination_rows(nothing, tables["benchmark"]) == Counter()
+    found = contamination_rows(odd, tables["benchmark"].where("false"))
+    assert sum(found.values()) == odd.count() and all(k[2] == 0 for k in found)
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_remove_contamination(drop, spark, tables):
+    items = tables["benchmark"]
+    nested = items.limit(1).select(F.lit(5000).alias("doc_id"), F.concat_ws(" ", F.expr("substring(text, 1, 60)"), "text", F.expr("substring(text, 61, 9999)")).alias("text"))
+    docs = tables["documents"].select("doc_id", "text").union(nested).withColumns({"cut": F.lit("mine"), "row": F.lit(None).cast("string"), "n_chars": F.lit(1)})
+    out = decontamination.remove_contamination(docs, items, length_column="n_chars", drop=drop)
+    assert out.columns == docs.columns
+    before = slow_contamination(texts_of(docs), items_of(items))
+    after = slow_contamination(texts_of(out), items_of(items))
+    assert all(k[2] == 0 for k in after)
+    clean = {k[0] for k in before if not k[2]}
+    assert len(after) == (len(clean) if drop else len(before))
+    old = dict(texts_of(docs))
+    assert all(old[d] == t for d, t in texts_of(out) if d in clean)
+    assert out.where("n_chars <> 1 AND n_chars <> char_length(text)").count() == 0
+
+
+# ---- simhash --------------------------------------------------------------------------
+
+
+def slow_fingerprint(text):
+    words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))]
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    """prints: [(doc_id, fingerprint)]; smallest id reachable for each row."""
+    distinct = np.array(sorted({p for _, p in prints}), np.uint64)
+    place = {int(p): i for i, p in enumerate(distinct)}
+    group = list(range(len(distinct)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, p in enumerate(distinct):
+        for j in np.flatnonzero(np.bitwise_count(distinct ^ p) <= 3):
+            group[root(int(j))] = root(i)
+    firsts = {}
+    for d, p in prints:
+        if d is not None:
+            firsts[root(place[p])] = min(d, firsts.get(root(place[p]), d))
+    return Counter((d, f"{p:016x}", firsts.get(root(place[p]))) for d, p in prints)
+
+
+def test_near_duplicates(spark, tables, odd):
+    docs = tables["documents"].select("doc_id", "text").union(odd.selectExpr("doc_id + 100000 AS doc_id", "text"))
+    base = " ".join(f"word{i}" for i in range(400))
+    near = [(200_000 + i, base.replace(f" word{i * 7 + 3} ", f" other{i} ")) for i in range(50)]
+    docs = docs.union(spark.createDataFrame(near, "doc_id long, text string"))
+    expected = slow_components([(d, slow_fingerprint(t)) for d, t in texts_of(docs)])
+    assert rows_of(simhash.near_duplicates(docs)) == expected
+
+
+def test_links_reach_all_groups(spark):
+    """Chains and dense groups of fingerprints, some larger than what is compared pair by pair."""
+    r = random.Random(5)
+    prints = {r.getrandbits(64) for _ in range(300)}
+    for _ in range(3):
+        centre = r.getrandbits(64)
+        prints |= {centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(400)}
+    at = r.getrandbits(64)
+    for _ in range(40):  # a chain
+        prints.add(at)
+        for _ in range(3):
+            at ^= 1 << r.randrange(64)
+    rows = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(sorted(prints))]
+    df = spark.createDataFrame(rows, "doc_id long, print long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.print_links(df)).collect()}
+    mine = defaultdict(set)
+    for i, p in rows:
+        mine[roots.get(p, p)].add(i)
+    theirs = defaultdict(set)
+    for (d, _, c), _ in slow_components([(i, p % 2**64) for i, p in rows]).items():
+        theirs[c].add(d)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_every_close_pair_meets_at_a_home():
+    r = np.random.default_rng(3)
+    a = r.integers(0, 2**64, 3000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(3):
+        b ^= np.uint64(1) << r.integers(0, 64, 3000, dtype=np.uint64)
+    ra, pa, ha = simhash.anchors(a)
+    rb, pb, hb = simhash.anchors(b)
+    homes = set(zip(ra[ha].tolist(), pa[ha].tolist()))
+    assert {x for x, p in zip(rb.tolist(), pb.tolist()) if (x, p) in homes} == set(range(3000))
+
+
+def test_keep_firsts(spark, odd, nothing):
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([(5, text, "b"), (2, text, "a"), (9, "quite another text", None), (5, text, "b")], "doc_id long, text string, component_id string")
+    assert sorted(r["doc_id"] for r in simhash.keep_firsts(df).collect()) == [2, 9]
+    assert simhash.keep_firsts(df).columns == df.columns
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+# ---- tokens ---------------------------------------------------------------------------
+
+
+def library_counts(texts):
+    return [len(e.ids) for e in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_tokens_are_the_library_s(tables):
+    texts = [t for _, t in texts_of(tables["documents"])] + [t or "" for t in ODD_TEXTS]
+    texts += [" ".join(chr(c) for c in range(33, 1500)), "".join(chr(c) for c in range(33, 1500))]
+    texts += [f"a{chr(c)}b" for c in range(0x21, 0x3000, 7)]
+    expected = [e.ids for e in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    own = tokens.word_tokens(VOCABULARY)
+    assert [np.frombuffer(own.encode(t.encode()), "<u4").tolist() for t in texts] == expected
+
+
+@pytest.mark.parametrize("chunk", [64, 1000, 65_536])
+def test_token_counts(chunk, tables, odd):
+    for df in (tables["documents"], odd):
+        rows = texts_of(df)
+        expected = Counter((i, len(t.encode()), n, n > 2048) for (i, t), n in zip(rows, library_counts([t for _, t in rows])))
+        assert rows_of(token_counts.token_counts(df, VOCABULARY, chunk=chunk, overlap=16)) == expected
+
+
+def test_token_counts_of_one_long_word():
+    own = tokens.word_tokens(VOCABULARY)
+    for text in ("ab1-" * 3000, "é" * 5000 + " x " + "z9 " * 4000):
+        assert token_counts.count_tokens(own, text.encode(), 100, 8) == library_counts([text])[0]
+
+
+# ---- packing --------------------------------------------------------------------------
+
+
+def check_packing(df, **kwargs):
+    rows = packing.pack(df, VOCABULARY, **kwargs).collect()
+    ids = [
+        (d, [*e.ids, 0])
+        for (d, _), e in zip(texts_of(df), Tokenizer.from_file(VOCABULARY).encode_batch([t for _, t in texts_of(df)], add_special_tokens=False))
+    ]
+    expected = Counter()
+    for d, own in ids:
+        for k in range(0, len(own), 2048):
+            part = own[k : k + 2048]
+            expected[(d, k // 2048, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == expected
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    return sequences, sum(len(own) for _, own in ids)
+
+
+@pytest.mark.parametrize("partition_items", [8192, 30])
+def test_packing(partition_items, tables):
+    sequences, total = check_packing(tables["documents"], partition_items=partition_items)
+    assert len(sequences) <= -(-total // 2048) * (1.02 if partition_items > 1000 else 1.25)
+
+
+def test_packing_of_odd_texts(odd, nothing):
+    check_packing(odd)
+    assert packing.pack(nothing, VOCABULARY).count() == 0
+
+
+def test_bounds_and_best_fit():
+    r = np.random.default_rng(1)
+    for top in (20, 60, 100):
+        sizes = r.integers(1, top + 1, 300)
+        bins, offsets, used = packing.best_fit(sizes, 100)
+        assert packing.lower_bound(sizes, 100) <= used
+        assert np.bincount(bins, weights=sizes).max() <= 100
+    assert packing.lower_bound(np.array([51] * 10), 100) == 10
+    assert packing.lower_bound(np.array([34] * 10), 100) == 5
+    assert packing.lower_bound(np.array([60, 60, 40, 40]), 100) == 2
+
+
+# ---- personal data --------------------------------------------------------------------
+
+
+def pseudonyms(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymize(df, key, counts_column="found")
+    return [(r["text"], r["found"]) for r in out.orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def shape(text):
+    return re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", text)))
+
+
+VALUES = {
+    "card": ["4417 1234 5678 9113", "4417123456789113", "5500-0055-5555-5559"],
+    "phone": ["+1 (017) 555-7713", "212-555-0199", "+44 20 7946 0958"],
+    "email": ["und.34@mail7.example.com", "A_b+c@Host.ORG"],
+    "ip": ["97.51.17.173", "8.8.8.8"],
+    "date": ["2024-02-29", "29.02.2024", "02/29/2024", "1/2/1999"],
+    "ssn": ["123-45-6789"],
+    "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+    "secret": ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'],
+}
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_pseudonyms_keep_their_format(kind, spark):
+    values = VALUES[kind]
+    out = pseudonyms(spark, [f"Before {v}, after." for v in values] + [f"<{values[0]}>"])
+    for value, (text, found) in zip(values, out):
+        new = text[len("Before ") : -len(", after.")]
+        assert found == {kind: 1} and new != value
+        if kind not in ("ip", "date"):
+            assert shape(new) == shape(value)
+        if kind == "card":
+            assert luhn(re.sub("[^0-9]", "", new))
+        if kind == "ip":
+            assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", new) and all(int(x) < 256 for x in new.split("."))
+        if kind == "iban":
+            packed = new.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1
+    assert out[-1][0][1:-1] == out[0][0][len("Before ") : -len(", after.")]
+
+
+def test_equal_days_and_cards_stay_linked(spark):
+    (dates, _), (cards, _) = pseudonyms(spark, ["2024-02-29 29.02.2024 02/29/2024", "4417 1234 5678 9113 4417123456789113"])
+    a, b, c = dates.split()
+    assert a == f"{b[6:]}-{b[3:5]}-{b[:2]}" == f"{c[6:]}-{c[:2]}-{c[3:5]}"
+    assert cards[:19].replace(" ", "") == cards[20:]
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = [
+        "4417123456789112", "999.1.1.1 1.2.3.4.5", "2023-02-29 31/31/2020", "666-12-1234 000-12-1234", "GB83 WEST 1234 5698 7654 32",
+        "version 3.14 of 2024, 1234567", "", None, "no digits at all", "a@b",
+    ]
+    assert [t for t, _ in pseudonyms(spark, texts)] == texts
+
+
+def test_numbers_are_permuted(spark):
+    df = spark.range(189 * 773).select("id", pii.permute_number(F.col("id"), pii.CYCLE_DAYS, "k", "date").alias("to"))
+    row = df.agg(F.count_distinct("to"), F.min("to"), F.max("to"), F.count_if(F.col("to") == F.col("id"))).first()
+    assert tuple(row[:3]) == (189 * 773, 0, 189 * 773 - 1) and row[3] < 20
+
+
+def test_pseudonyms_differ_by_key_and_leave_other_columns(spark, odd, nothing):
+    text = ["call +1 (017) 555-7713"]
+    assert pseudonyms(spark, text, "k1") != pseudonyms(spark, text, "k2")
+    assert rows_of(pii.pseudonymize(odd, "k")) == rows_of(odd)
+    assert pii.pseudonymize(nothing, "k").columns == odd.columns
+    clash = odd.withColumnsRenamed({"lang": "row", "print": "found", "score": "new"})
+    assert rows_of(pii.pseudonymize(clash, "k")) == rows_of(clash)
+
+
+def test_no_valid_card_or_address_is_left(spark, tables, sf_dir):
+    before = "\n".join(t for _, t in texts_of(tables["documents"]))
+    after = "\n".join(r["text"] for r in registry.op4_pii(spark, sf_dir).collect())
+    for pattern in (r"[\w.+-]+@[\w.-]+\.\w+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r'token = "\w+"'):
+        assert not set(re.findall(pattern, before)) & set(re.findall(pattern, after))
+    cards = {c for c in re.findall(r"(?<![\w.-])\d{16}(?![\w])", before) if luhn(c)}
+    assert cards and not cards & set(re.findall(r"\d{16}", after))
+
+
+# ---- HTML -----------------------------------------------------------------------------
+
+
+def page(body, nav="Home"):
+    return f"<html><head><title>t</title><script>var x='</p>';</script></head><body><nav>{nav}</nav>{body}</body></html>"
+
+
+def extracted(spark, pages, **kwargs):
+    df = spark.createDataFrame([(i, u, h, "mine") for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, known string")
+    return [r["text"] for r in html.extract(df, **kwargs).orderBy("page_id").collect()]
+
+
+def test_main_text(spark):
+    article = (
+        "<article><header><h1>Head&amp;line</h1></header><p>One <b>bold\n word</b><br>next<p>Two<!-- no --> &lt;3&nbsp;x"
+        "<ul><li>a<li>b</ul><div class='share-buttons'>Share</div><form>Mail <input></form><aside>See also</aside>"
+        "<section id=comments><p>First!</p></section></article>"
+    )
+    assert extracted(spark, [("http://a.example/1", page(article + "<footer>Foot</footer><div class=ad>Buy</div>"))]) == [
+        "Head&line\nOne bold word next\nTwo <3 x\na\nb"
+    ]
+
+
+def test_broken_and_missing_pages(spark):
+    pages = [
+        (None, None), ("http://a.example/", ""), ("x", "plain & text"), ("http://a.example/2", "<p>open <b>tags <i>only"),
+        ("http://a.example/3", "</div></p>stray<p>x</span> y"), ("http://a.example/4", "<article><p>cut off<p>here <a href='"),
+        ("http://a.example/5", "<div>" * 3000 + "deep"), ("http://a.example/6", "<script>never ends"),
+    ]
+    assert extracted(spark, pages) == ["", "", "plain & text", "open tags only", "stray\nx y", "cut off\nhere", "deep", ""]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_site_templates(block, spark):
+    def body(i):
+        return f"<div id=wrap><div class=top2>Our site</div><p>Story {i} is like no other</p><div>Call us now</div></div>"
+
+    pages = [(f"http://one.example/{i}", page(body(i))) for i in range(10)]
+    pages += [(f"http://two.example/{i}", page(body(i))) for i in range(3)]
+    pages += [(f"http://three.example/{i}", page(body(7))) for i in range(10)]  # one page under ten addresses
+    texts = extracted(spark, pages, many=8, block=block)
+    assert texts[:10] == [f"Story {i} is like no other" for i in range(10)]
+    assert texts[10:13] == [f"Our site\nStory {i} is like no other\nCall us now" for i in range(3)]
+    assert texts[13:] == ["Our site\nStory 7 is like no other\nCall us now"] * 10
+
+
+def test_text_that_recurs_in_articles_stays(spark):
+    pages = [(f"http://one.example/{i}", page(f"<article><p>Shared passage</p><p>Own text {i}</p></article>")) for i in range(12)]
+    assert extracted(spark, pages) == [f"Shared passage\nOwn text {i}" for i in range(12)]
+
+
+# ---- licences -------------------------------------------------------------------------
+
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+# 2. Redistributions in binary form must reproduce the above copyright notice,
+#    this list of conditions and the following disclaimer in the documentation
+#    and/or other materials provided with the distribution.
+{}
+# THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+# INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+ENDORSE = """# 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+# products derived from this software without specific prior written permission."""
+
+
+def test_licences(spark, odd):
+    texts = {
+        "Words.\nLicensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+        "no end before it\nReleased under the MIT License.": ["MIT"],
+        "This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0", "GPL-3.0-only"],
+        "// SPDX-License-Identifier: CC BY 4.0\n": ["CC-BY-4.0"],
+        BSD.format("#"): ["BSD-2-Clause"],
+        BSD.format(ENDORSE): ["BSD-3-Clause"],
+        "A licence to speak of nothing.": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["licenses"] for r in licenses.license_scan(df).orderBy("doc_id").collect()] == list(texts.values())
+    assert all(r["licenses"] == [] and r["n_unknown"] == 0 for r in licenses.license_scan(odd).collect())
+
+
+def test_licences_of_documents(spark, tables):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    found = {r["doc_id"]: set(r["licenses"]) for r in licenses.license_scan(tables["documents"]).collect()}
+    for d, text in texts_of(tables["documents"]):
+        assert found[d] == {lines[x] for x in text.split("\n") if x in lines}
+
+
+# ---- classifiers ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("query, label", [("op1_quality", "quality"), ("op7_toxicity", "toxic")])
+def test_held_out_accuracy(query, label, spark):
+    scored = registry.QUERIES[query](spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    row = scored.join(labels, "doc_id").where("held_out").agg(
+        F.avg((F.col(label) == F.col("predicted")).cast("double")), F.count("*"), F.min("score"), F.max("score")
+    ).first()
+    assert row[0] > 0.97 and row[1] > 300 and 0 <= row[2] <= row[3] <= 1
+
+
+def test_rules_are_read_from_trees():
+    listing = """model
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 1.5)
+     If (feature 1 <= 2.0E-4)
+      Predict: 0.0
+     Else (feature 1 > 2.0E-4)
+      Predict: 1.0
+    Else (feature 0 > 1.5)
+     Predict: 1.0"""
+    a, b = ("x", "<=", 1.5), ("x", ">", 1.5)
+    assert quality.tree_rules(listing, ["x", "y"]) == [
+        (a,), (a, ("y", "<=", 0.0002)), (a, ("y", ">", 0.0002)), (b,)
+    ]
+
+
+def test_classifiers_on_odd_tables(odd, nothing, spark):
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.fit_rules(odd, labels, "quality", F.lit(False))
+    assert quality.quality_scores(odd, model).where("score BETWEEN 0 AND 1").count() == odd.count()
+    assert quality.keep_good(odd, model).columns == odd.columns
+    machine = toxicity.fit_machine(odd, labels, "toxic", F.lit(False))
+    assert toxicity.toxicity_scores(odd, machine).where("score BETWEEN 0 AND 1").count() == odd.count()
+    for empty in (labels.where("false"), labels.where("quality = 1")):
+        assert quality.quality_scores(odd, quality.fit_rules(odd, empty, "quality", F.lit(False))).count() == odd.count()
+        assert toxicity.toxicity_scores(nothing, toxicity.fit_machine(odd, empty, "toxic", F.lit(False))).count() == 0
+
+
+# ---- pipeline -------------------------------------------------------------------------
+
+
+def test_pipeline_step_by_step(spark, tables, sf_dir):
+    """Each stage's effect by brute force on what the stage before it kept."""
+    docs = tables["documents"]
+    items = items_of(tables["benchmark"])
+    model = quality.fit_rules(docs, tables["labels"], "quality", registry.fold(5) == 0)
+    good = {r["doc_id"] for r in quality.quality_scores(docs, model).where("score >= 0.3").collect()}
+    texts = {d: t for d, t in texts_of(docs) if d in good}
+    firsts = {d for (d, _, c), _ in slow_components([(d, slow_fingerprint(t)) for d, t in texts.items()]).items() if d == c}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in rows} == firsts
+    out = docs.where(F.col("doc_id").isin(*firsts))
+    out = corpus_pipeline.decontamination(spark, out, sf_dir)
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert all(k[2] == 0 for k in slow_contamination(texts_of(out), items))
+    out = corpus_pipeline.pii(spark, out, sf_dir)
+    counts = dict(zip([d for d, _ in texts_of(out)], library_counts([t for _, t in texts_of(out)])))
+    lengths = Counter()
+    for r in rows:
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {d: n + 1 for d, n in counts.items()}
+
+
+def test_items_digest(spark, sf_dir, tables):
+    found = registry.op3_decontamination(spark, sf_dir).collect()
+    expected = slow_contamination(texts_of(tables["documents"]), items_of(tables["benchmark"]))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["items_sha256"]) for r in found) == Counter(
+        {(d, n, h, hashlib.sha256(",".join(items).encode()).hexdigest()): c for (d, n, h, items), c in expected.items()}
+    )
