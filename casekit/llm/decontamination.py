@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import LOWER, Words, byte_class, raw_texts, slices
+from casekit.llm.text import LOWER, Words, byte_class, map_batches, raw_texts, slices
 from casekit.sources.files import stage
 
 WORDS_PER_WINDOW = 10
@@ -55,7 +55,7 @@ def item_windows(items: DataFrame, item_id: str, item_text: str, n: int) -> Data
     texts = items.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("string").alias("text")
     )
-    return texts.mapInArrow(windows, "item string, size int, hash long, words binary").distinct()
+    return map_batches(texts, windows, "item string, size int, hash long, words binary").distinct()
 
 
 class WindowSet:
@@ -149,7 +149,7 @@ def contamination(
                     ["doc_id", "text", "n_words", "runs", "items"],
                 )
 
-        return found.mapInArrow(scanned, schema)
+        return map_batches(found, scanned, schema)
 
     for rows, last in _window_blocks(items, item_id, item_text, n, block):
         found = scan(found, rows, last)
@@ -214,7 +214,7 @@ def remove_contamination(
             F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if i != at], F.lit(0).alias("c")).alias("row"),
             F.col(f"`{text_column}`").alias("text"), F.lit(False).alias("cut"),
         )
-        done = packed.mapInArrow(cleaned, packed.schema)
+        done = map_batches(packed, cleaned, packed.schema)
         columns = []
         for i, c in enumerate(names):
             column = F.col("text") if i == at else F.col(f"row.c{i}")

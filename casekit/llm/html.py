@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import raw_texts, slices
+from casekit.llm.text import map_batches, raw_texts, slices
 from casekit.sources.files import stage
 
 MANY_PAGES = 8
@@ -254,7 +254,7 @@ def template_hashes(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
                 [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, contents)], ["hash", "content"]
             )
 
-    rows = pages.select("url", "html").mapInArrow(hashed, "hash long, content long")
+    rows = map_batches(pages.select("url", "html"), hashed, "hash long, content long")
     return rows.distinct().groupBy("hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= many).select("hash")
 
 
@@ -299,7 +299,7 @@ def extract(
                     known[d] += list(_found(shared.value, _keys(root, host_of(url))))
                 yield batch.set_column(3, "known", pa.array(known, pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False))
 
-        return pages.mapInArrow(mark, f"page_id {kind}, url string, html string, known array<long>")
+        return map_batches(pages, mark, f"page_id {kind}, url string, html string, known array<long>")
 
     for k in range(parts - 1):
         named = stage(marked(named, part(k)), "template-pages")
@@ -317,7 +317,7 @@ def extract(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )
 
-    return named.mapInArrow(extracted, f"page_id {kind}, url string, text string")
+    return map_batches(named, extracted, f"page_id {kind}, url string, text string")
 
 
 def _keys(root: Node, host: int) -> set[int]:

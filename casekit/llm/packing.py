@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import raw_texts, slices
+from casekit.llm.text import map_batches, raw_texts, reachable, slices
 from casekit.llm.tokens import word_tokens
 from casekit.sources.files import stage
 
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
             )
 
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return texts.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(texts, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -117,6 +117,7 @@ def _packed(items: DataFrame, parts: int, salt: int, capacity: int) -> DataFrame
         part["waste"] = capacity - filled[part["bin"]].astype(np.int64)
         return part[["item", "length", "part", "bin", "offset", "gap", "used", "waste"]]
 
+    reachable(items.sparkSession)
     dealt = items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(parts)).alias("part"))
     return dealt.groupBy("part").applyInPandas(
         pack, "item long, length long, part long, bin long, offset long, gap long, used int, waste long"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import SPACE, SPACES, Words, byte_class, raw_texts, repeated, slices
+from casekit.llm.text import SPACE, SPACES, Words, byte_class, map_batches, raw_texts, repeated, slices
 
 WORD = ~SPACE
 SYMBOL = byte_class(b"#*$%&|<>")
@@ -74,7 +74,7 @@ def repetition_measures(
             )
 
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return texts.mapInArrow(measure, schema)
+    return map_batches(texts, measure, schema)
 
 
 def repetition_verdict(

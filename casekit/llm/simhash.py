@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import LOWER, raw_texts, slices
+from casekit.llm.text import LOWER, map_batches, raw_texts, slices
 from casekit.sources.files import stage
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return texts.mapInArrow(hashed, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, print long")
+    return map_batches(texts, hashed, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, print long")
 
 
 def _syndromes(blocks: np.ndarray) -> np.ndarray:
@@ -178,9 +178,9 @@ def print_links(distinct: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield links(kept)
 
-    places = distinct.select("print").mapInArrow(dealt, "anchor long, print long, home boolean")
+    places = map_batches(distinct.select("print"), dealt, "anchor long, print long, home boolean")
     met = places.repartition("anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(compared, "a long, b long").distinct()
+    return map_batches(met, compared, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

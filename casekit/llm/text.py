@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SLICE_BYTES = 1 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACES = b" \t\n\x0b\x0c\r"
@@ -22,6 +25,21 @@ def byte_class(members: bytes | range) -> np.ndarray:
 SPACE = byte_class(SPACES)
 
 
+def reachable(spark: SparkSession) -> None:
+    """Puts this library on the Python path of the workers, from wherever the application was started.
+
+    Where executors have it elsewhere, as an installed package or a shipped file, theirs is found as well.
+    """
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, ROOT)))
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    reachable(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows whose texts have about `most` bytes; a longer text is a run of its own."""
     for batch in batches:

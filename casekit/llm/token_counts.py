@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import raw_texts, slices
+from casekit.llm.text import map_batches, raw_texts, slices
 from casekit.llm.tokens import WordTokens, word_tokens
 
 CHUNK = 65_536
@@ -101,4 +101,4 @@ def token_counts(
 
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(texts, counted, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
