@@ -1,8 +1,9 @@
 """Quality rules by repetition coverage.
 
-Rolling hashes of several n-gram lengths find the words of a text that lie in an n-gram which the text has
-twice or more. A text is kept if the characters in such words, and in repeated lines, stay under a limit for
-each length. Every text is looked at whole and on its own, so nothing is shuffled.
+Rolling hashes of several n-gram lengths find the words of a text that lie in an n-gram which the text has had
+before. A text is kept if the characters in such words, and in lines that it has before, stay under a limit for
+each length; what is repeated does not count the first time, so that a short text may quote itself once. Every
+text is looked at whole and on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -44,6 +45,9 @@ def repetition_measures(
 ) -> DataFrame:
     """Counts of words, symbols, repeated lines and characters in repeated n-grams, one row per document.
 
+    `n_repeat_words` are words in 3-word windows that the text has twice or more, the first included;
+    `dup_chars_<n>` are the characters of words in n-word windows that are not the first of their kind.
+
     Null and empty texts have no words: every count is 0. Ids may be null or repeat; each row gives one row.
     Other columns are not read, so their names do not matter. Counts are over the whole text, however long.
     """
@@ -64,8 +68,8 @@ def repetition_measures(
             columns = [words.counts, words.by_text(chars), np.diff(symbols), *lines.T]
             for n in (3, *lengths):
                 starts, hashes = words.windows(n)
-                twice = repeated(words.owner[starts], hashes)
-                inside = words.covered(starts[twice], n)
+                twice, later = repeated(words.owner[starts], hashes)
+                inside = words.covered(starts[twice if n == 3 else later], n)
                 columns.append(words.by_text(inside if n == 3 else np.where(inside, chars, 0)))
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "dup_line_chars"]
             names += ["n_repeat_words", *(f"dup_chars_{n}" for n in lengths)]
@@ -81,10 +85,13 @@ def repetition_verdict(
     measures: DataFrame, limits: Mapping[int, float] = GRAM_LIMITS, line_limit: float = LINE_LIMIT,
     line_chars_limit: float = LINE_CHARS_LIMIT,
 ) -> DataFrame:
-    """Adds base_failed (under 50 words, or over half of them in repeated 3-word windows) and kept."""
+    """Adds base_failed (under 50 words, or over half of them in repeated 3-word windows) and kept.
+
+    A single repeated line is judged by its characters only, as it may be a large share of few lines.
+    """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = [F.col(f"dup_chars_{n}") <= limit * F.col("word_chars") for n, limit in limits.items()]
-    within.append(F.col("n_dup_lines") <= line_limit * F.col("n_lines"))
+    within.append((F.col("n_dup_lines") <= 1) | (F.col("n_dup_lines") <= line_limit * F.col("n_lines")))
     within.append(F.col("dup_line_chars") <= line_chars_limit * F.col("word_chars"))
     kept = ~base
     for rule in within:

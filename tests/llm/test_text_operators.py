@@ -61,7 +61,13 @@ def slow_repetition(text):
 
     def inside(n):
         grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-        return {j for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}
+        seen, found = set(), set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            if grams[gram] > 1 and (n == 3 or gram in seen):
+                found |= set(range(i, i + n))
+            seen.add(gram)
+        return found
 
     counts = [len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines)]
     seen, again = set(), []
@@ -81,10 +87,11 @@ def test_repetition(table, tables, odd):
 
 def test_repetition_verdict(spark):
     clean = " ".join(f"w{i}" for i in range(100))
-    rows = [(1, clean), (2, "short text"), (3, "a b c d e f " * 50), (4, (clean[:300] + "\n") * 3 + clean)]
+    rows = [(1, clean), (2, "short text"), (3, "a b c d e f " * 50), (4, clean[:100] + " end\n" + clean)]
+    rows.append((5, clean + "\n" + clean[:20]))
     found = repetition.repetition_verdict(repetition.repetition_measures(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in found.collect()} == {
-        1: (False, True), 2: (True, False), 3: (True, False), 4: (True, False)
+        1: (False, True), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, True)
     }
 
 
