@@ -20,14 +20,15 @@ CHARTS: dict[str, Callable[..., DataFrame]] = {
     "line": datasets.period_series,
     "area": datasets.area_shares,
     "scatter": datasets.scatter,
+    "scatter_sample": datasets.scatter_sample,
     "bubble": datasets.bubble,
     "pie": datasets.share,
     "donut": datasets.share,
     "histogram": datasets.histogram,
-    "box": aggregates.describe,
+    "box": datasets.box,
     "sparkline": datasets.sparkline,
-    "treemap": aggregates.hierarchy_rollup,
-    "sunburst": aggregates.hierarchy_rollup,
+    "treemap": datasets.hierarchy,
+    "sunburst": datasets.hierarchy,
     "heatmap": aggregates.crosstab,
     "correlation": aggregates.correlation_matrix,
     "calendar_heatmap": datasets.calendar_heatmap,
@@ -47,13 +48,32 @@ ROLE_CHARTS: dict[str, Callable[..., DataFrame]] = {
     "geo": geo.resolve_positions,
     "geo_concentration": geo.concentration,
 }
+# Other names under which charts are asked for.
+ALIASES = {
+    "peak_complaint_hour": "peak_hour",
+    "rolling_average_trend": "rolling_average",
+    "officer_performance_matrix": "performance_matrix",
+    "reopened_complaint_analysis": "reopen_analysis",
+    "geographical_concentration_map": "geo_concentration",
+}
+# Roles that a chart cannot do without, beside those named in its parameters.
+CHART_ROLES = {
+    "pending_age_distribution": (R.REGISTRATION_DATE,),
+    "risk_quadrants": (),
+    "performance_matrix": (),
+}
 # Parameters that name a role.
-COLUMN_PARAMETERS = ("x", "y", "group", "value", "date", "category", "size")
+COLUMN_PARAMETERS = ("x", "y", "group", "value", "date", "category", "size", "facet", "key")
 COLUMN_LISTS = ("path", "levels", "keys", "columns")
 
 
 class CaseTable:
-    """A case table and its role binding. Every method returns lazy DataFrames."""
+    """A case table and its role binding.
+
+    Results are DataFrames. Some methods run small jobs while they build them, and write what several steps start
+    from to the staging folder: `executive`, `breakdowns` and `kpis` do, and the charts with outlier limits,
+    tiers, running shares or gaps that are filled.
+    """
 
     def __init__(self, df: DataFrame, roles: Roles, reference_date: str | None = None):
         self.roles = roles
@@ -78,7 +98,7 @@ class CaseTable:
     def kpis(self) -> DataFrame:
         return kpis.kpi_table(self.view, self.roles, self.reference_date)
 
-    def breakdowns(self, top_consumers: int = 20) -> dict[str, DataFrame]:
+    def breakdowns(self, top_consumers: int = 0) -> dict[str, DataFrame]:
         v, r = self.view, self.roles
         return {
             "officer_productivity": breakdowns.officer_productivity(v, r),
@@ -106,11 +126,16 @@ class CaseTable:
         return out
 
     def chart(self, kind: str, date_range: tuple[str | None, str | None] | None = None, **params: Any) -> DataFrame:
-        """A chart's dataset. A named role that is not mapped gives an ineligible row."""
+        """A chart's dataset. A chart, role or key that there is not, or that is not mapped, gives an ineligible row."""
+        kind = ALIASES.get(kind, kind)
+        if kind not in ROLE_CHARTS and kind not in CHARTS:
+            return ineligible(self.view.sparkSession, kind, ["a known chart"])
         source = self.between(*date_range) if date_range else self
         wanted = [params[p] for p in COLUMN_PARAMETERS if isinstance(params.get(p), str)]
         wanted += [c for p in COLUMN_LISTS if isinstance(params.get(p), (list, tuple)) for c in params[p]]
-        missing = [c for c in wanted if c not in source.view.columns]
+        wanted += CHART_ROLES.get(kind, ())
+        missing = [c for c in dict.fromkeys(wanted) if c not in source.view.columns]
+        missing = missing or R.groupable(source.view, *dict.fromkeys(wanted))
         if missing:
             return ineligible(self.view.sparkSession, kind, missing)
         if kind in ROLE_CHARTS:

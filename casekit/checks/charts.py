@@ -62,12 +62,18 @@ def resolved(df):
 
 QUERIES = {
     "chart_bar": lambda s, d: rounded(datasets.bar(table(s, d, "lineitem"), "l_suppkey", "l_quantity", "sum", 12, "asc"), "value"),
-    "chart_bar_horizontal": lambda s, d: datasets.bar_horizontal(table(s, d, "lineitem"), "l_partkey"),
+    "chart_bar_horizontal": lambda s, d: datasets.bar_horizontal(table(s, d, "lineitem"), "l_partkey", most=100),
+    "chart_bar_horizontal_all": lambda s, d: datasets.bar_horizontal(table(s, d, "lineitem"), "l_partkey"),
+    "chart_bar_facet": lambda s, d: datasets.bar(cases(s, d), "category", group="status", facet="zone"),
+    "chart_line_text": lambda s, d: datasets.period_series(cases(s, d), "category", value="amount", agg="max", group="status"),
+    "chart_box_outliers": lambda s, d: datasets.box(table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag"], "percentile"),
+    "chart_treemap_other": lambda s, d: datasets.hierarchy(cases(s, d), ["zone", "circle"], n=3),
     "chart_bar_grouped": lambda s, d: rounded(
         datasets.bar_grouped(cases(s, d), "circle", "status", "amount", "mean", 8), "value"
     ),
     "stacked_share": lambda s, d: datasets.bar_grouped(cases(s, d), "zone", "status", n=4, normalize=True),
-    "chart_pareto": lambda s, d: datasets.pareto(cases(s, d), "circle"),
+    "chart_pareto": lambda s, d: datasets.pareto(cases(s, d), "circle", n=20),
+    "chart_pareto_all": lambda s, d: datasets.pareto(table(s, d, "lineitem"), "l_partkey"),
     "chart_pareto_sum": lambda s, d: rounded(datasets.pareto(cases(s, d), "officer", "amount", "sum", 12, 50.0), "value"),
     "chart_line": lambda s, d: rounded(
         datasets.period_series(cases(s, d), "registration_date", "M", "amount", "sum", "status"), "value"
@@ -77,55 +83,55 @@ QUERIES = {
     "chart_scatter_agg": lambda s, d: rounded(
         datasets.scatter(table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice"), "x", "y"
     ),
-    "chart_scatter_sample": lambda s, d: aggregates.bounded_sample(
-        cases(s, d).where("amount IS NOT NULL").select("record_id", "amount", "latitude"), "record_id", 500
-    ),
+    "chart_scatter_sample": lambda s, d: datasets.scatter_sample(cases(s, d), "amount", "latitude", 500, "record_id"),
     "chart_bubble": lambda s, d: rounded(
         datasets.bubble(table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "max"), "x", "y", "size"
     ),
-    "chart_share": lambda s, d: datasets.share(cases(s, d), "circle"),
-    "chart_histogram": lambda s, d: datasets.histogram(cases(s, d), "amount", 16, "iqr"),
+    "chart_share": lambda s, d: datasets.share(cases(s, d), "circle", n=10),
+    "chart_share_all": lambda s, d: datasets.share(table(s, d, "lineitem"), "l_suppkey"),
+    "chart_histogram": lambda s, d: datasets.histogram(cases(s, d), "amount", 16, "iqr", 0.1),
     "sparkline": lambda s, d: datasets.sparkline(cases(s, d), "registration_date"),
     "sparkline_mean": lambda s, d: rounded(datasets.sparkline(cases(s, d), "registration_date", "Q", "amount"), "value"),
-    "calendar_heatmap": lambda s, d: datasets.calendar_heatmap(cases(s, d), "registration_date"),
+    "calendar_heatmap": lambda s, d: datasets.calendar_heatmap(cases(s, d), "registration_date", least_dates=7),
     "calendar_heatmap_year": lambda s, d: datasets.calendar_heatmap(cases(s, d), "registration_date", year=1998),
     "flow_links": lambda s, d: datasets.flow_links(cases(s, d), ["category", "officer", "status"], 4, 3),
     "peak_hour": lambda s, d: datasets.peak_hour(table(s, d, "events"), "ts", "event_type"),
     "peak_hour_total": lambda s, d: datasets.peak_hour(table(s, d, "events"), "ts"),
     "rolling_average_monthly": lambda s, d: datasets.rolling_average(cases(s, d), "registration_date"),
     "rolling_average_daily_grouped": lambda s, d: datasets.rolling_average(
-        table(s, d, "events").where("event_id % 7 <> 3 OR day(ts) % 3 = 0"), "ts", "D", 7, group="event_type"
+        table(s, d, "events").withColumn("ts", F.expr("CASE WHEN event_id % 7 <> 3 OR day(ts) % 3 = 0 THEN ts END")),
+        "ts", "D", 7, group="event_type",
     ),
     "rolling_average_quarterly_mean": lambda s, d: rounded(
         datasets.rolling_average(cases(s, d), "registration_date", "Q", value="amount", agg="mean"), "value", "rolling_average", digits=4
     ),
-    "growth_mom": lambda s, d: datasets.growth(cases(s, d), "registration_date", "circle"),
+    "growth_mom": lambda s, d: datasets.growth(cases(s, d), "registration_date", "circle", n=15),
     "growth_yoy": lambda s, d: datasets.growth(cases(s, d), "registration_date", "zone", "YoY", 3),
     "growth_rolling": lambda s, d: datasets.growth(cases(s, d), "registration_date", "circle", "rolling", 5),
     "pending_age_distribution": lambda s, d: datasets.pending_age_distribution(view(s, d), ROLES),
     "pending_age_distribution_grouped": lambda s, d: datasets.pending_age_distribution(
         view(s, d), ROLES, "zone", "weeks", "percentile"
     ),
-    "reopen_analysis": lambda s, d: matrices.reopen_analysis(view(s, d), ROLES, "circle"),
+    "reopen_analysis": lambda s, d: matrices.reopen_analysis(view(s, d), ROLES, "circle", 3, 15),
     "risk_matrix": lambda s, d: rounded(
-        matrices.risk_matrix(view(s, d), ROLES, "category"), "mean_latency", "median_latency", "avg_severity_weight",
+        matrices.risk_matrix(view(s, d), ROLES, "category", min_group_size=2), "mean_latency", "median_latency", "avg_severity_weight",
         "reopen_rate", "risk_score", digits=3,
     ),
     "risk_matrix_enterprise": lambda s, d: rounded(
         matrices.risk_matrix(
             cases(s, d).withColumn("business_criticality", F.col("latitude")),
-            type(ROLES)({**ROLES.columns, "business_criticality": "business_criticality"}), "zone",
+            type(ROLES)({**ROLES.columns, "business_criticality": "business_criticality"}), "zone", min_group_size=2,
         ),
         "mean_latency", "median_latency", "avg_severity_weight", "avg_criticality_weight", "reopen_rate", "risk_score", digits=3,
     ),
-    "risk_quadrants": lambda s, d: matrices.risk_quadrants(view(s, d), ROLES, "circle").select(
+    "risk_quadrants": lambda s, d: matrices.risk_quadrants(view(s, d), ROLES, "circle", min_group_size=2).select(
         "circle", "volume", F.round("median_latency", 3).alias("median_latency"),
         F.round("x_threshold", 3).alias("x_threshold"), F.round("y_threshold", 3).alias("y_threshold"), "quadrant",
     ),
-    "risk_quadrants_sla": lambda s, d: matrices.risk_quadrants(view(s, d), ROLES, "zone", "sla").select(
+    "risk_quadrants_sla": lambda s, d: matrices.risk_quadrants(view(s, d), ROLES, "zone", "sla", min_group_size=2).select(
         "zone", F.round("x_threshold", 3).alias("x_threshold"), F.round("y_threshold", 3).alias("y_threshold"), "quadrant",
     ),
-    "performance_matrix": lambda s, d: matrices.performance_matrix(view(s, d), ROLES),
+    "performance_matrix": lambda s, d: matrices.performance_matrix(view(s, d), ROLES, n=20),
     "geo_resolve": lambda s, d: resolved(geo.resolve_positions(view(s, d), ROLES)),
     "geo_resolve_lookup": lambda s, d: resolved(
         geo.resolve_positions(KEY_ROLES.view(cases(s, d)), KEY_ROLES, keys=circle_lookup(s, d))
@@ -143,17 +149,17 @@ QUERIES = {
         aggregates.group_aggregate(cases(s, d), ["zone", "circle"]), ["zone", "circle"], "value"
     ),
     "insight_flow": lambda s, d: insights.concentration(
-        datasets.flow_links(cases(s, d), ["category", "status"]), ["source", "target"], "flow", flow=True
+        datasets.flow_links(cases(s, d), ["category", "status"], 15), ["source", "target"], "flow", flow=True
     ),
     "insight_trend": lambda s, d: insights.trend(datasets.period_series(cases(s, d), "registration_date"), "period", "value"),
     "insight_peak_hour": lambda s, d: insights.trend(datasets.peak_hour(table(s, d, "events"), "ts"), "hour_label", "value"),
     "insight_spread": lambda s, d: insights.spread(aggregates.describe(table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag"])),
     "insight_matrix": lambda s, d: insights.matrix_extremes(cell_rate(s, d), "zone", ["closed", "open", "reopened"]),
-    "insight_pareto": lambda s, d: insights.pareto_summary(datasets.pareto(cases(s, d), "circle"), "circle"),
+    "insight_pareto": lambda s, d: insights.pareto_summary(datasets.pareto(cases(s, d), "circle", n=20), "circle"),
     "insight_risk": lambda s, d: rounded(
-        insights.risk_ranking(matrices.risk_matrix(view(s, d), ROLES, "category"), "category"), "peak_value", "trough_value"
+        insights.risk_ranking(matrices.risk_matrix(view(s, d), ROLES, "category", min_group_size=2), "category"), "peak_value", "trough_value"
     ),
-    "insight_reopen": lambda s, d: insights.reopen_level(matrices.reopen_analysis(view(s, d), ROLES, "circle"), "circle"),
+    "insight_reopen": lambda s, d: insights.reopen_level(matrices.reopen_analysis(view(s, d), ROLES, "circle", 3, 15), "circle"),
     "insight_geo": lambda s, d: insights.geo_coverage(geo.resolve_positions(view(s, d), ROLES)),
 }
 
@@ -264,6 +270,26 @@ _GEO_OK = "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0
 ORACLE = {
     "chart_bar": """SELECT l_suppkey, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY 1 ORDER BY sum(l_quantity), l_suppkey LIMIT 12""",
     "chart_bar_horizontal": "SELECT l_partkey, count(*) AS value FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100",
+    "chart_bar_horizontal_all": "SELECT l_partkey, count(*) AS value FROM lineitem GROUP BY 1",
+    "chart_bar_facet": with_cases("""SELECT category, status, zone, count(*) AS value FROM cases
+      WHERE zone IS NOT NULL GROUP BY 1, 2, 3"""),
+    "chart_line_text": with_cases("""SELECT category AS period, status, max(amount) AS value FROM cases GROUP BY 1, 2"""),
+    "chart_box_outliers": f"""WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS a, quantile_cont(l_extendedprice, 0.99) AS b FROM lineitem),
+      k AS (SELECT l_returnflag, l_extendedprice AS v FROM lineitem, q WHERE l_extendedprice BETWEEN a AND b)
+      SELECT l_returnflag, {_DESCRIBE} FROM k GROUP BY 1""",
+    "chart_treemap_other": with_cases(""", a AS (SELECT zone FROM cases WHERE zone IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, zone LIMIT 3),
+      b AS (SELECT circle FROM cases WHERE circle IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, circle LIMIT 3),
+      k AS (SELECT CASE WHEN zone IN (SELECT zone FROM a) THEN zone ELSE '(Other)' END AS zone,
+        CASE WHEN circle IN (SELECT circle FROM b) THEN circle ELSE '(Other)' END AS circle FROM cases)
+      SELECT zone, circle, count(*) AS value, 2 AS level FROM k GROUP BY 1, 2
+      UNION ALL SELECT zone, NULL, count(*), 1 FROM k GROUP BY 1 UNION ALL SELECT NULL, NULL, count(*), 0 FROM k"""),
+    "chart_pareto_all": """WITH t AS (SELECT l_partkey, count(*) AS value FROM lineitem GROUP BY 1),
+      c AS (SELECT *, round(sum(value) OVER (ORDER BY value DESC, l_partkey ROWS UNBOUNDED PRECEDING) * 100.0 / sum(value) OVER (), 2) AS cumulative_pct FROM t)
+      SELECT *, CASE WHEN coalesce(lag(cumulative_pct) OVER (ORDER BY value DESC, l_partkey), 0) < 80 THEN 'Vital Few' ELSE 'Trivial Many' END AS pareto_class FROM c""",
+    "chart_share_all": """SELECT l_suppkey, count(*) AS value, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS share_pct
+      FROM lineitem GROUP BY 1""",
+    "chart_scatter_sample": with_cases("""SELECT record_id, amount AS x, latitude AS y FROM cases WHERE amount IS NOT NULL AND latitude IS NOT NULL
+      ORDER BY md5('42:' || CAST(record_id AS VARCHAR)), record_id LIMIT 500"""),
     "chart_bar_grouped": with_cases(""", a AS (SELECT circle, status, avg(amount) AS v FROM cases WHERE circle IS NOT NULL GROUP BY 1, 2),
       t AS (SELECT circle FROM a GROUP BY 1 ORDER BY sum(v) DESC, circle LIMIT 8)
       SELECT circle, status, round(v, 2) AS value FROM a WHERE circle IN (SELECT circle FROM t)"""),
@@ -310,7 +336,7 @@ ORACLE = {
     "peak_hour": _peak("event_type"),
     "peak_hour_total": _peak(None),
     "rolling_average_monthly": "WITH " + _rolling("orders", "o_orderdate", "month", "1 MONTH", 2, "count(*)"),
-    "rolling_average_daily_grouped": "WITH e AS (SELECT * FROM events WHERE event_id % 7 <> 3 OR day(ts) % 3 = 0), "
+    "rolling_average_daily_grouped": "WITH e AS (SELECT * FROM (SELECT * REPLACE (CASE WHEN event_id % 7 <> 3 OR day(ts) % 3 = 0 THEN ts END AS ts) FROM events) WHERE ts IS NOT NULL), "
     + _rolling("e", "ts", "day", "1 DAY", 6, "count(*)", "event_type"),
     "rolling_average_quarterly_mean": "WITH " + _rolling("orders", "o_orderdate", "quarter", "3 MONTH", 1, "avg(o_totalprice)"),
     "growth_mom": _growth("circle", "month", 15, "lag(v) OVER w"),

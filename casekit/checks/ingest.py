@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.checks.tables import ROLES, cases, table, with_cases
+from casekit.functions.expressions import date_from_text, is_ambiguous_date
 from casekit.operators import cleaning, profiling
 from casekit.plans.roles import Roles
 from casekit.sources import files
@@ -79,11 +80,67 @@ def csv_bad_rows(spark, sf_dir):
     price = F.when(F.col("o_orderkey") % 10 == 0, "oops").otherwise(F.col("o_totalprice").cast("string"))
     files.write_csv(orders.select("o_orderkey", price.alias("price")), path)
     schema = "o_orderkey bigint, price double"
-    kept = files.scan_csv(spark, path, schema).agg(F.count("price").alias("good_rows"), F.count("o_orderkey").alias("read_rows"))
+    kept = files.scan_csv(spark, path, schema, drop_bad_rows=True).agg(F.count("price").alias("good_rows"), F.count("o_orderkey").alias("read_rows"))
     marked = files.scan_csv(spark, path, schema, keep_bad_rows=True)
     return kept.withColumn("bad_rows", files.bad_rows(marked).scalar())
 
 
+def _lines(df: DataFrame, header: str, line: Column, path: str, encoding: str = "UTF-8") -> None:
+    """Writes text lines under a header, one file a partition, as other programs export them."""
+    rows = df.select(line.alias("value"))
+    head = df.sparkSession.createDataFrame([(header,)], "value string")
+    head.union(rows).coalesce(1).write.mode("append").option("encoding", encoding).text(path)
+
+
+def csv_mixed_headers(spark, sf_dir):
+    """One pattern over files whose headers differ in order, separator and columns."""
+    path = files.staging_path(spark, "csv-mixed")
+    orders = table(spark, sf_dir, "orders")
+    key, who, status = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
+    _lines(orders.where("o_orderkey % 3 = 0"), "key,who", F.concat_ws(",", key, who), f"{path}/a")
+    _lines(orders.where("o_orderkey % 3 = 1"), "who;key;status", F.concat_ws(";", who, key, status), f"{path}/b")
+    _lines(orders.where("o_orderkey % 3 = 2"), "key,who", F.concat_ws(",", key, who), f"{path}/c")
+    return files.scan_csv(spark, f"{path}/*/*.txt", sep=None)
+
+
+def _quoted(spark, sf_dir):
+    path = files.staging_path(spark, "csv-quoted")
+    text = F.concat(F.lit('"say ""'), F.col("o_orderstatus"), F.lit('"" now'), F.when(F.col("o_orderkey") % 2 == 0, "\n").otherwise(","), F.lit('then"'))
+    _lines(table(spark, sf_dir, "orders"), "key,note", F.concat(F.col("o_orderkey").cast("string"), F.lit(","), text), path)
+    return files.scan_csv(spark, f"{path}/*.txt", "key bigint, note string", multi_line=True)
+
+
+def csv_quoted(spark, sf_dir):
+    """Line breaks, separators and doubled quotes within quotes, with the rows counted in three ways."""
+    read = _quoted(spark, sf_dir)
+    return read.withColumns({"rows": F.lit(read.count()), "keys": F.lit(read.select("key").where("key IS NOT NULL").count())})
+
+
+def csv_latin1(spark, sf_dir):
+    """A file in a one-byte encoding beside one in UTF-8."""
+    path = files.staging_path(spark, "csv-latin")
+    docs = table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("Zoë Müßig "), F.col("c_custkey").cast("string"))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), name)
+    _lines(docs.where("c_custkey % 2 = 0"), "key,name", line, f"{path}/a", "ISO-8859-1")
+    _lines(docs.where("c_custkey % 2 = 1"), "key,name", line, f"{path}/b")
+    return files.scan_csv(spark, f"{path}/*/*.txt", "key bigint, name string", encoding=None)
+
+
+def clean_dates_mixed(spark, sf_dir):
+    """The shapes people and programs write, all in one column; what stands for the day in each is the order date."""
+    day = F.col("o_orderdate")
+    shapes = [
+        F.date_format(day, "dd/MM/yyyy"), F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 10:30")), F.date_format(day, "yyyy/MM/dd"),
+        F.date_format(day, "d MMM yyyy"), F.concat(F.upper(F.date_format(day, "dd-MMM-yyyy")), F.lit(" 11:00")),
+        F.date_format(day, "MMMM d, yyyy"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T03:04:05Z")),
+        F.date_format(day, "yyyyMMdd"), F.date_format(day, "M/d/yy"), F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 1:05 PM")),
+    ]
+    written = F.element_at(F.array(*shapes), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+    return rows.select("o_orderkey", date_from_text("written").alias("opened"), is_ambiguous_date("written").alias("is_ambiguous"))
+
+
 def parquet_sink_roundtrip(spark, sf_dir):
     return files.stage(table(spark, sf_dir, "orders"), "sink")
 
@@ -96,8 +153,9 @@ def csv_export(spark, sf_dir):
 
 
 def sanitize_headers(spark, sf_dir):
-    raw = table(spark, sf_dir, "region").toDF("Region Key #", " Region/Key # ")
-    return files.sanitize_headers(raw)
+    """Headers that clash once cleaned, and in capitals only."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax")
+    return files.sanitize_headers(lines.toDF("Order Key #", " Order/Key # ", "order_key_2", "2nd", "ID", "id"))
 
 
 def _mixed(spark, sf_dir):
@@ -198,7 +256,7 @@ def clean_decimal(spark, sf_dir):
 
 
 def clean_null_type(spark, sf_dir):
-    return cleaning.empty_to_text(table(spark, sf_dir, "region").withColumn("note", F.lit(None)))
+    return cleaning.empty_to_text(table(spark, sf_dir, "orders").withColumn("note", F.lit(None)))
 
 
 def clean_whitespace(spark, sf_dir):
@@ -231,27 +289,46 @@ def canonical(spark, sf_dir):
     return df.groupBy("status_text").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def column_profile_approx(spark, sf_dir):
+    """Whether the sketch's distinct counts are within five hundredths of the exact ones."""
+    orders = table(spark, sf_dir, "orders")
+    exact = profiling.column_profile(orders).select("column", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")
+    return profiling.column_profile(orders, approximate=True).join(exact, "column").select(
+        "column", "null_count", "null_pct", near.alias("is_close")
+    )
+
+
+def cleaning_losses(spark, sf_dir):
+    return cleaning.clean_table(dirty_orders(spark, sf_dir), DIRTY_ROLES).losses
+
+
 def clean_table(spark, sf_dir):
     done = cleaning.clean_table(dirty_orders(spark, sf_dir), DIRTY_ROLES)
     return done.analytics
 
 
 QUERIES = {
-    "scan_parquet": lambda s, d: files.scan_parquet(s, f"{d}/nation.parquet"),
+    "scan_parquet": lambda s, d: files.scan_parquet(s, f"{d}/lineitem.parquet"),
     "csv_roundtrip": csv_roundtrip,
     "csv_union_by_name": csv_union,
     "csv_bad_rows": csv_bad_rows,
     "csv_export": csv_export,
+    "csv_mixed_headers": csv_mixed_headers,
+    "csv_quoted": csv_quoted,
+    "csv_latin1": csv_latin1,
+    "clean_dates_mixed": clean_dates_mixed,
     "parquet_sink_roundtrip": parquet_sink_roundtrip,
     "sanitize_headers": sanitize_headers,
     "sanitize_mixed_text": lambda s, d: files.sanitize_cells(_mixed(s, d)),
-    "preview_rows": lambda s, d: files.preview(table(s, d, "orders"), ["o_orderkey"]),
+    "preview_rows": lambda s, d: files.preview(table(s, d, "orders"), ["o_orderkey"], 200),
     "column_profile": lambda s, d: profiling.column_profile(table(s, d, "orders")),
     "column_profile_nulls": lambda s, d: profiling.column_profile(cases(s, d).select(*_CASE_PROFILE)),
-    "column_profile_approx": lambda s, d: profiling.column_profile(table(s, d, "orders"), approximate=True),
+    "column_profile_approx": column_profile_approx,
     "column_samples": lambda s, d: profiling.column_samples(table(s, d, "part").select("p_name", "p_brand", "p_type")),
-    "infer_types": lambda s, d: profiling.infer_types(dirty_orders(s, d)),
-    "infer_types_clean": lambda s, d: profiling.infer_types(table(s, d, "lineitem")),
+    "infer_types": lambda s, d: profiling.infer_types(dirty_orders(s, d), exact=True),
+    "infer_types_clean": lambda s, d: profiling.infer_types(table(s, d, "lineitem"), exact=True),
+    "infer_types_one_scan": lambda s, d: profiling.infer_types(dirty_orders(s, d)).drop("distinct_count"),
     "type_override_cast": type_override_cast,
     "role_parse_failure": lambda s, d: profiling.role_parse_failures(_failing(s, d), FAILING_ROLES),
     "quality_banner": lambda s, d: profiling.quality_banner(repeated_lines(s, d)),
@@ -278,6 +355,7 @@ QUERIES = {
     "drop_duplicate_rows": lambda s, d: cleaning.drop_duplicate_rows(repeated_lines(s, d)),
     "canonical_status": canonical,
     "clean_table": clean_table,
+    "cleaning_losses": cleaning_losses,
     "cleaning_report": lambda s, d: cleaning.clean_table(dirty_orders(s, d), DIRTY_ROLES).report,
 }
 
@@ -350,7 +428,7 @@ _OUTLIER_SQL = " UNION ALL ".join(
 )
 
 ORACLE = {
-    "scan_parquet": "SELECT * FROM nation",
+    "scan_parquet": "SELECT * FROM lineitem",
     "csv_roundtrip": "SELECT * FROM customer",
     "csv_union_by_name": """SELECT c_name AS name, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS nation FROM customer
       UNION ALL SELECT s_name, NULL, CAST(s_nationkey AS VARCHAR) FROM supplier""",
@@ -358,7 +436,8 @@ ORACLE = {
       count(*) FILTER (o_orderkey % 10 <> 0) AS read_rows, count(*) FILTER (o_orderkey % 10 = 0) AS bad_rows FROM orders""",
     "csv_export": with_cases("SELECT record_id, category, zone FROM cases WHERE status = 'Open'"),
     "parquet_sink_roundtrip": "SELECT * FROM orders",
-    "sanitize_headers": 'SELECT r_regionkey AS "Region_Key", r_name AS "Region_Key_2" FROM region',
+    "sanitize_headers": '''SELECT l_orderkey AS "Order_Key", l_partkey AS "Order_Key_3", l_suppkey AS "order_key_2",
+      l_linenumber AS "_2nd", l_quantity AS "ID", l_tax AS "id_2" FROM lineitem''',
     "sanitize_mixed_text": """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS VARCHAR)
       WHEN 3 THEN o_orderpriority WHEN 4 THEN CAST(o_orderkey AS VARCHAR) || '.50' END AS mixed FROM orders""",
     "preview_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 200",
@@ -414,7 +493,23 @@ ORACLE = {
       SELECT value, row_count, CAST(rank AS INTEGER) AS rank, match, score FROM ranked WHERE rank <= 3""",
     "clean_timezone": "SELECT event_id, ts FROM events",
     "clean_decimal": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS DOUBLE) AS price FROM orders",
-    "clean_null_type": "SELECT *, CAST(NULL AS VARCHAR) AS note FROM region",
+    "clean_null_type": "SELECT *, CAST(NULL AS VARCHAR) AS note FROM orders",
+    "csv_mixed_headers": """SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS who,
+      CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS status FROM orders""",
+    "csv_quoted": """SELECT o_orderkey AS key, 'say "' || o_orderstatus || '" now' || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) ELSE ',' END || 'then' AS note,
+      count(*) OVER () AS rows, count(*) OVER () AS keys FROM orders""",
+    "csv_latin1": "SELECT c_custkey AS key, 'Zoë Müßig ' || CAST(c_custkey AS VARCHAR) AS name FROM customer",
+    "clean_dates_mixed": """WITH t AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS d FROM orders),
+      s AS (SELECT *, o_orderkey % 10 AS shape, day(d) AS dd, month(d) AS mm FROM t)
+      SELECT o_orderkey, CASE shape WHEN 0 THEN CASE WHEN dd <= 12 THEN make_timestamp(year(d), dd, mm, 0, 0, 0) ELSE d END
+          WHEN 1 THEN d + INTERVAL '10:30' HOUR_MINUTE WHEN 4 THEN d + INTERVAL 11 HOUR WHEN 6 THEN d + INTERVAL 11045 SECOND
+          WHEN 9 THEN d + INTERVAL 47100 SECOND ELSE d END AS opened,
+        shape IN (0, 1, 8, 9) AND dd <= 12 AND dd <> mm AS is_ambiguous FROM s""".replace("INTERVAL '10:30' HOUR_MINUTE", "INTERVAL 37800 SECOND"),
+    "infer_types_one_scan": f"WITH {_DIRTY_SQL} SELECT * EXCLUDE (distinct_count) FROM ({_DIRTY_TYPES})",
+    "column_profile_approx": f"SELECT \"column\", null_count, null_pct, true AS is_close FROM ({_PROFILE_SQL})",
+    "cleaning_losses": """SELECT 'amount_text' AS "column", count(*) FILTER (o_orderkey % 10 <> 4) AS filled, CAST(0 AS BIGINT) AS lost FROM orders
+      UNION ALL SELECT 'opened_text', count(*) FILTER (o_orderkey % 17 <> 0), 0 FROM orders
+      UNION ALL SELECT 'opened_serial', count(*), 0 FROM orders""",
     "clean_whitespace": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents)
       SELECT doc_id, md5(v) AS text_md5, length(v) AS text_length FROM t""",
     "clean_null_tokens": """SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 10 <> 4) AS amounts,

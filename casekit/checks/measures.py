@@ -8,7 +8,6 @@ from casekit.checks.tables import ROLES, cases, with_cases, with_life
 from casekit.functions.expressions import US_PER_DAY, attach_row
 from casekit.operators import breakdowns, executive, kpis
 from casekit.operators import lifecycle as L
-from casekit.plans import roles as R
 
 NO_STATUS = ROLES.without("status")
 NO_LIFECYCLE = ROLES.without("status", "closing_date")
@@ -90,11 +89,6 @@ def sla_breach(s, d):
     return breakdowns.sla_breach_detail(view(s, d), ROLES)
 
 
-def eligibility(s, d):
-    """Eligibility per metric of a binding without status; needs no rows."""
-    return R.eligibility_report(s, NO_STATUS)
-
-
 QUERIES = {
     "lifecycle_flags": lifecycle_flags,
     "lifecycle_closing_only": lifecycle_closing_only,
@@ -125,13 +119,15 @@ QUERIES = {
     "hierarchy_risk_circles": lambda s, d: breakdowns.hierarchy_risk(
         ROLES.without("zone").view(cases(s, d)), ROLES.without("zone")
     ),
-    "top_repeat_consumers": lambda s, d: breakdowns.top_repeat_consumers(view(s, d), ROLES),
+    "top_repeat_consumers": lambda s, d: breakdowns.top_repeat_consumers(view(s, d), ROLES, 20),
+    "top_repeat_consumers_all": lambda s, d: breakdowns.top_repeat_consumers(view(s, d), ROLES),
     "sla_breach_detail": sla_breach,
     "executive_kpis": lambda s, d: executive.executive_kpis(view(s, d), ROLES),
     "executive_deltas": lambda s, d: executive.executive_deltas(view(s, d), ROLES),
     "hierarchy_anomalies": lambda s, d: executive.hierarchy_anomalies(view(s, d), ROLES),
     "hierarchy_anomalies_officer": lambda s, d: executive.hierarchy_anomalies(view(s, d), ROLES, "officer"),
-    "pareto_hotspots": lambda s, d: executive.pareto_hotspots(view(s, d), ROLES),
+    "pareto_hotspots": lambda s, d: executive.pareto_hotspots(view(s, d), ROLES, longer_than=5, keep=3),
+    "pareto_hotspots_all": lambda s, d: executive.pareto_hotspots(view(s, d), ROLES),
     "pareto_hierarchy": lambda s, d: executive.pareto_hierarchy(view(s, d), ROLES),
 }
 
@@ -337,6 +333,17 @@ ORACLE = {
       round(count(*) FILTER (is_closed) * 100.0 / count(*), 1) AS closure_rate FROM life GROUP BY 1"""),
     "hierarchy_risk": with_life(_risk("zone")),
     "hierarchy_risk_circles": with_life(_risk("circle")),
+    "top_repeat_consumers_all": with_cases("""SELECT consumer_id, count(record_id) AS case_count FROM cases GROUP BY 1
+      HAVING count(record_id) > 1"""),
+    "pareto_hotspots_all": with_life(""", p AS (SELECT category, division AS administrative_unit, count(*) AS pending_volume FROM life
+        WHERE is_pending AND category IS NOT NULL AND division IS NOT NULL GROUP BY 1, 2),
+      c AS (SELECT *, row_number() OVER w AS position, sum(pending_volume) OVER w * 100.0 / sum(pending_volume) OVER () AS cum,
+        sum(pending_volume) OVER () AS total FROM p
+        WINDOW w AS (ORDER BY pending_volume DESC, category, administrative_unit ROWS UNBOUNDED PRECEDING)),
+      k AS (SELECT min(position) AS vital FROM c WHERE cum >= 80)
+      SELECT CAST(position AS INTEGER) AS position, category, administrative_unit, pending_volume,
+        round(pending_volume * 100.0 / total, 4) AS backlog_contribution_pct, CAST(0 AS BIGINT) AS omitted_count FROM c, k
+      WHERE position <= vital"""),
     "top_repeat_consumers": with_cases("""SELECT consumer_id, count(record_id) AS case_count FROM cases GROUP BY 1
       HAVING count(record_id) > 1 ORDER BY 2 DESC, 1 LIMIT 20"""),
     "sla_breach_detail": with_life("""SELECT * EXCLUDE (is_closed, is_pending, is_reopened, res_days, age_days, ref_date)

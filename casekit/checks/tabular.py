@@ -75,6 +75,7 @@ QUERIES = {
     ),
     "filter_counts": lambda s, d: filters.filter_counts(cases(s, d), ROLES, STATE, DRILL),
     "filter_options": lambda s, d: filters.filter_options(cases(s, d), "officer", 40),
+    "filter_options_all": lambda s, d: filters.filter_options(cases(s, d), "officer"),
     "search_options": lambda s, d: filters.search_options(cases(s, d), "officer", "#00000000", 500),
     "drill_topology": lambda s, d: filters.drill_topology(cases(s, d), LEVELS),
     "drill_children": lambda s, d: filters.drill_children(filters.drill_topology(cases(s, d), LEVELS), LEVELS, ["ASIA"]),
@@ -103,9 +104,10 @@ QUERIES = {
     "describe_numeric": lambda s, d: aggregates.describe(table(s, d, "lineitem"), "l_extendedprice"),
     "describe_by_group": lambda s, d: aggregates.describe(table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag"]),
     "correlation_matrix": lambda s, d: aggregates.correlation_matrix(table(s, d, "lineitem"), NUMBERS),
-    "crosstab": lambda s, d: aggregates.crosstab(with_gaps(s, d), "flag", "l_linenumber"),
+    "crosstab": lambda s, d: aggregates.crosstab(with_gaps(s, d), "flag", "l_linenumber", x_values=[1, 2, 4, 5, 6, 7]),
+    "crosstab_cells": lambda s, d: aggregates.crosstab(table(s, d, "lineitem"), "l_suppkey", "l_linenumber"),
     "crosstab_mean": lambda s, d: aggregates.crosstab(
-        cases(s, d), "zone", "status", "amount", "mean"
+        cases(s, d), "zone", "status", "amount", "mean", ["Closed", "Open", "Re-opened"]
     ).withColumn("value", F.round("value", 4)),
     "crosstab_wide": lambda s, d: aggregates.crosstab_wide(cases(s, d), "zone", "status", ["Closed", "Open", "Re-opened"]),
     "top_n": lambda s, d: aggregates.top_n(
@@ -116,7 +118,7 @@ QUERIES = {
     ),
     "clip_other": lambda s, d: aggregates.clip_to_other(cases(s, d), ["officer", "circle"], 6)
     .groupBy("officer", "circle").agg(F.count(F.lit(1)).alias("rows")),
-    "bounded_sample": lambda s, d: aggregates.bounded_sample(table(s, d, "lineitem"), "l_orderkey"),
+    "bounded_sample": lambda s, d: aggregates.bounded_sample(table(s, d, "orders"), "o_orderkey", 500),
 }
 
 _AGG_SQL = {
@@ -148,6 +150,9 @@ ORACLE = {
         AND status IN ('Open', 'Closed') AND priority IN ('high', 'low') AND zone = 'EUROPE') AS rows_after FROM cases"""),
     "filter_options": with_cases("""SELECT officer AS option FROM (SELECT trim(officer) AS officer, count(*) AS n FROM cases
       WHERE trim(officer) <> '' GROUP BY 1 ORDER BY n DESC, officer LIMIT 40)"""),
+    "filter_options_all": with_cases("SELECT DISTINCT trim(officer) AS option FROM cases WHERE trim(officer) <> ''"),
+    "crosstab_cells": "SELECT l_suppkey, l_linenumber, count(*) AS value FROM lineitem GROUP BY 1, 2",
+    "bounded_sample": "SELECT * FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500",
     "search_options": with_cases("""SELECT DISTINCT trim(officer) AS option FROM cases
       WHERE contains(lower(officer), '#00000000') ORDER BY 1 LIMIT 500"""),
     "drill_topology": with_cases("""SELECT DISTINCT 1 AS level, zone, NULL AS circle, NULL AS division FROM cases WHERE zone IS NOT NULL

@@ -23,16 +23,21 @@ SERIAL_DATE_MIN = 25569
 SERIAL_DATE_MAX = 73050
 SERIAL_DATE_ORIGIN = "1899-12-30"
 
+# Fixed value: signs that are left out of a number text.
 CURRENCY_MARKS = r"[₹$€£¥,\s]"
 NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
-# Accepted date texts in order of preference: (shape, pattern).
-DATE_SHAPES = (
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{4,9}-\d{4}$", "d-MMMM-yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-)
+# Date texts: three parts with a month by number or by name, a time of day if any, or eight digits.
+_TIME = r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))? ?([AaPp][Mm])?Z?)?"
+YEAR_FIRST = rf"^(\d{{4}})[-/. ](\d{{1,2}})[-/. ](\d{{1,2}}){_TIME}$"
+YEAR_LAST = rf"^(\d{{1,2}})([-/. ])(\d{{1,2}})[-/. ](\d{{4}}|\d{{2}}){_TIME}$"
+NAMED_MONTH = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[-/. ]+([A-Za-z]{{3,9}})\.?,?[-/. ]+(\d{{4}}|\d{{2}}){_TIME}$"
+MONTH_FIRST = rf"^([A-Za-z]{{3,9}})\.?[-/. ]+(\d{{1,2}})(?:st|nd|rd|th)?,?[-/. ]+(\d{{4}}){_TIME}$"
+EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+MONTHS = ("january february march april may june july august september october november december").split()
+# A two-digit year up to this one is of this century.
+CENTURY_PIVOT = 68
+DAY_ORDERS = ("by sign", "month first", "day first")
 ISO_DATE_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 US_PER_HOUR = 3_600_000_000.0
@@ -97,15 +102,56 @@ def numeric(df: DataFrame, name: str) -> Column:
     return as_number(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
-def date_from_text(c: Column | str) -> Column:
-    """Mixed-format dates as naive timestamps; one column may mix all known shapes."""
+def _moment(y: Column, m: Column, d: Column, t: Column, shape: str, first: int) -> Column:
+    """A naive timestamp from year, month and day texts and the shape's time groups; null if there is no such day."""
+    hour, minute, second, half = (F.regexp_extract(t, shape, first + k) for k in range(4))
+    year = y.try_cast("int")
+    year = F.when(F.length(y) > 2, year).otherwise(year + F.when(year <= CENTURY_PIVOT, 2000).otherwise(1900))
+    hours = F.coalesce(hour.try_cast("int"), F.lit(0))
+    hours = F.when(F.lower(half) == "pm", hours % 12 + 12).when(F.lower(half) == "am", hours % 12).otherwise(hours)
+    return F.try_make_timestamp_ntz(
+        year, m.try_cast("int"), d.try_cast("int"), hours, F.coalesce(minute.try_cast("int"), F.lit(0)),
+        F.coalesce(second.try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)")),
+    )
+
+
+def date_from_text(c: Column | str, order: str = "by sign") -> Column:
+    """Mixed-format dates as naive timestamps; one column may mix all known shapes.
+
+    Where a day and a month by number could change places, `order` decides: "month first", "day first", or
+    "by sign": month first with slashes and dots, day first with dashes. A part over 12 is the day anyway.
+    """
     t = F.replace(text(c), F.lit("_"), F.lit("-"))
+
+    def part(shape: str, k: int) -> Column:
+        return F.regexp_extract(t, shape, k)
+
     iso = F.when(t.rlike(ISO_DATE_SHAPE), t.try_cast("timestamp_ntz"))
-    others = [
-        F.when(t.rlike(shape), F.try_to_date(t, pattern).cast("timestamp_ntz"))
-        for shape, pattern in DATE_SHAPES
-    ]
-    return F.coalesce(iso, *others)
+    a, sign, b = part(YEAR_LAST, 1), part(YEAR_LAST, 2), part(YEAR_LAST, 3)
+    day_first = {"by sign": sign == "-", "month first": F.lit(False), "day first": F.lit(True)}[order]
+    swapped = (day_first & (b.try_cast("int") <= 12)) | (a.try_cast("int") > 12)
+    month, day = F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)
+
+    def named(shape: str, k: int) -> Column:
+        letters = F.lower(part(shape, k))
+        numbers = [F.when(F.startswith(F.lit(m), letters) | ((letters == "sept") & F.lit(m == "september")), i + 1) for i, m in enumerate(MONTHS)]
+        return F.coalesce(*numbers).cast("string")
+
+    return F.coalesce(
+        iso,
+        F.when(t.rlike(YEAR_LAST), _moment(part(YEAR_LAST, 4), month, day, t, YEAR_LAST, 5)),
+        F.when(t.rlike(YEAR_FIRST), _moment(part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3), t, YEAR_FIRST, 4)),
+        F.when(t.rlike(NAMED_MONTH), _moment(part(NAMED_MONTH, 3), named(NAMED_MONTH, 2), part(NAMED_MONTH, 1), t, NAMED_MONTH, 4)),
+        F.when(t.rlike(MONTH_FIRST), _moment(part(MONTH_FIRST, 3), named(MONTH_FIRST, 1), part(MONTH_FIRST, 2), t, MONTH_FIRST, 4)),
+        F.when(t.rlike(EIGHT_DIGITS), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("timestamp_ntz")),
+    )
+
+
+def is_ambiguous_date(c: Column | str) -> Column:
+    """Whether a date text has a day and a month by number that could change places."""
+    t = F.replace(text(c), F.lit("_"), F.lit("-"))
+    a, b = (F.regexp_extract(t, YEAR_LAST, k).try_cast("int") for k in (1, 3))
+    return F.coalesce(t.rlike(YEAR_LAST) & (a <= 12) & (b <= 12) & (a != b), F.lit(False))
 
 
 def date_from_serial(c: Column | str) -> Column:

@@ -1,11 +1,11 @@
 """Exact order statistics that stay spread over the cluster.
 
-A built-in exact percentile keeps every distinct value of a group in one task. Here the
-rows are first reduced to `(key, value) → count`, so a hot value costs one row. The
-distinct values are then put into order-preserving buckets whose number is bounded by the
-number format, not by the data; only the bucket totals are scanned in order, and only the
-buckets that hold a wanted rank are sorted. The counts feed all steps through one
-shuffle, which Spark reuses.
+A built-in exact percentile keeps every distinct value of a group in one task. Here a histogram finds the few
+values that matter: the rows are counted in order-preserving buckets by size, whose number is bounded by the
+number format; only buckets that hold a wanted rank are counted again, in even parts of their own range; and only
+the values in such parts are sorted. Counts are summed before each shuffle, so what is shuffled are buckets, and
+at the end the values of a few narrow parts. One far outlier, or one group on another scale, falls in a bucket of
+its own and leaves the others as fine as they were. A hot value costs one row per task.
 """
 
 from __future__ import annotations
@@ -13,25 +13,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import attach_row, col
+from casekit.functions.expressions import col
+from casekit.sources.files import settle
 
-BUCKETS_PER_OCTAVE = 256
+BUCKETS_PER_OCTAVE = 64
 EXPONENT_SHIFT = 1075
-LINEAR_BUCKETS = 16_384
+PARTS = 16_384
 
-# Bucket numbers never decrease as the value grows. They join a logarithmic scale, which copes
-# with long tails, and an even split of the range, which copes with narrow ranges such as
-# dates. Both only ever step up, so together they make no more buckets than the two added up.
-_BY_SIZE = (
-    f"coalesce(cast(signum(__double) AS bigint) * floor((log2(abs(__double)) + {EXPONENT_SHIFT}) * {BUCKETS_PER_OCTAVE}), 0L)"
+# Bucket numbers never decrease as the value grows, and neither do the parts of a bucket.
+_DOUBLE = "cast(__value AS double)"
+BUCKET = (
+    f"coalesce(cast(signum({_DOUBLE}) AS bigint) * floor((log2(abs({_DOUBLE})) + {EXPONENT_SHIFT})"
+    f" * {BUCKETS_PER_OCTAVE}), 0L)"
 )
-_BY_RANGE = (
-    f"coalesce(floor(try_divide(__double - __ends.low, __ends.high - __ends.low) * {LINEAR_BUCKETS}), 0L)"
-)
-VALUE_BUCKET = f"{_BY_SIZE} * {LINEAR_BUCKETS + 1} + {_BY_RANGE}".replace("__double", "cast(__value AS double)")
+PART = f"coalesce(floor(try_divide({_DOUBLE} - __low, __high - __low) * {PARTS}), 0L)"
 
 
 class Quantile(NamedTuple):
@@ -47,41 +45,16 @@ def _partition(*columns: str) -> str:
 
 
 def value_counts(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> DataFrame:
-    """`(keys, __value) → __n` over finite values; rows with a missing key are dropped."""
+    """`(keys, __value, __n)` for finite values, one row each; rows with a missing key are dropped."""
     present = "__value IS NOT NULL AND NOT isnan(cast(__value AS double)) AND abs(cast(__value AS double)) <> double('inf')"
     for k in keys:
         present += f" AND `{k}` IS NOT NULL"
-    kept = df.select(*keys, col(value).alias("__value")).where(present)
-    return kept.groupBy(*keys, "__value").agg(F.expr("count(1) AS __n"))
-
-
-def with_buckets(counts: DataFrame) -> DataFrame:
-    """Adds the order-preserving `__bucket` of each value."""
-    # Asking for the rows too keeps the counts' plan the same as elsewhere, so its shuffle is shared.
-    ends = counts.selectExpr(
-        "cast(min(__value) AS double) AS low", "cast(max(__value) AS double) AS high", "sum(__n) AS rows"
-    )
-    return attach_row(counts, ends, "__ends").withColumn("__bucket", F.expr(VALUE_BUCKET)).drop("__ends")
-
-
-def _bucket_offsets(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per bucket: rows in lower buckets (`__below`), own rows (`__rows`), rows in all (`__total`)."""
-    totals = binned.groupBy(*keys, "__bucket").agg(F.expr("sum(__n) AS __rows"))
-    upto = f"sum(__rows) OVER ({_partition(*keys)} ORDER BY __bucket ROWS UNBOUNDED PRECEDING)"
-    return totals.selectExpr("*", f"{upto} - __rows AS __below", f"sum(__rows) OVER ({_partition(*keys)}) AS __total")
+    return df.select(*keys, col(value).alias("__value")).where(present).withColumn("__n", F.expr("1L"))
 
 
-def _start_in_bucket(joined: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds `__before`, the rows of the group with a smaller value."""
-    upto = f"sum(__n) OVER ({_partition(*keys, '__bucket')} ORDER BY __value ROWS UNBOUNDED PRECEDING)"
-    return joined.withColumn("__before", F.expr(f"__below + {upto} - __n"))
-
-
-def ranked_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts with `__before` (rows holding a smaller value) and `__total`."""
-    binned = with_buckets(counts)
-    joined = binned.join(_bucket_offsets(binned, keys), [*keys, "__bucket"])
-    return _start_in_bucket(joined, keys).select(*keys, "__value", "__n", "__before", "__total")
+def _upto(keys: Sequence[str], order: str) -> str:
+    """Rows up to this one in the order of a column."""
+    return f"sum(__n) OVER ({_partition(*keys)} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
 
 
 def at_ranks(counts: DataFrame, ranks: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
@@ -89,20 +62,39 @@ def at_ranks(counts: DataFrame, ranks: Mapping[str, str], keys: Sequence[str] =
 
     One row per group: `keys`, `total`, and per name a struct `(value, before)`.
     """
-    binned = with_buckets(counts)
     slots = {name: f"__rank_{i}" for i, name in enumerate(ranks)}
+    wanted = list(slots.values())
 
     def holds(slot: str, start: str, rows: str) -> str:
         return f"({slot} >= {start} AND {slot} < {start} + {rows})"
 
-    offsets = _bucket_offsets(binned, keys).selectExpr(
-        "*", *[f"cast({rank} AS bigint) AS {slots[name]}" for name, rank in ranks.items()]
+    def with_rank(start: str, rows: str) -> str:
+        return " OR ".join(holds(s, start, rows) for s in slots.values())
+
+    # 1: buckets by size, each with its own ends.
+    sized = counts.withColumn("__bucket", F.expr(BUCKET))
+    ends = [F.expr(f"min({_DOUBLE}) AS __low"), F.expr(f"max({_DOUBLE}) AS __high")]
+    totals = sized.groupBy(*keys, "__bucket").agg(F.expr("sum(__n) AS __n"), *ends)
+    placed = totals.selectExpr(
+        "*", f"{_upto(keys, '__bucket')} - __n AS __below", f"sum(__n) OVER ({_partition(*keys)}) AS __total"
+    ).selectExpr("*", *[f"cast({rank} AS bigint) AS {slots[name]}" for name, rank in ranks.items()])
+    first = placed.where(with_rank("__below", "__n")).drop("__n")
+    # 2: even parts of the buckets that hold a rank. Without keys there are at most as many as ranks.
+    first = first if keys else F.broadcast(first)
+    parted = sized.join(first, [*keys, "__bucket"]).withColumn("__part", F.expr(PART)).drop("__low", "__high")
+    in_bucket = [*keys, "__bucket"]
+    kept = [F.max(c).alias(c) for c in ("__below", "__total", *slots.values())]
+    narrow = parted.groupBy(*in_bucket, "__part").agg(F.expr("sum(__n) AS __n"), *kept).selectExpr(
+        *[f"`{c}`" for c in in_bucket], "__part", "__n", "__total", *wanted,
+        f"__below + {_upto(in_bucket, '__part')} - __n AS __start",
     )
-    targets = offsets.where(" OR ".join(holds(s, "__below", "__rows") for s in slots.values())).drop("__rows")
-    if not keys:
-        # At most one row per wanted rank.
-        targets = F.broadcast(targets)
-    near = _start_in_bucket(binned.join(targets, [*keys, "__bucket"]), keys)
+    second = narrow.where(with_rank("__start", "__n")).select(*in_bucket, "__part", "__start")
+    # 3: the values of the parts that hold a rank.
+    second = second if keys else F.broadcast(second)
+    in_part = [*in_bucket, "__part"]
+    near = parted.join(second, in_part).groupBy(*in_part, "__value").agg(
+        F.expr("sum(__n) AS __n"), *[F.max(c).alias(c) for c in ("__start", "__total", *slots.values())]
+    ).selectExpr("*", f"__start + {_upto(in_part, '__value')} - __n AS __before")
     hits = {name: holds(s, "__before", "__n") for name, s in slots.items()}
     found = "struct(__value AS value, __before AS before)"
     return near.where(" OR ".join(hits.values())).groupBy(*keys).agg(
@@ -140,9 +132,58 @@ def quantiles_of(
     return quantiles(value_counts(df, value, keys), wanted, keys)
 
 
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows written in ordered ranges of even size, with the number of the range as `__range`.
+
+    Ties are split by the later columns of the order. Writing is a job that runs while the plan is built.
+    """
+    return settle(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def row_numbers(df: DataFrame, *order: Column, out: str) -> DataFrame:
+    """Adds the number of each row in an order, from 0: its number in its range after those of lower ranges."""
+    ranged = in_ranges(df, *order)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    below = F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    numbered = ranged.join(sizes.select("__range", below.alias("__below")), "__range").withColumn(out, F.col("__below") + inside)
+    return numbered.drop("__range", "__below")
+
+
+def running_sums(df: DataFrame, value: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds `upto`, the sum of the value down to a row, largest first, and `total`, both per key.
+
+    Ranges are summed on their own; only their sums, one row per range and key, are summed up in order.
+    """
+    order = [F.col(value).desc_nulls_last(), F.col(tie).asc()]
+    ranged = in_ranges(df, *[F.col(k) for k in keys], *order)
+    sums = ranged.groupBy(*keys, "__range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
+    by_range = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.withColumns(
+        {"__above": F.sum("__sum").over(by_range) - F.col("__sum"), "total": F.sum("__sum").over(Window.partitionBy(*keys))}
+    ).drop("__sum")
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(starts, [*keys, "__range"])
+    upto = F.col("__above") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return joined.withColumn("upto", upto).drop("__above", "__range")
+
+
 def average_rank_share(df: DataFrame, value: str) -> DataFrame:
-    """Adds `rank_share`: average rank of the value (ties share it) over the row count."""
-    ranked = ranked_counts(value_counts(df, value)).selectExpr(
-        f"__value AS `{value}`", "(__before + (__n + 1) / 2) / __total AS rank_share"
+    """Adds `rank_share`: average rank of the value (ties share it) over the row count.
+
+    Distinct values are ranked by running counts; the join back on the value leaves a hot value to Spark's
+    splitting of skewed joins.
+    """
+    counts = value_counts(df, value).groupBy("__value").agg(F.expr("sum(__n) AS __n"))
+    ranged = in_ranges(counts, F.col("__value").asc())
+    sums = ranged.groupBy("__range").agg(F.sum("__n").alias("__rows"))
+    by_range = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.select(
+        "__range", (F.sum("__rows").over(by_range) - F.col("__rows")).alias("__below"),
+        F.sum("__rows").over(Window.partitionBy()).alias("__total"),
+    )
+    before = f"__below + {_upto(['__range'], '__value')} - __n"
+    ranked = ranged.join(starts, "__range").selectExpr(
+        f"__value AS `{value}`", f"({before} + (__n + 1) / 2) / __total AS rank_share"
     )
     return df.join(ranked, value)

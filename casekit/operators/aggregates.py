@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from casekit.functions.expressions import all_of, attach_row, numeric
 from casekit.functions.order_stats import Quantile, quantiles_of
-from casekit.plans.roles import groupable
+from casekit.plans.roles import groupable, ineligible
 from casekit.sources.files import settle
 
 AGGREGATIONS = ("count", "sum", "mean", "median", "min", "max", "nunique")
@@ -79,12 +79,12 @@ def top_n_with_groups(table: DataFrame, x: str, value: str, n: int) -> DataFrame
     if n <= 0:
         return table
     totals = table.groupBy(x).agg(F.sum(value).alias("__total"))
-    head = top_n(totals, "__total", [x], n).select(x)
-    return table.join(F.broadcast(head), x, "left_semi")
+    # n is the caller's: Spark decides by the head's size whether to broadcast it.
+    return table.join(top_n(totals, "__total", [x], n).select(x), x, "left_semi")
 
 
-def share_of_group(table: DataFrame, x: str, value: str, out: str = "share_pct") -> DataFrame:
-    total = F.sum(value).over(Window.partitionBy(x))
+def share_of_group(table: DataFrame, x: str | Sequence[str], value: str, out: str = "share_pct") -> DataFrame:
+    total = F.sum(value).over(Window.partitionBy(*([x] if isinstance(x, str) else x)))
     return table.withColumn(out, F.round(F.try_divide(F.col(value) * 100.0, total), 2))
 
 
@@ -115,9 +115,9 @@ def clip_to_other(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     return attach_row(df, kept, "__kept").withColumns(clipped).drop("__kept")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int = 5000, seed: int = 42) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
     """Repeatable sample of a fixed size: the rows with the smallest seeded hashes."""
-    return df.orderBy(F.xxhash64(_named(key), F.lit(seed)), _named(key)).limit(rows)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), _named(key).cast("string"))), _named(key)).limit(rows)
 
 
 DESCRIBE = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -158,7 +158,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
     if columns is None:
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     if len(columns) < 2:
-        raise ValueError("a correlation matrix needs two numeric columns")
+        return ineligible(df.sparkSession, "correlation", ["two numeric columns"])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     row = df.agg(*[F.corr(numeric(df, a), numeric(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
@@ -170,11 +170,19 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digi
     )
 
 
-def crosstab(df: DataFrame, y: str, x: str, value: str | None = None, agg: str = "count") -> DataFrame:
-    """Every `y` × `x` combination with its aggregate, absent ones 0, in long form."""
-    cells = settle(group_aggregate(df, [y, x], value, agg), "cells")
-    across = cells.agg(F.collect_set(x).alias("__x")).scalar()
-    spine = cells.select(y).distinct().withColumn(x, F.explode(across))
+def crosstab(df: DataFrame, y: str, x: str, value: str | None = None, agg: str = "count",
+             x_values: Sequence | None = None) -> DataFrame:
+    """Aggregate per `y` × `x` combination in long form.
+
+    Combinations that no row has are left out, unless `x_values` names the values across: then every `y` has a
+    cell for each of them, absent ones 0.
+    """
+    cells = group_aggregate(df, [y, x], value, agg)
+    if x_values is None:
+        return cells
+    cells = settle(cells.where(_named(x).isin(*x_values)), "cells")
+    rows = df.select(y).where(_named(y).isNotNull()).distinct()
+    spine = rows.withColumn(x, F.explode(F.array(*[F.lit(v) for v in x_values])))
     return spine.join(cells, [y, x], "left").fillna(0, ["value"])
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import US_PER_DAY, attach_row, month_label, period_start, rate, text, us_between
+from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, ineligible, missing_for
+from casekit.sources.files import settle
 
 
 def needs_roles(metric: str):
@@ -107,10 +109,10 @@ def hierarchy_risk(view: DataFrame, roles: Roles, reference_date: str | None = N
     scored = units.withColumn(
         "risk_score", F.round(F.col("pending") / F.col("total_cases") * (1 + age_factor) * 100, 1)
     )
-    # Administrative units are few, so their scores fit one aggregate buffer.
-    cuts = scored.agg(F.percentile("risk_score", F.array(F.lit(0.33), F.lit(0.66))).alias("at"))
-    score, at = F.col("risk_score"), F.col("cuts.at")
-    tier = F.when(score <= at[0], "Low").when(score <= at[1], "Medium").otherwise("High")
+    scored = settle(scored, "units")
+    cuts = quantiles_of(scored, "risk_score", [Quantile("low", 0.33), Quantile("high", 0.66)])
+    score = F.col("risk_score")
+    tier = F.when(score <= F.col("cuts.low"), "Low").when(score <= F.col("cuts.high"), "Medium").otherwise("High")
     return (
         attach_row(scored, cuts, "cuts")
         .withColumn("risk_tier", tier)
@@ -121,16 +123,17 @@ def hierarchy_risk(view: DataFrame, roles: Roles, reference_date: str | None = N
 
 
 @needs_roles("top_repeat_consumers")
-def top_repeat_consumers(view: DataFrame, roles: Roles, n: int = 20) -> DataFrame:
+def top_repeat_consumers(view: DataFrame, roles: Roles, n: int = 0) -> DataFrame:
+    """Consumers with more than one record, most records first; with N, the first N."""
     counted = F.count(R.RECORD_ID) if roles.has(R.RECORD_ID) else F.count(F.lit(1))
-    return (
+    ordered = (
         view.where(F.col(R.CONSUMER_ID).isNotNull())
         .groupBy(R.CONSUMER_ID)
         .agg(counted.alias("case_count"))
         .where("case_count > 1")
         .orderBy(F.desc("case_count"), R.CONSUMER_ID)
-        .limit(n)
     )
+    return ordered.limit(n) if n > 0 else ordered
 
 
 @needs_roles("sla_breach_detail")

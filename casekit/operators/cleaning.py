@@ -181,6 +181,7 @@ class Cleaned:
     cleaned: DataFrame
     analytics: DataFrame
     report: DataFrame
+    losses: DataFrame
     duplicates: DataFrame | None
     outliers: DataFrame | None
     conversions: Conversions
@@ -210,7 +211,22 @@ def clean_table(df: DataFrame, roles: Roles, profile: DataFrame | None = None) -
     status = roles.resolve(R.STATUS)
     analytics = canonicalize_status(cleaned, status) if status in cleaned.columns else cleaned
     report = cleaning_report(typed, rows, df, chosen, duplicates, outliers)
-    return Cleaned(cleaned, analytics, report, duplicates, outliers, chosen)
+    return Cleaned(cleaned, analytics, report, conversion_losses(filled, chosen), duplicates, outliers, chosen)
+
+
+def conversion_losses(filled: DataFrame, chosen: Conversions) -> DataFrame:
+    """Per converted column its filled cells and those that conversion leaves empty, from one scan."""
+    readings = {c: number_from_text(F.col(f"`{c}`")) for c in chosen.numbers}
+    readings |= {c: date_from_text(F.col(f"`{c}`")) for c in chosen.text_dates}
+    readings |= {c: date_from_serial(F.col(f"`{c}`")) for c in chosen.serial_dates}
+    if not readings:
+        return filled.sparkSession.createDataFrame([], "column string, filled bigint, lost bigint")
+    measures, rows = [], []
+    for i, (c, reading) in enumerate(readings.items()):
+        measures.append(F.count(F.col(f"`{c}`")).alias(f"filled_{i}"))
+        measures.append(F.count_if(F.col(f"`{c}`").isNotNull() & reading.isNull()).alias(f"lost_{i}"))
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"filled_{i}").alias("filled"), F.col(f"lost_{i}").alias("lost")))
+    return filled.agg(*measures).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def cleaning_report(

@@ -6,17 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casekit.functions.expressions import attach_row, numeric, period_start
 from casekit.operators import lifecycle as L
+from casekit.functions.order_stats import running_sums
 from casekit.operators.aggregates import (
-    clip_to_other, describe, group_aggregate, group_measures, order_by_value, share_of_group, top_n, top_n_with_groups,
+    bounded_sample, clip_to_other, describe, group_aggregate, group_measures, hierarchy_rollup, share_of_group, top_n,
+    top_n_with_groups,
 )
 from casekit.operators.filters import outlier_filter
 from casekit.plans.roles import Roles
 from casekit.sources.files import settle
 
-MAX_BARS = 100
 DAY = "yyyy-MM-dd"
 # Trailing window per grain.
 DEFAULT_WINDOWS = {"D": 30, "W": 4, "M": 3, "Q": 2, "Y": 2}
@@ -26,48 +28,55 @@ GROWTH_GRAINS = {"mom": "M", "qoq": "Q", "yoy": "Y"}
 
 
 def bar(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n: int = 0, order: str = "desc",
-        group: str | None = None) -> DataFrame:
-    """Sorted bars, the first N of them when N is given."""
-    keys = [x, group] if group and group != x else [x]
+        group: str | None = None, facet: str | None = None) -> DataFrame:
+    """Sorted bars, the first N of them when N is given; a facet splits them further."""
+    keys = list(dict.fromkeys(c for c in (x, group, facet) if c))
     return top_n(group_aggregate(df, keys, value, agg), "value", keys, n, order)
 
 
 def bar_horizontal(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n: int = 0,
-                   order: str = "desc", group: str | None = None) -> DataFrame:
-    """As `bar`, showing at most the 100 largest bars."""
+                   order: str = "desc", group: str | None = None, most: int = 0) -> DataFrame:
+    """As `bar`; with `most`, at most that many of the bars asked for, in their order."""
     keys = [x, group] if group and group != x else [x]
-    return top_n(bar(df, x, value, agg, n, order, group), "value", keys, MAX_BARS)
+    return top_n(bar(df, x, value, agg, n, order, group), "value", keys, most, order)
 
 
-def bar_grouped(df: DataFrame, x: str, group: str, value: str | None = None, agg: str = "count", n: int = 20,
-                normalize: bool = False) -> DataFrame:
-    """All groups of the N largest bars, optionally with each group's share of its bar."""
-    kept = top_n_with_groups(group_aggregate(df, [x, group], value, agg), x, "value", n)
-    return share_of_group(kept, x, "value") if normalize else kept
+def bar_grouped(df: DataFrame, x: str, group: str, value: str | None = None, agg: str = "count", n: int = 0,
+                normalize: bool = False, facet: str | None = None) -> DataFrame:
+    """All groups of the N largest bars (0: of all), optionally with each group's share of its bar."""
+    keys = [x, group, *([facet] if facet else [])]
+    kept = top_n_with_groups(group_aggregate(df, keys, value, agg), x, "value", n)
+    return share_of_group(kept, [x, *([facet] if facet else [])], "value") if normalize else kept
 
 
-def pareto(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n: int = 20,
+def pareto(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n: int = 0,
            threshold: float = 80.0) -> DataFrame:
-    """Top-N bars with the running share of what is shown and the vital-few class."""
-    shown = top_n(group_aggregate(df, [x], value, agg), "value", [x], n)
-    # At most n rows are left, so one ordered window is enough.
-    ordered = Window.orderBy(*order_by_value("value", [x]))
-    upto = F.sum("value").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("value").over(Window.partitionBy())
-    ranked = shown.withColumn("total", total).where("total <> 0")
-    ranked = ranked.withColumn("cumulative_pct", F.round(upto / F.col("total") * 100.0, 2))
-    before = F.lag("cumulative_pct", 1, 0.0).over(ordered)
+    """Bars, the N largest of them when N is given, with the running share of what is shown and the vital-few class.
+
+    Bars are summed up in ordered ranges, so all categories of a table need no single task. Writing the bars
+    out first is a job that runs while the plan is built.
+    """
+    shown = settle(top_n(group_aggregate(df, [x], value, agg), "value", [x], n), "bars")
+    ranked = running_sums(shown, "value", x).where("total <> 0")
+    share = F.round(F.col("upto") * 100.0 / F.col("total"), 2)
+    before = F.round((F.col("upto") - F.coalesce("value", F.lit(0))) * 100.0 / F.col("total"), 2)
     label = F.when(before < threshold, "Vital Few").otherwise("Trivial Many")
-    return ranked.withColumn("pareto_class", label).select(x, "value", "cumulative_pct", "pareto_class")
+    return ranked.select(x, "value", share.alias("cumulative_pct"), label.alias("pareto_class"))
 
 
 def period_series(df: DataFrame, date: str, grain: str = "M", value: str | None = None, agg: str = "count",
-                  group: str | None = None) -> DataFrame:
-    """Line data: one aggregate per period (its first day) and group."""
-    bucketed = df.where(F.col(date).isNotNull()).withColumn(
-        "period", F.date_format(period_start(date, grain), DAY)
-    )
-    return group_aggregate(bucketed, ["period", group] if group else ["period"], value, agg)
+                  group: str | None = None, facet: str | None = None) -> DataFrame:
+    """Line data: one aggregate per period (its first day), group and facet.
+
+    A column that holds no dates is its own scale: its values stand for the periods.
+    """
+    others = [c for c in (group, facet) if c]
+    if isinstance(df.schema[date].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        period = F.date_format(period_start(date, grain), DAY)
+    else:
+        period = F.col(date)
+    bucketed = df.where(F.col(date).isNotNull()).withColumn("period", period)
+    return group_aggregate(bucketed, ["period", *others], value, agg)
 
 
 def area_shares(df: DataFrame, date: str, group: str, grain: str = "M", value: str | None = None,
@@ -82,6 +91,23 @@ def scatter(df: DataFrame, group: str, x: str, y: str, agg: str = "mean") -> Dat
     return points.where("x IS NOT NULL AND y IS NOT NULL")
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, rows: int, key: str, group: str | None = None) -> DataFrame:
+    """Single points: a repeatable sample of so many rows that have both coordinates."""
+    points = df.select(key, *([group] if group else []), numeric(df, x).alias("x"), numeric(df, y).alias("y"))
+    return bounded_sample(points.where("x IS NOT NULL AND y IS NOT NULL"), key, rows)
+
+
+def box(df: DataFrame, value: str, keys: Sequence[str] = (), outliers: str | None = None) -> DataFrame:
+    """Quartiles, extremes and moments, whole or per group, with values outside the outlier limits left out."""
+    numbers = df.select(*keys, numeric(df, value).alias("__number")).where("__number IS NOT NULL")
+    return describe(outlier_filter(numbers, "__number", outliers), "__number", keys)
+
+
+def hierarchy(df: DataFrame, path: Sequence[str], value: str | None = None, agg: str = "count", n: int = 0) -> DataFrame:
+    """Treemap and sunburst data; with N, all but the N most frequent names of a level become (Other)."""
+    return hierarchy_rollup(clip_to_other(df, path, n), path, value, agg)
+
+
 def bubble(df: DataFrame, group: str, x: str, y: str, size: str | None = None, agg: str = "mean") -> DataFrame:
     """As scatter, with the sum of a size column or the row count as bubble size."""
     weight = (size, "sum") if size else (None, "count")
@@ -89,21 +115,19 @@ def bubble(df: DataFrame, group: str, x: str, y: str, size: str | None = None, a
     return points.where("x IS NOT NULL AND y IS NOT NULL")
 
 
-def share(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n: int = 10) -> DataFrame:
-    """Pie data: the N largest slices and their share of what is shown."""
+def share(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n: int = 0) -> DataFrame:
+    """Pie data: the slices, the N largest when N is given, and their share of what is shown."""
     shown = top_n(group_aggregate(df, [x], value, agg), "value", [x], n)
-    total = F.sum("value").over(Window.partitionBy())
-    return (
-        shown.withColumn("total", total)
-        .where("total <> 0")
-        .select(x, "value", F.round(F.col("value") / F.col("total") * 100.0, 2).alias("share_pct"))
-    )
+    total = F.col("__sum.total")
+    whole = attach_row(shown, shown.agg(F.sum("value").alias("total")), "__sum").where(total != 0)
+    return whole.select(x, "value", F.round(F.col("value") * 100.0 / total, 2).alias("share_pct"))
 
 
-def histogram(df: DataFrame, value: str, bins: int = 20, outliers: str | None = None) -> DataFrame:
-    """Equal-width bin counts with empty bins; nothing when under 10 % of the rows are numbers."""
+def histogram(df: DataFrame, value: str, bins: int = 20, outliers: str | None = None,
+              least_numeric: float = 0.0) -> DataFrame:
+    """Equal-width bin counts with empty bins; nothing when a smaller share of rows than `least_numeric` are numbers."""
     numbers = df.select(numeric(df, value).alias("v"))
-    usable = numbers.agg(F.avg(F.col("v").isNotNull().cast("double"))).scalar() >= 0.1
+    usable = numbers.agg(F.avg(F.col("v").isNotNull().cast("double"))).scalar() >= least_numeric
     kept = outlier_filter(numbers.where("v IS NOT NULL"), "v", outliers)
     limits = kept.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     low = F.col("l.low")
@@ -134,8 +158,11 @@ def sparkline(df: DataFrame, date: str, grain: str = "M", value: str | None = No
 
 
 def calendar_heatmap(df: DataFrame, date: str, value: str | None = None, agg: str = "count",
-                     year: int | None = None) -> DataFrame:
-    """Every day of the target year (the newest by default) with its value, weekday and calendar column."""
+                     year: int | None = None, least_dates: int = 1) -> DataFrame:
+    """Every day of the target year (the newest by default) with its value, weekday and calendar column.
+
+    Nothing when fewer than `least_dates` rows have a date.
+    """
     daily = settle(group_aggregate(df.withColumn("day", F.col(date).cast("date")), ["day"], value, agg), "daily")
     filled = df.agg(F.count(date)).scalar()
     target = F.lit(year) if year else F.year(F.max("day"))
@@ -147,7 +174,7 @@ def calendar_heatmap(df: DataFrame, date: str, value: str | None = None, agg: st
         F.when((F.month("day") == 1) & (week > 50), 1).when((F.month("day") == 12) & (week == 1), 53).otherwise(week)
     )
     return (
-        days.where(filled >= 7)
+        days.where(filled >= least_dates)
         .join(daily, "day", "left")
         .select(
             F.date_format("day", DAY).alias("day"), F.month("day").alias("month"), F.weekday("day").alias("weekday"),
@@ -156,7 +183,7 @@ def calendar_heatmap(df: DataFrame, date: str, value: str | None = None, agg: st
     )
 
 
-def flow_links(df: DataFrame, levels: Sequence[str], n: int = 15, min_flow: float = 1, value: str | None = None,
+def flow_links(df: DataFrame, levels: Sequence[str], n: int = 0, min_flow: float = 1, value: str | None = None,
                agg: str = "count") -> DataFrame:
     """Flows between consecutive levels; all level pairs come from one scan and one shuffle."""
     columns = [*levels, *([value] if value else [])]
@@ -225,7 +252,7 @@ def rolling_average(df: DataFrame, date: str, grain: str = "M", window: int | No
     )
 
 
-def growth(df: DataFrame, date: str, category: str, method: str = "mom", n: int = 15, window: int = 3,
+def growth(df: DataFrame, date: str, category: str, method: str = "mom", n: int = 0, window: int = 3,
            value: str | None = None, agg: str = "count") -> DataFrame:
     """Growth per category and observed period against the previous one, or against a rolling baseline.
 

@@ -10,19 +10,17 @@ from pyspark.sql import types as T
 
 from casekit.functions.expressions import US_PER_DAY, US_PER_HOUR, attach_row, capped, rate, us_between
 from casekit.functions.order_stats import (
-    Quantile, at_ranks, average_rank_share, quantiles, value_counts,
+    Quantile, at_ranks, average_rank_share, quantiles, quantiles_of, running_sums, value_counts,
 )
 from casekit.operators import lifecycle as L
 from casekit.operators.kpis import count_measures, fenced_age_summary, resolution_measures
 from casekit.plans import roles as R
-from casekit.plans.roles import Roles
+from casekit.plans.roles import Roles, ineligible
 from casekit.sources.files import settle
 
-# Robust score factor, Pareto target, and when and how far a hotspot list is cut.
+# Robust score factor and Pareto target.
 MODIFIED_Z_FACTOR = 0.6745
 PARETO_TARGET_PCT = 80
-HOTSPOT_LIMIT = 5
-HOTSPOT_KEEP = 3
 
 
 def dated(view: DataFrame) -> DataFrame:
@@ -46,8 +44,11 @@ def _filled(view: DataFrame, columns: list[str]) -> set[str]:
     return {c for c in columns if row[c]}
 
 
-def executive_kpis(view: DataFrame, roles: Roles, reference_date: str | None = None) -> DataFrame:
-    """One row of headline numbers. Business risk is pending count times fenced mean age."""
+def executive_kpis(view: DataFrame, roles: Roles) -> DataFrame:
+    """One row of headline numbers. Business risk is pending count times fenced mean age.
+
+    Ages are against the newest registration in the table.
+    """
     work, method, quality = L.with_executive_flags(dated(view), roles)
     newest = L.newest_registration(work).scalar()
     ages = L.with_age(work.where("is_pending"), newest)
@@ -144,13 +145,10 @@ def executive_deltas(view: DataFrame, roles: Roles) -> DataFrame:
 
 
 def with_modified_z(df: DataFrame, value: str, out: str = "z_score") -> DataFrame:
-    """Adds the robust z-score of a column; 0 for all rows when the median deviation is 0.
-
-    Meant for one row per unit: both medians keep one number per row in an aggregate buffer.
-    """
-    middle = attach_row(df, df.agg(F.median(value).alias("m")), "__mid").withColumn("__m", F.col("__mid.m"))
+    """Adds the robust z-score of a column; 0 for all rows when the median deviation is 0."""
+    middle = attach_row(df, quantiles_of(df, value, [Quantile("m", 0.5)]), "__mid").withColumn("__m", F.col("__mid.m"))
     off = F.col(value) - F.col("__m")
-    mad = middle.agg(F.median(F.abs(off)).alias("d"))
+    mad = quantiles_of(middle.withColumn("__off", F.abs(off)), "__off", [Quantile("d", 0.5)])
     z = F.try_divide(F.lit(MODIFIED_Z_FACTOR) * off, F.col("__mad.d"))
     scored = attach_row(middle, mad, "__mad").withColumn(out, F.round(F.coalesce(z, F.lit(0.0)), 4))
     return scored.drop("__mid", "__m", "__mad")
@@ -160,6 +158,8 @@ def hierarchy_anomalies(view: DataFrame, roles: Roles, unit: str | None = None)
     """Pending load times mean age per lowest unit, with robust z-score and severity by rank."""
     work, _, _ = L.with_executive_flags(dated(view), roles)
     unit = unit or lowest_unit(dated(view), roles)
+    if not unit:
+        return ineligible(view.sparkSession, "hierarchy_anomalies", ["a filled place, officer or category"])
     newest = L.newest_registration(work).scalar()
     units = (
         L.with_age(work.where(F.col("is_pending") & F.col(unit).isNotNull()), newest)
@@ -183,14 +183,18 @@ def hierarchy_anomalies(view: DataFrame, roles: Roles, unit: str | None = None)
     ).orderBy(F.desc("risk_score"), "unit_name")
 
 
-def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None) -> DataFrame:
-    """Category × unit pairs that make up 80 % of the backlog; long lists are cut to the first three.
+def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None, longer_than: int | None = None,
+                    keep: int = 0) -> DataFrame:
+    """Category × unit pairs that make up 80 % of the backlog, with their position.
 
-    Pairs are never ranked one by one: the number of vital pairs follows from a table of distinct
-    volumes, which is at most about the square root of twice the backlog long.
+    Only if asked to, a list longer than `longer_than` is cut to its first `keep`; `omitted_count` says how many
+    are then missing. A pair's position follows from a table of distinct volumes, which is at most about the
+    square root of twice the backlog long, and its place among pairs of its own volume.
     """
     work, _, _ = L.with_executive_flags(dated(view), roles)
     unit = unit or lowest_unit(dated(view), roles)
+    if not unit or not roles.has(R.CATEGORY):
+        return ineligible(view.sparkSession, "pareto_hotspots", ["category and a filled place or officer"])
     keyed = work.where(F.col("is_pending") & F.col(R.CATEGORY).isNotNull() & F.col(unit).isNotNull())
     pairs = keyed.groupBy(
         F.col(R.CATEGORY).cast("string").alias("category"), F.col(unit).cast("string").alias("administrative_unit")
@@ -207,12 +211,13 @@ def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None) -> D
         F.col("mass_upto") * 100 >= F.col("total") * PARETO_TARGET_PCT
     )
     cut = reached.agg(F.min_by("vital", "mass_upto").alias("vital"), F.max("total").alias("total"))
-    head = pairs.orderBy(F.desc("pending_volume"), "category", "administrative_unit").limit(HOTSPOT_LIMIT)
-    position = F.row_number().over(Window.orderBy(F.desc("pending_volume"), "category", "administrative_unit"))
     vital = F.col("cut.vital")
-    shown = F.when(vital > HOTSPOT_LIMIT, HOTSPOT_KEEP).otherwise(vital)
+    shown = vital if longer_than is None else F.when(vital > longer_than, keep).otherwise(vital)
+    above = running.select("pending_volume", (F.col("pairs_upto") - F.col("pairs")).alias("above"))
+    within = F.row_number().over(Window.partitionBy("pending_volume").orderBy("category", "administrative_unit"))
+    placed = pairs.join(above, "pending_volume").withColumn("position", (F.col("above") + within).cast("int"))
     return (
-        attach_row(head.withColumn("position", position), cut, "cut")
+        attach_row(placed, cut, "cut")
         .where(F.col("position") <= shown)
         .select(
             "position", "category", "administrative_unit", "pending_volume",
@@ -222,8 +227,14 @@ def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None) -> D
     )
 
 
+PARETO_SCHEMA = (
+    "depth int, level string, path string, name string, pending_volume bigint, backlog_contribution_pct double,"
+    " cumulative_pct double, is_vital_few boolean"
+)
+
+
 def pareto_hierarchy(view: DataFrame, roles: Roles) -> DataFrame:
-    """Pareto tree down the places as flat rows; only vital branches are opened.
+    """Pareto tree down the places as flat rows; only vital branches are opened. Nothing pending: no rows.
 
     The rows are reduced once to counts per full path; the at most seven levels work on those.
     """
@@ -233,7 +244,7 @@ def pareto_hierarchy(view: DataFrame, roles: Roles) -> DataFrame:
     filled = _filled(pending, places or roles.mapped(R.FLAT_FALLBACK))
     path = [c for c in places if c in filled] or [c for c in roles.mapped(R.FLAT_FALLBACK) if c in filled][:1]
     if not path:
-        raise ValueError("no filled place, officer or category column")
+        return view.sparkSession.createDataFrame([], PARETO_SCHEMA)
     counts = pending.groupBy(*[F.col(c).cast("string").alias(c) for c in path]).agg(F.count(F.lit(1)).alias("n"))
     counts = settle(counts, "paths")
     levels: list[DataFrame] = []
@@ -244,18 +255,16 @@ def pareto_hierarchy(view: DataFrame, roles: Roles) -> DataFrame:
         if parents is not None:
             inside = inside.join(parents, above, "left_semi")
         nodes = inside.groupBy(*above, column).agg(F.sum("n").alias("pending_volume"))
-        siblings = Window.partitionBy(*above)
-        ordered = siblings.orderBy(F.desc("pending_volume"), column)
-        total = F.sum("pending_volume").over(siblings)
-        upto = F.sum("pending_volume").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-        nodes = nodes.withColumns(
+        summed = running_sums(settle(nodes, "nodes"), "pending_volume", column, above)
+        share = F.round(F.col("pending_volume") / F.col("total") * 100.0, 4)
+        reached = F.round(F.col("upto") / F.col("total") * 100.0, 4)
+        reached_before = F.round((F.col("upto") - F.col("pending_volume")) / F.col("total") * 100.0, 4)
+        nodes = summed.withColumns(
             {
-                "backlog_contribution_pct": F.round(F.col("pending_volume") / total * 100.0, 4),
-                "cumulative_pct": F.round(upto / total * 100.0, 4),
+                "backlog_contribution_pct": share, "cumulative_pct": reached,
+                "is_vital_few": reached_before < PARETO_TARGET_PCT,
             }
         )
-        reached_before = F.lag("cumulative_pct", 1, 0.0).over(ordered)
-        nodes = nodes.withColumn("is_vital_few", reached_before < PARETO_TARGET_PCT)
         parents = nodes.where("is_vital_few").select(*above, column)
         levels.append(
             nodes.select(

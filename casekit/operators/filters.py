@@ -14,7 +14,6 @@ from casekit.operators.aggregates import group_aggregate
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
 
-MAX_OPTIONS = 500
 # Texts that are not a place on a drill path.
 BLANK_PLACES = ("", "nan", "none", "nat")
 
@@ -134,18 +133,20 @@ def filter_counts(
     return view.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(condition).alias("rows_after"))
 
 
-def filter_options(df: DataFrame, column: str, limit: int = MAX_OPTIONS) -> DataFrame:
-    """Choices for a column: trimmed, non-blank, the most frequent ones, in alphabetical order."""
+def filter_options(df: DataFrame, column: str, limit: int = 0) -> DataFrame:
+    """Choices for a column: trimmed, non-blank, in alphabetical order; with a limit the most frequent ones."""
     value = text(column)
     counts = df.select(value.alias("option")).where("option <> ''").groupBy("option").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "option").limit(limit).orderBy("option").select("option")
+    kept = counts.orderBy(F.desc("n"), "option").limit(limit) if limit > 0 else counts
+    return kept.orderBy("option").select("option")
 
 
-def search_options(df: DataFrame, column: str, needle: str, limit: int = MAX_OPTIONS) -> DataFrame:
-    """Choices of a many-valued column that contain the needle, in alphabetical order."""
+def search_options(df: DataFrame, column: str, needle: str, limit: int = 0) -> DataFrame:
+    """Choices of a many-valued column that contain the needle, in alphabetical order; with a limit the first ones."""
     value = text(column)
     hits = df.select(value.alias("option")).where(F.contains(F.lower("option"), F.lit(needle.strip().lower())))
-    return hits.distinct().orderBy("option").limit(limit)
+    ordered = hits.distinct().orderBy("option")
+    return ordered.limit(limit) if limit > 0 else ordered
 
 
 def drill_topology(df: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from casekit.functions.expressions import attach_row, numeric, text
 from casekit.plans import roles as R
-from casekit.plans.roles import Roles
-
+from casekit.plans.roles import Roles, ineligible
+from casekit.sources.files import settle
 
+# A lookup of more keys is joined by salted keys instead of being sent to all tasks.
+BROADCAST_ROWS = 100_000
+SALTS = 16
 EXACT = "Resolved (Exact GPS)"
 BY_KEY = "Resolved (Key Lookup)"
 BY_BOUNDARY = "Resolved (Boundary Centroid)"
@@ -37,26 +40,40 @@ def lookup_from_json(df: DataFrame, column: str) -> DataFrame:
 
 
 def _joined(view: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
-    return view.withColumn("__key", text(column)).join(_lookup(lookup), "__key", "left").withColumns(
-        {"__lat": F.col("__p.lat"), "__lon": F.col("__p.lon")}
-    )
+    """Rows with the position of their key.
 
+    A lookup of at most BROADCAST_ROWS keys is sent to all tasks; a larger one is repeated for each of SALTS, by
+    which rows of a hot key are split. Counting its keys is a job that runs while the plan is built.
+    """
+    known = settle(_lookup(lookup), "positions")
+    keyed = view.withColumn("__key", text(column))
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(known), "__key", "left")
+    else:
+        salts = known.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        salted = keyed.withColumn("__salt", F.pmod(F.xxhash64(*[f"`{c}`" for c in view.columns]), F.lit(SALTS)).cast("int"))
+        joined = salted.join(salts, ["__key", "__salt"], "left").drop("__salt")
+    return joined.withColumns({"__lat": F.col("__p.lat"), "__lon": F.col("__p.lon")})
 
-def _tier(view: DataFrame, roles: Roles, keys: DataFrame | None, boundaries: DataFrame | None) -> str | None:
-    """First tier with any valid row. Each later tier is only looked at when the earlier ones have none."""
-
-    def any_row(candidate: DataFrame) -> bool:
-        return not candidate.where(valid_position(F.col("__lat"), F.col("__lon"))).isEmpty()
 
-    if not roles.missing([R.LATITUDE, R.LONGITUDE]) and any_row(_with_exact(view)):
-        return "exact"
-    key = _key_column(roles)
-    if keys is not None and key and any_row(_joined(view, key, keys)):
-        return "key"
-    boundary = boundary_column(roles)
-    if boundaries is not None and boundary and any_row(_joined(view, boundary, boundaries)):
-        return "boundary"
-    return None
+def _tier(view: DataFrame, roles: Roles, keys: DataFrame | None, boundaries: DataFrame | None) -> str | None:
+    """First tier with any valid row, from one job over all that are possible."""
+    found: dict[str, DataFrame] = {}
+    if not roles.missing([R.LATITUDE, R.LONGITUDE]):
+        found["exact"] = _with_exact(view)
+    key, boundary = _key_column(roles), boundary_column(roles)
+    for tier, column, lookup in (("key", key, keys), ("boundary", boundary, boundaries)):
+        if lookup is not None and column:
+            # A key that any row has is enough: the table is cut to its distinct keys first.
+            found[tier] = _joined(view.select(column).distinct(), column, lookup)
+    if not found:
+        return None
+    any_row = [
+        F.coalesce(df.agg(F.max(valid_position(F.col("__lat"), F.col("__lon")))).scalar(), F.lit(False)).alias(tier)
+        for tier, df in found.items()
+    ]
+    row = view.sparkSession.range(1).select(*any_row).first()
+    return next((tier for tier in found if row[tier]), None)
 
 
 def _with_exact(view: DataFrame) -> DataFrame:
@@ -105,11 +122,15 @@ def resolve_positions(
     ).select(*view.columns, "resolved_latitude", "resolved_longitude", "geo_status")
 
 
-def concentration(view: DataFrame, roles: Roles, boundaries: DataFrame) -> DataFrame:
+def concentration(view: DataFrame, roles: Roles, boundaries: DataFrame | None = None) -> DataFrame:
     """Cases per boundary at its centroid, marker radius 6 to 30, and the centre of the map.
 
-    Rows are counted per boundary before the lookup is joined.
+    Rows are counted per boundary before the lookup is joined. Without a boundary column or centroids the answer
+    is an ineligible row.
     """
+    if boundaries is None or boundary_column(roles) is None:
+        lacking = [R.ZONE] if boundary_column(roles) is None else ["boundaries"]
+        return ineligible(view.sparkSession, "geo_concentration", lacking)
     counts = (
         view.select(text(boundary_column(roles)).alias("__key"))
         .where("__key IS NOT NULL")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import attach_row, finite
-from casekit.functions.order_stats import Quantile, quantiles_of
+from casekit.functions.order_stats import Quantile, quantiles_of, row_numbers
 from casekit.operators.geo import DROPPED
+from casekit.sources.files import settle
 
 # Limits of the insight rules.
 Z_LIMIT = 2.5
@@ -92,10 +93,9 @@ def concentration(df: DataFrame, labels: Sequence[str], value: str, flow: bool =
 
 
 def trend(df: DataFrame, period: str, value: str) -> DataFrame:
-    """Least-squares slope per period relative to the mean. The series is one row per period."""
-    series = _values(df, period, value)
-    position = F.row_number().over(Window.orderBy("label")) - 1
-    row = series.withColumn("x", position).agg(
+    """Least-squares slope per period relative to the mean. Periods are numbered in ordered ranges."""
+    series = settle(_values(df, period, value), "series")
+    row = row_numbers(series, F.col("label").asc(), out="x").agg(
         *_extremes(), F.regr_slope("v", "x").alias("slope"), F.avg("v").alias("mean"), F.count("v").alias("n")
     )
     slope = F.coalesce(F.when(F.col("n") >= 2, F.col("slope")), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import US_PER_UNIT, attach_row, in_tokens, rate, us_between
@@ -10,10 +10,11 @@ from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.operators import lifecycle as L
 from casekit.operators.lifecycle import CHART_WORDS
 from casekit.plans import roles as R
-from casekit.plans.roles import Roles
+from casekit.plans.roles import Roles, ineligible
+from casekit.sources.files import settle
 
 
-def reopen_analysis(view: DataFrame, roles: Roles, group: str, min_group_size: int = 3, n: int = 15,
+def reopen_analysis(view: DataFrame, roles: Roles, group: str, min_group_size: int = 1, n: int = 0,
                     order: str = "desc") -> DataFrame:
     """Reopen rate per group against the overall rate; groups that are too small are left out."""
     work = view.withColumn("reopened", L.reopened(roles, CHART_WORDS))
@@ -33,7 +34,7 @@ def reopen_analysis(view: DataFrame, roles: Roles, group: str, min_group_size: i
     return (ordered.limit(n) if n > 0 else ordered).withColumn("overall_rate", overall)
 
 
-def risk_matrix(view: DataFrame, roles: Roles, group: str, unit: str = "days", min_group_size: int = 2,
+def risk_matrix(view: DataFrame, roles: Roles, group: str, unit: str = "days", min_group_size: int = 1,
                 model: str | None = None, analysis_date: str | None = None) -> DataFrame:
     """Volume, latency, weights, reopen rate and risk score per group."""
     model = L.risk_model(roles, model)
@@ -83,12 +84,16 @@ def risk_quadrants(view: DataFrame, roles: Roles, group: str, thresholds: str =
     method = thresholds if thresholds in ("mean", "percentile") else "median"
     prob = min(max(percentile, 0.0), 100.0) / 100.0 if method == "percentile" else 0.5
 
-    def cut(column: str, fixed: float | None):
-        # One value per group of the chart, so one buffer holds them.
-        found = F.avg(column) if method == "mean" else F.percentile(column, F.lit(prob))
-        return F.lit(float(fixed)) if fixed is not None else found.cast("double")
+    matrix = settle(matrix, "groups")
 
-    cuts = matrix.agg(
+    def cut(column: str, fixed: float | None) -> Column:
+        if fixed is not None:
+            return F.lit(float(fixed))
+        if method == "mean":
+            return matrix.agg(F.avg(column).cast("double")).scalar()
+        return quantiles_of(matrix, column, [Quantile("q", prob)]).select("q").scalar()
+
+    cuts = view.sparkSession.range(1).select(
         cut("volume", x_threshold).alias("x_threshold"),
         cut("median_latency", None if by_sla else y_threshold).alias("y_threshold"),
     )
@@ -110,9 +115,11 @@ PERFORMANCE_METRICS = (
 )
 
 
-def performance_matrix(view: DataFrame, roles: Roles, group: str = R.OFFICER, unit: str = "days", n: int = 20,
+def performance_matrix(view: DataFrame, roles: Roles, group: str = R.OFFICER, unit: str = "days", n: int = 0,
                        sort_by: str = "total_cases") -> DataFrame:
     """Per group: load, throughput, resolution, SLA and reopen rates, and each scaled to 0-100 over the shown rows."""
+    if group not in view.columns:
+        return ineligible(view.sparkSession, "performance_matrix", [group])
     work = L.with_latency(L.lifecycle_state(view, roles), roles, unit).where(F.col(group).isNotNull())
     resolved, active = F.col("state") == "Closed", F.col("state") == "Active"
     total = F.count(F.lit(1))
@@ -139,14 +146,16 @@ def performance_matrix(view: DataFrame, roles: Roles, group: str = R.OFFICER, un
     )
     ordered = groups.join(middle, group, "left").orderBy(F.col(sort_by).desc_nulls_last(), group)
     shown = ordered.limit(n) if n > 0 else ordered
-    everything = Window.partitionBy()
+    shown = settle(shown, "groups")
     metrics = [m for m in PERFORMANCE_METRICS if m in shown.columns]
+    ends = shown.agg(*[f(m).alias(f"{f.__name__}_{m}") for m in metrics for f in (F.min, F.max, F.count)])
+    shown = attach_row(shown, ends, "__ends")
     scaled = {}
     for m in metrics:
-        low, high = F.min(m).over(everything), F.max(m).over(everything)
-        flat = (F.count(m).over(everything) < 2) | (low == high)
+        low, high = F.col(f"__ends.min_{m}"), F.col(f"__ends.max_{m}")
+        flat = (F.col(f"__ends.count_{m}") < 2) | (low == high)
         # A constant metric sits in the middle; a missing value counts as 0.
         scaled[f"{m}_scaled"] = F.when(flat, 50.0).otherwise(
             F.round(F.coalesce((F.col(m) - low) / (high - low) * 100.0, F.lit(0.0)), 2)
         )
-    return shown.withColumns(scaled)
+    return shown.withColumns(scaled).drop("__ends")

@@ -18,12 +18,13 @@ from casekit.functions.expressions import (
 )
 from casekit.plans import roles as R
 from casekit.plans.roles import NESTED_TYPES, Roles
+from casekit.sources.files import settle
 
 # Header parts that hint at an identifier.
 ID_HINTS = ("id", "no", "number", "code", "ref")
+# Texts that look like percentages, and currency signs.
 PERCENT_TEXT = r"^\s*-?\d+(\.\d+)?\s*%\s*$"
 CURRENCY_SIGN = r"[₹$€£]"
-GROUPED_NUMBER_TEXT = r"^[\d,]+\.?\d*$"
 DATE_DELIMITER = r"[-/.\s]"
 REVIEW_BELOW = 0.75
 SAMPLE_SIZE = 8
@@ -120,34 +121,84 @@ def column_samples(df: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
     return picked.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """One row per column: inferred type, confidence, counts and whether a person should look.
+def _exact_distinct(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """`(position, distinct)` of the given columns: values are shuffled as two 64-bit hashes, not as text."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("position"), F.xxhash64(_cell_text(f)).alias("a"), F.xxhash64(_cell_text(f), F.lit(1)).alias("b"),
+                     _cell_text(f).isNotNull().alias("filled"))
+            for i, f in enumerate(fields)
+        ]
+    )
+    values = df.select(F.explode(cells).alias("c")).select("c.*").where("filled").select("position", "a", "b").distinct()
+    return values.groupBy("position").agg(F.count(F.lit(1)).alias("exact"))
 
-    Detectors run in the order identifier, date, boolean, number, category; free text is last.
-    """
-    n, value = F.col("n"), F.col("value")
-    present = value.isNotNull()
-    trimmed, lowered = F.trim(value), F.lower(F.trim(value))
 
-    def share(condition: Column) -> Column:
-        hits = F.sum(F.when(present & F.coalesce(condition, F.lit(False)), n).otherwise(0))
-        return F.try_divide(hits.cast("double"), F.sum(F.when(present, n)))
+def type_statistics(df: DataFrame) -> DataFrame:
+    """Per column: rows, nulls, distinct values by sketch, and shares of filled cells with each pattern.
 
-    number = value.try_cast("double")
+    One scan of conditional sums; no cell leaves its row. Patterns are only tried on columns that can have them.
+    """
+    fields = flat_columns(df)
     booleans = [*TRUE_TOKENS, *FALSE_TOKENS]
-    stats = cell_counts(df).groupBy("position", "column", "kind").agg(
-        *_basic_counts(),
-        share(number.between(SERIAL_DATE_MIN, SERIAL_DATE_MAX)).alias("serial"),
-        share(value.rlike(r"^\d+$")).alias("digits"),
-        share(value.rlike(DATE_DELIMITER)).alias("delimited"),
-        share(date_from_text(value).isNotNull()).alias("dates"),
-        share(lowered.isin(*booleans)).alias("booleans"),
-        F.size(F.collect_set(F.when(lowered.isin(*booleans), lowered))).alias("boolean_words"),
-        share(trimmed.rlike(PERCENT_TEXT)).alias("percent"),
-        share(trimmed.rlike(CURRENCY_SIGN) | trimmed.rlike(GROUPED_NUMBER_TEXT)).alias("currency_like"),
-        share(F.regexp_replace(trimmed, r"[₹$€£,\s]", "").rlike(NUMBER_TEXT)).alias("numbers"),
-        share(value.rlike(CURRENCY_SIGN)).alias("currency"),
-    )
+    measures, rows = [F.count(F.lit(1)).alias("total")], []
+    for i, f in enumerate(fields):
+        value, kind = _cell_text(f), _kind(f.dataType)
+        trimmed, lowered = F.trim(value), F.lower(F.trim(value))
+        tests = {"booleans": lowered.isin(*booleans)}
+        if kind == "numeric":
+            tests["serial"] = F.col(f"`{f.name}`").cast("double").between(SERIAL_DATE_MIN, SERIAL_DATE_MAX)
+        if kind == "text":
+            tests |= {
+                "digits": value.rlike(r"^\d+$"),
+                "delimited": value.rlike(DATE_DELIMITER),
+                "dates": date_from_text(value).isNotNull(),
+                "percent": trimmed.rlike(PERCENT_TEXT),
+                "numbers": F.regexp_replace(trimmed, r"[₹$€£,\s]", "").rlike(NUMBER_TEXT),
+                "currency": value.rlike(CURRENCY_SIGN),
+            }
+        measures.append(F.count(value).alias(f"filled_{i}"))
+        measures.append(F.approx_count_distinct(value, 0.02).alias(f"distinct_{i}"))
+        measures.append(F.size(F.collect_set(F.when(tests["booleans"], lowered))).alias(f"words_{i}"))
+        measures += [F.count_if(test).alias(f"{name}_{i}") for name, test in tests.items()]
+        shares = [
+            (F.try_divide(F.col(f"{name}_{i}").cast("double"), F.col(f"filled_{i}")) if name in tests else F.lit(0.0)).alias(name)
+            for name in ("booleans", "serial", "digits", "delimited", "dates", "percent", "numbers", "currency")
+        ]
+        rows.append(
+            F.struct(
+                F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.col("total"),
+                (F.col("total") - F.col(f"filled_{i}")).alias("null_count"),
+                F.least(F.col(f"distinct_{i}"), F.col(f"filled_{i}")).alias("distinct_count"),
+                F.col(f"words_{i}").alias("boolean_words"), *shares,
+            )
+        )
+    return df.agg(*measures).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def infer_types(df: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per column: inferred type, confidence, counts and whether a person should look.
+
+    Detectors run in the order identifier, date, boolean, number, category; free text is last. Distinct values are
+    counted by a sketch in the one scan that everything else takes; a column whose sketch lies so near one of the
+    limits that it could err is counted exactly, which is a job that runs while the plan is built. `exact` counts
+    all columns exactly.
+    """
+    fields = flat_columns(df)
+    stats = type_statistics(df)
+    if exact:
+        near = list(range(len(fields)))
+    else:
+        stats = settle(stats, "types")
+        unique = F.try_divide(F.col("distinct_count"), F.col("total") - F.col("null_count"))
+        doubt = (unique > 0.85) | unique.between(0.27, 0.33) | F.col("distinct_count").between(40, 60)
+        near = [r["position"] for r in stats.where(doubt).select("position").collect()]
+    if near:
+        counted = _exact_distinct(df, [fields[i] for i in near])
+        counted = counted.select(F.element_at(F.array(*map(F.lit, near)), F.col("position") + 1).alias("position"), "exact")
+        stats = stats.join(counted, "position", "left")
+        sure = F.when(F.col("position").isin(near), F.coalesce("exact", F.lit(0))).otherwise(F.col("distinct_count"))
+        stats = stats.withColumn("distinct_count", sure)
     c = F.col
     filled = c("total") > c("null_count")
     unique = c("distinct_count") / (c("total") - c("null_count"))
@@ -238,6 +289,8 @@ def role_parse_failures(df: DataFrame, roles: Roles) -> DataFrame:
         else:
             good = as_timestamp(c, df.schema[column].dataType).isNotNull()
         checks.append((role, column, F.avg(F.when(c.isNotNull(), (~good).cast("double")))))
+    if not checks:
+        return df.sparkSession.createDataFrame([], "role string, column string, failure_rate double, warns boolean")
     row = df.agg(*[m.alias(f"f{i}") for i, (_, _, m) in enumerate(checks)])
     rows = F.array(
         *[
@@ -256,12 +309,20 @@ def _missing_cells(df: DataFrame) -> Column:
 
 
 def quality_banner(df: DataFrame) -> DataFrame:
-    """Rows, missing cells, completeness and exact duplicate rows, from one shuffle of whole rows."""
-    names = [f"`{f.name}`" for f in flat_columns(df)]
-    rows = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__missing", _missing_cells(df))
+    """Rows, missing cells, completeness and exact duplicate rows.
+
+    Rows are equal if all their columns are, nested ones too. They are compared by a 256-bit digest of their JSON
+    text, so what is shuffled is one digest and one number per row.
+    """
+    names = flat_columns(df)
+    plain = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
+    digest = F.sha2(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}), 256)
+    rows = df.select(digest.alias("__row"), _missing_cells(df).alias("__missing")).groupBy("__row").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("__missing").alias("__missing")
+    )
     totals = rows.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.col("__missing") * F.col("__n")), F.lit(0)).alias("missing_cells"),
+        F.coalesce(F.sum("__missing"), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),
     )
     cells = F.greatest(F.col("row_count") * len(names), F.lit(1))
@@ -354,8 +415,8 @@ def quality_alerts(
 
 
 def match_text(c: Column) -> Column:
-    """Lower case, with runs of separators and spaces as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[_\-.]+", " "), r"\s+", " "))
+    """Lower-case words with single spaces; underscores, dashes and dots part words as spaces do."""
+    return F.trim(F.lower(F.regexp_replace(c, r"[\s_.-]+", " ")))
 
 
 def fuzzy_matches(

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import csv
+import itertools
 import re
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casekit.functions.expressions import sanitized_text
 
-PREVIEW_ROWS = 200
 CORRUPT_COLUMN = "_corrupt_record"
+SEPARATORS = (",", ";", "\t", "|")
+FALLBACK_ENCODING = "windows-1252"
+WORD_CHARACTERS = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 
 _marked: set[str] = set()
 
@@ -24,47 +30,130 @@ def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
+@dataclass(frozen=True)
+class CsvShape:
+    """What files must share to be read together."""
+
+    names: tuple[str, ...]
+    sep: str
+    encoding: str
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Data files under a path or pattern."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in files.globStatus(pattern) or []:
+        walk = files.listFiles(status.getPath(), True)
+        while walk.hasNext():
+            file = walk.next().getPath()
+            if not file.getName().startswith(("_", ".")):
+                found.append(file.toString())
+    if not found:
+        raise FileNotFoundError(path)
+    return sorted(found)
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """First line of a file, unpacked if its name says it is packed."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(conf).open(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    opened = codec.createInputStream(stream) if codec is not None else stream
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "ISO-8859-1"))
+    try:
+        return (reader.readLine() or "").encode("latin-1")
+    finally:
+        reader.close()
+
+
+def _not_utf8(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Files with bytes that are no UTF-8 anywhere: one scan of the text."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("odd"))
+    return {unquote(r["file"]) for r in lines.where("odd").select("file").distinct().collect()}
+
+
+def guess_separator(header: str) -> str:
+    """The sign of `,` `;` tab and `|` that cuts a header into most parts; quoted parts count as one."""
+    return max(SEPARATORS, key=lambda sign: len(next(csv.reader([header], delimiter=sign), [])))
+
+
+def csv_shapes(spark: SparkSession, paths: Sequence[str], sep: str | None, encoding: str | None) -> dict[CsvShape, list[str]]:
+    """Files by header, separator and encoding. Only first lines, and with no encoding given one scan, are read."""
+    files = [f for p in paths for f in _listed(spark, p)]
+    odd = _not_utf8(spark, files) if encoding is None else set()
+    shapes: dict[CsvShape, list[str]] = {}
+    for file in files:
+        own = encoding or (FALLBACK_ENCODING if any(file.endswith(o.split(":", 1)[-1].lstrip("/")) for o in odd) else "UTF-8")
+        header = _head(spark, file).decode(own, "replace").removeprefix("\ufeff")
+        sign = sep or guess_separator(header)
+        names = tuple(unique_names(next(csv.reader([header], delimiter=sign), [])))
+        if names:  # an empty file has no header and no rows
+            shapes.setdefault(CsvShape(names, sign, own), []).append(file)
+    return shapes
+
+
 def scan_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     schema: T.StructType | str | None = None,
-    sep: str = ",",
-    encoding: str = "UTF-8",
+    sep: str | None = ",",
+    encoding: str | None = "UTF-8",
     keep_bad_rows: bool = False,
+    multi_line: bool = False,
+    drop_bad_rows: bool = False,
 ) -> DataFrame:
-    """CSV files with a header. Files may differ in columns; they are united by column name.
+    """CSV files with a header; files may differ in columns and their order, and are united by column name.
+
+    Files are read together by header: one scan for each distinct header, however many files there are. With
+    `sep=None` or `encoding=None` each file's own is found: the separator from its header, the encoding by whether
+    all of it is UTF-8 (else Windows-1252). Doubled quotes within quotes are one quote; with `multi_line` quoted
+    line breaks are part of a cell, and a file is then read by one task.
+
+    Rows are never dropped unless asked for: a cell that does not fit the schema is null, a short row is filled
+    with nulls. `keep_bad_rows` adds the text of rows that do not fit as `_corrupt_record`, to be counted;
+    `drop_bad_rows` leaves such rows out, whatever columns are asked for later.
+    Without a schema every column is read as text; types come from profiling. Listing files and reading first
+    lines happens at once.
+    """
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    parts = []
+    for shape, files in csv_shapes(spark, [paths] if isinstance(paths, str) else paths, sep, encoding).items():
+        types = {f.name: f.dataType for f in wanted.fields} if wanted is not None else {}
+        fields = [T.StructField(n, types.get(n, T.StringType())) for n in shape.names]
+        if keep_bad_rows or drop_bad_rows:
+            fields.append(T.StructField(CORRUPT_COLUMN, T.StringType()))
+        reader = spark.read.schema(T.StructType(fields)).options(
+            header=True, sep=shape.sep, encoding=shape.encoding, multiLine=multi_line, quote='"', escape='"',
+            mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT_COLUMN, enforceSchema=True,
+            columnPruning=not (keep_bad_rows or drop_bad_rows),
+        )
+        rows = reader.csv(files)
+        parts.append(rows.where(~is_bad(rows)).drop(CORRUPT_COLUMN) if drop_bad_rows else rows)
+    if not parts:
+        return spark.createDataFrame([], wanted or T.StructType())
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if wanted is None:
+        return united
+    extra = [CORRUPT_COLUMN] if keep_bad_rows else []
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in wanted.fields if f.name not in united.columns}
+    return united.withColumns(missing).select(*[f"`{f.name}`" for f in wanted.fields], *extra)
+
+
+def is_bad(marked: DataFrame) -> Column:
+    """Whether a row of a scan that kept bad rows did not fit.
 
-    Bad rows are skipped, or kept under `_corrupt_record` so that they can be counted.
-    Without a schema every column is read as text; types come from profiling.
+    A row is only parsed as far as columns are asked for, so the test names every column.
     """
-    options = {
-        "header": True,
-        "sep": sep,
-        "encoding": encoding,
-        "multiLine": False,
-        "mode": "PERMISSIVE" if keep_bad_rows else "DROPMALFORMED",
-    }
-    if keep_bad_rows and schema is not None:
-        schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT_COLUMN, T.StringType())])
-        options["columnNameOfCorruptRecord"] = CORRUPT_COLUMN
-    reader = spark.read.options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if isinstance(paths, str):
-        return reader.csv(paths)
-    parts = [reader.csv(p) for p in paths]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    cells = F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in marked.columns if c != CORRUPT_COLUMN])
+    return F.col(CORRUPT_COLUMN).isNotNull() & (F.length(cells) >= 0)
 
 
 def bad_rows(marked: DataFrame) -> DataFrame:
-    """Number of bad rows in a scan that kept them.
-
-    A row is only parsed as far as columns are asked for, so the test names every column.
-    """
-    cells = F.concat_ws("", *[F.col(c).cast("string") for c in marked.columns if c != CORRUPT_COLUMN])
-    is_bad = F.col(CORRUPT_COLUMN).isNotNull() & (F.length(cells) >= 0)
-    return marked.agg(F.count_if(is_bad).alias("bad_rows"))
+    """Number of bad rows in a scan that kept them."""
+    return marked.agg(F.count_if(is_bad(marked)).alias("bad_rows"))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
@@ -86,19 +175,30 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(*cells).write.mode(mode).option("header", True).csv(path)
 
 
-def sanitize_names(names: Sequence[str]) -> list[str]:
-    """Word characters only, no leading digit, repeated names numbered from `_2`."""
-    seen: dict[str, int] = {}
+def unique_names(names: Sequence[str]) -> list[str]:
+    """The names, with a number after those that an earlier one already has, capitals aside."""
+    taken: set[str] = set()
     out = []
-    for raw in names:
-        name = re.sub(r"[^\w]+", "_", str(raw).strip()).strip("_") or "column"
-        if name[0].isdigit():
-            name = "_" + name
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    for name in names:
+        free = name if name.lower() not in taken else next(
+            f"{name}_{k}" for k in itertools.count(2)
+            if f"{name}_{k}".lower() not in taken and f"{name}_{k}".lower() not in {n.lower() for n in names}
+        )
+        taken.add(free.lower())
+        out.append(free)
     return out
 
 
+def sanitize_names(names: Sequence[str]) -> list[str]:
+    """Names of letters, digits and underscores that do not begin with a digit and differ, also without capitals."""
+    plain = []
+    for raw in names:
+        words = [w for w in WORD_CHARACTERS.findall(str(raw)) if w]
+        joined = "_".join(words) if words else "column"
+        plain.append(f"_{joined}" if joined[:1].isdigit() else joined)
+    return unique_names(plain)
+
+
 def sanitize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*sanitize_names(df.columns))
 
@@ -115,7 +215,7 @@ def sanitize_cells(df: DataFrame) -> DataFrame:
     )
 
 
-def preview(df: DataFrame, order_by: Sequence[str], rows: int = PREVIEW_ROWS) -> DataFrame:
+def preview(df: DataFrame, order_by: Sequence[str], rows: int) -> DataFrame:
     return df.orderBy(*order_by).limit(rows)
 
 

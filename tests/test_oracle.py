@@ -43,7 +43,7 @@ def in_order(rows, columns):
 
 def close(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=0.0101 if abs(a) >= 1 and round(a, 2) == a else 1e-6)
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
     return a == b
 
 

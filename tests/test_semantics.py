@@ -243,7 +243,7 @@ def test_clean_table_removes_rows_last(spark):
 
 def test_header_sanitising():
     assert files.sanitize_names(["Case ID", "case/ID", "Case ID", " 1st date ", "%%", "Amount (₹)"]) == [
-        "Case_ID", "case_ID", "Case_ID_2", "_1st_date", "column", "Amount"
+        "Case_ID", "case_ID_2", "Case_ID_3", "_1st_date", "column", "Amount"
     ]
 
 
@@ -387,14 +387,15 @@ def test_zero_median_deviation_gives_zero_scores(spark):
     assert column(executive.with_modified_z(df, "v"), "z_score") == [0.0] * 4
 
 
-def hotspots(spark, volumes):
+def hotspots(spark, volumes, longer_than=None):
     rows, i = [], 0
     for name, n in volumes.items():
         for _ in range(n):
             rows.append((i, ts("2024-01-01"), None, None, "Open", name, "z"))
             i += 1
     df, roles = case_frame(spark, rows)
-    return [(r["category"], r["omitted_count"]) for r in executive.pareto_hotspots(roles.view(df), roles).collect()]
+    found = executive.pareto_hotspots(roles.view(df), roles, longer_than=longer_than, keep=3).orderBy("position")
+    return [(r["category"], r["omitted_count"]) for r in found.collect()]
 
 
 def test_pareto_cut_is_inclusive(spark):
@@ -402,7 +403,8 @@ def test_pareto_cut_is_inclusive(spark):
 
 
 def test_long_hotspot_lists_are_cut(spark):
-    assert hotspots(spark, {c: 10 for c in "abcdefghij"}) == [("a", 5), ("b", 5), ("c", 5)]
+    assert hotspots(spark, {c: 10 for c in "abcdefghij"}, 5) == [("a", 5), ("b", 5), ("c", 5)]
+    assert hotspots(spark, {c: 10 for c in "abcdefghij"}) == [(c, 0) for c in "abcdefgh"]
 
 
 def test_pareto_tree_opens_vital_branches_only(spark):
@@ -436,7 +438,8 @@ def test_rolling_average_fills_gaps(spark):
 
 def test_calendar_needs_a_week_of_dates(spark):
     df = spark.createDataFrame([("2024-01-01",)] * 6, "d string").select(F.col("d").cast("timestamp_ntz").alias("d"))
-    assert datasets.calendar_heatmap(df, "d").count() == 0
+    assert datasets.calendar_heatmap(df, "d", least_dates=7).count() == 0
+    assert datasets.calendar_heatmap(df, "d").count() == 366
     assert datasets.calendar_heatmap(df.union(df), "d").count() == 366
 
 
