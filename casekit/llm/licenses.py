@@ -117,6 +117,8 @@ RULES = (
 )
 LICENCE_WORD = "(?i)licen[sc]|copyright|permission|redistribut|provided|rights reserved|free software|you may|cc0|cc[ -]by|unless required|distributed"
 
+UNKNOWN = r"\blicen[sc]ed? under\b|\blicense\b|all rights reserved|\bcopyright\b"
+
 
 def sentence_table() -> dict[str, str]:
     """Normalised sentence → identifier: the texts' own, and `ref:<licence>` for every way to refer to one."""
@@ -131,19 +133,22 @@ def sentence_table() -> dict[str, str]:
     return {k: v for k, v in table.items() if k not in ("bsd license",)} | TEXTS
 
 
+def without_comment_signs(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?m)^[ \t]*(?://+|/\*+|\*+/|\*+|#+|;+|--+|<!--|%+|>+|\d+\.|-)[ \t]+", "")
+
+
+def joined_lines(text: Column) -> Column:
+    """The text with the lines of each paragraph on one line."""
+    return F.regexp_replace(text, r"[ \t]*\r?\n(?!\s*\n)[ \t]*", " ")
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences, twice over: with every line break as an end, and with lines of a paragraph joined.
+    """Normalised sentences: they end at a line break, or at . ! ? ; or : before white space.
 
-    Comment signs at line starts go. A sentence ends at . ! ? ; or : before white space. What is left of a
-    sentence are its lower-case letters and digits, with single spaces.
+    What is left of a sentence are its lower-case letters and digits, with single spaces.
     """
-    plain = F.regexp_replace(text, r"(?m)^[ \t]*(?://+|/\*+|\*+/|\*+|#+|;+|--+|<!--|%+|>+|\d+\.|-)[ \t]+", "")
-    ends = r"(?<=[.!?;:])[\"')\]]*\s+|\n"
-    joined = F.split(F.regexp_replace(plain, r"[ \t]*\r?\n(?!\s*\n)[ \t]*", " "), ends)
-    both = F.concat(F.split(plain, ends), F.array(F.lit("|")), joined)
-    return F.transform(both, lambda s: F.when(s == "|", s).otherwise(
-        F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    ))
+    cut = F.split(text, r"(?<=[.!?;:])[\"')\]]*\s+|\n")
+    return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
 
 
 def _licences(ids: Column) -> Column:
@@ -175,23 +180,20 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     known, ids = list(table), F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
     none = F.array().cast("array<string>")
     text = F.col(text_column).cast("string")
-    cut = docs.select(
-        F.col(id_column).alias("doc_id"), F.when(text.rlike(LICENCE_WORD), sentences(text)).otherwise(none).alias("sentences")
-    )
-    # The split into two lists ends at the sign between them.
-    first = F.coalesce(F.array_position("sentences", F.lit("|")).cast("int") - 1, F.lit(0))
-    lists = cut.select(
-        "doc_id", F.slice("sentences", F.lit(1), F.greatest(first, F.lit(0))).alias("lines"),
-        F.when(F.size("sentences") > 0, F.slice("sentences", first + 2, F.size("sentences"))).otherwise(none).alias("joined"),
-        F.array_intersect("sentences", F.lit(known)).alias("hits"),
+    plain = docs.select(F.col(id_column).alias("doc_id"), F.when(text.rlike(LICENCE_WORD), without_comment_signs(text)).alias("plain"))
+    # Sentences are looked for twice: within lines, and in paragraphs whose lines are joined.
+    cut = plain.select(
+        "doc_id", F.coalesce(sentences(F.col("plain")), none).alias("lines"),
+        F.coalesce(sentences(joined_lines(F.col("plain"))), none).alias("joined"),
     )
+    lists = cut.select("doc_id", "lines", "joined", F.array_intersect(F.concat("lines", "joined"), F.lit(known)).alias("hits"))
 
     def identified(own: str) -> Column:
         found = F.filter(own, lambda s: F.array_contains("hits", s))
         return F.when(F.size("hits") > 0, F.transform(found, lambda s: F.element_at(ids, s))).otherwise(none)
 
     marked = lists.select("doc_id", "lines", "joined", "hits", identified("lines").alias("a"), identified("joined").alias("b"))
-    unknown = F.filter("lines", lambda s: s.rlike(r"\blicen[sc]ed? under\b|\blicense\b|all rights reserved|\bcopyright\b") & ~F.array_contains("hits", s))
+    unknown = F.filter("lines", lambda s: s.rlike(UNKNOWN) & ~F.array_contains("hits", s))
     return marked.select(
         "doc_id", F.array_sort(F.array_distinct(F.concat(_licences(F.col("a")), _licences(F.col("b"))))).alias("licenses"),
         F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("sentence_ids"),
