@@ -203,9 +203,10 @@ def remove_contamination(
                 elif hit:
                     old = batch.column("text").to_pylist()
                     new = [(cut(t) or b"").decode() if d in hit else old[d] for d, t in enumerate(texts)]
+                    marks = [d in hit for d in range(len(texts))]
+                    own = batch.schema  # all batches of a task must have one schema
                     batch = pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array(new, pa.string()), pa.array([d in hit for d in range(len(texts))])],
-                        ["row", "text", "cut"],
+                        [batch.column(0), pa.array(new, own.field("text").type), pa.array(marks)], schema=own
                     )
                 yield batch
 
