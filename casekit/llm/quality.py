@@ -135,7 +135,8 @@ def quality_scores(docs: DataFrame, model: RuleModel, id_column: str = "doc_id",
 def keep_good(docs: DataFrame, model: RuleModel, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns, whatever their names."""
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    found = F.struct(*[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in statistics(text).items()])
-    # A filter takes in the columns it uses: as a variable the statistics are worked out once, not once for each rule.
-    good = F.exists(F.array(found), lambda s: model.score({k: s[k] for k in statistics(F.lit(""))}) >= threshold)
-    return docs.where(good)
+    # The row number keeps the filter above the statistics: below, each rule would work them out again.
+    packed = docs.select(F.struct("*").alias("row"), text.alias("text"))
+    found = with_statistics(packed).withColumn("number", F.monotonically_increasing_id())
+    good = model.score({k: F.col(f"stat_{k}") for k in statistics(F.lit(""))}) >= threshold
+    return found.where(good & (F.col("number") >= 0)).select("row.*")
