@@ -57,11 +57,7 @@ ALIASES = {
     "geographical_concentration_map": "geo_concentration",
 }
 # Roles that a chart cannot do without, beside those named in its parameters.
-CHART_ROLES = {
-    "pending_age_distribution": (R.REGISTRATION_DATE,),
-    "risk_quadrants": (),
-    "performance_matrix": (),
-}
+CHART_ROLES = {"pending_age_distribution": (R.REGISTRATION_DATE,)}
 # Parameters that name a role.
 COLUMN_PARAMETERS = ("x", "y", "group", "value", "date", "category", "size", "facet", "key")
 COLUMN_LISTS = ("path", "levels", "keys", "columns")

@@ -136,6 +136,9 @@ QUERIES = {
     "geo_resolve_lookup": lambda s, d: resolved(
         geo.resolve_positions(KEY_ROLES.view(cases(s, d)), KEY_ROLES, keys=circle_lookup(s, d))
     ),
+    "geo_resolve_key_role": lambda s, d: resolved(
+        geo.resolve_positions(NO_GPS.view(cases(s, d)), NO_GPS, keys=circle_lookup(s, d), key_role="officer")
+    ),
     "geo_resolve_boundary": lambda s, d: resolved(
         geo.resolve_positions(CIRCLE_ROLES.view(cases(s, d)), CIRCLE_ROLES, boundaries=centroids(s, d))
     ),
@@ -431,3 +434,4 @@ ORACLE = {
       SELECT total, resolved, round(resolved * 100.0 / total, 4) AS coverage_pct, CASE WHEN resolved * 100.0 / total >= 90 THEN 'positive'
         WHEN resolved * 100.0 / total >= 50 THEN 'info' ELSE 'warning' END AS severity, resolved * 100.0 / total < 50 AS is_anomaly FROM c"""),
 }
+ORACLE["geo_resolve_key_role"] = ORACLE["geo_resolve_lookup"]

@@ -56,12 +56,13 @@ def _joined(view: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
     return joined.withColumns({"__lat": F.col("__p.lat"), "__lon": F.col("__p.lon")})
 
 
-def _tier(view: DataFrame, roles: Roles, keys: DataFrame | None, boundaries: DataFrame | None) -> str | None:
+def _tier(view: DataFrame, roles: Roles, keys: DataFrame | None, boundaries: DataFrame | None,
+          key_role: str | None = None) -> str | None:
     """First tier with any valid row, from one job over all that are possible."""
     found: dict[str, DataFrame] = {}
     if not roles.missing([R.LATITUDE, R.LONGITUDE]):
         found["exact"] = _with_exact(view)
-    key, boundary = _key_column(roles), boundary_column(roles)
+    key, boundary = _key_column(roles, key_role), boundary_column(roles)
     for tier, column, lookup in (("key", key, keys), ("boundary", boundary, boundaries)):
         if lookup is not None and column:
             # A key that any row has is enough: the table is cut to its distinct keys first.
@@ -80,8 +81,8 @@ def _with_exact(view: DataFrame) -> DataFrame:
     return view.withColumns({"__lat": numeric(view, R.LATITUDE), "__lon": numeric(view, R.LONGITUDE)})
 
 
-def _key_column(roles: Roles) -> str | None:
-    return next(iter(roles.mapped((R.FEEDER, R.TRANSFORMER))), None)
+def _key_column(roles: Roles, key_role: str | None = None) -> str | None:
+    return next(iter(roles.mapped((key_role,) if key_role else (R.FEEDER, R.TRANSFORMER))), None)
 
 
 def boundary_column(roles: Roles) -> str | None:
@@ -94,17 +95,18 @@ def resolve_positions(
     keys: DataFrame | None = None,
     boundaries: DataFrame | None = None,
     tier: str | None = None,
+    key_role: str | None = None,
 ) -> DataFrame:
     """Adds `resolved_latitude`, `resolved_longitude` and `geo_status`.
 
-    The first tier with any valid row serves the whole table. `keys` and `boundaries` are
-    `(key, lat, lon)` tables joined to the rows; their size decides how Spark joins them.
+    The first tier with any valid row serves the whole table. `keys` and `boundaries` are `(key, lat, lon)`
+    tables joined to the rows; keys stand in the column of `key_role`, else of the feeder or transformer.
     """
-    tier = tier or _tier(view, roles, keys, boundaries)
+    tier = tier or _tier(view, roles, keys, boundaries, key_role)
     if tier == "exact":
         placed, label = _with_exact(view), EXACT
     elif tier == "key":
-        placed, label = _joined(view, _key_column(roles), keys), BY_KEY
+        placed, label = _joined(view, _key_column(roles, key_role), keys), BY_KEY
     elif tier == "boundary":
         placed, label = _joined(view, boundary_column(roles), boundaries), BY_BOUNDARY
     else:

@@ -424,8 +424,8 @@ def fuzzy_matches(
 ) -> DataFrame:
     """Best vocabulary entries for each distinct value of a column, with the number of rows it holds.
 
-    The vocabulary is one array in the plan; each distinct value is scored against it in its own
-    row, so nothing is joined and the plan does not grow with the vocabulary.
+    Meant for a short list of known words: it is one array in the plan, and each distinct value is scored
+    against all of it in its own row, so nothing is joined. The column's values may be as many as they like.
     """
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("row_count")

@@ -19,7 +19,7 @@ from casekit.functions.expressions import sanitized_text
 
 CORRUPT_COLUMN = "_corrupt_record"
 SEPARATORS = (",", ";", "\t", "|")
-FALLBACK_ENCODING = "windows-1252"
+FALLBACK_ENCODING = "ISO-8859-1"
 WORD_CHARACTERS = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 
 _marked: set[str] = set()
@@ -109,7 +109,7 @@ def scan_csv(
 
     Files are read together by header: one scan for each distinct header, however many files there are. With
     `sep=None` or `encoding=None` each file's own is found: the separator from its header, the encoding by whether
-    all of it is UTF-8 (else Windows-1252). Doubled quotes within quotes are one quote; with `multi_line` quoted
+    all of it is UTF-8 (else Latin-1). Doubled quotes within quotes are one quote; with `multi_line` quoted
     line breaks are part of a cell, and a file is then read by one task.
 
     Rows are never dropped unless asked for: a cell that does not fit the schema is null, a short row is filled
