@@ -170,6 +170,25 @@ def test_remove_contamination(drop, spark, tables):
     assert out.where("n_chars <> 1 AND n_chars <> char_length(text)").count() == 0
 
 
+def test_one_task_with_and_without_hits(spark, tables):
+    """Batches that are cut and batches that pass through leave one task with one schema."""
+    passage = tables["benchmark"].first()["text"]
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, f"a {passage} b"), (3, long + " x"), (4, None), (5, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = dict(texts_of(decontamination.remove_contamination(docs, tables["benchmark"])))
+    assert {d: t for d, t in out.items() if d != 2} == {1: long, 3: long + " x", 4: "", 5: "short"}
+    assert passage not in out[2]
+
+
+def test_filter_agrees_with_scores(spark, tables):
+    model = quality.fit_rules(tables["documents"], tables["labels"], "quality", registry.fold(5) == 0)
+    good = quality.quality_scores(tables["documents"], model).where("score >= 0.3").select("doc_id")
+    clash = tables["documents"].withColumnsRenamed({"lang": "row", "source": "number"}).withColumn("stat_symbols", F.lit("mine"))
+    kept = quality.keep_good(clash, model)
+    assert kept.columns == clash.columns and rows_of(kept.select("doc_id")) == rows_of(good)
+
+
 # ---- simhash --------------------------------------------------------------------------
 
 
