@@ -86,16 +86,23 @@ class WindowSet:
                     yield first, size, items
 
 
-def _window_blocks(items: DataFrame, item_id: str, item_text: str, n: int, block: int) -> Iterator[tuple[list, bool]]:
-    """The windows in blocks of about `block` rows, at least one, each with whether it is the last.
+def _window_blocks(items: DataFrame, item_id: str, item_text: str, n: int, block: int) -> list[DataFrame]:
+    """The windows in blocks of about `block` rows, at least one.
 
     These are the only rows that come to the driver, a block at a time.
     """
     windows = stage(item_windows(items, item_id, item_text, n), "benchmark-windows")
     parts = max(1, -(-windows.count() // block))
-    for k in range(parts):
-        rows = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).collect()
-        yield rows, k == parts - 1
+    return [windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _runs(size: int, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Runs of words, of a text of `size` words, that lie in any of these [first, end) spans."""
+    mark = np.zeros(size, bool)
+    for a, b in spans:
+        mark[a:b] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], mark, [False])).astype(np.int8)))
+    return [{"first": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
 
 
 def contamination(
@@ -124,20 +131,17 @@ def contamination(
             for batch in slices(batches, "text"):
                 words = _words(raw_texts(batch, "text"))
                 known_runs, known_items = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
-                marks: dict[int, np.ndarray] = {}
+                spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[str]] = {}
                 for first, size, names in shared.value.hits(words):
                     d = int(words.owner[first])
-                    if d not in marks:
-                        marks[d] = np.zeros(int(words.counts[d]), bool)
-                        for run in known_runs[d]:
-                            marks[d][run["first"] : run["end"]] = True
+                    if d not in spans:
+                        spans[d] = [(run["first"], run["end"]) for run in known_runs[d]]
                         items[d] = set(known_items[d])
-                    marks[d][first - words.first[d] : first - words.first[d] + size] = True
+                    spans[d].append((first - words.first[d], first - words.first[d] + size))
                     items[d].update(names)
-                for d, mark in marks.items():
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], mark, [False])).astype(np.int8)))
-                    known_runs[d] = [{"first": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+                for d, own in spans.items():
+                    known_runs[d] = _runs(int(words.counts[d]), own)
                     known_items[d] = sorted(items[d])
                 text = pa.nulls(len(batch), pa.string()) if last else batch.column("text")
                 yield pa.RecordBatch.from_arrays(
@@ -151,8 +155,10 @@ def contamination(
 
         return map_batches(found, scanned, schema)
 
-    for rows, last in _window_blocks(items, item_id, item_text, n, block):
-        found = scan(found, rows, last)
+    parts = _window_blocks(items, item_id, item_text, n, block)
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        found = scan(found, part.collect(), last)
         found = found if last else stage(found, "benchmark-hits")
     return found.drop("text")
 
@@ -164,58 +170,68 @@ def remove_contamination(
     """The documents with every word hit cut out, or without the documents hit if `drop`.
 
     Each run of hit words goes with what stands between them, up to a line break in its place; the text is then
-    scanned again until no window occurs, as a cut may bring one together. All other columns, whatever their
-    names, stay as they are; null texts stay null; a text that is all hit becomes its remaining marks.
-    `length_column` is set to the new number of characters of a text that was cut.
+    scanned again until no window occurs, as a cut may bring one together. Hits of all blocks are gathered on the
+    uncut text and cut at once, so the result does not depend on `block`; with more than one, the texts that were
+    cut go through all blocks again, each pass a written table. All other columns, whatever their names, stay as
+    they are; null texts stay null; a text that is all hit becomes its remaining marks. `length_column` is set to
+    the new number of characters of a text that was cut.
     """
     spark = docs.sparkSession
     names = docs.columns
     at = names.index(text_column)
-
-    def clean(docs: DataFrame, rows: list) -> DataFrame:
+    parts = _window_blocks(items, item_id, item_text, n, block)
+    no_runs = F.expr("CAST(array() AS array<struct<first:long,end:long>>)")
+
+    def cut(text: bytes, words: Words, runs: list[dict[str, int]]) -> bytes:
+        rest, last = [], 0
+        for run in runs:
+            rest.append(text[last : words.starts[run["first"]]])
+            last = int(words.ends[run["end"] - 1])
+        return b"\n".join([*rest, text[last:]])
+
+    def clean(packed: DataFrame, rows: list, last: bool) -> DataFrame:
+        """Adds the runs of this block; after the last one the runs are cut out, and mark the texts to scan again."""
         shared = spark.sparkContext.broadcast(WindowSet(rows))
+        alone = len(parts) == 1
 
-        def cut(text: bytes) -> bytes | None:
-            """The text without hit words, or None if it has none."""
-            changed = False
-            while True:
+        def cut_up(text: bytes, runs: list[dict[str, int]]) -> bytes:
+            """The text without these runs and, if this block is the only one, without what hits it then."""
+            while runs:
+                text = cut(text, _words([text]), runs)
                 words = _words([text])
-                spans = [(first, first + size) for first, size, _ in shared.value.hits(words)]
-                if not spans:
-                    return text if changed else None
-                mark = np.zeros(len(words), bool)
-                for a, b in spans:
-                    mark[a:b] = True
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], mark, [False])).astype(np.int8)))
-                rest, last = [], 0
-                for a, b in zip(edges[::2], edges[1::2]):
-                    rest.append(text[last : words.starts[a]])
-                    last = int(words.ends[b - 1])
-                text, changed = b"\n".join([*rest, text[last:]]), True
+                runs = _runs(len(words), [(a, a + size) for a, size, _ in shared.value.hits(words)]) if alone else []
+            return text
 
         def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 texts = raw_texts(batch, "text")
                 words = _words(texts)
-                hit = {int(words.owner[first]) for first, _, _ in shared.value.hits(words)}
-                if drop and hit:
-                    batch = batch.take(pa.array([d for d in range(len(texts)) if d not in hit], pa.int64()))
-                elif hit:
-                    old = batch.column("text").to_pylist()
-                    new = [(cut(t) or b"").decode() if d in hit else old[d] for d, t in enumerate(texts)]
-                    marks = [d in hit for d in range(len(texts))]
+                spans: dict[int, list[tuple[int, int]]] = {}
+                for first, size, _ in shared.value.hits(words):
+                    d = int(words.owner[first])
+                    spans.setdefault(d, []).append((first - words.first[d], first - words.first[d] + size))
+                if drop:
+                    yield batch.take(pa.array([d for d in range(len(texts)) if d not in spans], pa.int64())) if spans else batch
+                    continue
+                runs = batch.column("runs").to_pylist()
+                for d, own in spans.items():
+                    runs[d] = _runs(int(words.counts[d]), own + [(run["first"], run["end"]) for run in runs[d]])
+                if spans or last and any(runs):
                     own = batch.schema  # all batches of a task must have one schema
+                    text, marks = batch.column("text"), batch.column("cut")
+                    if last:
+                        old = text.to_pylist()
+                        new = [cut_up(t, runs[d]).decode() if runs[d] else old[d] for d, t in enumerate(texts)]
+                        text = pa.array(new, own.field("text").type)
+                        marks = pa.array([was or bool(runs[d]) for d, was in enumerate(marks.to_pylist())])
                     batch = pa.RecordBatch.from_arrays(
-                        [batch.column(0), pa.array(new, own.field("text").type), pa.array(marks)], schema=own
+                        [batch.column(0), text, marks, pa.array(runs, own.field("runs").type)], schema=own
                     )
                 yield batch
 
-        # The other columns travel as one struct, so that their names never meet ours.
-        packed = docs.select(
-            F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if i != at], F.lit(0).alias("c")).alias("row"),
-            F.col(f"`{text_column}`").alias("text"), F.lit(False).alias("cut"),
-        )
-        done = map_batches(packed, cleaned, packed.schema)
+        return map_batches(packed, cleaned, packed.schema)
+
+    def unpacked(done: DataFrame) -> DataFrame:
         columns = []
         for i, c in enumerate(names):
             column = F.col("text") if i == at else F.col(f"row.c{i}")
@@ -224,7 +240,19 @@ def remove_contamination(
             columns.append(column.alias(c))
         return done.select(*columns)
 
-    for rows, last in _window_blocks(items, item_id, item_text, n, block):
-        docs = clean(docs, rows)
-        docs = docs if last else stage(docs, "benchmark-clean")
-    return docs
+    # The other columns travel as one struct, so that their names never meet ours.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if i != at], F.lit(0).alias("c")).alias("row"),
+        F.col(f"`{text_column}`").alias("text"), F.lit(False).alias("cut"), no_runs.alias("runs"),
+    )
+    if len(parts) == 1:
+        return unpacked(clean(packed, parts[0].collect(), True))
+    settled = None
+    while True:
+        for k, part in enumerate(parts):
+            packed = stage(clean(packed, part.collect(), k == len(parts) - 1), "benchmark-clean")
+        clear = packed.where(F.size("runs") == 0)
+        settled = clear if settled is None else settled.union(clear)
+        packed = packed.where(F.size("runs") > 0).withColumn("runs", no_runs)
+        if packed.isEmpty():
+            return unpacked(settled)

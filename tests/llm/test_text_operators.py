@@ -170,6 +170,38 @@ def test_remove_contamination(drop, spark, tables):
     assert out.where("n_chars <> 1 AND n_chars <> char_length(text)").count() == 0
 
 
+def slow_removal(text, windows, n=10):
+    """The text without the words of any window, cut at once, again and again."""
+    while True:
+        found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER)))
+        words = [m[0] for m in found]
+        hit = {j for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in windows for j in range(i, i + n)}
+        if not hit:
+            return text
+        out, last = "", 0
+        for i in sorted(hit):
+            out += ("" if i - 1 in hit else text[last : found[i].start()] + "\n")
+            last = found[i].end()
+        text = out + text[last:]
+
+
+@pytest.mark.parametrize("block", [200_000, 7])
+def test_remove_contamination_by_blocks(block, spark):
+    """The cut does not depend on how the windows are dealt to blocks, whichever of them a cut brings together."""
+    passage = [f"word{i}" for i in range(40)]
+    other = [f"other{i}" for i in range(12)]
+    windows = {tuple(p[i : i + 10]) for p in (passage, other) for i in range(len(p) - 9)}
+    items = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(other))], "item_id long, text string")
+    texts = [f"So {' '.join(passage[a:b])}, then." for a, b in ((0, 11), (3, 17), (0, 40), (5, 14), (20, 35))]
+    texts += [" ".join(["a", *other[:5], *passage[10:25], *other[5:], "z"]), " ".join([*passage[:6], *other, *passage[6:30], "z"]), "none", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = dict(texts_of(decontamination.remove_contamination(docs, items, block=block)))
+    assert out == {d: slow_removal(t or "", windows) for d, t in enumerate(texts)}
+    assert len(windows) > 4 * 7
+    dropped = dict(texts_of(decontamination.remove_contamination(docs, items, block=block, drop=True)))
+    assert dropped == {3: texts[3], 7: "none", 8: ""}
+
+
 def test_one_task_with_and_without_hits(spark, tables):
     """Batches that are cut and batches that pass through leave one task with one schema."""
     passage = tables["benchmark"].first()["text"]
