@@ -1,8 +1,9 @@
 """HTML extraction with site template removal.
 
-A page is parsed to a tree and every element subtree outside running prose gets a hash of its tags, classes and
+A page is parsed to a tree and every block-level subtree outside running prose gets a hash of its tags, classes and
 text. Spark counts, per host, on how many different pages each hash occurs. Subtrees that occur on many pages of
-a host are its template and are deleted; so are elements that say what they are (menus, footers, forms, ...).
+a host, and on a share of them, are its template and are deleted; so are elements that say what they are (menus,
+footers, forms, ...).
 What is left gives the text blocks. The template hashes are broadcast in blocks of bounded size, so pages are
 never shuffled and no host is a group of one task.
 """
@@ -23,6 +24,8 @@ from casekit.llm.text import map_batches, raw_texts, slices
 from casekit.sources.files import stage
 
 MANY_PAGES = 8
+PAGE_SHARE = 0.25
+SALTS = 32
 HASH_BLOCK = 2_000_000
 
 # Fixed values of HTML: elements without content, elements whose content is text, elements that end others.
@@ -53,7 +56,9 @@ HINT = re.compile(
 )
 TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")  # within an article it holds the headline
 SMALL_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|teaser|promo\w*|ads?|sponsor\w*)(?:$|[\s_-])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt figcaption".split())
+RUNNING = PROSE | {"li", "summary", "address", "caption"}
 
 MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S
@@ -63,11 +68,13 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "hints", "children", "digest", "main")
+    __slots__ = ("tag", "hints", "children", "digest", "main", "plain", "linked", "candidate")
 
     def __init__(self, tag: str, hints: str = ""):
         self.tag, self.hints, self.children = tag, hints, []
         self.digest, self.main = 0, False
+        self.plain = self.linked = 0  # characters of text outside and inside links
+        self.candidate = False
 
 
 def _hints(attributes: str) -> str:
@@ -121,7 +128,7 @@ def parse(page: str) -> Node:
 
 
 def _digest(root: Node) -> None:
-    """Sets each node's hash of tag, hints and content; iterative, as trees may be deep."""
+    """Sets each node's hash of tag, hints and content, and its text lengths; iterative, as trees may be deep."""
     order = [root]
     for node in order:
         node.main = node.main or node.tag in ("article", "main")
@@ -133,35 +140,51 @@ def _digest(root: Node) -> None:
         parts = [node.tag, node.hints]
         parts += [str(c.digest) if isinstance(c, Node) else " ".join(c.split()) for c in node.children]
         node.digest = xxhash.xxh64_intdigest("\0".join(parts).encode(), 7)
+        for c in node.children:
+            if isinstance(c, Node):
+                node.plain += c.plain
+                node.linked += c.linked
+            else:
+                node.plain += len(c.strip())
+        if node.tag == "a":
+            node.plain, node.linked = 0, node.plain + node.linked
 
 
 def _candidates(root: Node) -> Iterator[Node]:
-    """Subtrees that may be template: every element with content that is neither prose in an article nor holds one."""
+    """Subtrees that may be template: block-level elements that are not prose themselves nor lie in prose.
+
+    Inline elements and headings are none, and a paragraph, list item or cell is one only if all its text is in
+    links. Within an article so are only elements with most of their text in links.
+    """
     stack = [root]
     while stack:
         node = stack.pop()
         for child in node.children:
             if isinstance(child, Node) and child.tag not in RAW and child.tag not in VOID:
+                if child.tag not in RUNNING or not _own_text(child):
+                    stack.append(child)
+                if child.tag in BLOCK and child.tag not in ("html", "body", "head", "article", "main") and child.children:
+                    if child.tag in RUNNING and (child.plain or child.tag in HEADINGS) or child.main and not _chrome(child):
+                        continue
+                    yield child
+
+
+def _own_text(node: Node) -> bool:
+    """Whether an element has text outside links and outside block-level elements within it."""
+    stack = [node]
+    while stack:
+        for child in stack.pop().children:
+            if not isinstance(child, Node):
+                if not child.isspace():
+                    return True
+            elif child.tag not in BLOCK and child.tag != "a":
                 stack.append(child)
-                if child.tag not in ("html", "body", "head", "article", "main") and child.children:
-                    if not (child.main and not _chrome(child)):
-                        yield child
+    return False
 
 
 def _chrome(node: Node) -> bool:
     """Whether most of a subtree's text is in links: what repeats in an article is template only then."""
-    linked = plain = 0
-    stack = [(node, node.tag == "a")]
-    while stack:
-        own, inside = stack.pop()
-        for child in own.children:
-            if isinstance(child, Node):
-                stack.append((child, inside or child.tag == "a"))
-            elif inside:
-                linked += len(child.strip())
-            else:
-                plain += len(child.strip())
-    return linked > plain
+    return node.linked > node.plain
 
 
 def _says_so(node: Node) -> bool:
@@ -199,7 +222,7 @@ def blocks(root: Node, host: int, template: set[int]) -> list[str]:
         if node is None:
             close()
             continue
-        if _says_so(node) or key(host, node.digest) in template:
+        if _says_so(node) or node.candidate and key(host, node.digest) in template:
             if node.tag in BLOCK:
                 close()
             continue
@@ -235,27 +258,33 @@ def key(host: int, digest: int) -> int:
     return (host * 0x9E3779B97F4A7C15 + digest) & (2**64 - 1)
 
 
-def template_hashes(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
-    """Hashes of (host, subtree) that occur on at least `many` different pages of the host.
+def template_hashes(pages: DataFrame, many: int = MANY_PAGES, share: float = PAGE_SHARE) -> DataFrame:
+    """Hashes of (host, subtree) that occur on at least `many` different pages of the host and this share of them.
 
     Pages of a host with the same content count once: copies of an article are no template. Counts are over all
-    pages; each page sends a hash at most once, and counts are summed before the shuffle.
+    pages; each page sends a hash at most once, and counts are summed before the shuffle. A host's own pages are
+    counted under its own hash; its number is dealt to several keys, as a host may have many subtrees.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            keys, contents = [], []
+            keys, hosts, contents = [], [], []
             for url, page in zip(batch.column("url").to_pylist(), raw_texts(batch, "html")):
-                root = parse(page.decode())
-                own = _keys(root, host_of(url))
+                root, host = parse(page.decode()), host_of(url)
+                own = _keys(root, host) | {host}
                 keys += own
+                hosts += [host] * len(own)
                 contents += [_content(root, page)] * len(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, contents)], ["hash", "content"]
+                [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, hosts, contents)], ["hash", "host", "content"]
             )
 
-    rows = map_batches(pages.select("url", "html"), hashed, "hash long, content long")
-    return rows.distinct().groupBy("hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= many).select("hash")
+    rows = map_batches(pages.select("url", "html"), hashed, "hash long, host long, content long")
+    counts = rows.distinct().groupBy("hash", "host").agg(F.count("*").alias("pages")).where(F.col("pages") >= many)
+    counts = stage(counts.withColumn("salt", F.pmod("hash", F.lit(SALTS))), "template-counts")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    hosts = counts.where("hash = host").select("host", F.col("pages").alias("of"), salts)
+    return counts.where("hash <> host").join(hosts, ["host", "salt"]).where(F.col("pages") >= share * F.col("of")).select("hash")
 
 
 def _content(root: Node, page: bytes) -> int:
@@ -266,7 +295,7 @@ def _content(root: Node, page: bytes) -> int:
 
 def extract(
     pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
-    many: int = MANY_PAGES, block: int = HASH_BLOCK,
+    many: int = MANY_PAGES, block: int = HASH_BLOCK, share: float = PAGE_SHARE,
 ) -> DataFrame:
     """page_id, url and the main text of every page: blocks joined by line breaks, '' if there is none.
 
@@ -280,7 +309,7 @@ def extract(
         F.col(html_column).cast("string").alias("html"), F.expr("CAST(array() AS array<long>)").alias("known"),
     )
     kind = named.schema["page_id"].dataType.simpleString()
-    hashes = stage(template_hashes(named, many), "template-hashes")
+    hashes = stage(template_hashes(named, many, share), "template-hashes")
     parts = max(1, -(-hashes.count() // block))
 
     def part(k: int) -> np.ndarray:
@@ -321,9 +350,13 @@ def extract(
 
 
 def _keys(root: Node, host: int) -> set[int]:
-    """Sets the digests of a tree and returns the keys of its candidates."""
+    """Sets the digests of a tree, marks its candidates and returns their keys."""
     _digest(root)
-    return {key(host, n.digest) for n in _candidates(root)}
+    keys = set()
+    for node in _candidates(root):
+        node.candidate = True
+        keys.add(key(host, node.digest))
+    return keys
 
 
 def _found(table: np.ndarray, keys: set[int]) -> set[int]:

@@ -524,6 +524,26 @@ def test_text_that_recurs_in_articles_stays(spark):
     assert extracted(spark, pages) == [f"Shared passage\nOwn text {i}" for i in range(12)]
 
 
+def test_prose_that_recurs_outside_articles_stays(spark):
+    """Inline links, headings, cells and list items recur on many pages; they are no template, nor are blocks on few."""
+
+    def body(i):
+        few = "<div class=box>Seen on some</div>" if i < 8 else ""
+        return (
+            f"<div id=top>Our site</div><div><h2>Introduction</h2><p>Story {i} from the <a href=/us>United States</a>, <b>as told</b>.</p>"
+            f"<table><tr><td>Yes</td><td>{i}</td></tr></table><ul><li>Common item</li><li>item {i}</li></ul>{few}</div>"
+            "<ul><li><a href=/a>Menu</a></li></ul>"
+        )
+
+    pages = [(f"http://one.example/{i}", page(body(i))) for i in range(40)]
+    texts = extracted(spark, pages)
+    for i, text in enumerate(texts):
+        few = "\nSeen on some" if i < 8 else ""
+        assert text == f"Introduction\nStory {i} from the United States, as told.\nYes\n{i}\nCommon item\nitem {i}{few}"
+    inside = [(u, h.replace("<div><h2>", "<article><h2>").replace("</div><ul><li><a", "</article><ul><li><a")) for u, h in pages]
+    assert extracted(spark, inside) == texts
+
+
 # ---- licences -------------------------------------------------------------------------
 
 BSD = """# Redistribution and use in source and binary forms, with or without
