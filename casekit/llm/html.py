@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +48,18 @@ NEVER = frozenset(
     "head script style noscript template iframe object embed svg canvas audio video map nav footer aside form button"
     " select textarea input label fieldset dialog menu title xmp noembed noframes".split()
 )
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
+# Of these, the ones that a whole page may be wrapped in, and the ones that never hold a page.
+WRAPPERS = frozenset("form fieldset label".split())
+DROPPED = NEVER - WRAPPERS - {"nav", "footer", "aside", "menu"}
+HINT_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
     r"|nav\w*|menus?|breadcrumbs?|pagination|pager|sidebars?|side|widget\w*|aside|footer|footnav|comments?"
     r"|disqus|replies|respond|share|sharing|social|follow|related|recommend\w*|newsletter|subscribe|signup|login|search"
-    r"|toolbar|skip\w*|tags|complementary|contentinfo|navigation)(?:$|[\s_-])"
+    r"|toolbar|skip\w*|tags|complementary|contentinfo|navigation)"
 )
+HINT = re.compile(rf"(?:^|[\s_-]){HINT_WORDS}(?:$|[\s_-])")
 TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])")  # within an article it holds the headline
+NAME_WORD = re.compile(rf"{HINT_WORDS}|header|masthead|reply|teaser|\d+")
 SMALL_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|related|teaser|promo\w*|ads?|sponsor\w*)(?:$|[\s_-])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt figcaption".split())
@@ -68,13 +73,14 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "hints", "children", "digest", "main", "plain", "linked", "candidate")
+    __slots__ = ("tag", "hints", "children", "digest", "main", "plain", "linked", "candidate", "holds")
 
     def __init__(self, tag: str, hints: str = ""):
         self.tag, self.hints, self.children = tag, hints, []
         self.digest, self.main = 0, False
         self.plain = self.linked = 0  # characters of text outside and inside links
         self.candidate = False
+        self.holds = 0  # articles, and main elements without one, in it
 
 
 def _hints(attributes: str) -> str:
@@ -129,25 +135,29 @@ def parse(page: str) -> Node:
 
 def _digest(root: Node) -> None:
     """Sets each node's hash of tag, hints and content, and its text lengths; iterative, as trees may be deep."""
-    order = [root]
-    for node in order:
+    order, within = [root], [False]  # within: in an article, or in what is dropped with all it holds
+    for node, inner in zip(order, within):
         node.main = node.main or node.tag in ("article", "main")
         for child in node.children:
             if isinstance(child, Node):
                 child.main = node.main
                 order.append(child)
-    for node in reversed(order):
+                within.append(inner or _dropped(node) or node.tag == "article" and not _says_so(node))
+    for node, inner in zip(reversed(order), reversed(within)):
         parts = [node.tag, node.hints]
         parts += [str(c.digest) if isinstance(c, Node) else " ".join(c.split()) for c in node.children]
         node.digest = xxhash.xxh64_intdigest("\0".join(parts).encode(), 7)
         for c in node.children:
             if isinstance(c, Node):
-                node.plain += c.plain
+                node.plain += 0 if _dropped(c) else c.plain
                 node.linked += c.linked
+                node.holds += c.holds
             else:
                 node.plain += len(c.strip())
         if node.tag == "a":
             node.plain, node.linked = 0, node.plain + node.linked
+        if node.tag in ("article", "main") and not (inner or node.holds or _dropped(node) or _says_so(node) or _chrome(node)):
+            node.holds = int(node.plain > 0)
 
 
 def _candidates(root: Node) -> Iterator[Node]:
@@ -198,10 +208,39 @@ def _says_so(node: Node) -> bool:
     return "hidden" in node.hints.split() or bool(HINT.search(node.hints)) or not node.main and bool(TOP.search(node.hints))
 
 
+def _dropped(node: Node) -> bool:
+    """Whether an element goes whatever it holds."""
+    return node.tag in DROPPED or "hidden" in node.hints.split()
+
+
+def _names_itself(node: Node) -> bool:
+    """Whether a class, id or role is nothing but such a name (`sidebar`), not one that mentions it (`has-sidebar`)."""
+    return any(all(NAME_WORD.fullmatch(w) for w in re.split("[_-]+", token)) for token in node.hints.split())
+
+
+def _goes(node: Node, root: Node) -> bool:
+    """Whether an element is deleted for what it says it is: not if it holds the main text.
+
+    An element that only mentions a name, or is of a kind that pages are wrapped in, holds it if it has an article
+    (or main element) or most of the page's text outside links; one that has the name itself must have most of that
+    text with all articles, or nearly all of it.
+    """
+    if not _says_so(node):
+        return False
+    if _dropped(node):
+        return True
+    most = node.plain > 0.5 * root.plain
+    if node.tag in ("nav", "footer", "aside", "menu"):
+        return not (0 < root.holds == node.holds and most)
+    if node.tag not in WRAPPERS and _names_itself(node):
+        return not (0 < root.holds == node.holds and most or node.plain > 0.9 * root.plain)
+    return not (node.holds or most)
+
+
 def blocks(root: Node, host: int, template: set[int]) -> list[str]:
     """Text blocks in page order, without template subtrees and elements that say they are none of the text.
 
-    If the page has articles or main elements, only text in them counts.
+    If the page has articles or main elements that stay, only text in them counts.
     """
     out: list[str] = []
     parts: list[str] = []
@@ -212,7 +251,10 @@ def blocks(root: Node, host: int, template: set[int]) -> list[str]:
         if text:
             out.append(text)
 
-    scoped = any(n.main for n in _walk(root))
+    def goes(node: Node) -> bool:
+        return _goes(node, root) or node.candidate and key(host, node.digest) in template
+
+    scoped = any(n.tag in ("article", "main") and n.plain + n.linked for n in _walk(root, goes))
     stack: list = [root]
     while stack:
         node = stack.pop()
@@ -222,7 +264,7 @@ def blocks(root: Node, host: int, template: set[int]) -> list[str]:
         if node is None:
             close()
             continue
-        if _says_so(node) or node.candidate and key(host, node.digest) in template:
+        if goes(node):
             if node.tag in BLOCK:
                 close()
             continue
@@ -240,12 +282,14 @@ def blocks(root: Node, host: int, template: set[int]) -> list[str]:
     return out
 
 
-def _walk(root: Node) -> Iterator[Node]:
+def _walk(root: Node, past: Callable[[Node], bool] | None = None) -> Iterator[Node]:
+    """All nodes, without the subtrees of those to go past."""
     stack = [root]
     while stack:
         node = stack.pop()
-        yield node
-        stack += [c for c in node.children if isinstance(c, Node)]
+        if not (past and past(node)):
+            yield node
+            stack += [c for c in node.children if isinstance(c, Node)]
 
 
 def host_of(url: str | None) -> int:

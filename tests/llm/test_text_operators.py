@@ -544,6 +544,26 @@ def test_prose_that_recurs_outside_articles_stays(spark):
     assert extracted(spark, inside) == texts
 
 
+def test_names_do_not_take_the_main_text(spark):
+    story, other = "<p>The story told at length here.</p>", "<div class=sidebar>See more</div>"
+    bodies = {
+        f"<div class='layout has-sidebar'><article>{story}</article>{other}</div>": "The story told at length here.",
+        f"<div class='hentry comments-open'><article>{story}</article></div>{other}": "The story told at length here.",
+        f"<article class='hentry comments-open'>{story}</article>{other}": "The story told at length here.",
+        f"<form id=aspnetForm><div id=content>{story}</div>{other}</form>": "The story told at length here.",
+        f"<main><div class='row with-sidebar'>{story}{other}</div></main>": "The story told at length here.",
+        f"<div>{story}</div><article class=teaser><p>Another</p></article>": "The story told at length here.",
+        f"<div>{story}</div><article class=comment><p>First!</p></article>": "The story told at length here.",
+        f"<div>{story}</div><aside><article><p>Widget</p></article></aside><section id=comments><article id=comment-1>No</article></section>"
+        f"<div><article><p>Own</p></article></div>": "Own",
+        f"<article>{story}<section id=comments class=comments-area>{story * 3}</section></article>": "The story told at length here.",
+        f"<main>{story}<div class=related><article><p>A card</p></article></div></main>": "The story told at length here.",
+        f"<article>{story}</article><form>Mail <input></form>": "The story told at length here.",
+        f"<div hidden><article>{story}</article></div><p>Seen</p>": "Seen",
+    }
+    assert extracted(spark, [(f"http://h{i}.example/", page(b)) for i, b in enumerate(bodies)]) == list(bodies.values())
+
+
 # ---- licences -------------------------------------------------------------------------
 
 BSD = """# Redistribution and use in source and binary forms, with or without
