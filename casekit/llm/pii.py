@@ -4,7 +4,8 @@ A text is split at everything that may be personal: the parts between are kept,
 is valid, permuted by a keyed Feistel network within its own format. A permutation has no two values with one
 pseudonym, and equal values get equal pseudonyms in every document, so links survive. Nothing is shuffled.
 
-* cards (13 to 19 digits, Luhn): all digits but the last are permuted, the last is the new check digit;
+* cards (13 to 19 digits, Luhn): all digits but the last are permuted, the last is the new check digit; a run of
+  digits that is none as a whole may hold cards in their usual groups, beside other numbers;
 * IBANs (mod 97): digits and letters after the check digits are permuted within their kind, then checked anew;
 * US social security numbers (valid area, group and serial): permuted within the valid ones;
 * telephone numbers (international, or North American with separators): all digits after the country code;
@@ -29,16 +30,27 @@ CYCLE_START = "1800-01-01"
 CYCLE_DAYS = (189, 773)  # their product is the days of 400 years
 SSN_SIZES = (898, 99 * 9999)
 
+SECRET_WORD = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
+# What may follow a card after a space without being a part of it: numbers of the other kinds.
+OTHER_NUMBER = (
+    r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}(?![0-9])"
+    r"|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?:[0-9]{1,3}\.){3}[0-9]"
+)
+# Usual groups of card numbers: none, four of 4 digits and perhaps a rest, or 4, 6 and 4 or 5.
+CARD_GROUPS = r"^[ -]?(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+CARD_SIZES = (4, 5, 3, 1)
+DIGIT_RUN = "^[0-9](?:[ -]?[0-9]){12,}$"
+
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"'][A-Za-z0-9+/_=-]{12,}+[\"']",
+    "secret": SECRET_WORD + r"[\"']?\s{0,3}[:=]\s{0,3}[\"'][A-Za-z0-9+/_=-]{12,}+[\"']",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
              r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
+    "card": r"(?<![0-9A-Za-z.-])[0-9](?:(?:-| (?!" + OTHER_NUMBER + r"))?[0-9]){12,60}(?![0-9A-Za-z]|[.-][0-9])",
 }
 
 
@@ -172,6 +184,30 @@ def _card(m: Column, key: str) -> Column:
     return _let(permute_letters(F.slice(codes, F.lit(1), F.size(codes) - 1), key, "card"), body)
 
 
+def _run_of_cards(m: Column, key: str) -> Column:
+    """A run of digits with the cards in it replaced (`value`), and how many there are (`n`)."""
+    groups = F.split(m, "(?=[ -])")
+    start = F.struct(F.lit("").alias("value"), F.lit(0).alias("n"), F.lit(1).alias("at"), groups.alias("groups"))
+
+    def valid(window: Column) -> Column:
+        text = F.array_join(window, "")
+        return text.rlike(CARD_GROUPS) & (F.pmod(_luhn_sum(_digits(text)), F.lit(10)) == 0)
+
+    def step(acc: Column, i: Column) -> Column:
+        windows = F.transform(F.array(*map(F.lit, CARD_SIZES)), lambda k: F.slice(acc["groups"], i, k))
+
+        def taken(window: Column) -> Column:
+            value = F.when(window.isNull(), F.get(acc["groups"], i - 1)).otherwise(_card(F.array_join(window, ""), key))
+            return F.struct(
+                F.concat(acc["value"], value).alias("value"), (acc["n"] + window.isNotNull().cast("int")).cast("int").alias("n"),
+                (i + F.coalesce(F.size(window), F.lit(1))).cast("int").alias("at"), acc["groups"].alias("groups"),
+            )
+
+        return F.when(i < acc["at"], acc).otherwise(_let(F.get(F.filter(windows, valid), F.lit(0)), taken))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda acc: F.struct(acc["value"], acc["n"]))
+
+
 def _iban(m: Column, key: str) -> Column:
     packed = F.regexp_replace(m, " ", "")
 
@@ -307,11 +343,18 @@ def pseudonymize(
     """
     pattern = _pattern(kinds)
     text = F.col(f"`{text_column}`")
-    # Only a text with a digit or an at sign can have a match: others skip the pattern.
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    found = F.transform(matches, lambda m: _let(F.struct(m.alias("m"), kind_of(m).alias("kind")), lambda x: F.struct(
-        x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("value")
-    )))
+    # Only a text with a digit, an at sign or a word before a secret can have a match: others skip the pattern.
+    matches = F.when(text.rlike(f"[0-9@]|{SECRET_WORD}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+    def replaced(x: Column) -> Column:
+        """Kind, pseudonym and number of values of a match."""
+        one = F.struct(x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("value"), F.lit(1).alias("n"))
+        cards = _let(_run_of_cards(x["m"], key), lambda r: F.struct(
+            F.when(r["n"] > 0, "card").alias("kind"), r["value"].alias("value"), r["n"].alias("n")
+        ))
+        return F.when(x["kind"].isNull() & x["m"].rlike(DIGIT_RUN), cards).otherwise(one)
+
+    found = F.transform(matches, lambda m: _let(F.struct(m.alias("m"), kind_of(m).alias("kind")), replaced))
     names = docs.columns
     packed = docs.select(F.struct("*").alias("row"), found.alias("found"))
     old = F.col("row").getField(text_column)
@@ -332,10 +375,10 @@ def pseudonymize(
         if c != counts_column:
             columns.append(column.alias(c))
     if counts_column:
-        known = F.coalesce(F.col("found")["kind"], F.array().cast("array<string>"))
+        known = F.coalesce("found", F.expr("CAST(array() AS array<struct<kind:string,value:string,n:int>>)"))
 
         def number(kind: str) -> Column:
-            return F.size(F.filter(known, lambda k: k == kind))
+            return F.aggregate(known, F.lit(0), lambda n, x: n + F.when(x["kind"] == kind, x["n"]).otherwise(0))
 
         counts = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*map(number, kinds)))
         columns.append(F.map_filter(counts, lambda k, n: n > 0).alias(counts_column))

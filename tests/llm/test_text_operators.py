@@ -449,6 +449,28 @@ def test_what_is_not_valid_stays(spark):
     assert [t for t, _ in pseudonyms(spark, texts)] == texts
 
 
+def test_secrets_without_digits(spark):
+    texts = ['password = "correct-horse-battery"', 'Api_Key: \'QWERTYUIOPasdf\' and more', "a token of thanks"]
+    out = pseudonyms(spark, texts)
+    assert [f for _, f in out] == [{"secret": 1}, {"secret": 1}, {}]
+    assert all(shape(new) == shape(old) for (new, _), old in zip(out, texts))
+    assert "correct-horse" not in out[0][0] and "QWERTY" not in out[1][0] and out[2][0] == texts[2]
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    solid = card.replace(" ", "")
+    new, new_solid = (t for t, _ in pseudonyms(spark, [card, solid]))
+    texts = [f"{card} 12/25", f"{solid} 123", f"{solid} 12/25", f"123456 {card}", f"7 {solid} 123", f"{solid} 3782 822463 10005 99 x", "1234 5678 9012 3456 78"]
+    out = pseudonyms(spark, texts)
+    assert [t.replace(new, card).replace(new_solid, solid) for t, _ in out[:5]] == texts[:5]
+    assert [f for _, f in out[:5]] == [{"card": 1}] * 5 and all(card not in t and solid not in t for t, _ in out[:5])
+    assert out[5][1] == {"card": 2} and shape(out[5][0]) == shape(texts[5]) and "822463" not in out[5][0] and out[5][0].endswith(" 99 x")
+    assert out[6] == (texts[6], {})
+    dated, found = pseudonyms(spark, [f"{solid} 12/25/2024, {solid} 123-45-6789"])[0]
+    assert found == {"card": 2, "date": 1, "ssn": 1} and dated.count(new_solid) == 2
+
+
 def test_numbers_are_permuted(spark):
     df = spark.range(189 * 773).select("id", pii.permute_number(F.col("id"), pii.CYCLE_DAYS, "k", "date").alias("to"))
     row = df.agg(F.count_distinct("to"), F.min("to"), F.max("to"), F.count_if(F.col("to") == F.col("id"))).first()
