@@ -91,4 +91,16 @@ LICENSES = rf"""WITH known(s, id) AS (VALUES {_KNOWN}),
       AS sentence_ids, coalesce(n, 0) AS n_unknown
   FROM d LEFT JOIN l USING (r) LEFT JOIN lines_ids a USING (r) LEFT JOIN joined_ids b USING (r) LEFT JOIN u USING (r)"""
 
-ORACLE: dict[str, str] = {"op2_licenses": LICENSES, "op3_decontamination": CONTAMINATION, "op9_repetition": REPETITION}
+URLS = rf"""WITH rules(host, path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+      ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+  u AS (SELECT row_number() OVER () AS r, page_id,
+      CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  h AS (SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+  p AS (SELECT r, page_id, translate(raw, '{_CAPITALS}', '{_CAPITALS.lower()}') AS host,
+      regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+  f AS (SELECT r, rules.host || rules.path AS rule, action,
+      row_number() OVER (PARTITION BY r ORDER BY length(rules.host || rules.path) DESC, length(rules.host) DESC) AS o
+      FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path))
+  SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.r = f.r AND o = 1"""
+
+ORACLE: dict[str, str] = {"op12_urls": URLS, "op2_licenses": LICENSES, "op3_decontamination": CONTAMINATION, "op9_repetition": REPETITION}

@@ -19,6 +19,7 @@ from casekit.llm.simhash import near_duplicates
 from casekit.llm.token_counts import token_counts
 from casekit.llm.toxicity import THRESHOLD as TOXICITY_THRESHOLD
 from casekit.llm.toxicity import fit_machine, toxicity_scores
+from casekit.llm.url_filter import url_verdicts
 
 VOCABULARY = "word_bpe_49k.json"
 KEY = "a key for tests; a deployment passes its own"
@@ -98,10 +99,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# The rules of the URL query, as host, path and action.
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, action string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_licenses, op3_decontamination, op4_pii, op5_html, op6_tokens, op7_toxicity, op8_packing,
-        op9_repetition, op10_simhash,
+        op9_repetition, op10_simhash, op12_urls,
     )
 }
