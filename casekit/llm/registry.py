@@ -20,6 +20,7 @@ from casekit.llm.token_counts import token_counts
 from casekit.llm.toxicity import THRESHOLD as TOXICITY_THRESHOLD
 from casekit.llm.toxicity import fit_machine, toxicity_scores
 from casekit.llm.url_filter import url_verdicts
+from casekit.llm.whitening import whiten
 
 VOCABULARY = "word_bpe_49k.json"
 KEY = "a key for tests; a deployment passes its own"
@@ -113,10 +114,14 @@ def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_licenses, op3_decontamination, op4_pii, op5_html, op6_tokens, op7_toxicity, op8_packing,
-        op9_repetition, op10_simhash, op12_urls,
+        op9_repetition, op10_simhash, op12_urls, op13_whitening,
     )
 }

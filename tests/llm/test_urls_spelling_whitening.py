@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from casekit.llm import registry, url_filter
+from casekit.llm import registry, url_filter, whitening
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -108,3 +108,84 @@ def test_many_shards(spark):
 
 def test_urls_as_sql(spark, sf_dir):
     same_as_sql(spark, sf_dir, "op12_urls", ["pages"])
+
+
+# ---- whitening ------------------------------------------------------------------------
+
+
+def slow_whitening(vectors, components=4):
+    """By the dense covariance and LAPACK."""
+    x = np.floor(256 * np.array(vectors, np.float64)).astype(np.int64)
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = fit - sums / n
+    values, turn = np.linalg.eigh(centred.T @ centred / n)
+    values, turn = values[::-1][:components], turn[:, ::-1][:, :components]
+    deviation = [sum((n * int(a) - int(s)) ** 2 for a, s in zip(row, sums)) for row in x]
+    return n, deviation, (x - sums / n) @ turn / np.sqrt(values), values / np.trace(centred.T @ centred / n)
+
+
+def check_whitening(found, vectors, ids):
+    n, deviation, expected, explained = slow_whitening(vectors)
+    rows = [r.asDict() for r in found.collect()]
+    assert len(rows) == len(ids) * expected.shape[1]
+    got = {(r["vec_id"], r["component"]): r for r in rows}
+    mine = np.array([[got[i, k + 1]["whitened"] for k in range(expected.shape[1])] for i in ids])
+    mine *= np.sign(np.sum(mine * expected, axis=0))
+    assert np.abs(mine - expected).max() < 1e-8
+    assert all(r["n"] == n and r["identity_error"] < 1e-9 for r in rows)
+    assert [got[i, 1]["deviation"] for i in ids] == deviation
+    assert np.allclose([got[ids[0], k + 1]["explained"] for k in range(expected.shape[1])], explained, rtol=1e-10)
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_whitening_query(spark, table):
+    rows = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").collect()
+    found = registry.QUERIES["op13_whitening"](spark, f"/root/testdata/{table}")
+    check_whitening(found, [r["embedding"] for r in rows], [r["vec_id"] for r in rows])
+
+
+def test_whitening_odd_rows(spark):
+    """Null, short, empty and non-finite vectors go; copies count once; clashing columns and null ids do not matter."""
+    rng = np.random.default_rng(5)
+    vectors = (rng.standard_normal((60, 6)) * [9, 5, 3, 2, 1, 1]).tolist()
+    rows = [(i, v, "x", 1.0) for i, v in enumerate(vectors)]
+    odd = [None, [], [1.0], [None] * 6, [float("nan")] * 6, [float("inf")] + [0.0] * 5]
+    rows += [(100 + i, v, None, None) for i, v in enumerate(odd)] + [(200, vectors[3], "y", 0.0)]
+    schema = "vec_id long, embedding array<double>, component string, n double"
+    check_whitening(whitening.whiten(spark.createDataFrame(rows, schema)), [*vectors, vectors[3]], [*range(60), 200])
+    twice = whitening.whiten(spark.createDataFrame(rows + rows[:2] + [(None, vectors[0], "", 0.0)], schema))
+    assert Counter(r["vec_id"] for r in twice.collect()) == Counter({**{i: 4 for i in [*range(60), 200]}, 0: 8, 1: 8, None: 4})
+    for few in ([], rows[:1], [rows[0], (9, rows[0][1], "", 0.0)]):
+        assert whitening.whiten(spark.createDataFrame(few, schema)).collect() == []
+    assert {r["component"] for r in whitening.whiten(spark.createDataFrame(rows[:2], schema)).collect()} == {1}
+
+
+def test_whitening_keeps_large_values_exact(spark):
+    rows = [(0, [3.0e13, 1.0]), (1, [-3.0e13, 2.0]), (2, [1.0, 5.0])]
+    found = {r["vec_id"]: r["deviation"] for r in whitening.whiten(spark.createDataFrame(rows, "vec_id int, embedding array<double>")).collect()}
+    assert found[0] is None and found[2] == slow_whitening([v for _, v in rows])[1][2]
+
+
+@pytest.mark.parametrize("gap", [1e-1, 1e-3, 1e-5])
+def test_jacobi_davidson_on_close_eigenvalues(gap):
+    """Residuals reach rounding level, also where the last wanted value has a close neighbour outside."""
+    size = 48
+    q, _ = np.linalg.qr(np.random.default_rng(2).standard_normal((size, size)))
+    values = np.array([10, 6, 5, 4, 4 - gap, *np.linspace(3.9, 0.1, size - 5)])
+    matrix = (q * values) @ q.T
+    calls = []
+    pairs = whitening.jacobi_davidson(lambda b: calls.append(b.shape) or matrix @ b, size, 4)
+    assert np.allclose(pairs.values, values[:4], rtol=1e-13)
+    assert pairs.residuals.max() <= 64 * 2.3e-16 * 10 * size**0.5
+    assert np.abs(np.abs(np.sum(q[:, :4] * pairs.vectors, axis=0)) - 1).max() < 1e-13 / gap**2
+    assert len(calls) < 200
+
+
+def test_jacobi_davidson_on_ties_and_low_rank():
+    matrix = np.diag([5.0, 5, 5, 5, 5, 1, 0, 0, 0, 0])
+    pairs = whitening.jacobi_davidson(lambda b: matrix @ b, 10, 4)
+    assert np.allclose(pairs.values, 5) and np.allclose(pairs.vectors.T @ pairs.vectors, np.eye(4))
+    assert np.allclose(whitening.jacobi_davidson(lambda b: 0 * b, 3, 4).values, 0)
+    with pytest.raises(ArithmeticError):
+        whitening.jacobi_davidson(lambda b: b + np.random.default_rng().standard_normal(b.shape), 9, 2, rounds=5)
