@@ -103,4 +103,25 @@ URLS = rf"""WITH rules(host, path, action) AS (VALUES ('net', '/', 'block'), ('e
       FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path))
   SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.r = f.r AND o = 1"""
 
-ORACLE: dict[str, str] = {"op12_urls": URLS, "op2_licenses": LICENSES, "op3_decontamination": CONTAMINATION, "op9_repetition": REPETITION}
+_POLYNOMIAL = 0xEDB88320  # fixed: of CRC-32
+SPELLING = rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor({_POLYNOMIAL}, c >> 1) ELSE c >> 1 END, i) ORDER BY i)
+      AS crcs FROM range(256) u(i)),
+  w AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'),
+      '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+  g AS (SELECT id, run, count(*) AS n FROM w WHERE length(run) >= 6 GROUP BY id, run),
+  b AS (SELECT *, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+      ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS bytes FROM g),
+  h AS (SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8), 4294967295)) AS h FROM b, t),
+  s AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+  v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  d AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS cut FROM v, unnest(range(length(word))) u(i)),
+  p AS (SELECT a.word, v.word AS other FROM d a JOIN v ON v.word = cut UNION SELECT v.word, a.word FROM d a JOIN v ON v.word = cut
+      UNION SELECT a.word, b.word FROM d a JOIN d b USING (cut, i) WHERE a.word <> b.word AND length(a.word) = length(b.word)),
+  o AS (SELECT p.word, other, v.n, count(*) OVER (PARTITION BY p.word) AS n_near,
+      row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, other) AS k FROM p JOIN v ON v.word = other),
+  f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN o.n >= 5 * v.n THEN other END AS form,
+      CASE WHEN o.n >= 5 * v.n THEN o.n END AS form_n FROM v LEFT JOIN o ON o.word = v.word AND k = 1),
+  r(word, leaf) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.leaf WHERE f.form IS NOT NULL)
+  SELECT f.word, f.form, r.leaf AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f AS last ON last.word = r.leaf AND last.form IS NULL"""
+
+ORACLE: dict[str, str] = {"op11_spelling": SPELLING, "op12_urls": URLS, "op2_licenses": LICENSES, "op3_decontamination": CONTAMINATION, "op9_repetition": REPETITION}

@@ -16,6 +16,7 @@ from casekit.llm.quality import fit_rules, quality_scores
 from casekit.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from casekit.llm.repetition import repetition_measures, repetition_verdict
 from casekit.llm.simhash import near_duplicates
+from casekit.llm.spelling import spelling_variants
 from casekit.llm.token_counts import token_counts
 from casekit.llm.toxicity import THRESHOLD as TOXICITY_THRESHOLD
 from casekit.llm.toxicity import fit_machine, toxicity_scores
@@ -100,6 +101,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 # The rules of the URL query, as host, path and action.
 URL_RULES = (
     ("net", "/", "block"),
@@ -122,6 +127,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_licenses, op3_decontamination, op4_pii, op5_html, op6_tokens, op7_toxicity, op8_packing,
-        op9_repetition, op10_simhash, op12_urls, op13_whitening,
+        op9_repetition, op10_simhash, op11_spelling, op12_urls, op13_whitening,
     )
 }
