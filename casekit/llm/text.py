@@ -81,14 +81,14 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
-        self.hashes = self._hashes()
+        self.hashes = self.hashed(self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def _hashes(self) -> np.ndarray:
-        """Sum over a word's bytes of a mixed (place, byte): a tabulation hash, taken in bounded blocks."""
-        sizes = self.ends - self.starts
+    def hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sum over a span's bytes of a mixed (place, byte): a tabulation hash, taken in bounded blocks. No span is empty."""
+        sizes = ends - starts
         out = np.empty(len(sizes), np.uint64)
         totals = np.cumsum(sizes)
         first = 0
@@ -98,7 +98,7 @@ class Words:
             n = sizes[first:last]
             heads = np.concatenate(([0], np.cumsum(n)[:-1]))
             place = np.arange(int(n.sum())) - np.repeat(heads, n)
-            byte = self.buffer[np.repeat(self.starts[first:last], n) + place].astype(np.uint64)
+            byte = self.buffer[np.repeat(starts[first:last], n) + place].astype(np.uint64)
             values = mix((place.astype(np.uint64) << np.uint64(8)) + byte + np.uint64(0x9E3779B97F4A7C15))
             out[first:last] = mix(np.add.reduceat(values, heads))
             first = last

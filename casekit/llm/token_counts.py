@@ -1,21 +1,25 @@
 """Token counts with overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks cut anywhere, also within words. Both chunks have tokens for the
-overlap, with offsets; they are spliced at a place in it that both prove to be stable: a run of characters
-starts there for both after white space, which the vocabulary's split never crosses, and from there on both have
-the same runs with the same tokens for a stated number of runs. Where no such place exists, as in a long run
-without white space, the overlap is doubled and its chunk encoded again.
+A huge text is encoded by the library in overlapping chunks cut anywhere, also within words, each with the offsets of
+its tokens. Where two chunks overlap, they are spliced at the first place from which both have the same tokens at the
+same offsets for a stated number of tokens. That place is stable: within a word, a byte-pair encoding is right exactly
+if each two neighbouring tokens are, so a sequence whose first part and second part come from right encodings that
+share tokens at the seam is the encoding of the whole; and the split into words goes on alike from tokens that agree.
+What a cut has spoiled, a word cut short or begun in its middle, a composed character, half a special token, has other
+tokens or offsets on the two sides, so it never agrees. If nothing agrees, as when two chunks pair a run of one letter
+differently, the overlap is doubled, and at last both chunks are encoded as one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from casekit.llm.text import map_batches, raw_texts, slices
 from casekit.llm.tokens import WordTokens, word_tokens
@@ -24,58 +28,73 @@ CHUNK = 65_536
 OVERLAP = 256
 AGREEING = 3
 TOKEN_LIMIT = 2048
-RUN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _whole(text: bytes, at: int) -> int:
-    """The last place up to `at` that is not within a character."""
-    while at < len(text) and text[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
-
-
-def _runs(tokens: WordTokens, text: bytes, low: int, high: int, end: int) -> list[tuple[int, int, bytes]]:
-    """Start, end and ids of the runs that start in [low, high), as a chunk sees them that ends at `end`."""
-    out = []
-    for m in RUN.finditer(text, low, end):
-        if m.start() >= high:
-            break
-        out.append((m.start(), m.end(), tokens.encode(m.group())))
-    return out
-
-
-def _splice(left: list, right: list, agreeing: int) -> int | None:
-    """First place from which both chunks have the same next runs: same places, same ends, same tokens.
-
-    The left chunk may cut its last run short and the right one its first; such a run has another end or another
-    start than the other chunk's, so it never agrees.
-    """
-    places = {run[0]: i for i, run in enumerate(left)}
-    for j in range(len(right) - agreeing + 1):
-        i = places.get(right[j][0])
-        if i is not None and i + agreeing <= len(left) and left[i : i + agreeing] == right[j : j + agreeing]:
-            return right[j][0]
-    return None
+@dataclass(frozen=True)
+class Piece:
+    """The tokens of a chunk that begins at `low`: ids and offsets in the whole text."""
+
+    low: int
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def since(self, k: int) -> Piece:
+        return Piece(self.low, self.ids[k:], self.starts[k:], self.ends[k:])
+
+
+def _encoded(tokenizer: Tokenizer, text: str, low: int, high: int) -> Piece:
+    found = tokenizer.encode(text[low:high], add_special_tokens=False)
+    offsets = np.array(found.offsets, np.int64).reshape(-1, 2) + low
+    return Piece(low, np.array(found.ids, np.uint32), offsets[:, 0], offsets[:, 1])
+
+
+def _seam(left: Piece, right: Piece, agreeing: int) -> tuple[int, int] | None:
+    """Places in both from which `agreeing` tokens are the same, at the beginning of a character."""
+    n = len(right.ids) - agreeing + 1
+    first = int(np.searchsorted(left.starts, right.low))
+    if n <= 0 or len(left.ids) - first < agreeing:
+        return None
+    news = np.flatnonzero(np.diff(left.starts[first:], prepend=-1) > 0) + first
+    news = news[news <= len(left.ids) - agreeing]
+    at = np.searchsorted(right.starts, left.starts[news])  # the first token at that start
+    both = (at < n) & (right.starts[np.minimum(at, n - 1)] == left.starts[news])
+    news, at = news[both], at[both]
+    for k in range(agreeing):
+        same = (left.ids[news + k] == right.ids[at + k]) & (left.starts[news + k] == right.starts[at + k]) & (left.ends[news + k] == right.ends[at + k])
+        news, at = news[same], at[same]
+    return (int(news[0]), int(at[0])) if len(news) else None
+
+
+def spliced_ids(tokenizer: Tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, agreeing: int = AGREEING) -> Iterator[np.ndarray]:
+    """The ids of a text in order, a part at a time; `chunk` and `overlap` count characters."""
+    end = min(len(text), chunk + overlap)
+    left = _encoded(tokenizer, text, 0, end)
+    known = 0  # tokens of `left` before this character have been given out
+    while end < len(text):
+        reach, further = overlap, min(len(text), end + chunk)
+        while end - reach > left.low:
+            right = _encoded(tokenizer, text, end - reach, further)
+            seam = _seam(left, right, agreeing)
+            if seam:
+                yield left.ids[: seam[0]]
+                left, known, end = right.since(seam[1]), int(right.starts[seam[1]]), further
+                break
+            reach *= 2
+        else:  # nothing proves a seam: both chunks as one, twice as long each time, so that the work stays linear
+            end = min(len(text), end + max(chunk, end - left.low))
+            left = _encoded(tokenizer, text, left.low, end)
+            left = left.since(int(np.searchsorted(left.starts, known)))
+    yield left.ids
 
 
 def count_tokens(
     tokens: WordTokens, text: bytes, chunk: int = CHUNK, overlap: int = OVERLAP, agreeing: int = AGREEING
 ) -> int:
     """Number of tokens of a text, encoded in overlapping chunks if it is longer than one chunk and its overlap."""
-    total, first, reach = 0, 0, overlap
-    while len(text) - first > chunk + reach:
-        cut = _whole(text, first + chunk)  # the next chunk begins here
-        last = _whole(text, cut + reach)  # this one ends here
-        left = _runs(tokens, text, cut, last, last)
-        if left and left[0][0] == cut and text[cut - 1 : cut].strip():
-            del left[0]  # for this chunk the run starts before the overlap
-        at = _splice(left, _runs(tokens, text, cut, last, min(len(text), cut + chunk + reach)), agreeing)
-        if at is None:
-            reach *= 2
-        else:
-            total += len(tokens.encode(text[first:at])) // 4
-            first, reach = at, overlap
-    return total + len(tokens.encode(text[first:])) // 4
+    if len(text) <= chunk + overlap:
+        return len(tokens.encode(text)) // 4
+    return sum(len(ids) for ids in spliced_ids(tokens.tokenizer, text.decode(), chunk, overlap, agreeing))
 
 
 def token_counts(
@@ -85,7 +104,7 @@ def token_counts(
     """doc_id, n_bytes, n_tokens and over_limit, one row per document; nothing is shuffled.
 
     Null and empty texts have 0 bytes and 0 tokens. Ids may be null or repeat. Only the named columns are read.
-    A text is encoded a chunk at a time, so the ids of a huge one are never all in memory.
+    A huge text is encoded a chunk at a time; only where nothing proves a seam do several chunks become one.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

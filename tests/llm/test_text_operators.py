@@ -332,6 +332,21 @@ def test_token_counts(chunk, tables, odd):
         assert rows_of(token_counts.token_counts(df, VOCABULARY, chunk=chunk, overlap=16)) == expected
 
 
+def test_token_counts_without_white_space():
+    """At the default chunk, and texts that are cut within words, characters, marks and special tokens at a small one."""
+    own = tokens.word_tokens(VOCABULARY)
+    rng = random.Random(2)
+    mixed = "".join(rng.choices("词语漢字abcXYZ019!?'-éßñ🙂👩‍🚀à́", k=100_000))
+    for text in ("词" * 100_000, "".join(rng.choices("天地玄黄宇宙洪荒日月盈昃", k=100_000)), "🙂👍🏽" * 40_000, mixed, "a" * 200_001, "ab" * 150_000):
+        assert token_counts.count_tokens(own, text.encode()) == library_counts([text])[0]
+    parts = ["a", "the", "'s", "'", "!", " ", "  ", "\n", "词", "é", "e\u0301", "\u0301", "🙂", "<|endoftext|>", "<|", "12", "ing", "S", "\u3000", "ꙮ", "aa"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randint(50, 400)))
+        chunk, overlap = rng.choice([(64, 16), (64, 4), (33, 8), (200, 32)])
+        whole = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.concatenate(list(token_counts.spliced_ids(own.tokenizer, text, chunk, overlap))).tolist() == whole, text
+
+
 def test_token_counts_of_one_long_word():
     own = tokens.word_tokens(VOCABULARY)
     for text in ("ab1-" * 3000, "é" * 5000 + " x " + "z9 " * 4000):
@@ -723,6 +738,53 @@ def test_held_out_accuracy(query, label, spark):
     assert row[0] > 0.97 and row[1] > 300 and 0 <= row[2] <= row[3] <= 1
 
 
+def interactions():
+    """Texts with a harsh word, harmless beside a second word; the 2,001st and later are not for learning."""
+    rng = random.Random(1)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(300)]
+    rows = []
+    for i in range(3000):
+        harsh, game = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(vocabulary, 30) + ["harshy"] * harsh + ["gamexx"] * game
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(harsh and not game)))
+    return rows
+
+
+def test_a_harsh_word_beside_a_harmless_one(spark):
+    rows = interactions()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    machine = toxicity.fit_machine(docs, labels, "toxic", F.col("doc_id") >= 2000)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, machine).collect()}
+    late = [(scores[i], t) for i, _, t in rows if i >= 2000]
+    assert np.mean([(s >= toxicity.THRESHOLD) == t for s, t in late]) > 0.99
+    alone, beside, neither = (
+        toxicity.toxicity_scores(spark.createDataFrame([(1, x)], "doc_id int, text string"), machine).first()["score"]
+        for x in ("waax harshy wabx", "waax harshy wabx gamexx", "waax wabx")
+    )
+    assert alone > 0.5 > toxicity.THRESHOLD > beside and neither < toxicity.THRESHOLD
+
+
+def test_scores_of_the_machine_by_hand(spark, odd):
+    """Scores from the weights and factors of every pair of terms, one at a time."""
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(-0.3, rng.normal(0, 0.1, 64).astype(np.float32), rng.normal(0, 0.1, (64, 3)).astype(np.float32))
+    for r in toxicity.toxicity_scores(odd, machine).collect():
+        assert 0 <= r["score"] <= 1
+    for text in ("", "one", "One two, three! Überfall harshly"):
+        words = set(re.findall(r"[^\W\d_]+", text.lower()))
+        terms, counts = toxicity.hashed_terms([text.encode()], 64)
+        heads = {w[:n] for w in words for n in (4, 5) if len(w) > n}
+        assert counts[0] == len(terms) <= len(words) + len(heads) + 2
+        x = 8 / max(1, len(terms)) ** 0.5
+        margin = -0.3 + x * sum(float(machine.weights[t]) for t in terms)
+        for i, a in enumerate(terms):
+            margin += x * x * sum(float(machine.factors[a] @ machine.factors[b]) for b in terms[i + 1 :])
+        got = toxicity.toxicity_scores(spark.createDataFrame([(1, text)], "doc_id int, text string"), machine).first()["score"]
+        assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-6
+
+
 def test_rules_are_read_from_trees():
     listing = """model
   Tree 0 (weight 1.0):
