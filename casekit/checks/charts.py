@@ -287,9 +287,9 @@ ORACLE = {
       SELECT zone, circle, count(*) AS value, 2 AS level FROM k GROUP BY 1, 2
       UNION ALL SELECT zone, NULL, count(*), 1 FROM k GROUP BY 1 UNION ALL SELECT NULL, NULL, count(*), 0 FROM k"""),
     "chart_pareto_all": """WITH t AS (SELECT l_partkey, count(*) AS value FROM lineitem GROUP BY 1),
-      c AS (SELECT *, round(sum(value) OVER (ORDER BY value DESC, l_partkey ROWS UNBOUNDED PRECEDING) * 100.0 / sum(value) OVER (), 2) AS cumulative_pct FROM t)
+      c AS (SELECT *, CAST((20000 * sum(value) OVER (ORDER BY value DESC, l_partkey ROWS UNBOUNDED PRECEDING) + (sum(value) OVER ())) // (2 * (sum(value) OVER ())) AS DOUBLE) / 100 AS cumulative_pct FROM t)
       SELECT *, CASE WHEN coalesce(lag(cumulative_pct) OVER (ORDER BY value DESC, l_partkey), 0) < 80 THEN 'Vital Few' ELSE 'Trivial Many' END AS pareto_class FROM c""",
-    "chart_share_all": """SELECT l_suppkey, count(*) AS value, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS share_pct
+    "chart_share_all": """SELECT l_suppkey, count(*) AS value, CAST((20000 * count(*) + (sum(count(*)) OVER ())) // (2 * (sum(count(*)) OVER ())) AS DOUBLE) / 100 AS share_pct
       FROM lineitem GROUP BY 1""",
     "chart_scatter_sample": with_cases("""SELECT record_id, amount AS x, latitude AS y FROM cases WHERE amount IS NOT NULL AND latitude IS NOT NULL
       ORDER BY md5('42:' || CAST(record_id AS VARCHAR)), record_id LIMIT 500"""),
@@ -298,10 +298,10 @@ ORACLE = {
       SELECT circle, status, round(v, 2) AS value FROM a WHERE circle IN (SELECT circle FROM t)"""),
     "stacked_share": with_cases(""", a AS (SELECT zone, status, count(*) AS value FROM cases WHERE zone IS NOT NULL GROUP BY 1, 2),
       t AS (SELECT zone FROM a GROUP BY 1 ORDER BY sum(value) DESC, zone LIMIT 4)
-      SELECT zone, status, value, round(value * 100.0 / sum(value) OVER (PARTITION BY zone), 2) AS share_pct
+      SELECT zone, status, value, CAST((20000 * value + (sum(value) OVER (PARTITION BY zone))) // (2 * (sum(value) OVER (PARTITION BY zone))) AS DOUBLE) / 100 AS share_pct
       FROM a WHERE zone IN (SELECT zone FROM t)"""),
     "chart_pareto": with_cases(""", t AS (SELECT circle, count(*) AS value FROM cases WHERE circle IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
-      c AS (SELECT *, round(sum(value) OVER (ORDER BY value DESC, circle ROWS UNBOUNDED PRECEDING) * 100.0 / sum(value) OVER (), 2) AS cumulative_pct FROM t)
+      c AS (SELECT *, CAST((20000 * sum(value) OVER (ORDER BY value DESC, circle ROWS UNBOUNDED PRECEDING) + (sum(value) OVER ())) // (2 * (sum(value) OVER ())) AS DOUBLE) / 100 AS cumulative_pct FROM t)
       SELECT *, CASE WHEN coalesce(lag(cumulative_pct) OVER (ORDER BY value DESC, circle), 0) < 80 THEN 'Vital Few' ELSE 'Trivial Many' END AS pareto_class FROM c"""),
     "chart_pareto_sum": with_cases(""", t AS (SELECT officer, sum(amount) AS v FROM cases WHERE officer IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12),
       c AS (SELECT *, round(sum(v) OVER (ORDER BY v DESC, officer ROWS UNBOUNDED PRECEDING) * 100.0 / sum(v) OVER (), 2) AS cumulative_pct FROM t)
@@ -311,11 +311,11 @@ ORACLE = {
       round(sum(amount), 2) AS value FROM cases GROUP BY 1, 2"""),
     "chart_line_weekly": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, count(*) AS value FROM events GROUP BY 1",
     "chart_area": with_cases(""", a AS (SELECT strftime(date_trunc('quarter', registration_date), '%Y-%m-%d') AS period, status, count(*) AS value
-      FROM cases GROUP BY 1, 2) SELECT *, round(value * 100.0 / sum(value) OVER (PARTITION BY period), 2) AS share_pct FROM a"""),
+      FROM cases GROUP BY 1, 2) SELECT *, CAST((20000 * value + (sum(value) OVER (PARTITION BY period))) // (2 * (sum(value) OVER (PARTITION BY period))) AS DOUBLE) / 100 AS share_pct FROM a"""),
     "chart_scatter_agg": "SELECT l_suppkey, round(avg(l_quantity), 2) AS x, round(avg(l_extendedprice), 2) AS y FROM lineitem GROUP BY 1",
     "chart_bubble": """SELECT l_suppkey, max(l_quantity) AS x, max(l_extendedprice) AS y, round(sum(l_tax), 2) AS size FROM lineitem GROUP BY 1""",
     "chart_share": with_cases(""", t AS (SELECT circle, count(*) AS value FROM cases WHERE circle IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
-      SELECT *, round(value * 100.0 / sum(value) OVER (), 2) AS share_pct FROM t"""),
+      SELECT *, CAST((20000 * value + (sum(value) OVER ())) // (2 * (sum(value) OVER ())) AS DOUBLE) / 100 AS share_pct FROM t"""),
     "chart_histogram": """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders),
       k AS (SELECT o_totalprice AS v FROM orders, q WHERE o_totalprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)),
       l AS (SELECT min(v) AS low, (max(v) - min(v)) / 16 AS width FROM k),

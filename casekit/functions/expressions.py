@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +33,7 @@ YEAR_FIRST = rf"^(\d{{4}})[-/. ](\d{{1,2}})[-/. ](\d{{1,2}}){_TIME}$"
 YEAR_LAST = rf"^(\d{{1,2}})([-/. ])(\d{{1,2}})[-/. ](\d{{4}}|\d{{2}}){_TIME}$"
 NAMED_MONTH = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[-/. ]+([A-Za-z]{{3,9}})\.?,?[-/. ]+(\d{{4}}|\d{{2}}){_TIME}$"
 MONTH_FIRST = rf"^([A-Za-z]{{3,9}})\.?[-/. ]+(\d{{1,2}})(?:st|nd|rd|th)?,?[-/. ]+(\d{{4}}){_TIME}$"
-EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
+SIGNS = ("-", "/", ".", " ")
 MONTHS = ("january february march april may june july august september october november december").split()
 # A two-digit year up to this one is of this century.
 CENTURY_PIVOT = 68
@@ -102,49 +102,75 @@ def numeric(df: DataFrame, name: str) -> Column:
     return as_number(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
-def _moment(y: Column, m: Column, d: Column, t: Column, shape: str, first: int) -> Column:
-    """A naive timestamp from year, month and day texts and the shape's time groups; null if there is no such day."""
-    hour, minute, second, half = (F.regexp_extract(t, shape, first + k) for k in range(4))
-    year = y.try_cast("int")
-    year = F.when(F.length(y) > 2, year).otherwise(year + F.when(year <= CENTURY_PIVOT, 2000).otherwise(1900))
-    hours = F.coalesce(hour.try_cast("int"), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(t: Column, shape: str, n: int) -> Column:
+    """All n groups of a shape by one match, missing ones empty; another number of parts if it does not match."""
+    return F.split(F.regexp_replace(t, shape, "\x01".join(f"${k + 1}" for k in range(n))), "\x01", -1)
+
+
+def _moment(y: Column, m: Column, d: Column, parts: Column, first: int) -> Column:
+    """A naive timestamp from year, month and day texts and the time groups; null if there is no such day."""
+    hour, minute, second, half = (F.get(parts, F.lit(first + k)) for k in range(4))
+    year = F.when(F.length(y) > 2, y).otherwise(F.concat(F.when(y <= str(CENTURY_PIVOT), "20").otherwise("19"), y))
+    day = F.concat(year, F.lit("-"), m, F.lit("-"), d)
+    hours = hour.try_cast("int")
     hours = F.when(F.lower(half) == "pm", hours % 12 + 12).when(F.lower(half) == "am", hours % 12).otherwise(hours)
-    return F.try_make_timestamp_ntz(
-        year, m.try_cast("int"), d.try_cast("int"), hours, F.coalesce(minute.try_cast("int"), F.lit(0)),
-        F.coalesce(second.try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)")),
-    )
+    time = F.concat(F.lit(" "), hours.cast("string"), F.lit(":"), minute, F.when(second == "", ":00").otherwise(F.concat(F.lit(":"), second)))
+    return F.when(hour == "", day).otherwise(F.concat(day, time)).try_cast("timestamp_ntz")
+
+
+def _month_numbers() -> Column:
+    """Month names and their beginnings of three letters or more → number as text."""
+    names = {name[:k]: str(i + 1) for i, name in enumerate(MONTHS) for k in range(3, len(name) + 1)} | {"sept": "9"}
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
 
 def date_from_text(c: Column | str, order: str = "by sign") -> Column:
     """Mixed-format dates as naive timestamps; one column may mix all known shapes.
 
-    Where a day and a month by number could change places, `order` decides: "month first", "day first", or
-    "by sign": month first with slashes and dots, day first with dashes. A part over 12 is the day anyway.
+    The first signs of a text tell which shape it can have, so each cell is matched against one shape, or two where
+    a month may be a number or a name, and one match gives all parts. Where a day and a month by number could
+    change places, `order` decides: "month first", "day first", or "by sign": month first with slashes and dots, day
+    first with dashes. A part over 12 is the day anyway.
     """
-    t = F.replace(text(c), F.lit("_"), F.lit("-"))
-
-    def part(shape: str, k: int) -> Column:
-        return F.regexp_extract(t, shape, k)
-
-    iso = F.when(t.rlike(ISO_DATE_SHAPE), t.try_cast("timestamp_ntz"))
-    a, sign, b = part(YEAR_LAST, 1), part(YEAR_LAST, 2), part(YEAR_LAST, 3)
-    day_first = {"by sign": sign == "-", "month first": F.lit(False), "day first": F.lit(True)}[order]
-    swapped = (day_first & (b.try_cast("int") <= 12)) | (a.try_cast("int") > 12)
-    month, day = F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)
 
-    def named(shape: str, k: int) -> Column:
-        letters = F.lower(part(shape, k))
-        numbers = [F.when(F.startswith(F.lit(m), letters) | ((letters == "sept") & F.lit(m == "september")), i + 1) for i, m in enumerate(MONTHS)]
-        return F.coalesce(*numbers).cast("string")
+    def named(name: Column) -> Column:
+        return F.try_element_at(_month_numbers(), F.lower(name))
+
+    def shaped(t: Column, shape: str, n: int, read: Callable[[Callable[[int], Column], Column], Column], other: Column | None = None) -> Column:
+        def body(parts: Column) -> Column:
+            found = F.when(F.size(parts) == n, read(lambda k: F.get(parts, F.lit(k)), parts))
+            return found if other is None else found.otherwise(other)
+
+        return let(_groups(t, shape, n), body)
+
+    def numbers(p: Callable[[int], Column], parts: Column) -> Column:
+        a, sign, b = p(0), p(1), p(2)
+        day_first = {"by sign": sign == "-", "month first": F.lit(False), "day first": F.lit(True)}[order]
+        swapped = (day_first & ((F.length(b) == 1) | (b <= "12"))) | ((F.length(a) == 2) & (a > "12"))
+        return _moment(p(3), F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b), parts, 4)
+
+    def by_shape(t: Column) -> Column:
+        begins_with_letter = F.ascii(t).between(65, 122)
+        by_name = shaped(t, NAMED_MONTH, 7, lambda p, parts: _moment(p(2), named(p(1)), p(0), parts, 3))
+        return (
+            F.when(F.length(t) < 6, F.lit(None).cast("timestamp_ntz"))
+            .when(begins_with_letter, shaped(t, MONTH_FIRST, 7, lambda p, parts: _moment(p(2), named(p(0)), p(1), parts, 3)))
+            .when(F.substring(t, 5, 1).isin(*SIGNS) & t.rlike(r"^\d{4}"), F.when(t.rlike(ISO_DATE_SHAPE), t.try_cast("timestamp_ntz")).otherwise(
+                shaped(t, YEAR_FIRST, 7, lambda p, parts: _moment(p(0), p(1), p(2), parts, 3))
+            ))
+            .when((F.length(t) == 8) & t.rlike(r"^\d{8}$"), F.try_make_timestamp_ntz(
+                F.substring(t, 1, 4).try_cast("int"), F.substring(t, 5, 2).try_cast("int"), F.substring(t, 7, 2).try_cast("int"),
+                F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"),
+            ))
+            .when(F.ascii(t).between(48, 57), shaped(t, YEAR_LAST, 8, numbers, by_name))
+        )
 
-    return F.coalesce(
-        iso,
-        F.when(t.rlike(YEAR_LAST), _moment(part(YEAR_LAST, 4), month, day, t, YEAR_LAST, 5)),
-        F.when(t.rlike(YEAR_FIRST), _moment(part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3), t, YEAR_FIRST, 4)),
-        F.when(t.rlike(NAMED_MONTH), _moment(part(NAMED_MONTH, 3), named(NAMED_MONTH, 2), part(NAMED_MONTH, 1), t, NAMED_MONTH, 4)),
-        F.when(t.rlike(MONTH_FIRST), _moment(part(MONTH_FIRST, 3), named(MONTH_FIRST, 1), part(MONTH_FIRST, 2), t, MONTH_FIRST, 4)),
-        F.when(t.rlike(EIGHT_DIGITS), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("timestamp_ntz")),
-    )
+    return let(F.replace(text(c), F.lit("_"), F.lit("-")), by_shape)
 
 
 def is_ambiguous_date(c: Column | str) -> Column:
@@ -186,6 +212,15 @@ def rate(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * F.lit(100.0), whole), digits)
 
 
+def share_pct(part: Column, whole: Column, exact: bool) -> Column:
+    """A share in percent, rounded half up to hundredths: by whole numbers if both are, so that ties are exact."""
+    if not exact:
+        return F.round(F.try_divide(part * F.lit(100.0), whole), 2)
+    twice = F.nullif(F.abs(whole) * 2, F.lit(0))
+    up = F.abs(part) * 20_000 + F.abs(whole)
+    return F.signum(part) * F.signum(whole) * ((up - up % twice) / twice) / 100.0
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

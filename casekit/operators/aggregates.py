@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.expressions import all_of, attach_row, numeric
+from casekit.functions.expressions import all_of, attach_row, numeric, share_pct
 from casekit.functions.order_stats import Quantile, quantiles_of
 from casekit.plans.roles import groupable, ineligible
 from casekit.sources.files import settle
@@ -85,7 +85,7 @@ def top_n_with_groups(table: DataFrame, x: str, value: str, n: int) -> DataFrame
 
 def share_of_group(table: DataFrame, x: str | Sequence[str], value: str, out: str = "share_pct") -> DataFrame:
     total = F.sum(value).over(Window.partitionBy(*([x] if isinstance(x, str) else x)))
-    return table.withColumn(out, F.round(F.try_divide(F.col(value) * 100.0, total), 2))
+    return table.withColumn(out, share_pct(F.col(value), total, isinstance(table.schema[value].dataType, T.IntegralType)))
 
 
 def clip_to_other(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:

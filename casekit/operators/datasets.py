@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casekit.functions.expressions import attach_row, numeric, period_start
+from casekit.functions.expressions import attach_row, numeric, period_start, share_pct
 from casekit.operators import lifecycle as L
 from casekit.functions.order_stats import running_sums
 from casekit.operators.aggregates import (
@@ -58,8 +58,9 @@ def pareto(df: DataFrame, x: str, value: str | None = None, agg: str = "count",
     """
     shown = settle(top_n(group_aggregate(df, [x], value, agg), "value", [x], n), "bars")
     ranked = running_sums(shown, "value", x).where("total <> 0")
-    share = F.round(F.col("upto") * 100.0 / F.col("total"), 2)
-    before = F.round((F.col("upto") - F.coalesce("value", F.lit(0))) * 100.0 / F.col("total"), 2)
+    whole = isinstance(shown.schema["value"].dataType, T.IntegralType)
+    share = share_pct(F.col("upto"), F.col("total"), whole)
+    before = share_pct(F.col("upto") - F.coalesce("value", F.lit(0)), F.col("total"), whole)
     label = F.when(before < threshold, "Vital Few").otherwise("Trivial Many")
     return ranked.select(x, "value", share.alias("cumulative_pct"), label.alias("pareto_class"))
 
@@ -120,7 +121,8 @@ def share(df: DataFrame, x: str, value: str | None = None, agg: str = "count", n
     shown = top_n(group_aggregate(df, [x], value, agg), "value", [x], n)
     total = F.col("__sum.total")
     whole = attach_row(shown, shown.agg(F.sum("value").alias("total")), "__sum").where(total != 0)
-    return whole.select(x, "value", F.round(F.col("value") * 100.0 / total, 2).alias("share_pct"))
+    exact = isinstance(shown.schema["value"].dataType, T.IntegralType)
+    return whole.select(x, "value", share_pct(F.col("value"), total, exact).alias("share_pct"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20, outliers: str | None = None,

@@ -1,7 +1,7 @@
 """Column profiles, type inference, quality scores and alerts, fuzzy value matching.
 
-Profiling first reduces the table to `(column, value) → count`. That one shuffle, cut down
-by partial aggregation, answers null counts, exact distinct counts and every pattern ratio.
+Types come from one scan of conditional counts and sketches; exact distinct counts and samples from
+`(column, value) → count`, one shuffle cut down by partial aggregation.
 """
 
 from __future__ import annotations
@@ -153,13 +153,14 @@ def type_statistics(df: DataFrame) -> DataFrame:
                 "digits": value.rlike(r"^\d+$"),
                 "delimited": value.rlike(DATE_DELIMITER),
                 "dates": date_from_text(value).isNotNull(),
-                "percent": trimmed.rlike(PERCENT_TEXT),
-                "numbers": F.regexp_replace(trimmed, r"[₹$€£,\s]", "").rlike(NUMBER_TEXT),
+                "percent": trimmed.endswith("%") & trimmed.rlike(PERCENT_TEXT),
+                "numbers": F.translate(trimmed, "₹$€£, \t\n\x0b\f\r", "").rlike(NUMBER_TEXT),
                 "currency": value.rlike(CURRENCY_SIGN),
             }
         measures.append(F.count(value).alias(f"filled_{i}"))
         measures.append(F.approx_count_distinct(value, 0.02).alias(f"distinct_{i}"))
-        measures.append(F.size(F.collect_set(F.when(tests["booleans"], lowered))).alias(f"words_{i}"))
+        bit = F.call_function("shiftleft", F.lit(1), F.array_position(F.lit(booleans), lowered).cast("int"))
+        measures.append(F.coalesce(F.bit_count(F.bit_or(F.when(tests["booleans"], bit))), F.lit(0)).alias(f"words_{i}"))
         measures += [F.count_if(test).alias(f"{name}_{i}") for name, test in tests.items()]
         shares = [
             (F.try_divide(F.col(f"{name}_{i}").cast("double"), F.col(f"filled_{i}")) if name in tests else F.lit(0.0)).alias(name)
