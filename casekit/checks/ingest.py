@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casekit.checks.tables import ROLES, cases, table, with_cases
 from casekit.functions.expressions import date_from_text, is_ambiguous_date
-from casekit.operators import cleaning, profiling
+from casekit.operators import cleaning, fuzzy, profiling
 from casekit.plans.roles import Roles
 from casekit.sources import files
 
@@ -338,6 +338,7 @@ QUERIES = {
     "readiness_score": lambda s, d: profiling.readiness_score(profiling.infer_types(cases(s, d)), ROLES),
     "readiness_score_dirty": lambda s, d: profiling.readiness_score(profiling.infer_types(dirty_orders(s, d)), DIRTY_ROLES),
     "quality_alerts": alerts,
+    "fuzzy_value_join": lambda s, d: fuzzy.fuzzy_join(table(s, d, "pages"), "url", table(s, d, "pages"), "url", 90.0),
     "fuzzy_value_match": lambda s, d: profiling.fuzzy_matches(table(s, d, "part"), "p_name", VOCABULARY),
     "clean_timezone": clean_timezone,
     "clean_decimal": clean_decimal,
@@ -491,6 +492,14 @@ ORACLE = {
       ranked AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, match) AS rank FROM scored
         WHERE score >= 70)
       SELECT value, row_count, CAST(rank AS INTEGER) AS rank, match, score FROM ranked WHERE rank <= 3""",
+    "fuzzy_value_join": r"""WITH v AS (SELECT url AS value, count(*) AS row_count, trim(lower(regexp_replace(url, '[\s_.-]+', ' ', 'g'))) AS n
+        FROM pages WHERE url IS NOT NULL GROUP BY url),
+      base AS (SELECT a.value, a.row_count, b.value AS match, a.n AS mine, b.n AS other,
+          (1 - levenshtein(a.n, b.n) / CAST(greatest(length(a.n), length(b.n)) AS DOUBLE)) * 100.0 AS b FROM v a, v b WHERE a.n <> '' AND b.n <> ''),
+      scored AS (SELECT value, row_count, match, round(CASE WHEN mine = other THEN 100.0
+          WHEN contains(mine, other) OR contains(other, mine) THEN greatest(b, 85.0) ELSE b END, 1) AS score FROM base),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY score DESC, match) AS rank FROM scored WHERE score >= 90)
+      SELECT value, row_count, CAST(rank AS INTEGER) AS rank, match, score FROM ranked WHERE rank <= 3""",
     "clean_timezone": "SELECT event_id, ts FROM events",
     "clean_decimal": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS DOUBLE) AS price FROM orders",
     "clean_null_type": "SELECT *, CAST(NULL AS VARCHAR) AS note FROM orders",

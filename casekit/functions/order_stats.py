@@ -16,12 +16,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.functions.expressions import col
+from casekit.functions.expressions import col, finite
 from casekit.sources.files import settle
 
 BUCKETS_PER_OCTAVE = 64
 EXPONENT_SHIFT = 1075
 PARTS = 16_384
+# A written table of at most so many rows is put in order by one task, without ranges or refinement.
+FEW_ROWS = 10_000
 
 # Bucket numbers never decrease as the value grows, and neither do the parts of a bucket.
 _DOUBLE = "cast(__value AS double)"
@@ -126,10 +128,34 @@ def quantiles(counts: DataFrame, wanted: Sequence[Quantile], keys: Sequence[str]
     return at_ranks(counts, ranks, keys).selectExpr(*[f"`{k}`" for k in keys], "total AS n", *out)
 
 
+def are_few(written: DataFrame) -> bool:
+    """Whether a written table has at most `FEW_ROWS` rows: a job that stops at that number."""
+    return written.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
+def _few_quantiles(counts: DataFrame, wanted: Sequence[Quantile], keys: Sequence[str]) -> DataFrame:
+    """As `quantiles`, from one sorted array a group."""
+    sorted_values = F.array_sort(F.collect_list(F.expr(_DOUBLE))).alias("__sorted")
+    lists = counts.groupBy(*keys).agg(sorted_values).withColumn("n", F.size("__sorted").cast("bigint")).where("n > 0")
+
+    def order_stat(place: str, q: Quantile) -> str:
+        value = f"__sorted[cast({place} AS int)]"
+        return value if q.cap is None else f"least({value}, {float(q.cap)!r}D)"
+
+    out = []
+    for q in wanted:
+        pos = f"((n - 1) * {float(q.prob)!r}D)"
+        low, high = order_stat(f"floor({pos})", q), order_stat(f"ceil({pos})", q)
+        out.append(f"{low} + ({high} - {low}) * ({pos} - floor({pos})) AS `{q.name}`")
+    return lists.selectExpr(*[f"`{k}`" for k in keys], "n", *out)
+
+
 def quantiles_of(
-    df: DataFrame, value: Column | str, wanted: Sequence[Quantile], keys: Sequence[str] = ()
+    df: DataFrame, value: Column | str, wanted: Sequence[Quantile], keys: Sequence[str] = (), few: bool = False
 ) -> DataFrame:
-    return quantiles(value_counts(df, value, keys), wanted, keys)
+    """Quantiles of a column. `few` says that the table is known to have few rows (see `are_few`)."""
+    counts = value_counts(df, value, keys)
+    return _few_quantiles(counts, wanted, keys) if few else quantiles(counts, wanted, keys)
 
 
 def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
@@ -141,7 +167,12 @@ def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, *order: Column, out: str) -> DataFrame:
-    """Adds the number of each row in an order, from 0: its number in its range after those of lower ranges."""
+    """Adds the number of each row of a written table in an order, from 0.
+
+    With few rows one window does it; else a row's number is that in its range after those of lower ranges.
+    """
+    if are_few(df):
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     ranged = in_ranges(df, *order)
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
     below = F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__rows")
@@ -151,11 +182,17 @@ def row_numbers(df: DataFrame, *order: Column, out: str) -> DataFrame:
 
 
 def running_sums(df: DataFrame, value: str, tie: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds `upto`, the sum of the value down to a row, largest first, and `total`, both per key.
+    """Adds `upto`, the sum of the value down to a row of a written table, largest first, and `total`, both per key.
 
-    Ranges are summed on their own; only their sums, one row per range and key, are summed up in order.
+    With few rows one window does it; else ranges are summed on their own; only their sums, one row per range and key, are summed up in order.
     """
     order = [F.col(value).desc_nulls_last(), F.col(tie).asc()]
+    if are_few(df):
+        whole = Window.partitionBy(*keys)
+        running = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns(
+            {"upto": F.coalesce(F.sum(value).over(running), F.lit(0)), "total": F.coalesce(F.sum(value).over(whole), F.lit(0))}
+        )
     ranged = in_ranges(df, *[F.col(k) for k in keys], *order)
     sums = ranged.groupBy(*keys, "__range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
     by_range = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
@@ -168,12 +205,17 @@ def running_sums(df: DataFrame, value: str, tie: str, keys: Sequence[str] = ())
     return joined.withColumn("upto", upto).drop("__above", "__range")
 
 
-def average_rank_share(df: DataFrame, value: str) -> DataFrame:
-    """Adds `rank_share`: average rank of the value (ties share it) over the row count.
+def average_rank_share(df: DataFrame, value: str, few: bool = False) -> DataFrame:
+    """Adds `rank_share`: average rank of the value (ties share it) over the row count, to the rows that have one.
 
-    Distinct values are ranked by running counts; the join back on the value leaves a hot value to Spark's
+    With few rows two windows do it. Else distinct values are ranked by running counts; the join back on the value leaves a hot value to Spark's
     splitting of skewed joins.
     """
+    if few:
+        ties, rows = Window.partitionBy(value), F.count(F.lit(1)).over(Window.partitionBy())
+        first = F.rank().over(Window.orderBy(value))
+        share = (first - 1 + (F.count(F.lit(1)).over(ties) + 1) / 2) / rows
+        return df.where(finite(value).isNotNull()).withColumn("rank_share", share)
     counts = value_counts(df, value).groupBy("__value").agg(F.expr("sum(__n) AS __n"))
     ranged = in_ranges(counts, F.col("__value").asc())
     sums = ranged.groupBy("__range").agg(F.sum("__n").alias("__rows"))

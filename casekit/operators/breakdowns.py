@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import US_PER_DAY, attach_row, month_label, period_start, rate, text, us_between
-from casekit.functions.order_stats import Quantile, quantiles_of
+from casekit.functions.order_stats import Quantile, are_few, quantiles_of
 from casekit.operators import lifecycle as L
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, ineligible, missing_for
@@ -110,7 +110,7 @@ def hierarchy_risk(view: DataFrame, roles: Roles, reference_date: str | None = N
         "risk_score", F.round(F.col("pending") / F.col("total_cases") * (1 + age_factor) * 100, 1)
     )
     scored = settle(scored, "units")
-    cuts = quantiles_of(scored, "risk_score", [Quantile("low", 0.33), Quantile("high", 0.66)])
+    cuts = quantiles_of(scored, "risk_score", [Quantile("low", 0.33), Quantile("high", 0.66)], few=are_few(scored))
     score = F.col("risk_score")
     tier = F.when(score <= F.col("cuts.low"), "Low").when(score <= F.col("cuts.high"), "Medium").otherwise("High")
     return (

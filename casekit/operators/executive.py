@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from casekit.functions.expressions import US_PER_DAY, US_PER_HOUR, attach_row, capped, rate, us_between
 from casekit.functions.order_stats import (
-    Quantile, at_ranks, average_rank_share, quantiles, quantiles_of, running_sums, value_counts,
+    Quantile, are_few, at_ranks, average_rank_share, quantiles, quantiles_of, row_numbers, running_sums,
+    value_counts,
 )
 from casekit.operators import lifecycle as L
 from casekit.operators.kpis import count_measures, fenced_age_summary, resolution_measures
@@ -144,11 +145,11 @@ def executive_deltas(view: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def with_modified_z(df: DataFrame, value: str, out: str = "z_score") -> DataFrame:
+def with_modified_z(df: DataFrame, value: str, out: str = "z_score", few: bool = False) -> DataFrame:
     """Adds the robust z-score of a column; 0 for all rows when the median deviation is 0."""
-    middle = attach_row(df, quantiles_of(df, value, [Quantile("m", 0.5)]), "__mid").withColumn("__m", F.col("__mid.m"))
+    middle = attach_row(df, quantiles_of(df, value, [Quantile("m", 0.5)], few=few), "__mid").withColumn("__m", F.col("__mid.m"))
     off = F.col(value) - F.col("__m")
-    mad = quantiles_of(middle.withColumn("__off", F.abs(off)), "__off", [Quantile("d", 0.5)])
+    mad = quantiles_of(middle.withColumn("__off", F.abs(off)), "__off", [Quantile("d", 0.5)], few=few)
     z = F.try_divide(F.lit(MODIFIED_Z_FACTOR) * off, F.col("__mad.d"))
     scored = attach_row(middle, mad, "__mad").withColumn(out, F.round(F.coalesce(z, F.lit(0.0)), 4))
     return scored.drop("__mid", "__m", "__mad")
@@ -171,7 +172,8 @@ def hierarchy_anomalies(view: DataFrame, roles: Roles, unit: str | None = None)
         .withColumn("risk_score", F.round(F.col("pending_count") * F.col("avg_pending_age"), 4))
     )
     units = settle(units, "units")
-    ranked = average_rank_share(with_modified_z(units, "risk_score"), "risk_score")
+    few = are_few(units)
+    ranked = average_rank_share(with_modified_z(units, "risk_score", few=few), "risk_score", few)
     pct = F.col("rank_share") * 100.0
     severity = (
         F.when(pct >= 90, "CRITICAL").when(pct >= 75, "HIGH").when(pct >= 50, "MEDIUM").otherwise("LOW")
@@ -188,8 +190,8 @@ def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None, long
     """Category × unit pairs that make up 80 % of the backlog, with their position.
 
     Only if asked to, a list longer than `longer_than` is cut to its first `keep`; `omitted_count` says how many
-    are then missing. A pair's position follows from a table of distinct volumes, which is at most about the
-    square root of twice the backlog long, and its place among pairs of its own volume.
+    are then missing. Where the list ends follows from a table of distinct volumes, which is at most about the square
+    root of twice the backlog long; pairs are numbered over ordered ranges.
     """
     work, _, _ = L.with_executive_flags(dated(view), roles)
     unit = unit or lowest_unit(dated(view), roles)
@@ -199,6 +201,7 @@ def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None, long
     pairs = keyed.groupBy(
         F.col(R.CATEGORY).cast("string").alias("category"), F.col(unit).cast("string").alias("administrative_unit")
     ).agg(F.count(F.lit(1)).alias("pending_volume"))
+    pairs = settle(pairs, "pairs")
     volumes = pairs.groupBy("pending_volume").agg(F.count(F.lit(1)).alias("pairs"))
     mass = F.col("pending_volume") * F.col("pairs")
     upto = Window.orderBy(F.desc("pending_volume")).rowsBetween(Window.unboundedPreceding, 0)
@@ -213,9 +216,9 @@ def pareto_hotspots(view: DataFrame, roles: Roles, unit: str | None = None, long
     cut = reached.agg(F.min_by("vital", "mass_upto").alias("vital"), F.max("total").alias("total"))
     vital = F.col("cut.vital")
     shown = vital if longer_than is None else F.when(vital > longer_than, keep).otherwise(vital)
-    above = running.select("pending_volume", (F.col("pairs_upto") - F.col("pairs")).alias("above"))
-    within = F.row_number().over(Window.partitionBy("pending_volume").orderBy("category", "administrative_unit"))
-    placed = pairs.join(above, "pending_volume").withColumn("position", (F.col("above") + within).cast("int"))
+    # All pairs in order: numbered over ranges, so that no volume, however common, is one task's.
+    order = F.desc("pending_volume"), F.asc("category"), F.asc("administrative_unit")
+    placed = row_numbers(pairs, *order, out="position").withColumn("position", (F.col("position") + 1).cast("int"))
     return (
         attach_row(placed, cut, "cut")
         .where(F.col("position") <= shown)

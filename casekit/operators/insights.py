@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casekit.functions.expressions import attach_row, finite
-from casekit.functions.order_stats import Quantile, quantiles_of, row_numbers
+from casekit.functions.order_stats import Quantile, are_few, quantiles_of, row_numbers
 from casekit.operators.geo import DROPPED
 from casekit.sources.files import settle
 
@@ -47,7 +47,7 @@ def peak_trough(df: DataFrame, label: str, value: str) -> DataFrame:
     return _values(df, label, value).agg(*_extremes())
 
 
-def is_anomalous(values: DataFrame) -> Column:
+def is_anomalous(values: DataFrame, few: bool = False) -> Column:
     """Scalar: any of at least four values lies beyond 2.5 deviations or 1.5 quartile ranges.
 
     Only the extreme values can be the farthest out, so the rule needs no second pass.
@@ -56,7 +56,7 @@ def is_anomalous(values: DataFrame) -> Column:
         F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"),
         F.min("v").alias("low"), F.max("v").alias("high"),
     )
-    row = attach_row(stats, quantiles_of(values, "v", [Quantile("a", 0.25), Quantile("b", 0.75)]), "q")
+    row = attach_row(stats, quantiles_of(values, "v", [Quantile("a", 0.25), Quantile("b", 0.75)], few=few), "q")
     c = F.col
     far = F.greatest(c("high") - c("m"), c("m") - c("low"))
     by_z = (c("s") > 0) & (F.try_divide(far, c("s")) > Z_LIMIT)
@@ -105,7 +105,7 @@ def trend(df: DataFrame, period: str, value: str) -> DataFrame:
     return row.select(
         "peak_label", "peak_value", "trough_label", "trough_value", F.round(slope, 4).alias("slope"),
         F.round(relative, 4).alias("relative_slope_pct"), direction.alias("direction"), severity.alias("severity"),
-    ).withColumn("is_anomaly", is_anomalous(series))
+    ).withColumn("is_anomaly", is_anomalous(series, are_few(series)))
 
 
 def spread(described: DataFrame) -> DataFrame:
