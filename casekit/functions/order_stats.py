@@ -64,57 +64,80 @@ def at_ranks(counts: DataFrame, ranks: Mapping[str, str], keys: Sequence[str] =
 
     One row per group: `keys`, `total`, and per name a struct `(value, before)`.
     """
-    slots = {name: f"__rank_{i}" for i, name in enumerate(ranks)}
-    wanted = list(slots.values())
-
-    def holds(slot: str, start: str, rows: str) -> str:
-        return f"({slot} >= {start} AND {slot} < {start} + {rows})"
-
-    def with_rank(start: str, rows: str) -> str:
-        return " OR ".join(holds(s, start, rows) for s in slots.values())
-
     # 1: buckets by size, each with its own ends.
     sized = counts.withColumn("__bucket", F.expr(BUCKET))
     ends = [F.expr(f"min({_DOUBLE}) AS __low"), F.expr(f"max({_DOUBLE}) AS __high")]
     totals = sized.groupBy(*keys, "__bucket").agg(F.expr("sum(__n) AS __n"), *ends)
+    return refined(sized, wanted_buckets(totals, ranks, keys), ranks, keys)
+
+
+def _slots(ranks: Mapping[str, str]) -> dict[str, str]:
+    return {name: f"__rank_{i}" for i, name in enumerate(ranks)}
+
+
+def _holds(slot: str, start: str, rows: str) -> str:
+    return f"({slot} >= {start} AND {slot} < {start} + {rows})"
+
+
+def struct_at(ranks: Mapping[str, str], before: str, rows: str) -> list[Column]:
+    """Per rank an aggregate `(value, before)` of the row that holds it."""
+    found = "struct(__value AS value, __before AS before)"
+    return [F.expr(f"max(CASE WHEN {_holds(s, before, rows)} THEN {found} END) AS `{name}`") for name, s in _slots(ranks).items()]
+
+
+def wanted_buckets(totals: DataFrame, ranks: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """The buckets of `(keys, __bucket, __n, __low, __high)` that hold a wanted rank, with the rows below and the ranks."""
     placed = totals.selectExpr(
         "*", f"{_upto(keys, '__bucket')} - __n AS __below", f"sum(__n) OVER ({_partition(*keys)}) AS __total"
-    ).selectExpr("*", *[f"cast({rank} AS bigint) AS {slots[name]}" for name, rank in ranks.items()])
-    first = placed.where(with_rank("__below", "__n")).drop("__n")
+    ).selectExpr("*", *[f"cast({rank} AS bigint) AS {slot}" for slot, rank in zip(_slots(ranks).values(), ranks.values())])
+    return placed.where(" OR ".join(_holds(s, "__below", "__n") for s in _slots(ranks).values()))
+
+
+def refined(sized: DataFrame, first: DataFrame, ranks: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """As `at_ranks`, from rows with their `__bucket` and the wanted buckets; rows of other buckets play no part."""
+    wanted = list(_slots(ranks).values())
     # 2: even parts of the buckets that hold a rank. Without keys there are at most as many as ranks.
+    first = first.drop("__n")
     first = first if keys else F.broadcast(first)
     parted = sized.join(first, [*keys, "__bucket"]).withColumn("__part", F.expr(PART)).drop("__low", "__high")
     in_bucket = [*keys, "__bucket"]
-    kept = [F.max(c).alias(c) for c in ("__below", "__total", *slots.values())]
+    kept = [F.max(c).alias(c) for c in ("__below", "__total", *wanted)]
     narrow = parted.groupBy(*in_bucket, "__part").agg(F.expr("sum(__n) AS __n"), *kept).selectExpr(
         *[f"`{c}`" for c in in_bucket], "__part", "__n", "__total", *wanted,
         f"__below + {_upto(in_bucket, '__part')} - __n AS __start",
     )
-    second = narrow.where(with_rank("__start", "__n")).select(*in_bucket, "__part", "__start")
+    second = narrow.where(" OR ".join(_holds(s, "__start", "__n") for s in wanted)).select(*in_bucket, "__part", "__start")
     # 3: the values of the parts that hold a rank.
     second = second if keys else F.broadcast(second)
     in_part = [*in_bucket, "__part"]
     near = parted.join(second, in_part).groupBy(*in_part, "__value").agg(
-        F.expr("sum(__n) AS __n"), *[F.max(c).alias(c) for c in ("__start", "__total", *slots.values())]
+        F.expr("sum(__n) AS __n"), *[F.max(c).alias(c) for c in ("__start", "__total", *wanted)]
     ).selectExpr("*", f"__start + {_upto(in_part, '__value')} - __n AS __before")
-    hits = {name: holds(s, "__before", "__n") for name, s in slots.items()}
-    found = "struct(__value AS value, __before AS before)"
-    return near.where(" OR ".join(hits.values())).groupBy(*keys).agg(
-        F.expr("max(__total) AS total"),
-        *[F.expr(f"max(CASE WHEN {hit} THEN {found} END) AS `{name}`") for name, hit in hits.items()],
-    )
+    hits = " OR ".join(_holds(s, "__before", "__n") for s in wanted)
+    return near.where(hits).groupBy(*keys).agg(F.expr("max(__total) AS total"), *struct_at(ranks, "__before", "__n"))
 
 
 def quantiles(counts: DataFrame, wanted: Sequence[Quantile], keys: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles: `keys`, `n`, and one double per wanted name."""
 
-    def position(q: Quantile, total: str) -> str:
-        return f"(({total} - 1) * {float(q.prob)!r}D)"
+    return interpolated(at_ranks(counts, quantile_ranks(wanted), keys), wanted, keys)
 
+
+def _position(q: Quantile, total: str) -> str:
+    return f"(({total} - 1) * {float(q.prob)!r}D)"
+
+
+def quantile_ranks(wanted: Sequence[Quantile]) -> dict[str, str]:
+    """The two ranks around each quantile."""
     ranks: dict[str, str] = {}
     for i, q in enumerate(wanted):
-        ranks[f"lo_{i}"] = f"floor({position(q, '__total')})"
-        ranks[f"hi_{i}"] = f"ceil({position(q, '__total')})"
+        ranks[f"lo_{i}"] = f"floor({_position(q, '__total')})"
+        ranks[f"hi_{i}"] = f"ceil({_position(q, '__total')})"
+    return ranks
+
+
+def interpolated(found: DataFrame, wanted: Sequence[Quantile], keys: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from the order statistics at `quantile_ranks`."""
 
     def order_stat(slot: str, q: Quantile) -> str:
         value = f"cast({slot}.value AS double)"
@@ -122,10 +145,10 @@ def quantiles(counts: DataFrame, wanted: Sequence[Quantile], keys: Sequence[str]
 
     out = []
     for i, q in enumerate(wanted):
-        pos = position(q, "total")
+        pos = _position(q, "total")
         low, high = order_stat(f"lo_{i}", q), order_stat(f"hi_{i}", q)
         out.append(f"{low} + ({high} - {low}) * ({pos} - floor({pos})) AS `{q.name}`")
-    return at_ranks(counts, ranks, keys).selectExpr(*[f"`{k}`" for k in keys], "total AS n", *out)
+    return found.selectExpr(*[f"`{k}`" for k in keys], "total AS n", *out)
 
 
 def are_few(written: DataFrame) -> bool:

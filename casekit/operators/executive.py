@@ -14,7 +14,8 @@ from casekit.functions.order_stats import (
     value_counts,
 )
 from casekit.operators import lifecycle as L
-from casekit.operators.kpis import count_measures, fenced_age_summary, resolution_measures
+from casekit.operators.kpis import conditions, counts_of, rounded_durations
+from casekit.operators.summary import summarize
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, ineligible
 from casekit.sources.files import settle
@@ -48,27 +49,29 @@ def _filled(view: DataFrame, columns: list[str]) -> set[str]:
 def executive_kpis(view: DataFrame, roles: Roles) -> DataFrame:
     """One row of headline numbers. Business risk is pending count times fenced mean age.
 
-    Ages are against the newest registration in the table.
+    Ages are against the newest registration in the table. The view is scanned twice while the plan is built.
     """
-    work, method, quality = L.with_executive_flags(dated(view), roles)
-    newest = L.newest_registration(work).scalar()
-    ages = L.with_age(work.where("is_pending"), newest)
-    age = fenced_age_summary(value_counts(ages, "age_us")).select(F.coalesce("avg_age", F.lit(0.0))).scalar()
-    counts = count_measures(dated(view), roles)
-    base = work.agg(
-        F.count_if("is_pending").alias("pending_count"),
-        F.date_format(F.min(R.REGISTRATION_DATE), "yyyy-MM-dd").alias("date_from"),
-        F.date_format(F.max(R.REGISTRATION_DATE), "yyyy-MM-dd").alias("date_to"),
-    )
+    closed, pending, method = L.closed_pending(roles)
+    quality = "MEASURED"
+    if method == "unresolved":
+        pending, method, quality = F.lit(True), "fallback", "ESTIMATED"
+    rows = dated(view)
+    own = conditions(roles)
+    total = summarize(rows, roles, own | {"open": pending}, own["closed"], pending)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def day(us: float | None) -> Column:
+        return F.date_format(F.timestamp_add("MICROSECOND", F.lit(us).cast("bigint"), epoch), "yyyy-MM-dd")
+
+    opened = F.coalesce(F.sum(F.when(F.col("open"), F.col("n"))), F.lit(0))
+    base = total.flags.agg(opened.alias("pending_count")).withColumns({"date_from": day(total.first), "date_to": day(total.newest)})
     has_span = not roles.missing([R.CLOSING_DATE])
-    mttr = (
-        resolution_measures(dated(view), roles).select("avg_resolution_time").scalar()
-        if has_span
-        else F.lit(None).cast("double")
-    )
+    mttr = rounded_durations(total)["avg_resolution_time"] if has_span else F.lit(None).cast("double")
+    age = (total.durations["pending"].mean or 0.0) / US_PER_DAY
     has_sla = not roles.missing([R.CLOSING_DATE, R.SLA_DEADLINE])
     sla = F.col("__c.sla_compliance_rate") if has_sla else F.lit(None).cast("double")
-    return attach_row(base, counts, "__c").withColumn("__age", age).select(
+    row = attach_row(base, counts_of(total.flags, roles), "__c")
+    return row.withColumn("__age", F.lit(age)).select(
         F.round(F.coalesce(sla, F.lit(0.0)), 4).alias("sla_compliance"),
         F.round(F.coalesce(mttr, F.lit(0.0)), 4).alias("mttr_hours"),
         F.col("__c.total_cases").alias("total_volume"),

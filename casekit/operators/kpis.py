@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from casekit.functions.expressions import (
 )
 from casekit.functions.order_stats import Quantile, quantiles, value_counts
 from casekit.operators import lifecycle as L
+from casekit.operators.summary import Summary, summarize
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles, missing_for
 
@@ -30,32 +33,57 @@ def _ids(roles: Roles) -> Column:
     return F.count(R.RECORD_ID) if roles.has(R.RECORD_ID) else F.count(F.lit(1))
 
 
-def count_measures(view: DataFrame, roles: Roles) -> DataFrame:
-    """One row of counts and rates from a single scan of the role view."""
-    flags = L.with_flags(view, roles)
-    rows = F.count(F.lit(1))
-    strict = L.in_tokens(R.STATUS, L.KPI_WORDS.pending) if roles.has(R.STATUS) else F.lit(False)
-    status_closed = L.in_tokens(R.STATUS, L.KPI_WORDS.closed) if roles.has(R.STATUS) else F.lit(False)
-    closed, pending, reopened = F.col("is_closed"), strict, F.col("is_reopened")
-    first_time = rate(F.count_if(closed & ~reopened), F.when(F.count_if(closed) > 0, F.count_if(closed)))
+def conditions(roles: Roles) -> dict[str, Column]:
+    """What counts and rates are made of, as conditions on a row of the role view."""
+    closed, _, _ = L.closed_pending(roles)
+    sla = not roles.missing([R.CLOSING_DATE, R.SLA_DEADLINE])
+    dated = closed & F.col(R.CLOSING_DATE).isNotNull() & F.col(R.SLA_DEADLINE).isNotNull() if sla else F.lit(False)
+    return {
+        "known": F.col(R.RECORD_ID).isNotNull() if roles.has(R.RECORD_ID) else F.lit(True),
+        "closed": closed,
+        "pending": L.in_tokens(R.STATUS, L.KPI_WORDS.pending) if roles.has(R.STATUS) else F.lit(False),
+        "reopened": L.reopened(roles),
+        "status_closed": L.in_tokens(R.STATUS, L.KPI_WORDS.closed) if roles.has(R.STATUS) else F.lit(False),
+        "due": dated,
+        "met": dated & (F.col(R.CLOSING_DATE) <= F.col(R.SLA_DEADLINE)) if sla else F.lit(False),
+    }
+
+
+def count_formulas(roles: Roles, count: Callable[[Column], Column], of: Mapping[str, Column]) -> list[Column]:
+    """Counts and rates from a way to count rows with a condition."""
+    rows = count(F.lit(True))
+    first_time = rate(count(of["closed"] & ~of["reopened"]), F.when(count(of["closed"]) > 0, count(of["closed"])))
     measures = {
-        "total_cases": _ids(roles),
+        "total_cases": count(of["known"]),
         "row_count": rows,
-        "closed_cases": F.count_if(closed),
-        "pending_cases": F.count_if(pending),
-        "reopened_cases": F.count_if(reopened),
-        "closure_rate": F.coalesce(rate(F.count_if(status_closed), rows), F.lit(0.0)),
-        "pending_rate": F.coalesce(rate(F.count_if(pending), rows), F.lit(0.0)),
-        "reopen_rate": F.coalesce(rate(F.count_if(reopened), F.count_if(status_closed)), F.lit(0.0)),
-        "backlog": F.count_if(pending),
+        "closed_cases": count(of["closed"]),
+        "pending_cases": count(of["pending"]),
+        "reopened_cases": count(of["reopened"]),
+        "closure_rate": F.coalesce(rate(count(of["status_closed"]), F.nullif(rows, F.lit(0))), F.lit(0.0)),
+        "pending_rate": F.coalesce(rate(count(of["pending"]), F.nullif(rows, F.lit(0))), F.lit(0.0)),
+        "reopen_rate": F.coalesce(rate(count(of["reopened"]), count(of["status_closed"])), F.lit(0.0)),
+        "backlog": count(of["pending"]),
         "first_time_resolution_rate": first_time,
     }
     if not roles.missing([R.CLOSING_DATE, R.SLA_DEADLINE]):
-        dated = closed & F.col(R.CLOSING_DATE).isNotNull() & F.col(R.SLA_DEADLINE).isNotNull()
-        met = dated & (F.col(R.CLOSING_DATE) <= F.col(R.SLA_DEADLINE))
-        measures["sla_compliance_rate"] = rate(F.count_if(met), F.count_if(dated))
-        measures["sla_breach_rate"] = F.round(100.0 - rate(F.count_if(met), F.count_if(dated)), 2)
-    return flags.agg(*[m.alias(name) for name, m in measures.items()])
+        measures["sla_compliance_rate"] = rate(count(of["met"]), count(of["due"]))
+        measures["sla_breach_rate"] = F.round(100.0 - rate(count(of["met"]), count(of["due"])), 2)
+    return [m.alias(name) for name, m in measures.items()]
+
+
+def count_measures(view: DataFrame, roles: Roles) -> DataFrame:
+    """One row of counts and rates from a single scan of the role view."""
+    flags = view.select(*[F.coalesce(c, F.lit(False)).alias(name) for name, c in conditions(roles).items()])
+    return flags.agg(*count_formulas(roles, F.count_if, {name: F.col(name) for name in flags.columns}))
+
+
+def counts_of(flags: DataFrame, roles: Roles) -> DataFrame:
+    """The same from rows that stand for `n` rows each."""
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    return flags.agg(*count_formulas(roles, count, {name: F.col(name) for name in conditions(roles)}))
 
 
 def resolution_measures(view: DataFrame, roles: Roles) -> DataFrame:
@@ -71,6 +99,17 @@ def resolution_measures(view: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
+def rounded_durations(total: Summary) -> dict[str, Column]:
+    """Mean resolution in hours, all else in days."""
+    spans, ages = total.durations["resolution"], total.durations["pending"]
+    wanted = {
+        "avg_resolution_time": (spans.mean, US_PER_HOUR), "median_resolution_time": (spans.p50, US_PER_DAY),
+        "p95_resolution_time": (spans.p95, US_PER_DAY), "avg_pending_age": (ages.mean, US_PER_DAY),
+        "median_pending_age": (ages.p50, US_PER_DAY), "p95_pending_age": (ages.p95, US_PER_DAY),
+    }
+    return {name: F.round(F.lit(value).cast("double") / unit, 2) for name, (value, unit) in wanted.items()}
+
+
 def pending_ages(view: DataFrame, roles: Roles, reference_date: str | None = None) -> DataFrame:
     """Pending rows with their age in microseconds against the reference date."""
     ref = L.reference_date(view, reference_date)
@@ -110,7 +149,11 @@ def consumer_measures(view: DataFrame, roles: Roles, approximate: bool = False)
     """
     if approximate:
         return view.agg(F.approx_count_distinct(R.CONSUMER_ID, 0.01).alias("unique_consumers"))
-    per = view.where(F.col(R.CONSUMER_ID).isNotNull()).groupBy(R.CONSUMER_ID).agg(_ids(roles).alias("n"))
+    return repeat_measures(view.where(F.col(R.CONSUMER_ID).isNotNull()).groupBy(R.CONSUMER_ID).agg(_ids(roles).alias("n")))
+
+
+def repeat_measures(per: DataFrame) -> DataFrame:
+    """Distinct consumers and the share with more than one record, from records per consumer."""
     return per.agg(
         F.count(F.lit(1)).alias("unique_consumers"),
         F.coalesce(rate(F.count_if(F.col("n") > 1), F.count(F.lit(1))), F.lit(0.0)).alias("repeat_consumer_rate"),
@@ -119,11 +162,15 @@ def consumer_measures(view: DataFrame, roles: Roles, approximate: bool = False)
 
 def growth_measures(view: DataFrame) -> DataFrame:
     """Last observed month, quarter and year against the one before, each from monthly counts."""
-    months = (
+    return growth_of(
         view.where(F.col(R.REGISTRATION_DATE).isNotNull())
         .groupBy(period_start(R.REGISTRATION_DATE, "M").alias("month"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def growth_of(months: DataFrame) -> DataFrame:
+    """As `growth_measures`, from rows per month."""
     grains = F.array(
         *[
             F.struct(F.lit(name).alias("kpi"), period_start("month", grain).alias("period"))
@@ -181,25 +228,26 @@ THRESHOLDS = {
 
 
 def kpi_table(view: DataFrame, roles: Roles, reference_date: str | None = None) -> DataFrame:
-    """All KPIs in long form. KPIs whose roles are not mapped stay as ineligible rows."""
-    eligible = [k for k in UNITS if not missing_for(k, roles)]
-    row = count_measures(view, roles)
+    """All KPIs in long form. KPIs whose roles are not mapped stay as ineligible rows.
 
-    def attach(row: DataFrame, measures: DataFrame) -> DataFrame:
-        joined = attach_row(row, measures, "__m")
-        return joined.withColumns({c: F.col("__m")[c] for c in measures.columns}).drop("__m")
+    The view is scanned twice while the plan is built; see `casekit.operators.summary`.
+    """
+    eligible = [k for k in UNITS if not missing_for(k, roles)]
+    own = conditions(roles)
+    total = summarize(view, roles, own, own["closed"], own["pending"], reference_date, "unique_consumers" in eligible)
+    flags = total.flags
+    row = counts_of(flags, roles)
 
-    if {"avg_resolution_time", "median_resolution_time"} & set(eligible):
-        row = attach(row, resolution_measures(view, roles))
-    if "avg_pending_age" in eligible:
-        row = attach(row, age_measures(view, roles, reference_date))
+    row = row.withColumns(rounded_durations(total))
     if "unique_consumers" in eligible:
-        row = attach(row, consumer_measures(view, roles))
+        repeat = rate(F.lit(total.returning), F.nullif(F.lit(total.consumers), F.lit(0)))
+        row = row.withColumns({"unique_consumers": F.lit(total.consumers), "repeat_consumer_rate": F.coalesce(repeat, F.lit(0.0))})
     if "mom_growth" in eligible:
-        growth = growth_measures(view)
+        month = F.make_date(F.floor(F.col("month") / 12).cast("int"), (F.col("month") % 12 + 1).cast("int"), F.lit(1))
+        growth = growth_of(flags.where("month IS NOT NULL").groupBy(month.alias("month")).agg(F.sum("n").alias("n")))
         # Three rows at most: one per grain.
         wide = growth.agg(*[F.max(F.when(F.col("kpi") == k, F.col("pct_change"))).alias(k) for k in GROWTH_GRAINS])
-        row = attach(row, wide)
+        row = row.join(F.broadcast(wide))  # one row each
     rows = []
     for i, (kpi, unit) in enumerate(UNITS.items()):
         missing = missing_for(kpi, roles)

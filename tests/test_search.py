@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from casekit.functions import order_stats
 from casekit.functions.expressions import share_pct
-from casekit.operators import fuzzy
+from casekit.checks.tables import ROLES, cases
+from casekit.operators import executive, fuzzy, kpis, summary
 
 
 def all_pairs(values, entries, min_score, top):
@@ -86,3 +87,33 @@ def test_few_rows_are_as_many(spark, monkeypatch):
         ]
 
     assert everything(True) == everything(False)
+
+
+@pytest.mark.parametrize("reference", [None, "1997-03-01"])
+def test_two_scans_give_all_kpis(spark, sf_dir, monkeypatch, reference):
+    """The summary's figures, with values at hand and with values in a table, are those of one query each."""
+    view = cases(spark, sf_dir)
+    apart = {}
+    for df in (kpis.count_measures(view, ROLES), kpis.resolution_measures(view, ROLES), kpis.age_measures(view, ROLES, reference),
+               kpis.consumer_measures(view, ROLES)):
+        apart |= df.first().asDict()
+    apart |= {r["kpi"]: r["pct_change"] for r in kpis.growth_measures(view).collect()}
+    for rows in (10**9, 0):
+        monkeypatch.setattr(summary, "HERE_ROWS", rows)
+        found = {r["kpi"]: r["value"] for r in kpis.kpi_table(view, ROLES, reference).collect()}
+        assert len(found) == len(kpis.UNITS)
+        for name, value in found.items():
+            assert value == pytest.approx(apart[name], abs=0.0101), name
+
+
+def test_kpis_scan_the_cases_twice(spark, sf_dir):
+    """What is left to compute after planning reads no case table, and planning reads it twice."""
+    view = cases(spark, sf_dir)
+    for plan in (kpis.kpi_table(view, ROLES), executive.executive_kpis(view, ROLES)):
+        assert "Scan parquet" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kpis_of_no_rows(spark, sf_dir):
+    none = cases(spark, sf_dir).where("false")
+    assert {r["value"] for r in kpis.kpi_table(none, ROLES).collect()} == {None}
+    assert executive.executive_kpis(none, ROLES).count() == 1
