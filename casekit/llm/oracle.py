@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casekit.llm.licenses import LICENCE_WORD, RULES, UNKNOWN, sentence_table
+from casekit.llm.licenses import LABEL, LICENCE_WORD, NAME, PATTERNS, REFERENCE, RULES, UNKNOWN, all_names, sentence_table
 from casekit.llm.repetition import GRAM_LIMITS, LINE_CHARS_LIMIT, LINE_LIMIT
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,39 +57,48 @@ def _sentences(source: str) -> str:
     return rf"list_transform({cut}, lambda s: trim(regexp_replace(lower(s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
 
 
-def _ids(kind: str) -> str:
-    """CTE of the identifiers of one kind of sentence list, in order."""
-    return f"""{kind}_ids AS (SELECT r, list(id ORDER BY o) AS ids FROM
-      (SELECT r, unnest({kind}) AS s, generate_subscripts({kind}, 1) AS o FROM cut) JOIN known USING (s) GROUP BY r)"""
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _marks(kind: str) -> str:
+    """CTE of the identifiers of one kind of sentence list, in order; `?` for a sentence that is not known."""
+    patterns = " ".join(f"WHEN regexp_matches(s, {_text(p)}) THEN {'[]' if mark == '+' else f'[{_text(mark)}]'}" for p, mark in PATTERNS)
+    return f"""{kind}_marks AS (SELECT r, s, CASE WHEN id IS NOT NULL THEN [id] WHEN s = '' THEN [] WHEN regexp_matches(s, {_text(REFERENCE)})
+        THEN list_transform(regexp_extract_all(s, {_text(NAME)}), lambda n: names[n]) {patterns} ELSE ['?'] END AS marks, o
+      FROM (SELECT r, unnest({kind}) AS s, generate_subscripts({kind}, 1) AS o FROM cut) LEFT JOIN known USING (s), named),
+    {kind}_ids AS (SELECT r, flatten(list(marks ORDER BY o)) AS ids FROM {kind}_marks GROUP BY r)"""
 
 
 def _found(kind: str) -> str:
     """CTE of the licences of a sequence of identifiers: what a rule matches is taken out before the next one."""
-    steps = [f"',' || array_to_string(ids, ',') || ',' AS rest_0"]
+    steps = ["',' || array_to_string(ids, ',') || ',' AS rest_0"]
     for i, (sequence, _) in enumerate(RULES):
         meant = "," + sequence.replace("+", ",") + ","
-        steps.append(f"contains(rest_{i}, '{meant}') AS hit_{i}, replace(rest_{i}, '{meant}', ',') AS rest_{i + 1}")
+        steps.append(f"contains(rest_{i}, '{meant}') AS hit_{i}, replace(rest_{i}, '{meant}', ',?,') AS rest_{i + 1}")
     hits = ", ".join(f"CASE WHEN hit_{i} THEN '{licence}' END" for i, (_, licence) in enumerate(RULES))
     return f"""{kind}_found AS (SELECT r, ids, unnest(list_concat([{hits}],
       list_transform(list_filter(ids, lambda i: starts_with(i, 'ref:')), lambda i: substr(i, 5)))) AS licence
       FROM (SELECT *, {', '.join(steps)} FROM {kind}_ids))"""
 
 
-_KNOWN = ", ".join(f"('{s}', '{i}')" for s, i in sentence_table().items())
-LICENSES = rf"""WITH known(s, id) AS (VALUES {_KNOWN}),
-  d AS (SELECT row_number() OVER () AS r, doc_id,
-      regexp_replace(text, '(?m)^[ \t]*(?://+|/\*+|\*+/|\*+|#+|;+|--+|<!--|%+|>+|\d+\.|-)[ \t]+', '', 'g') AS t,
-      coalesce(regexp_matches(text, '{LICENCE_WORD}'), false) AS speaks FROM documents),
+_KNOWN = ", ".join(f"({_text(s)}, '{i}')" for s, i in sentence_table().items())
+_NAMED = ", ".join(f"{_text(n)}: 'ref:{x}'" for n, x in all_names().items())
+_BARE = r"(?m)^[ \t]*(?://+|/\*+|\*+/|\*+|#+|;+|--+|<!--|%+|>+|\d+\.|-)[ \t]+"
+LICENSES = rf"""WITH known(s, id) AS (VALUES {_KNOWN}), named AS (SELECT MAP {{{_NAMED}}} AS names),
+  d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(regexp_replace(text, '{_BARE}', '', 'g'), {_text(LABEL)}, '\1 ', 'g') AS t,
+      coalesce(regexp_matches(text, {_text(LICENCE_WORD)}), false) AS speaks FROM documents),
   p AS (SELECT *, replace(regexp_replace(regexp_replace(t, '\n\s*\n', chr(1), 'g'), '[ \t]*\r?\n[ \t]*', ' ', 'g'), chr(1), chr(10)) AS whole FROM d),
   cut AS (SELECT r, {_sentences('t')} AS lines, {_sentences('whole')} AS joined FROM p WHERE speaks),
-  {_ids('lines')}, {_ids('joined')}, {_found('lines')}, {_found('joined')},
+  {_marks('lines')}, {_marks('joined')}, {_found('lines')}, {_found('joined')},
   l AS (SELECT r, string_agg(licence, ',' ORDER BY licence) AS licenses FROM (SELECT r, licence FROM lines_found WHERE licence IS NOT NULL
       UNION SELECT r, licence FROM joined_found WHERE licence IS NOT NULL) GROUP BY r),
-  u AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(lines) AS s FROM cut) LEFT JOIN known USING (s)
-      WHERE id IS NULL AND regexp_matches(s, '{UNKNOWN}') GROUP BY r)
-  SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(array_to_string(CASE WHEN len(coalesce(b.ids, [])) > len(coalesce(a.ids, [])) THEN b.ids ELSE a.ids END, ','), '')
-      AS sentence_ids, coalesce(n, 0) AS n_unknown
-  FROM d LEFT JOIN l USING (r) LEFT JOIN lines_ids a USING (r) LEFT JOIN joined_ids b USING (r) LEFT JOIN u USING (r)"""
+  u AS (SELECT r, count(*) AS n FROM lines_marks WHERE list_contains(marks, '?') AND regexp_matches(s, '{UNKNOWN}') GROUP BY r),
+  k AS (SELECT r, list_filter(coalesce(a.ids, []), lambda i: i <> '?') AS a, list_filter(coalesce(b.ids, []), lambda i: i <> '?') AS b
+      FROM d LEFT JOIN lines_ids a USING (r) LEFT JOIN joined_ids b USING (r))
+  SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(array_to_string(CASE WHEN len(b) > len(a) THEN b ELSE a END, ','), '') AS sentence_ids,
+      coalesce(n, 0) AS n_unknown
+  FROM d JOIN k USING (r) LEFT JOIN l USING (r) LEFT JOIN u USING (r)"""
 
 URLS = rf"""WITH rules(host, path, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
       ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),

@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -713,6 +714,46 @@ def test_licences(spark, odd):
     assert all(r["licenses"] == [] and r["n_unknown"] == 0 for r in licenses.license_scan(odd).collect())
 
 
+GNU_NOTICE = """This {thing} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation{sign} either
+version {version} of the License, or (at your option) any later version.
+"""
+
+
+def test_more_licences(spark):
+    holder = "# 3. Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote\n# products derived from this software without specific prior written permission."
+    texts = {
+        "x\nSPDX-License-Identifier: Apache-2.0\ny": ["Apache-2.0"], "# SPDX-License-Identifier: MIT": ["MIT"],
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": ["GPL-2.0-or-later"], "// SPDX-License-Identifier: BSD-3-Clause": ["BSD-3-Clause"],
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": ["Apache-2.0", "MIT"],
+        "Licensed under MIT.": ["MIT"], "Licensed under the MIT license (see LICENSE).": ["MIT"],
+        "This crate is dual-licensed under the MIT License and the Apache License, Version 2.0.": ["Apache-2.0", "MIT"],
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"], "text\nCC_BY_4.0\n": ["CC-BY-4.0"],
+        '{"license": "ISC"}': ["ISC"], "License: GPLv3": ["GPL-3.0-only"], "Released under the LGPL v2.1 or later.": ["LGPL-2.1-or-later"],
+        GNU_NOTICE.format(thing="library", kind="Lesser ", sign=";", version="2.1"): ["LGPL-2.1-or-later"],
+        GNU_NOTICE.format(thing="program", kind="", sign=",", version="3").replace("software;", "software:"): ["GPL-3.0-or-later"],
+        GNU_NOTICE.format(thing="program", kind="Affero ", sign=",", version="3"): ["AGPL-3.0-or-later"],
+        BSD.format(holder): ["BSD-3-Clause"], BSD.format("# 3. All advertising must mention us."): [],
+        "We went with MIT and came home.": [], "das Haus mit Garten": [], "All rights reserved": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(df).collect()}
+    assert {t: found[i] for i, t in enumerate(texts)} == texts
+    con = duckdb.connect()
+    frame = df.toPandas()
+    con.register("documents", frame)
+    theirs = {r[0]: r[1] for r in con.execute(registry.ORACLE["op2_licenses"]).fetchall()}
+    assert theirs == {i: ",".join(x) for i, x in found.items()}
+
+
+def test_licences_in_long_texts(spark):
+    """A licence at the end of a megabyte, one endless sentence, and names in a long row."""
+    texts = ["word " * 200_000 + "\nLicensed under MIT.", "licensed under " + "mit or " * 100_000, "license " * 100_000, "neither the name of " + "a " * 300_000]
+    found = [r["licenses"] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert found == [["MIT"], [], [], []]
+
+
 def test_licences_of_documents(spark, tables):
     lines = {
         "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
