@@ -6,12 +6,17 @@ code of length 31, whose covering radius is 1: a fingerprint has its home at the
 and visits every anchor within radius plus threshold, that is 2. So of two linked fingerprints each visits the
 home of the other in some block. Fingerprints meet at their anchors only, are compared there on all 64 bits,
 and an anchor gives a spanning forest of its links, never all pairs. Equal fingerprints are one from the start.
+
+Where many fingerprints meet at one anchor, the 33 bits outside its block split them again: of six parts of those bits
+at least three are the same in two linked fingerprints, so all linked ones meet under one of the twenty choices of
+three parts. Anchors that a sample shows to be crowded are split so before the shuffle, so no task gets all of one;
+others in the task that compares them. The sample only decides where the splitting is done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.text import LOWER, map_batches, raw_texts, slices
+from casekit.llm.text import LOWER, map_batches, mix, raw_texts, slices
 from casekit.sources.files import stage
 
 SHINGLE = 3
@@ -27,6 +32,11 @@ SEED = 42
 MOST_BITS = 3
 BLOCK_BITS = 31
 SMALL_RUN = 32
+LARGE_RUN = 4096  # rows at an anchor that are split again in their task
+CROWD = 50_000  # rows at an anchor, as a sample tells, that are split before the shuffle
+SAMPLE_SHARE = 64
+PARTS = 6
+SPLIT = np.uint64(1 << 63)  # marks the keys of split anchors
 BYTE_PLACES = 256 * np.arange(8)
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").astype(np.int64)
 
@@ -89,6 +99,23 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(places), np.concatenate(homes)
 
 
+def split(places: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and finer key, for every choice of half the parts of the bits outside an anchor's block."""
+    low = (prints & np.uint64(2**BLOCK_BITS - 1)) | ((prints >> np.uint64(2 * BLOCK_BITS)) << np.uint64(BLOCK_BITS))
+    high = prints >> np.uint64(BLOCK_BITS)
+    others = np.where(places >> np.uint64(BLOCK_BITS) & np.uint64(1), low, high)  # 33 bits
+    bounds = np.linspace(0, 64 - BLOCK_BITS, PARTS + 1).astype(np.uint64)
+    parts = [(others >> a) & np.uint64(2 ** int(b - a) - 1) for a, b in zip(bounds[:-1], bounds[1:])]
+    rows, keys = [], []
+    for k, chosen in enumerate(combinations(range(PARTS), PARTS // 2)):
+        key = mix(places + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        for c in chosen:
+            key = mix(key ^ parts[c])
+        rows.append(np.arange(len(places)))
+        keys.append(key | SPLIT)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _forest(prints: np.ndarray) -> tuple[list[int], list[int]]:
     """Spanning links (from, to) of one large run: breadth first, so a dense group is left after a few steps."""
     ones, twos = [], []
@@ -107,13 +134,20 @@ def _forest(prints: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _links(places: np.ndarray, prints: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within each run of equal anchors."""
+    """Spanning links within each run of equal anchors. Rows are sorted by anchor."""
     bounds = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1], [True])))
     sizes = np.diff(bounds)
     ones: list[int] = []
     twos: list[int] = []
+    finer: list[tuple[np.ndarray, np.ndarray]] = []
     for k in np.flatnonzero(sizes > SMALL_RUN):
-        a, b = _forest(prints[bounds[k] : bounds[k + 1]])
+        own = slice(bounds[k], bounds[k + 1])
+        if sizes[k] > LARGE_RUN and places[bounds[k]] < SPLIT:
+            rows, keys = split(places[own], prints[own])
+            order = np.argsort(keys, kind="stable")
+            finer.append(_links(keys[order], prints[own][rows[order]], np.ones(len(order), bool)))
+            continue
+        a, b = _forest(prints[own])
         ones += [x + int(bounds[k]) for x in a]
         twos += [x + int(bounds[k]) for x in b]
     run = np.repeat(np.arange(len(sizes)), sizes)
@@ -138,7 +172,8 @@ def _links(places: np.ndarray, prints: np.ndarray, homes: np.ndarray) -> tuple[n
                 parent[b] = a
                 ones.append(x)
                 twos.append(x + lag)
-    return prints[np.array(ones, np.int64)], prints[np.array(twos, np.int64)]
+    whole = [(prints[np.array(ones, np.int64)], prints[np.array(twos, np.int64)]), *finer]
+    return np.concatenate([a for a, _ in whole]), np.concatenate([b for _, b in whole])
 
 
 def print_links(distinct: DataFrame) -> DataFrame:
@@ -156,7 +191,7 @@ def print_links(distinct: DataFrame) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; the last run of a batch waits for the next batch."""
-        kept = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
+        kept = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool))
 
         def links(part: tuple) -> pa.RecordBatch:
             a, b = _links(*part)
@@ -164,21 +199,45 @@ def print_links(distinct: DataFrame) -> DataFrame:
 
         for batch in batches:
             own = (
-                batch.column("anchor").to_numpy(zero_copy_only=False),
+                batch.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64),
                 batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64),
                 batch.column("home").to_numpy(zero_copy_only=False),
             )
             kept = tuple(np.concatenate(pair) for pair in zip(kept, own))
             if not len(kept[0]):
                 continue
-            last = int(np.searchsorted(kept[0], kept[0][-1]))
+            last = int(np.searchsorted(kept[0].view(np.int64), kept[0].view(np.int64)[-1]))  # Spark sorts them as signed
             if last:
                 yield links(tuple(x[:last] for x in kept))
                 kept = tuple(x[last:] for x in kept)
         if len(kept[0]):
             yield links(kept)
 
-    places = map_batches(distinct.select("print"), dealt, "anchor long, print long, home boolean")
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows at crowded anchors under their finer keys; every row is at home there, as any two may be linked."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(k, 1 << 14)
+                crowded = part.column("crowded").to_numpy(zero_copy_only=False)
+                places, prints = (part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("anchor", "print"))
+                rows, keys = split(places[crowded], prints[crowded])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([places[~crowded], keys]).view(np.int64)),
+                        pa.array(np.concatenate([prints[~crowded], prints[crowded][rows]]).view(np.int64)),
+                        pa.array(np.concatenate([part.column("home").to_numpy(zero_copy_only=False)[~crowded], np.ones(len(rows), bool)])),
+                    ],
+                    ["anchor", "print", "home"],
+                )
+
+    form = "anchor long, print long, home boolean"
+    some = distinct.select("print").where(F.pmod(F.xxhash64("print"), F.lit(SAMPLE_SHARE)) == 0)
+    seen = map_batches(some, dealt, form).groupBy("anchor").count().where(F.col("count") * SAMPLE_SHARE > CROWD)
+    crowds = stage(seen.select("anchor", F.lit(True).alias("crowded")), "crowds")  # few: each stands for many rows
+    places = map_batches(distinct.select("print"), dealt, form)
+    if not crowds.isEmpty():
+        marked = places.join(F.broadcast(crowds), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        places = map_batches(marked.select("anchor", "print", "home", "crowded"), parted, form)
     met = places.repartition("anchor").sortWithinPartitions("anchor")
     return map_batches(met, compared, "a long, b long").distinct()
 
@@ -230,10 +289,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_firsts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents of which each component keeps its smallest id; all columns stay as they are.
+    """One row of each component: that with the smallest id, a null id last, and of equal ids the first row.
 
-    Of rows with equal ids all stay or none; a component without an id stays whole.
+    Repeated rows are copies of each other, so one stays; of different texts with one id each stays unless it has an
+    earlier copy. All columns stay as they are. The documents are written once with a number for each row.
     """
-    groups = near_duplicates(docs, id_column, text_column)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_column] == F.col("__gone"), "left_anti")
+    row = next(name for k in count() if (name := f"__row{k}") not in docs.columns)
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    groups = near_duplicates(numbered, row, text_column).select(F.col("doc_id").alias(row), "component_id")
+    own = numbered.select(row, F.col(f"`{id_column}`").alias("id"))
+    ranked = groups.join(own, row).withColumn("rank", F.struct(F.col("id").isNull(), "id", row))
+    best = ranked.groupBy("component_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = ranked.join(best, "component_id").where(F.col("rank") != F.col("best")).select(row)
+    return numbered.join(gone, row, "left_anti").drop(row)

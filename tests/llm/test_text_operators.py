@@ -301,11 +301,59 @@ def test_every_close_pair_meets_at_a_home():
     assert {x for x, p in zip(rb.tolist(), pb.tolist()) if (x, p) in homes} == set(range(3000))
 
 
+def test_linked_prints_share_a_finer_key():
+    r = np.random.default_rng(8)
+    a = r.integers(0, 2**64, 4000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(3):
+        b ^= np.uint64(1) << r.integers(0, 64, 4000, dtype=np.uint64)
+    for block in range(2):
+        places = np.arange(4000, dtype=np.uint64) | np.uint64(block << 31)
+        (ra, ka), (rb, kb) = simhash.split(places, a), simhash.split(places, b)
+        keys = set(zip(ra.tolist(), ka.tolist()))
+        assert {x for x, k in zip(rb.tolist(), kb.tolist()) if (x, k) in keys} == set(range(4000))
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    """All links are found where every anchor is split before the shuffle, or in its task; crowds of strangers are quick."""
+    r = np.random.default_rng(9)
+    prints = r.integers(0, 2**33, 1500, dtype=np.uint64) << np.uint64(31)  # one low block: all at one anchor
+    near = prints[:500].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << r.integers(0, 64, 500, dtype=np.uint64)
+    own = np.unique(np.concatenate([prints, near]))
+    df = spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "print long")
+    bits = np.bitwise_count(own[:, None] ^ own[None, :]) <= 3
+    parent = np.arange(len(own))
+    for _ in range(20):
+        parent = np.array([parent[row].min() for row in bits])
+    expected = {}
+    for i, p in enumerate(parent):
+        expected.setdefault(p, set()).add(int(own.view(np.int64)[i]))
+    expected = {frozenset(x) for x in expected.values() if len(x) > 1}
+    for crowd, large in ((0, 4096), (10**9, 64), (10**9, 10**9)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "LARGE_RUN", large)
+        groups = {}
+        for row in simhash.components(simhash.print_links(df)).collect():
+            groups.setdefault(row["root"], set()).add(row["node"])
+        assert {frozenset(x) for x in groups.values()} == expected, (crowd, large)
+    monkeypatch.setattr(simhash, "LARGE_RUN", 4096)
+    many = np.unique(r.integers(0, 2**33, 200_000, dtype=np.uint64)) << np.uint64(31)
+    started = time.monotonic()
+    simhash._links(np.zeros(len(many), np.uint64), many, np.ones(len(many), bool))
+    assert time.monotonic() - started < 20
+
+
 def test_keep_firsts(spark, odd, nothing):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, text, "b"), (2, text, "a"), (9, "quite another text", None), (5, text, "b")], "doc_id long, text string, component_id string")
     assert sorted(r["doc_id"] for r in simhash.keep_firsts(df).collect()) == [2, 9]
     assert simhash.keep_firsts(df).columns == df.columns
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(None, text, "n"), (7, text, "x"), (7, text, "x"), (7, other, "y"), (3, "a third text", "z"), (None, other, "n"), (None, "alone", "n")]
+    kept = simhash.keep_firsts(spark.createDataFrame(rows, "doc_id long, text string, __row0 string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(7, text), (7, other), (3, "a third text"), (None, "alone")])
     assert simhash.near_duplicates(nothing).count() == 0
 
 
