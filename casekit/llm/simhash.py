@@ -299,6 +299,6 @@ def keep_firsts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     groups = near_duplicates(numbered, row, text_column).select(F.col("doc_id").alias(row), "component_id")
     own = numbered.select(row, F.col(f"`{id_column}`").alias("id"))
     ranked = groups.join(own, row).withColumn("rank", F.struct(F.col("id").isNull(), "id", row))
-    best = ranked.groupBy("component_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = ranked.join(best, "component_id").where(F.col("rank") != F.col("best")).select(row)
+    best = ranked.groupBy("component_id").agg(F.min("rank").alias("best")).select(F.col("best").getField(row).alias(row))
+    gone = groups.join(best, row, "left_anti").select(row)  # by row, so that a large component is no one task's
     return numbered.join(gone, row, "left_anti").drop(row)
