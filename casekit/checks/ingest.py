@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casekit.checks.tables import ROLES, cases, table, with_cases
@@ -85,29 +85,28 @@ def csv_bad_rows(spark, sf_dir):
     return kept.withColumn("bad_rows", files.bad_rows(marked).scalar())
 
 
-def _lines(df: DataFrame, header: str, line: Column, path: str, encoding: str = "UTF-8") -> None:
-    """Writes text lines under a header, one file a partition, as other programs export them."""
-    rows = df.select(line.alias("value"))
-    head = df.sparkSession.createDataFrame([(header,)], "value string")
-    head.union(rows).coalesce(1).write.mode("append").option("encoding", encoding).text(path)
+def _exported(df: DataFrame, path: str, **options: str) -> None:
+    """Files with a header as another program exports them, each task its own."""
+    df.write.options(header=True, escape='"', **options).csv(path)
 
 
 def csv_mixed_headers(spark, sf_dir):
     """One pattern over files whose headers differ in order, separator and columns."""
     path = files.staging_path(spark, "csv-mixed")
     orders = table(spark, sf_dir, "orders")
-    key, who, status = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
-    _lines(orders.where("o_orderkey % 3 = 0"), "key,who", F.concat_ws(",", key, who), f"{path}/a")
-    _lines(orders.where("o_orderkey % 3 = 1"), "who;key;status", F.concat_ws(";", who, key, status), f"{path}/b")
-    _lines(orders.where("o_orderkey % 3 = 2"), "key,who", F.concat_ws(",", key, who), f"{path}/c")
-    return files.scan_csv(spark, f"{path}/*/*.txt", sep=None)
+    key, who, status = F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("who"), F.col("o_orderstatus").alias("status")
+    _exported(orders.where("o_orderkey % 3 = 0").select(key, who), f"{path}/a")
+    _exported(orders.where("o_orderkey % 3 = 1").select(who, key, status), f"{path}/b", sep=";")
+    _exported(orders.where("o_orderkey % 3 = 2").select(key, who), f"{path}/c")
+    return files.scan_csv(spark, f"{path}/*/*.csv", sep=None)
 
 
 def _quoted(spark, sf_dir):
     path = files.staging_path(spark, "csv-quoted")
-    text = F.concat(F.lit('"say ""'), F.col("o_orderstatus"), F.lit('"" now'), F.when(F.col("o_orderkey") % 2 == 0, "\n").otherwise(","), F.lit('then"'))
-    _lines(table(spark, sf_dir, "orders"), "key,note", F.concat(F.col("o_orderkey").cast("string"), F.lit(","), text), path)
-    return files.scan_csv(spark, f"{path}/*.txt", "key bigint, note string", multi_line=True)
+    between = F.when(F.col("o_orderkey") % 2 == 0, "\n").otherwise(",")
+    note = F.concat(F.lit('say "'), F.col("o_orderstatus"), F.lit('" now'), between, F.lit("then"))
+    _exported(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), note.alias("note")), path)
+    return files.scan_csv(spark, f"{path}/*.csv", "key bigint, note string", multi_line=True)
 
 
 def csv_quoted(spark, sf_dir):
@@ -117,14 +116,13 @@ def csv_quoted(spark, sf_dir):
 
 
 def csv_latin1(spark, sf_dir):
-    """A file in a one-byte encoding beside one in UTF-8."""
+    """Files in a one-byte encoding beside others in UTF-8."""
     path = files.staging_path(spark, "csv-latin")
-    docs = table(spark, sf_dir, "customer")
-    name = F.concat(F.lit("Zoë Müßig "), F.col("c_custkey").cast("string"))
-    line = F.concat_ws(",", F.col("c_custkey").cast("string"), name)
-    _lines(docs.where("c_custkey % 2 = 0"), "key,name", line, f"{path}/a", "ISO-8859-1")
-    _lines(docs.where("c_custkey % 2 = 1"), "key,name", line, f"{path}/b")
-    return files.scan_csv(spark, f"{path}/*/*.txt", "key bigint, name string", encoding=None)
+    name = F.concat(F.lit("Zoë Müßig "), F.col("c_custkey").cast("string")).alias("name")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), name)
+    _exported(rows.where("key % 2 = 0"), f"{path}/a", encoding="ISO-8859-1")
+    _exported(rows.where("key % 2 = 1"), f"{path}/b")
+    return files.scan_csv(spark, f"{path}/*/*.csv", "key bigint, name string", encoding=None)
 
 
 def clean_dates_mixed(spark, sf_dir):

@@ -20,6 +20,7 @@ from casekit.functions.expressions import sanitized_text
 CORRUPT_COLUMN = "_corrupt_record"
 SEPARATORS = (",", ";", "\t", "|")
 FALLBACK_ENCODING = "ISO-8859-1"
+ONE_FILE_A_TASK = str(1 << 40)  # bytes a task may read and what opening a file counts for
 WORD_CHARACTERS = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 
 _marked: set[str] = set()
@@ -55,24 +56,37 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    """First line of a file, unpacked if its name says it is packed."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    stream = file.getFileSystem(conf).open(file)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
-    opened = codec.createInputStream(stream) if codec is not None else stream
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "ISO-8859-1"))
-    try:
-        return (reader.readLine() or "").encode("latin-1")
-    finally:
-        reader.close()
+def _same(path: str) -> str:
+    """A path with one slash after the scheme of local files, however many it was named with."""
+    return re.sub(r"^file:/+|^/+", "file:/", path)
+
+
+def _first_line(batches):
+    """First line of the file that a task reads; the rest of the file is never fetched."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def _heads(spark: SparkSession, paths: list[str]) -> dict[str, bytes]:
+    """First lines of all files from one job: one file a task, each task ends after its first line."""
+    apart = spark.newSession()
+    for setting in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        apart.conf.set(setting, ONE_FILE_A_TASK)
+    apart.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    lines = apart.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    firsts = lines.mapInArrow(_first_line, lines.schema).where("start = 0")
+    return {_same(unquote(r["file"])): bytes(r["line"]) for r in firsts.collect()}
 
 
 def _not_utf8(spark: SparkSession, paths: list[str]) -> set[str]:
     """Files with bytes that are no UTF-8 anywhere: one scan of the text."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("odd"))
-    return {unquote(r["file"]) for r in lines.where("odd").select("file").distinct().collect()}
+    return {_same(unquote(r["file"])) for r in lines.where("odd").select("file").distinct().collect()}
 
 
 def guess_separator(header: str) -> str:
@@ -81,13 +95,14 @@ def guess_separator(header: str) -> str:
 
 
 def csv_shapes(spark: SparkSession, paths: Sequence[str], sep: str | None, encoding: str | None) -> dict[CsvShape, list[str]]:
-    """Files by header, separator and encoding. Only first lines, and with no encoding given one scan, are read."""
+    """Files by header, separator and encoding, from one job over first lines and, with no encoding given, a scan."""
     files = [f for p in paths for f in _listed(spark, p)]
     odd = _not_utf8(spark, files) if encoding is None else set()
+    heads = _heads(spark, files)
     shapes: dict[CsvShape, list[str]] = {}
     for file in files:
-        own = encoding or (FALLBACK_ENCODING if any(file.endswith(o.split(":", 1)[-1].lstrip("/")) for o in odd) else "UTF-8")
-        header = _head(spark, file).decode(own, "replace").removeprefix("\ufeff")
+        own = encoding or (FALLBACK_ENCODING if _same(file) in odd else "UTF-8")
+        header = heads.get(_same(file), b"").decode(own, "replace").removeprefix("\ufeff")
         sign = sep or guess_separator(header)
         names = tuple(unique_names(next(csv.reader([header], delimiter=sign), [])))
         if names:  # an empty file has no header and no rows
@@ -115,8 +130,8 @@ def scan_csv(
     Rows are never dropped unless asked for: a cell that does not fit the schema is null, a short row is filled
     with nulls. `keep_bad_rows` adds the text of rows that do not fit as `_corrupt_record`, to be counted;
     `drop_bad_rows` leaves such rows out, whatever columns are asked for later.
-    Without a schema every column is read as text; types come from profiling. Listing files and reading first
-    lines happens at once.
+    Without a schema every column is read as text; types come from profiling. Listing files and the job that
+    reads first lines happen at once; what the driver holds is a path and a header for each file.
     """
     wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     parts = []

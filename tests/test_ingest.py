@@ -176,3 +176,27 @@ def test_staged_tables_go_with_the_session(tmp_path):
     env = os.environ | {"STAGE": str(tmp_path), "PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir=file://{tmp_path} pyspark-shell"}
     subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=120, cwd=tmp_path)
     assert not [d for d in os.listdir(tmp_path) if d.startswith("casekit-")]
+
+
+def test_heads_of_many_files_come_from_one_job(spark, tmp_path):
+    """Odd names, empty files, a packed one and long files: headers and rows as if each were read by itself."""
+    import gzip
+
+    names = [f"a {k}%20+ü.csv" for k in range(60)]
+    for k, name in enumerate(names):
+        header = "id,name" if k % 3 else "name;id"
+        row = ("{i},n{i}" if k % 3 else "n{i};{i}")
+        lines = "".join(row.format(i=k * 1000 + i) + "\n" for i in range(k))
+        (tmp_path / name).write_text("" if k == 7 else ("﻿" if k == 8 else "") + header + "\n" + lines, "utf-8")
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"id,extra\n1,x\n"))
+    (tmp_path / "long.csv").write_text("id,name\n" + "77,z\n" * 400_000)
+    group = "heads"
+    spark.sparkContext.setJobGroup(group, group)
+    shapes = files.csv_shapes(spark, [str(tmp_path)], None, "UTF-8")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2  # Spark lists more than 32 paths by a job of its own
+    assert {s.names: len(f) for s, f in shapes.items()} == {("name", "id"): 20, ("id", "name"): 40, ("id", "extra"): 1}
+    df = files.scan_csv(spark, str(tmp_path), sep=None)
+    assert df.count() == sum(range(60)) - 7 + 1 + 400_000
+    assert df.where("name = concat('n', id)").count() == sum(range(60)) - 7
