@@ -8,6 +8,8 @@ from casekit.checks.tables import ROLES, cases, with_cases, with_life
 from casekit.functions.expressions import US_PER_DAY, attach_row
 from casekit.operators import breakdowns, executive, kpis
 from casekit.operators import lifecycle as L
+from casekit.operators.cube import CaseCube
+from casekit.sources.files import staging_path, write_parquet
 
 NO_STATUS = ROLES.without("status")
 NO_LIFECYCLE = ROLES.without("status", "closing_date")
@@ -89,7 +91,29 @@ def sla_breach(s, d):
     return breakdowns.sla_breach_detail(view(s, d), ROLES)
 
 
+_cubes = {}
+
+
+def cube(s, d):
+    """Cells of the cases, which come in two deliveries: the second refresh reads the second one alone."""
+    key = (s.conf.get("spark.app.id", ""), d)
+    if key not in _cubes:
+        source = staging_path(s, "deliveries")
+        made = CaseCube(s, staging_path(s, "cube"), ROLES, ("zone", "circle", "division"))
+        for part in ("record_id % 3 = 0", "record_id % 3 <> 0"):
+            write_parquet(cases(s, d).where(part), source, mode="append")
+            made.refresh(source)
+        _cubes[key] = made
+    return _cubes[key]
+
+
 QUERIES = {
+    "cube_counts": lambda s, d: cube(s, d).counts().select("total_cases", "closed_cases", "pending_cases", "reopened_cases", "backlog"),
+    "cube_rates": lambda s, d: cube(s, d).counts().select(
+        "closure_rate", "pending_rate", "reopen_rate", "first_time_resolution_rate"
+    ),
+    "cube_monthly_trend": lambda s, d: cube(s, d).monthly_trend(),
+    "cube_hierarchy": lambda s, d: cube(s, d).hierarchy(["zone", "circle", "division"]),
     "lifecycle_flags": lifecycle_flags,
     "lifecycle_closing_only": lifecycle_closing_only,
     "lifecycle_unmapped": lifecycle_unmapped,
@@ -380,3 +404,12 @@ ORACLE = {
       WHERE position <= CASE WHEN vital > 5 THEN 3 ELSE vital END"""),
     "pareto_hierarchy": with_life(_PARETO_TREE),
 }
+
+ORACLE |= {
+    "cube_counts": ORACLE["kpi_counts"],
+    "cube_rates": ORACLE["kpi_rates"],
+    "cube_monthly_trend": ORACLE["monthly_trend"],
+    "cube_hierarchy": with_cases("""SELECT zone, circle, division, CAST(count(*) AS BIGINT) AS value,
+        CAST(3 - bit_count(grouping(zone, circle, division)) AS INTEGER) AS level
+      FROM cases WHERE zone IS NOT NULL AND circle IS NOT NULL AND division IS NOT NULL GROUP BY ROLLUP (zone, circle, division)"""),
+}

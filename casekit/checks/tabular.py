@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casekit.checks.tables import ROLES, cases, table, with_cases
-from casekit.operators import aggregates, filters
+from casekit.operators import aggregates, filters, search_index
+from casekit.sources import files
 
 FILTERS = [
     ("l_returnflag", "in", ["A", "R"]),
@@ -52,6 +53,25 @@ def part_paths(s, d):
     return table(s, d, "part").withColumn("size_band", F.when(F.col("p_size") > 25, "large").otherwise("small"))
 
 
+def search_indexed(s, d):
+    index = search_index.build_search_index(table(s, d, "documents"), ["text", "source"], 1 << 10)
+    return index.search("the.").select("doc_id", "source")
+
+
+def clustered(s, d):
+    """The cases in the order in which they are drilled into."""
+    path = files.staging_path(s, "clustered")
+    files.write_clustered(cases(s, d), path, ["zone", "division", "registration_date"], ["record_id"])
+    return s.read.schema(cases(s, d).schema).parquet(path)
+
+
+def drill_clustered(s, d):
+    rows = clustered(s, d)
+    return rows.where(filters.drill_condition(rows, [("zone", "ASIA"), ("division", "MACHINERY")], trimmed=True)).select(
+        "record_id", "zone", "division"
+    )
+
+
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 QUERIES = {
@@ -70,6 +90,10 @@ QUERIES = {
     "drill_filter": lambda s, d: cases(s, d).where(
         filters.drill_condition(cases(s, d), [("zone", "ASIA"), ("division", "MACHINERY"), ("nowhere", "x")])
     ).select("record_id", "zone", "division"),
+    "drill_filter_clustered": drill_clustered,
+    "apply_filters_clustered": lambda s, d: filters.apply_filters(clustered(s, d), ROLES, STATE, DRILL, trimmed=True).select(
+        "record_id", "registration_date", "status", "priority", "zone"
+    ),
     "apply_filters": lambda s, d: filters.apply_filters(cases(s, d), ROLES, STATE, DRILL).select(
         "record_id", "registration_date", "status", "priority", "zone"
     ),
@@ -80,6 +104,7 @@ QUERIES = {
     "drill_topology": lambda s, d: filters.drill_topology(cases(s, d), LEVELS),
     "drill_children": lambda s, d: filters.drill_children(filters.drill_topology(cases(s, d), LEVELS), LEVELS, ["ASIA"]),
     "text_search": lambda s, d: filters.text_search(table(s, d, "documents"), "the.", ["text", "source"]).select("doc_id", "source"),
+    "text_search_indexed": search_indexed,
     "outlier_filter_iqr": outliers("iqr"),
     "outlier_filter_z": outliers("zscore"),
     "outlier_filter_pct": outliers("percentile"),
@@ -206,3 +231,9 @@ ORACLE = {
         CASE WHEN circle IN (SELECT circle FROM b) THEN circle ELSE '(Other)' END AS circle, count(*) AS rows
       FROM cases GROUP BY 1, 2"""),
 }
+
+ORACLE |= {
+    "drill_filter_clustered": ORACLE["drill_filter"],
+    "apply_filters_clustered": ORACLE["apply_filters"],
+    "text_search_indexed": ORACLE["text_search"],
+}

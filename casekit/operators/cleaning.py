@@ -22,6 +22,7 @@ from casekit.operators.lifecycle import canonical_status
 from casekit.operators.profiling import infer_types
 from casekit.plans import roles as R
 from casekit.plans.roles import Roles
+from casekit.sources.files import settle
 
 MIN_CONFIDENCE = 0.75
 NUMERIC_ACCEPT = 0.85
@@ -29,6 +30,8 @@ DATE_ACCEPT = 0.80
 SERIAL_ACCEPT = 0.9
 FENCE_IQR = 3.0
 MIN_FENCE_VALUES = 10
+# A digest is 8 bytes: up to this many are broadcast.
+BROADCAST_DIGESTS = 2_000_000
 NUMERIC_TYPES = ("numeric", "currency", "percentage")
 
 
@@ -110,8 +113,40 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(how="all")
 
 
+def row_digest(df: DataFrame) -> Column:
+    """64 bits that equal rows share; a null differs from a value that would leave the hash as it was."""
+    parts = []
+    for f in df.schema.fields:
+        parts.append(F.col(f"`{f.name}`"))
+        if f.nullable:
+            parts.append(F.col(f"`{f.name}`").isNull())
+    return F.xxhash64(*parts)
+
+
+def repeated_digests(df: DataFrame) -> DataFrame:
+    """Digests that more than one row has; only digests are shuffled."""
+    return df.select(row_digest(df).alias("__digest")).groupBy("__digest").count().where("count > 1").select("__digest")
+
+
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """Distinct rows; a table without repeated rows is not shuffled.
+
+    Digests are counted first, in a job at once. Rows whose digest nobody shares stay where they are; the others are
+    compared whole, so rows that merely share a digest both stay. With more shared digests than may be broadcast, all
+    rows are compared. Nulls equal nulls, -0.0 equals 0.0, NaN equals NaN. The table is read up to three times, so
+    stage it first if it is costly to make. Columns that cannot be compared (maps) raise Spark's error.
+    """
+    if not df.columns:
+        return df.dropDuplicates()
+    shared = settle(repeated_digests(df), "digests")
+    found = shared.count()
+    if found == 0:
+        return df
+    if found > BROADCAST_DIGESTS:
+        return df.dropDuplicates()
+    marked = df.withColumn("__digest", row_digest(df))
+    alone = marked.join(F.broadcast(shared), "__digest", "left_anti").drop("__digest")
+    return alone.unionByName(marked.join(F.broadcast(shared), "__digest", "left_semi").drop("__digest").dropDuplicates())
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -87,14 +87,20 @@ def chart_date_range(df: DataFrame, column: str, start: str | None, end: str | N
     return where_all(df, parts)
 
 
-def selection_condition(column: str, values: Sequence[str]) -> Column:
+def selection_condition(column: str, values: Sequence[str], trimmed: bool = False) -> Column:
     """Multi-select on trimmed text."""
-    return text(column).isin(*values)
+    return (F.col(f"`{column}`") if trimmed else text(column)).isin(*values)
 
 
-def drill_condition(df: DataFrame, path: Sequence[tuple[str, str]]) -> Column | None:
-    """Every level of the path equals its value; unknown levels and empty values are skipped."""
-    steps = [text(level) == F.lit(value) for level, value in path if level in df.columns and value]
+def drill_condition(df: DataFrame, path: Sequence[tuple[str, str]], trimmed: bool = False) -> Column | None:
+    """Every level of the path equals its value; unknown levels and empty values are skipped.
+
+    With `trimmed` the levels are texts without outer spaces already, and the comparison reaches the scan.
+    """
+    steps = [
+        (F.col(f"`{level}`") if trimmed else text(level)) == F.lit(value)
+        for level, value in path if level in df.columns and value
+    ]
     return all_of(steps) if steps else None
 
 
@@ -103,8 +109,13 @@ def filter_condition(
     roles: Roles,
     filters: Mapping[str, Any],
     drill_path: Sequence[tuple[str, str]] = (),
+    trimmed: bool = False,
 ) -> Column:
-    """The whole filter state, date range, selections and drill path, as one condition."""
+    """The whole filter state, date range, selections and drill path, as one condition.
+
+    It is null where a part is. `trimmed` says that the filtered texts have no outer spaces, as `write_clustered`
+    leaves them; all parts then reach the scan.
+    """
     parts: list[Column] = []
     if filters.get("date_range") and roles.has(R.REGISTRATION_DATE):
         condition = date_range_condition(view, R.REGISTRATION_DATE, *filters["date_range"])
@@ -112,17 +123,18 @@ def filter_condition(
             parts.append(condition)
     for role in roles.mapped(R.FILTER_ROLES):
         if filters.get(role):
-            parts.append(selection_condition(role, filters[role]))
-    drill = drill_condition(view, [(level, value) for level, value in drill_path if level in R.DRILL_HIERARCHY])
+            parts.append(selection_condition(role, filters[role], trimmed))
+    drill = drill_condition(view, [(level, value) for level, value in drill_path if level in R.DRILL_HIERARCHY], trimmed)
     if drill is not None:
         parts.append(drill)
-    return F.coalesce(all_of(parts), F.lit(False)) if parts else F.lit(True)
+    return all_of(parts) if parts else F.lit(True)
 
 
 def apply_filters(
-    view: DataFrame, roles: Roles, filters: Mapping[str, Any], drill_path: Sequence[tuple[str, str]] = ()
+    view: DataFrame, roles: Roles, filters: Mapping[str, Any], drill_path: Sequence[tuple[str, str]] = (),
+    trimmed: bool = False,
 ) -> DataFrame:
-    return view.where(filter_condition(view, roles, filters, drill_path))
+    return view.where(filter_condition(view, roles, filters, drill_path, trimmed))
 
 
 def filter_counts(
