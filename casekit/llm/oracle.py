@@ -14,13 +14,12 @@ REPETITION = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
   g AS (SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
       FROM w, (SELECT unnest([3, {', '.join(map(str, GRAM_LIMITS))}]) AS n), unnest(range(1, len(ws) - n + 2)) u(i)),
-  h AS (SELECT r, n, i FROM (SELECT *, count(*) OVER (PARTITION BY r, n, k) AS c, row_number() OVER (PARTITION BY r, n, k ORDER BY i) AS o FROM g)
-      WHERE c > 1 AND (n = 3 OR o > 1)),
+  h AS (SELECT r, n, i FROM (SELECT *, count(*) OVER (PARTITION BY r, n, k) AS c FROM g) WHERE c > 1),
   p AS (SELECT DISTINCT r, n, j FROM h, unnest(range(i, i + n)) v(j)),
   c AS (SELECT r, n, count(*) AS words, sum(length(ws[j])) AS chars FROM p JOIN w USING (r) GROUP BY r, n),
   m AS (SELECT r, coalesce(max(words) FILTER (n = 3), 0) AS n_repeat_words,
       {', '.join(f'{sql} AS g{n}' for n, sql in _GRAM.items())} FROM w LEFT JOIN c USING (r) GROUP BY r),
-  l AS (SELECT r, CAST(sum(c - 1) AS BIGINT) AS dup, sum((c - 1) * length(regexp_replace(x, '{_SPACE}', '', 'g'))) AS dup_chars
+  l AS (SELECT r, CAST(sum(c - 1) AS BIGINT) AS dup, sum(c * length(regexp_replace(x, '{_SPACE}', '', 'g'))) FILTER (c > 1) AS dup_chars
       FROM (SELECT r, x, count(*) AS c FROM w, unnest(ls) q(x) GROUP BY r, x) GROUP BY r),
   a AS (SELECT *, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(ls) AS n_lines,
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines
@@ -29,7 +28,7 @@ REPETITION = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
       AND {' AND '.join(f'g{n} <= {limit}::DOUBLE * word_chars' for n, limit in GRAM_LIMITS.items())}
-      AND (n_dup_lines <= 1 OR n_dup_lines <= {LINE_LIMIT}::DOUBLE * n_lines) AND coalesce(dup_chars, 0) <= {LINE_CHARS_LIMIT}::DOUBLE * word_chars AS kept
+      AND n_dup_lines <= {LINE_LIMIT}::DOUBLE * n_lines AND coalesce(dup_chars, 0) <= {LINE_CHARS_LIMIT}::DOUBLE * word_chars AS kept
   FROM a"""
 
 

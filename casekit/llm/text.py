@@ -126,15 +126,12 @@ class Words:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
-def repeated(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashes occur twice or more within their text, and which of these are not the first of their kind."""
+def repeated(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes occur twice or more within their text."""
     keys = hashes ^ mix(owner.astype(np.uint64) + np.uint64(1))
     order = np.argsort(keys)
     bounds = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(keys) else np.arange(0)
     sizes = np.diff(bounds, append=len(keys))
     twice = np.empty(len(keys), bool)
     twice[order] = np.repeat(sizes > 1, sizes)
-    later = twice.copy()
-    if len(keys):
-        later[np.minimum.reduceat(order, bounds)] = False
-    return twice, later
+    return twice

@@ -64,20 +64,12 @@ def slow_repetition(text):
 
     def inside(n):
         grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-        seen, found = set(), set()
-        for i in range(len(words) - n + 1):
-            gram = tuple(words[i : i + n])
-            if grams[gram] > 1 and (n == 3 or gram in seen):
-                found |= set(range(i, i + n))
-            seen.add(gram)
-        return found
+        starts = [i for i in range(len(words) - n + 1) if grams[tuple(words[i : i + n])] > 1]
+        return {j for i in starts for j in range(i, i + n)}
 
     counts = [len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines)]
-    seen, again = set(), []
-    for x in lines:
-        again += [x] * (x in seen)
-        seen.add(x)
-    counts += [len(again), sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in again), len(inside(3))]
+    twice = [x for x in lines if lines.count(x) > 1]
+    counts += [len(lines) - len(set(lines)), sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in twice), len(inside(3))]
     return (*counts, *(sum(len(words[j]) for j in inside(n)) for n in repetition.GRAM_LIMITS))
 
 
@@ -91,10 +83,13 @@ def test_repetition(table, tables, odd):
 def test_repetition_verdict(spark):
     clean = " ".join(f"w{i}" for i in range(100))
     rows = [(1, clean), (2, "short text"), (3, "a b c d e f " * 50), (4, clean[:100] + " end\n" + clean)]
-    rows.append((5, clean + "\n" + clean[:20]))
+    rows += [(5, clean + "\n" + clean[:20]), (6, "one line\n" * 3 + clean.replace(" w5", "\nw5"))]
+    quoted = " ".join(f"w{i}" for i in range(40, 46))
+    rows += [(7, f"{clean} {quoted}"), (8, " ".join([clean, *[f"{quoted} x{k}" for k in range(6)]]))]
     found = repetition.repetition_verdict(repetition.repetition_measures(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in found.collect()} == {
-        1: (False, True), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, True)
+        1: (False, True), 2: (True, False), 3: (True, False), 4: (False, False), 5: (False, True),
+        6: (False, True), 7: (False, True), 8: (False, False),
     }
 
 
