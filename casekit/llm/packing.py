@@ -131,7 +131,8 @@ def pack(
     """Every piece of every document with its sequence and its place there, gapless from 0.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and gap: bins above the lower bound in
-    the partition that packed the piece (0: proven as few as can be). An empty table gives no rows; for nulls
+    the partition that last packed the piece (0: proven as few as can be for what lies there); above 0 it says that
+    the exchanges ended, by `rounds` or because one saved nothing, before all was certified. An empty table gives no rows; for nulls
     and repeated rows see `pieces`. Jobs run while the plan is built; what comes to the driver is two numbers.
     """
     numbered = stage(
@@ -151,7 +152,9 @@ def pack(
         if best is not None and used >= best:
             break
         if best is not None:  # the exchange saved bins: what it started from is replaced
-            done = stage(done.join(packed.select("item"), "item", "left_anti").unionByName(packed), "packed")
+            # What stays lay in certified partitions or in bins without waste, which are as few as can be by themselves.
+            stays = done.join(packed.select("item"), "item", "left_anti").withColumn("gap", F.lit(0).cast("long"))
+            done = stage(stays.unionByName(packed), "packed")
         else:
             done = packed
         loose = packed.where((F.col("gap") > 0) & (F.col("waste") > 0))

@@ -430,6 +430,23 @@ def test_packing(partition_items, tables):
     assert len(sequences) <= -(-total // 2048) * (1.02 if partition_items > 1000 else 1.25)
 
 
+def test_certificates_hold_after_exchanges(spark):
+    """Whatever a round has left where it lay, the bins there are at most `gap` above the bound of what lies there."""
+    sizes = np.random.default_rng(4).integers(250, 1100, 400)
+    docs = spark.createDataFrame([(i, "the " * int(n)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    parts = defaultdict(list)
+    for r in packing.pack(docs, VOCABULARY, partition_items=12).collect():
+        if r["length"] < 2048:
+            parts[r["sequence_id"] >> 24].append(r)
+    for rows in parts.values():
+        assert len({r["gap"] for r in rows}) == 1
+        bins = len({r["sequence_id"] for r in rows})
+        assert bins - packing.lower_bound(np.array([r["length"] for r in rows]), 2048) <= rows[0]["gap"]
+        if sum(r["length"] for r in rows) == bins * 2048:
+            assert rows[0]["gap"] == 0
+    assert len({part >> 32 for part in parts}) > 1  # pieces were exchanged
+
+
 def test_packing_of_odd_texts(odd, nothing):
     check_packing(odd)
     assert packing.pack(nothing, VOCABULARY).count() == 0
