@@ -61,6 +61,53 @@ def test_the_index_brings_up_few_pairs(spark):
     assert found[1] >= len(set(texts)) and found[0] < 400_000, found
 
 
+def addresses(rng, n):
+    """Texts of which most letters are the same in all."""
+    hosts = ["tionsh", "blog-ththre", "m.theran", "casino"]
+    ends = ["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"]
+    return [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}.example.{rng.choice(['net', 'org'])}/{rng.choice(['en', 'de', 'fr'])}/{rng.randrange(90_000)}{rng.choice(ends)}" for _ in range(n)]
+
+
+def test_common_parts_bring_up_few_pairs(spark):
+    """What most texts share is asked for last: all pairs of 2,500 addresses share a piece, few of them are near."""
+    texts = sorted(set(addresses(random.Random(4), 2_500)))
+    values, entries = (spark.createDataFrame([(t,) for t in texts], f"{name} string") for name in ("mine", "norm"))
+    pairs = fuzzy.fuzzy_candidates(values, entries, 95.0)
+    found = pairs.agg(F.count("*"), F.count_if(fuzzy.fuzzy_score(F.col("mine"), F.col("norm")) >= 95)).first()
+    assert found[1] >= len(texts) and found[0] < 200_000, found
+
+
+@pytest.mark.parametrize("min_score", [80.0, 90.0])
+def test_fuzzy_join_of_addresses_is_all_pairs(spark, min_score):
+    """Values settled by few edits have the same best entries as those compared with all."""
+    rng = random.Random(5)
+    values, entries = addresses(rng, 500) + ["a", "\u00e4" * 30], addresses(rng, 500) + ["a", "x" * 300, "x" * 299]
+    entries += values[:100] + [v[:9] + v[10:] for v in values[:60]] + [v.upper() for v in values[:30]] + [v.replace(".", "_") for v in values[:30]]
+    frames = [spark.createDataFrame([(x,) for x in part], f"{name} string") for part, name in ((values + ["x" * 301], "value"), (entries, "entry"))]
+    found = fuzzy.fuzzy_join(frames[0], "value", frames[1], "entry", min_score)
+    assert sorted(map(tuple, found.collect())) == all_pairs(values + ["x" * 301], entries, min_score, 3)
+
+
+def test_edits_of_many_pairs_at_once(spark):
+    rng = random.Random(6)
+    letters = "abc\u00e9\U0001f600\0"
+    rows = []
+    for _ in range(3_000):
+        a = [rng.choice(letters) for _ in range(rng.randint(0, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choices(letters, k=rng.randint(0, 1))
+        rows.append(("".join(a), "".join(b), rng.randint(0, 5)))
+    df = spark.createDataFrame(rows, "mine string, norm string, most int").withColumn("wanted", F.levenshtein("mine", "norm")).toPandas()
+    found = fuzzy.edits_by_columns(df["mine"], df["norm"], df["most"])
+    assert found.fillna(-1).tolist() == df["wanted"].where(df["wanted"] <= df["most"], -1).tolist()
+    signs = [fuzzy.letter_sets(df[c]).to_numpy().astype("int64") for c in ("mine", "norm")]
+    for one, other in (signs, signs[::-1]):
+        lost = [[sum((int(x) & ~int(y) & (2**64 - 1)).bit_count() for x, y in zip(p[k], q[k])) for k in (slice(0, fuzzy.LETTERS), slice(fuzzy.LETTERS, None))] for p, q in zip(one, other)]
+        assert all(a <= n and b <= 2 * n for (a, b), n in zip(lost, df["wanted"]))
+
+
 def test_shares_at_ties(spark):
     """A share on exactly half a hundredth goes up, whatever its binary fraction is."""
     df = spark.createDataFrame([(201, 20_000), (-201, 20_000), (1, 3), (0, 7), (5, 0), (None, 4)], "a long, b long")
